@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sitepulse.functions.scalars import as_date
 from sitepulse.operators.rollup import _E, _join_registry, filtered_registry
+from sitepulse.functions.sqlexpr import ident, in_cell
 from sitepulse.schema import Roles, cells
 
 
@@ -72,17 +73,15 @@ def daily_coverage_wide(
     ``total`` / ``total_P`` over the requested cells."""
     marked = _marked_registry(log, registry, day, blocks, areas, kinds, roles, null_safe)
     cs = cells(areas, kinds)
-    present = F.coalesce(F.col("__present"), F.lit(False))
-    in_any = F.lit(False)
+    present = "coalesce(__present, false)"
+    in_any = " OR ".join(f"coalesce({in_cell(a, k)}, false)" for a, k, _ in cs)
     aggs = []
     for a, k, name in cs:
-        cond = (F.col("area_type") == a) & (F.col("school_type") == k)
-        in_any = in_any | F.coalesce(cond, F.lit(False))
-        aggs.append(F.count_if(cond & present).alias(name))
-        aggs.append(F.count_if(cond).alias(f"__{name}_n"))
-    aggs.append(F.count_if(in_any & present).alias("total"))
-    aggs.append(F.count_if(in_any).alias("__total_n"))
-    aggs.append(F.count_if(present).alias("__all_present"))
+        aggs.append(F.expr(f"count_if({in_cell(a, k)} AND {present})").alias(name))
+        aggs.append(F.expr(f"count_if({in_cell(a, k)})").alias(f"__{name}_n"))
+    aggs.append(F.expr(f"count_if(({in_any}) AND {present})").alias("total"))
+    aggs.append(F.expr(f"count_if({in_any})").alias("__total_n"))
+    aggs.append(F.expr(f"count_if({present})").alias("__all_present"))
     aggs.append(F.count(F.lit(1)).alias("__all"))
     g = marked.groupBy("block").agg(*aggs)
     if only_mixed:
@@ -91,7 +90,7 @@ def daily_coverage_wide(
     return g.select(
         "block",
         *names,
-        *[F.try_divide(F.col(n), F.col(f"__{n}_n")).alias(f"{n}_P") for n in names],
+        *[F.expr(f"try_divide({ident(n)}, {ident('__' + n + '_n')})").alias(f"{n}_P") for n in names],
         "total",
-        F.try_divide(F.col("total"), F.col("__total_n")).alias("total_P"),
+        F.expr("try_divide(total, __total_n)").alias("total_P"),
     )

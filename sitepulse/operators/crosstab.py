@@ -10,17 +10,14 @@ per block), never over the input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitepulse.functions.sqlexpr import ident, in_cell, lit
 from sitepulse.schema import cells
 
 
-def _in_cell(area: str, kind: str) -> Column:
-    return (F.col("area_type") == area) & (F.col("school_type") == kind)
-
-
 def _sum_type(df: DataFrame, name: str):
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.DecimalType):
@@ -28,8 +25,10 @@ def _sum_type(df: DataFrame, name: str):
     return dtype
 
 
-def _share(c: str, over: Window) -> Column:
-    return F.try_divide(F.col(c).cast("double"), F.sum(c).over(over).cast("double"))
+def _share(c: str, group: str = "block") -> Column:
+    """Share of a count within its group: c / sum(c) over the group."""
+    c, g = ident(c), ident(group)
+    return F.expr(f"try_divide(CAST({c} AS DOUBLE), CAST(sum({c}) OVER (PARTITION BY {g}) AS DOUBLE))")
 
 
 def level_counts_wide(rollup: DataFrame, level: str = "entry", areas=None, kinds=None) -> DataFrame:
@@ -38,53 +37,44 @@ def level_counts_wide(rollup: DataFrame, level: str = "entry", areas=None, kinds
     cs = cells(areas, kinds)
     counts = [f"{name}_{level}" for _, _, name in cs]
     g = rollup.groupBy("block", level).agg(
-        *[F.count_if(_in_cell(a, k)).alias(c) for (a, k, _), c in zip(cs, counts)]
-    )
-    w = Window.partitionBy("block")
-    return g.select(
-        "block",
-        level,
-        *counts,
-        *[_share(c, w).alias(f"{c}_P") for c in counts],
+        *[F.expr(f"count_if({in_cell(a, k)})").alias(c) for (a, k, _), c in zip(cs, counts)]
     )
+    return g.select("block", level, *counts, *[_share(c).alias(f"{c}_P") for c in counts])
 
 
 def activity_levels_wide(rollup: DataFrame, areas=None, kinds=None) -> DataFrame:
     """As R10 by number of activity days, plus the participants of each
     (block, level, cell) and their share of the cell's participants."""
     cs = cells(areas, kinds)
-    ptype = _sum_type(rollup, "participants")
-    zero = F.lit(0).cast(ptype)
+    ptype = _sum_type(rollup, "participants").simpleString()
     aggs, n_cols, p_cols = [], [], []
     for a, k, name in cs:
         n, p = f"{name}_activity", f"{name}_participants"
-        aggs.append(F.count_if(_in_cell(a, k)).alias(n))
-        aggs.append(
-            F.coalesce(F.sum(F.when(_in_cell(a, k), F.col("participants"))).cast(ptype), zero).alias(p)
-        )
+        aggs.append(F.expr(f"count_if({in_cell(a, k)})").alias(n))
+        total = f"CAST(sum(CASE WHEN {in_cell(a, k)} THEN participants END) AS {ptype})"
+        aggs.append(F.expr(f"coalesce({total}, CAST(0 AS {ptype}))").alias(p))
         n_cols.append(n)
         p_cols.append(p)
     g = rollup.groupBy("block", "activity").agg(*aggs)
-    w = Window.partitionBy("block")
     return g.select(
         "block",
         "activity",
         *n_cols,
-        *[_share(c, w).alias(f"{c}_P") for c in n_cols],
+        *[_share(c).alias(f"{c}_P") for c in n_cols],
         *p_cols,
-        *[_share(c, w).alias(f"{c}_P") for c in p_cols],
+        *[_share(c).alias(f"{c}_P") for c in p_cols],
     )
 
 
 def monthly_crosstab(rollup: DataFrame, areas=None, kinds=None) -> DataFrame:
     """Per block, entries / activities / participants of each cell."""
     cs = cells(areas, kinds)
-    ptype = _sum_type(rollup, "participants")
+    ptype = _sum_type(rollup, "participants").simpleString()
     aggs = []
-    for measure, dtype in (("entry", T.LongType()), ("activity", T.LongType()), ("participants", ptype)):
+    for measure, dtype in (("entry", "bigint"), ("activity", "bigint"), ("participants", ptype)):
         for a, k, name in cs:
-            total = F.sum(F.when(_in_cell(a, k), F.col(measure))).cast(dtype)
-            aggs.append(F.coalesce(total, F.lit(0).cast(dtype)).alias(f"{measure}_{name}"))
+            total = f"CAST(sum(CASE WHEN {in_cell(a, k)} THEN {measure} END) AS {dtype})"
+            aggs.append(F.expr(f"coalesce({total}, CAST(0 AS {dtype}))").alias(f"{measure}_{name}"))
     return rollup.groupBy("block").agg(*aggs)
 
 
@@ -94,12 +84,8 @@ def wide_to_long(wide: DataFrame, id_cols: list[str], templates: dict[str, str],
     ``templates`` maps an output column to a name pattern with ``{c}`` for
     the cell, e.g. ``{"n": "{c}_entry", "share": "{c}_entry_P"}``.
     """
-    rows = [
-        F.struct(
-            F.lit(a).alias("area_type"),
-            F.lit(k).alias("school_type"),
-            *[F.col(t.format(c=name)).alias(out) for out, t in templates.items()],
-        )
-        for a, k, name in cells(areas, kinds)
-    ]
-    return wide.select(*id_cols, F.inline(F.array(*rows)))
+    rows = []
+    for a, k, name in cells(areas, kinds):
+        vals = ", ".join(f"{ident(t.format(c=name))} AS {ident(out)}" for out, t in templates.items())
+        rows.append(f"struct({lit(a)} AS area_type, {lit(k)} AS school_type, {vals})")
+    return wide.select(*id_cols, F.expr(f"inline(array({', '.join(rows)}))"))

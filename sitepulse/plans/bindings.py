@@ -12,8 +12,6 @@ left to Spark's size-checked broadcast.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +32,23 @@ NO_MEASURE_EVENT = "error"
 
 ROLES = Roles(entity="entity_key", tiebreak=("seq",))
 
+# Declared read schemas (columns this engine reads): no footer inference
+# per read, and a type drift in the inputs fails at the scan.
+TABLE_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _lookup(c, mapping: dict):
@@ -92,16 +104,29 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class Bound:
-    registry: DataFrame
-    log: DataFrame
-    roles: Roles
+    """Registry + log + roles; each table is read only when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, log_fn, roles: Roles = ROLES):
+        self._spark, self._dir, self._log_fn, self.roles = spark, sf_dir, log_fn, roles
+        self._registry = self._log = None
+
+    @property
+    def registry(self) -> DataFrame:
+        if self._registry is None:
+            self._registry = registry(self._spark, self._dir)
+        return self._registry
+
+    @property
+    def log(self) -> DataFrame:
+        if self._log is None:
+            self._log = self._log_fn(self._spark, self._dir)
+        return self._log
 
 
 def bind_events(spark: SparkSession, sf_dir: str) -> Bound:
-    return Bound(registry(spark, sf_dir), events_log(spark, sf_dir), ROLES)
+    return Bound(spark, sf_dir, events_log)
 
 
 def bind_orders(spark: SparkSession, sf_dir: str) -> Bound:
-    return Bound(registry(spark, sf_dir), orders_log(spark, sf_dir), ROLES)
+    return Bound(spark, sf_dir, orders_log)
