@@ -143,9 +143,9 @@ marked AS (
 ),
 coverage AS (
   SELECT block, area_type, school_type,
-         CAST(count_if(flag) AS BIGINT) AS present,
+         CAST(count_if(coalesce(flag, FALSE)) AS BIGINT) AS present,
          CAST(count(*) AS BIGINT) AS total,
-         CAST(count_if(flag) AS BIGINT) / NULLIF(CAST(count(*) AS BIGINT), 0) AS share
+         CAST(count_if(coalesce(flag, FALSE)) AS BIGINT) / NULLIF(CAST(count(*) AS BIGINT), 0) AS share
   FROM marked GROUP BY block, area_type, school_type
 )"""
 
@@ -164,7 +164,7 @@ def share(c: str) -> str:
 
 def entry_levels_wide_cte() -> str:
     cs = cells()
-    counts = ",\n         ".join(f"CAST(count_if({cell(a, k)}) AS BIGINT) AS {n}_entry" for a, k, n in cs)
+    counts = ",\n         ".join(f"CAST(count_if(coalesce({cell(a, k)}, FALSE)) AS BIGINT) AS {n}_entry" for a, k, n in cs)
     shares = ",\n       ".join(f"{share(n + '_entry')} AS {n}_entry_P" for _, _, n in cs)
     names = ", ".join(f"{n}_entry" for _, _, n in cs)
     return f"""lv AS (
@@ -183,7 +183,7 @@ def activity_levels_wide_cte() -> str:
     cs = cells()
     aggs = []
     for a, k, n in cs:
-        aggs.append(f"CAST(count_if({cell(a, k)}) AS BIGINT) AS {n}_activity")
+        aggs.append(f"CAST(count_if(coalesce({cell(a, k)}, FALSE)) AS BIGINT) AS {n}_activity")
         aggs.append(
             f"coalesce(CAST(sum(CASE WHEN {cell(a, k)} THEN participants END) AS DECIMAL(18,2)), "
             f"CAST(0 AS DECIMAL(18,2))) AS {n}_participants"
@@ -227,8 +227,8 @@ def block_summary_cte(as_of) -> str:
     import datetime as dt
 
     yday = as_of - dt.timedelta(days=1)
-    area_counts = ", ".join(f"CAST(count_if(area_type = '{a}') AS BIGINT) AS n_{a}" for a in ("R", "U"))
-    kind_counts = ", ".join(f"CAST(count_if(school_type = '{k}') AS BIGINT) AS n_{k}" for k in ("GS", "GA", "PS"))
+    area_counts = ", ".join(f"CAST(count_if(coalesce(area_type = '{a}', FALSE)) AS BIGINT) AS n_{a}" for a in ("R", "U"))
+    kind_counts = ", ".join(f"CAST(count_if(coalesce(school_type = '{k}', FALSE)) AS BIGINT) AS n_{k}" for k in ("GS", "GA", "PS"))
     return f"""per_entity AS (
   SELECT entity_key, count(*) AS entries, sum({STATUS01}) AS activities,
          count_if(({STATUS01}) IS NULL) AS unknown_status
@@ -339,13 +339,13 @@ FROM detail GROUP BY record_id"""
 ) WHERE bp > 0 AND bp < bt"""
     wide_cols, any_cell = [], " OR ".join(f"coalesce({cell(a, k)}, FALSE)" for a, k, _ in cells())
     for a, k, n in cells():
-        pres = f"CAST(count_if({cell(a, k)} AND coalesce(flag, FALSE)) AS BIGINT)"
-        tot = f"CAST(count_if({cell(a, k)}) AS BIGINT)"
+        pres = f"CAST(count_if(coalesce({cell(a, k)} AND flag, FALSE)) AS BIGINT)"
+        tot = f"CAST(count_if(coalesce({cell(a, k)}, FALSE)) AS BIGINT)"
         wide_cols.append(f"{pres} AS {n}")
         wide_cols.append(f"{pres} / NULLIF({tot}, 0) AS {n}_P")
-    tp = f"CAST(count_if(({any_cell}) AND coalesce(flag, FALSE)) AS BIGINT)"
+    tp = f"CAST(count_if(coalesce(({any_cell}) AND flag, FALSE)) AS BIGINT)"
     wide_cols.append(f"{tp} AS total")
-    wide_cols.append(f"{tp} / NULLIF(CAST(count_if({any_cell}) AS BIGINT), 0) AS total_P")
+    wide_cols.append(f"{tp} / NULLIF(CAST(count_if(coalesce({any_cell}, FALSE)) AS BIGINT), 0) AS total_P")
     q["daily_coverage_wide"] = cov + "SELECT block,\n       " + ",\n       ".join(wide_cols) + "\nFROM marked GROUP BY block"
     q["cell_text"] = cov + """SELECT block, area_type, school_type,
        CASE WHEN total > 0 THEN CAST(present AS VARCHAR) || ' (' || CAST(qq // 100 AS VARCHAR) || '.'
