@@ -16,6 +16,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from sitepulse.functions.scalars import code_label, safe_number
@@ -38,7 +39,8 @@ def read_export(spark: SparkSession, path: str, fmt: str = "parquet", schema=RAW
     kept with their text in ``_corrupt_record`` instead of failing the job."""
     reader = spark.read.schema(schema)
     if fmt in ("csv", "json"):
-        reader = spark.read.schema(schema.add(CORRUPT, "string")).option("mode", "PERMISSIVE").option(
+        with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        reader = spark.read.schema(with_corrupt).option("mode", "PERMISSIVE").option(
             "columnNameOfCorruptRecord", CORRUPT
         )
         if fmt == "csv":
@@ -172,3 +174,34 @@ def export_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+def refresh(
+    spark: SparkSession,
+    raw_path: str,
+    labels_path: str,
+    root: str,
+    *,
+    fmt: str = "parquet",
+    now: dt.datetime | None = None,
+) -> str:
+    """Read both landed exports, split them, publish a new snapshot.
+
+    Nothing is written unless both exports read and the raw export holds
+    at least one registry row; the previous snapshot stays current until the
+    new one is complete.  Malformed csv/json lines are dropped from the
+    tables (they remain in the landed files).
+    """
+    raw = read_export(spark, raw_path, fmt)
+    labels = read_labels(spark, labels_path, fmt)
+    if CORRUPT in raw.columns:
+        raw = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    if raw.where(F.col("redcap_repeat_instrument").isNull()).limit(1).count() == 0:
+        raise ValueError(f"raw export at {raw_path} has no registry rows; keeping the current snapshot")
+    return publish_snapshot(spark, extract_registry(raw, labels), extract_log(raw), root, now=now)
+
+
+def ensure_tables(spark: SparkSession, root: str) -> None:
+    """Publish an empty, typed snapshot if none exists yet."""
+    if current_version(spark, root) is None:
+        publish_snapshot(spark, empty(spark, REGISTRY_SCHEMA), empty(spark, LOG_SCHEMA), root)
