@@ -11,4 +11,5 @@ from sitepulse.functions.scalars import (  # noqa: F401
     status_label,
     validate_choice,
     validate_range,
+    word,
 )

@@ -61,6 +61,21 @@ def split_key(c) -> tuple[Column, Column]:
     return F.get(parts, 0), F.get(parts, 1)
 
 
+def word(c, start: int = 1, end: int | None = None, sep: str = "_") -> Column:
+    """Words ``start..end`` (1-based, inclusive; negative counts from the
+    end, -1 = last) of a delimited text, rejoined with ``sep``."""
+    parts = F.split(_col(c), _regex_quote(sep))
+    n = F.size(parts)
+    end = start if end is None else end
+    lo = F.lit(start) if start > 0 else n + F.lit(start + 1)
+    hi = F.lit(end) if end > 0 else n + F.lit(end + 1)
+    return F.when((lo >= 1) & (hi <= n) & (lo <= hi), F.array_join(F.slice(parts, lo, hi - lo + 1), sep))
+
+
+def _regex_quote(s: str) -> str:
+    return "".join("\\" + ch if ch in ".^$*+?{}[]\\|()" else ch for ch in s)
+
+
 def month_bounds(day: dt.date | str) -> tuple[dt.date, dt.date]:
     """First and last day of the calendar month containing ``day``."""
     if isinstance(day, str):

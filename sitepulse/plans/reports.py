@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitepulse.functions.scalars import (
@@ -100,16 +100,24 @@ def first_blocks(summary: DataFrame, k: int = 3) -> DataFrame:
 # -------------------------------------------------------------- R4-R5 series
 
 
-def daily_series(log: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """Raw entries per day over the whole log (NULL day is its own row)."""
+def daily_series(log: DataFrame, roles: Roles = Roles(), *, dedupe: bool = False) -> DataFrame:
+    """Entries per day over the whole log (NULL day is its own row).
+    Raw rows by default, as the reference counts; ``dedupe=True`` counts
+    entity-days instead."""
+    if dedupe:
+        log = latest_per_day(log, roles)
     return log.groupBy(F.col(roles.day).alias("day")).agg(F.count(F.lit(1)).alias("entries"))
 
 
-def daily_series_by_block(log: DataFrame, registry: DataFrame, *, roles: Roles = Roles(), blocks=None) -> DataFrame:
-    """Raw entries per (block, day).  The log is first counted per
+def daily_series_by_block(
+    log: DataFrame, registry: DataFrame, *, roles: Roles = Roles(), blocks=None, dedupe: bool = False
+) -> DataFrame:
+    """Entries per (block, day).  The log is first counted per
     (entity, day) -- partial aggregation absorbs hot entities -- and only those
     counts meet the registry; orphans fall into the NULL block."""
     blocks = validate_choice("Block", blocks)
+    if dedupe:
+        log = latest_per_day(log, roles)
     per = log.groupBy(F.col(roles.entity).alias(_E), F.col(roles.day).alias("day")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -206,9 +214,48 @@ def school_options(registry: DataFrame, *, blocks=None, areas=None, kinds=None,
 
 
 def coverage_cell_text(coverage_long: DataFrame) -> DataFrame:
+    """Coverage cell as shown: ``present (share%)``."""
     return coverage_long.select(
         "block",
         "area_type",
         "school_type",
         percent_text("present", "present", "total").alias("cell_text"),
     )
+
+
+def activity_cell_text(activity_long: DataFrame) -> DataFrame:
+    """Activity-level cell as shown, without HTML:
+    ``n (p%) / k Participants (q%)``."""
+    n_tot = F.sum("n").over(Window.partitionBy("block", "area_type", "school_type"))
+    return activity_long.select(
+        "block",
+        "activity",
+        "area_type",
+        "school_type",
+        F.concat(
+            percent_text("n", "n", n_tot),
+            F.lit(" / "),
+            F.col("participants").cast("string"),
+            F.lit(" Participants ("),
+            F.format_number(F.coalesce(F.col("participants_share"), F.lit(0.0)) * 100, 2),
+            F.lit("%)"),
+        ).alias("cell_text"),
+    )
+
+
+def monthly_cell_text(crosstab: DataFrame, areas=None, kinds=None) -> DataFrame:
+    """Monthly crosstab cell as shown: ``Entered: e / Activities: a / Students: s``."""
+    from sitepulse.schema import cells
+
+    return crosstab.select(
+        "block",
+        *[
+            F.format_string(
+                "Entered: %s / Activities: %s / Students: %s",
+                F.col(f"entry_{c}"),
+                F.col(f"activity_{c}"),
+                F.col(f"participants_{c}"),
+            ).alias(c)
+            for _, _, c in cells(areas, kinds)
+        ],
+    )

@@ -194,3 +194,16 @@ def test_null_keys_match_null_safe(spark):
     assert got == {"A": 1, "B": 0}
     got = {r.school: r.entry for r in period_rollup(log, reg, lo, hi, roles=FX.ROLES, null_safe=False).collect()}
     assert got == {"A": 0, "B": 0}
+
+
+def test_series_dedupe_and_texts(tables, july):
+    reg, log = tables
+    got = {r.day: r.entries for r in R.daily_series(log, FX.ROLES, dedupe=True).collect()}
+    assert got[dt.date(2025, 7, 2)] == 6  # S1-1, S1-3, S2-1, S2-2, GHOST-9, NOID
+    act = {
+        (r.block, r.area_type, r.school_type, r.activity): r.cell_text
+        for r in R.activity_cell_text(R.activity_levels_long(july)).collect()
+    }
+    assert act[("North", "R", "GS", 1)] == "2 (100.00%) / 32.0 Participants (100.00%)"
+    mon = {r.block: r.R_GS for r in R.monthly_cell_text(monthly_crosstab(july)).collect()}
+    assert mon["North"] == "Entered: 3 / Activities: 2 / Students: 32.0"

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+
 import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+def plan(df, mode: str = "formatted") -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode=mode)
+    return buf.getvalue()
 
 
 def test_latest_per_day_uses_window_group_limit(spark):
@@ -19,8 +25,7 @@ def test_latest_per_day_uses_window_group_limit(spark):
 
 @pytest.mark.parametrize("name", ["period_rollup", "daily_coverage_long", "block_summary"])
 def test_date_filter_pushed_to_scan(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
-    p = df._jdf.queryExecution().sparkPlan().toString()  # noqa: SLF001
+    p = plan(E.queries()[name](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in p
 
 

@@ -90,3 +90,11 @@ def test_settings_last_write_wins(spark, scratch):
     assert S.lookup(spark, path, "api_key") == "new"
     assert S.lookup(spark, path, "last_update") == "1"
     assert S.lookup(spark, path, "missing") is None
+
+
+def test_word(spark):
+    from sitepulse.functions.scalars import word
+
+    df = spark.createDataFrame([("R_GS_activity",), ("U_PS_participants_P",), ("x",)], "c string")
+    got = [tuple(r) for r in df.select(word("c", 1, -2), word("c", -2, -1), word("c", 2)).collect()]
+    assert got == [("R_GS", "GS_activity", "GS"), ("U_PS_participants", "participants_P", "PS"), (None, None, None)]
