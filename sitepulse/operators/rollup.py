@@ -28,7 +28,7 @@ from sitepulse.functions.scalars import (
 from sitepulse.operators.dedupe import latest_per_day
 from sitepulse.schema import Roles
 
-_E = "__entity"
+KEYS = ["__k", "__kn"]
 
 ENTITY_COLUMNS = [
     "record_id",
@@ -42,6 +42,25 @@ ENTITY_COLUMNS = [
 ]
 
 
+def entity_keys(df: DataFrame, name: str) -> list:
+    """Null-safe join key as two plain columns: (value or zero, is NULL).
+
+    Matching NULL to NULL (as the reference's joins do) with ``eqNullSafe``
+    makes Spark re-hash both sides on these two expressions.  Grouping the
+    log by the same two columns instead lets the join reuse the aggregate's
+    hash partitioning, so the aggregated side is not shuffled twice.
+    """
+    c = F.col(name)
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.StringType):
+        value = F.coalesce(c, F.lit(""))
+    elif isinstance(dtype, T.NumericType):
+        value = F.coalesce(c, F.lit(0).cast(dtype))
+    else:
+        value = F.coalesce(c.cast("string"), F.lit(""))
+    return [value.alias("__k"), c.isNull().alias("__kn")]
+
+
 def in_range(log: DataFrame, lo, hi, roles: Roles = Roles()) -> DataFrame:
     """Inclusive day range (literals, so Catalyst pushes it to the scan)."""
     lo, hi = validate_range(lo, hi)
@@ -73,7 +92,7 @@ def filtered_registry(
         reg = reg.where(F.col(roles.kind).isin(list(kinds)))
     site, rest = split_key(roles.key)
     return reg.select(
-        F.col(roles.entity).alias(_E),
+        *entity_keys(reg, roles.entity),
         F.col(roles.key).cast("string").alias("record_id"),
         site.alias("site_code"),
         rest.alias("id_code"),
@@ -100,7 +119,7 @@ def entity_totals(log: DataFrame, lo, hi, roles: Roles = Roles()) -> DataFrame:
     """Deduped days per entity in [lo, hi]: entry, participants, activity."""
     days = latest_per_day(in_range(log, lo, hi, roles), roles)
     measure, _ = _measure_sum(days, roles)
-    return days.groupBy(F.col(roles.entity).alias(_E)).agg(
+    return days.groupBy(*entity_keys(days, roles.entity)).agg(
         F.count(F.lit(1)).alias("entry"),
         measure.alias("participants"),
         F.sum(recode_status(roles.status)).cast("long").alias("activity"),
@@ -108,9 +127,10 @@ def entity_totals(log: DataFrame, lo, hi, roles: Roles = Roles()) -> DataFrame:
 
 
 def _join_registry(reg: DataFrame, right: DataFrame, null_safe: bool) -> DataFrame:
-    r = right.withColumnRenamed(_E, "__r")
-    cond = reg[_E].eqNullSafe(r["__r"]) if null_safe else reg[_E] == r["__r"]
-    return reg.join(r, cond, "left").drop("__r")
+    """Registry-preserving left join on the entity key columns."""
+    if not null_safe:
+        right = right.where(~F.col("__kn"))
+    return reg.join(right, KEYS, "left").drop(*KEYS)
 
 
 def period_rollup(
@@ -177,7 +197,7 @@ def entity_detail(
     days = latest_per_day(in_range(log, lo, hi, roles), roles)
     measure_type = days.schema[roles.measure].dataType
     days = days.select(
-        F.col(roles.entity).alias(_E),
+        *entity_keys(days, roles.entity),
         F.col(roles.day).alias("task_schedule_date"),
         F.col(roles.status).alias("status_raw"),
         recode_status(roles.status).alias("__status"),

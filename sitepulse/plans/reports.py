@@ -21,7 +21,7 @@ from sitepulse.functions.scalars import (
 )
 from sitepulse.operators.crosstab import activity_levels_wide, level_counts_wide, wide_to_long
 from sitepulse.operators.dedupe import latest_per_day
-from sitepulse.operators.rollup import _E, filtered_registry
+from sitepulse.operators.rollup import KEYS, entity_keys, filtered_registry
 from sitepulse.schema import AREAS, KINDS, Roles
 
 # ---------------------------------------------------------------- R1-R3 cards
@@ -52,17 +52,17 @@ def block_summary(
     if dedupe:
         rows = latest_per_day(rows, roles)
     status = recode_status(roles.status)
-    per_entity = rows.groupBy(F.col(roles.entity).alias(_E)).agg(
+    per_entity = rows.groupBy(*entity_keys(rows, roles.entity)).agg(
         F.count(F.lit(1)).alias("entries"),
         F.sum(status).cast("long").alias("activities"),
         F.count_if(status.isNull()).alias("unknown_status"),
     )
-    blocks_of = registry.select(F.col(roles.entity).alias("__r"), F.col(roles.group).alias("block"))
+    blocks_of = registry.select(*entity_keys(registry, roles.entity), F.col(roles.group).alias("block"))
     # Log entities absent from the registry get a NULL block, as a left join
     # from the log does in the reference; they surface only if the registry
     # itself has a NULL block.
     log_by_block = (
-        per_entity.join(blocks_of, per_entity[_E].eqNullSafe(blocks_of["__r"]), "left")
+        per_entity.join(blocks_of, KEYS, "left")
         .groupBy(F.col("block").alias("__b"))
         .agg(
             F.sum("entries").alias("entries"),
@@ -118,12 +118,12 @@ def daily_series_by_block(
     blocks = validate_choice("Block", blocks)
     if dedupe:
         log = latest_per_day(log, roles)
-    per = log.groupBy(F.col(roles.entity).alias(_E), F.col(roles.day).alias("day")).agg(
+    per = log.groupBy(*entity_keys(log, roles.entity), F.col(roles.day).alias("day")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    reg = registry.select(F.col(roles.entity).alias("__r"), F.col(roles.group).alias("block"))
+    reg = registry.select(*entity_keys(registry, roles.entity), F.col(roles.group).alias("block"))
     out = (
-        per.join(reg, per[_E].eqNullSafe(reg["__r"]), "left")
+        per.join(reg, KEYS, "left")
         .groupBy("block", "day")
         .agg(F.sum("n").cast("long").alias("entries"))
     )
