@@ -12,6 +12,8 @@ left to Spark's size-checked broadcast.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,28 @@ TABLE_SCHEMAS = {
 }
 
 
+# Bound tables per session: like the reference's session-global frames, each
+# base table is resolved once per session and every report plans on top of
+# it.  Only DataFrame definitions are kept (no data is cached), and the key is
+# the session object itself, so a new session binds afresh.
+_BOUND: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _bound(spark: SparkSession, key: tuple, make) -> DataFrame:
+    per = _BOUND.setdefault(spark, {})
+    if key not in per:
+        per[key] = make()
+    return per[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    reader = spark.read
-    if name in TABLE_SCHEMAS:
-        reader = reader.schema(TABLE_SCHEMAS[name])
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+    def make():
+        reader = spark.read
+        if name in TABLE_SCHEMAS:
+            reader = reader.schema(TABLE_SCHEMAS[name])
+        return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+    return _bound(spark, ("table", sf_dir, name), make)
 
 
 def _lookup(c, mapping: dict):
@@ -59,6 +78,10 @@ def _lookup(c, mapping: dict):
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, ("registry", sf_dir), lambda: _registry(spark, sf_dir))
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
     )
@@ -79,6 +102,10 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, ("events_log", sf_dir), lambda: _events_log(spark, sf_dir))
+
+
+def _events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("user_id").alias("entity_key"),
@@ -93,6 +120,10 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, ("orders_log", sf_dir), lambda: _orders_log(spark, sf_dir))
+
+
+def _orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_custkey").alias("entity_key"),
