@@ -9,15 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sitepulse.operators.coverage import daily_coverage_long, daily_coverage_wide
 from sitepulse.operators.crosstab import activity_levels_wide, monthly_crosstab
-from sitepulse.operators.dedupe import latest_per_day
+from sitepulse.operators.dedupe import flag_repeats, latest_per_day
 from sitepulse.operators.rollup import entity_detail, month_rollup, period_rollup
 from sitepulse.plans import params as P
 from sitepulse.plans import reports as R
-from sitepulse.plans.bindings import bind_events, bind_orders, registry as bound_registry, table
+from sitepulse.plans.bindings import bind_events, bind_orders
 from sitepulse.plans import synth
 from sitepulse.sources import ingest, settings
 
@@ -194,6 +193,20 @@ def q_null_safe_registry_join(spark, sf_dir):
     return period_rollup(log, reg, *P.RANGE, roles=b.roles)
 
 
+def q_repeat_flags(spark, sf_dir):
+    b = bind_events(spark, sf_dir)
+    return flag_repeats(b.log, b.roles).select("seq", "entity_key", "task_schedule_date", "dup")
+
+
+def q_daily_series_deduped(spark, sf_dir):
+    b = bind_events(spark, sf_dir)
+    return R.daily_series(b.log, b.roles, dedupe=True)
+
+
+def q_monthly_cell_text(spark, sf_dir):
+    return R.monthly_cell_text(monthly_crosstab(_monthly(spark, sf_dir)))
+
+
 def q_cell_text(spark, sf_dir):
     return R.coverage_cell_text(_coverage(spark, sf_dir))
 

@@ -429,6 +429,22 @@ FROM k"""
         )
         + "SELECT * FROM rollup"
     )
+    q["repeat_flags"] = with_(*ev) + """SELECT seq, entity_key, task_schedule_date,
+       row_number() OVER (PARTITION BY entity_key, task_schedule_date
+                          ORDER BY task_start_date DESC NULLS LAST, seq DESC NULLS LAST) > 1 AS dup
+FROM log"""
+    q["daily_series_deduped"] = with_(*ev) + """SELECT task_schedule_date AS day, count(*) AS entries FROM (
+  SELECT DISTINCT entity_key, task_schedule_date FROM log
+) GROUP BY 1"""
+    texts = ",\n       ".join(
+        f"'Entered: ' || CAST(entry_{n} AS VARCHAR) || ' / Activities: ' || CAST(activity_{n} AS VARCHAR)"
+        f" || ' / Students: ' || CAST(participants_{n} AS VARCHAR) AS {n}"
+        for _, _, n in cells()
+    )
+    q["monthly_cell_text"] = (
+        with_(*ev, rollup_ctes(mlo, mhi), "ct AS (" + monthly_crosstab_sql() + ")")
+        + f"SELECT block,\n       {texts}\nFROM ct"
+    )
     return q
 
 

@@ -194,6 +194,40 @@ def has_entries_list(rollup: DataFrame) -> DataFrame:
     return rollup.where(F.col("entry") != 0).select("record_id", "id_num", "block", "school", "activity", "entry")
 
 
+def range_reports(
+    log: DataFrame,
+    registry: DataFrame,
+    lo,
+    hi,
+    *,
+    blocks=None,
+    areas=None,
+    kinds=None,
+    roles: Roles = Roles(),
+    materialize: bool = False,
+) -> dict[str, DataFrame]:
+    """The four date-range reports (R10, R11, R14, R15) over ONE rollup.
+
+    The reference memoises the rollup and shares it; here the caller picks:
+    ``materialize=True`` checkpoints it once into the shared checkpoint
+    folder (one scan of the log for all four reports, and a lineage cut),
+    otherwise each report plans its own (lazy) rollup.
+    """
+    from sitepulse.operators.rollup import period_rollup
+    from sitepulse.session import materialize as cut
+
+    rollup = period_rollup(log, registry, lo, hi, blocks=blocks, areas=areas, kinds=kinds, roles=roles)
+    if materialize:
+        rollup = cut(rollup)
+    return {
+        "rollup": rollup,
+        "entry_levels": entry_levels_wide(rollup, areas, kinds),
+        "activity_levels": activity_levels_wide(rollup, areas, kinds),
+        "no_activity": no_activity_list(rollup),
+        "has_entries": has_entries_list(rollup),
+    }
+
+
 # ---------------------------------------------------------- R17 filter options
 
 

@@ -59,3 +59,23 @@ def test_same_answer_under_any_partitioning(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_range_reports_share_one_checkpointed_rollup(spark):
+    from sitepulse.plans import reports as R
+
+    b = bind_events(spark, SF_SMALL)
+    lazy = R.range_reports(b.log, b.registry, *P.RANGE, roles=b.roles)
+    cut = R.range_reports(b.log, b.registry, *P.RANGE, roles=b.roles, materialize=True)
+    for k in lazy:
+        a = sorted(map(tuple, lazy[k].collect()), key=repr)
+        c = sorted(map(tuple, cut[k].collect()), key=repr)
+        assert a == c, k
+    # the checkpointed rollup no longer plans a scan of the log
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        cut["entry_levels"].explain()
+    assert "events.parquet" not in buf.getvalue()
