@@ -15,10 +15,7 @@ from pyspark.sql import functions as F
 
 from sitepulse.schema import STATUS_DONE, STATUS_LABELS, STATUS_NOT_DONE
 
-# The access-key check and the mask applied when a key is shown.
-KEY_PATTERN = r"^([0-9A-Fa-f]{32})(?:\n)?$"
-MASK_PATTERN = r"(?<=^.{4}).*(?=.{4}$)"
-MASK_TEXT = " * * * * "
+from sitepulse.fixed import DATE_FORMAT, KEY_PATTERN, MASK_PATTERN, MASK_TEXT
 
 # Text that parses as a plain decimal number (optionally signed, with exponent).
 # Hex, NaN, Inf and Spark's '1d' / '1f' suffix forms are rejected on purpose so
@@ -105,7 +102,7 @@ def validate_choice(name: str, values: Iterable | None) -> tuple | None:
     return values
 
 
-def day_text(c, pattern: str = "dd MMM yyyy") -> Column:
+def day_text(c, pattern: str = DATE_FORMAT) -> Column:
     return F.date_format(_col(c), pattern)
 
 

@@ -19,6 +19,7 @@ from sitepulse.functions.scalars import (
     status_label,
     validate_choice,
 )
+from sitepulse.fixed import DATE_FORMAT
 from sitepulse.operators.crosstab import activity_levels_wide, level_counts_wide, wide_to_long
 from sitepulse.operators.dedupe import latest_per_day
 from sitepulse.operators.rollup import KEYS, entity_keys, filtered_registry
@@ -170,7 +171,7 @@ def entity_day_list(detail: DataFrame) -> DataFrame:
     return detail.select(
         "record_id",
         "task_schedule_date",
-        day_text("task_schedule_date", "dd MMM yyyy").alias("date_text"),
+        day_text("task_schedule_date", DATE_FORMAT).alias("date_text"),
         status_label("brush_activity").alias("activity_text"),
     )
 

@@ -6,16 +6,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-# Fixed values that define the two classification dimensions and the status code
-# book of the activity log (they must equal the reference's codes).
-AREAS: tuple[str, ...] = ("R", "U")
-KINDS: tuple[str, ...] = ("GS", "GA", "PS")
-AREA_LABELS: dict[str, str] = {"R": "Rural", "U": "Urban"}
-KIND_LABELS: dict[str, str] = {"GS": "Gov School", "GA": "Gov Aided", "PS": "Pvt School"}
-STATUS_DONE = 1
-STATUS_NOT_DONE = 2
-STATUS_LABELS: dict[int, str] = {0: "Not done", 1: "Done"}
-LOG_INSTRUMENT = "implementation_status"
+from sitepulse.fixed import (  # noqa: F401  (re-exported)
+    AREA_LABELS,
+    AREAS,
+    KIND_LABELS,
+    KINDS,
+    LOG_INSTRUMENT,
+    STATUS_DONE,
+    STATUS_LABELS,
+    STATUS_NOT_DONE,
+)
 
 
 @dataclass(frozen=True)
