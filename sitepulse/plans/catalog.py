@@ -145,6 +145,11 @@ def q_daily_series_by_block(spark, sf_dir):
     return R.daily_series_by_block(b.log, b.registry, roles=b.roles)
 
 
+def q_first_blocks_series(spark, sf_dir):
+    b = bind_events(spark, sf_dir)
+    return R.first_blocks_series(b.log, b.registry, k=P.FIRST_K, roles=b.roles)
+
+
 def q_filter_blocks(spark, sf_dir):
     b = bind_events(spark, sf_dir)
     return R.filter_blocks(b.registry, b.roles)

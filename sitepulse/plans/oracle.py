@@ -380,6 +380,10 @@ FROM (SELECT *, (present * 20000 + total) // (total * 2) AS qq FROM coverage)"""
     q["daily_series"] = with_(*ev) + "SELECT task_schedule_date AS day, count(*) AS entries FROM log GROUP BY 1"
     q["daily_series_by_block"] = with_(*ev) + """SELECT g.block, l.task_schedule_date AS day, count(*) AS entries
 FROM log l LEFT JOIN registry g ON l.entity_key IS NOT DISTINCT FROM g.entity_key
+GROUP BY g.block, l.task_schedule_date"""
+    q["first_blocks_series"] = with_(*ev) + f"""SELECT g.block, l.task_schedule_date AS day, count(*) AS entries
+FROM log l LEFT JOIN registry g ON l.entity_key IS NOT DISTINCT FROM g.entity_key
+WHERE g.block IN (SELECT block FROM (SELECT DISTINCT block FROM registry) ORDER BY block NULLS LAST LIMIT {P.FIRST_K})
 GROUP BY g.block, l.task_schedule_date"""
     q["filter_blocks"] = with_(REGISTRY) + "SELECT DISTINCT block FROM registry"
     q["school_options"] = with_(REGISTRY) + (

@@ -133,6 +133,23 @@ def daily_series_by_block(
     return out
 
 
+def first_blocks_series(
+    log: DataFrame, registry: DataFrame, *, k: int = 3, roles: Roles = Roles(), dedupe: bool = False
+) -> DataFrame:
+    """R5 as shown on the cards: the series of the first ``k`` blocks in key
+    order (a NULL block, last in order, never matches, as with ``==``).
+    The block list is at most ``k`` rows, so the semi join is cheap by
+    construction."""
+    firsts = (
+        registry.select(F.col(roles.group).alias("block"))
+        .distinct()
+        .orderBy(F.col("block").asc_nulls_last())
+        .limit(k)
+    )
+    series = daily_series_by_block(log, registry, roles=roles, dedupe=dedupe)
+    return series.join(firsts, "block", "left_semi")
+
+
 # ------------------------------------------------------- R10, R11 distributions
 
 
