@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitepulse.functions.sqlexpr import ident
 from sitepulse.schema import Roles
 
 _RN = "__rn"
@@ -30,9 +31,15 @@ def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return df.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) == 1).drop(_RN)
 
 
+def _day_window_sql(roles: Roles) -> str:
+    keys = ", ".join(ident(c) for c in (roles.entity, roles.day))
+    order = ", ".join(f"{ident(c)} DESC NULLS LAST" for c in (roles.start, *roles.tiebreak))
+    return f"row_number() OVER (PARTITION BY {keys} ORDER BY {order})"
+
+
 def latest_per_day(log: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """One row per (entity, day): the entry with the latest start."""
-    return latest_per(log, [roles.entity, roles.day], day_order(roles))
+    return log.withColumn(_RN, F.expr(_day_window_sql(roles))).where(f"{_RN} = 1").drop(_RN)
 
 
 def flag_repeats(log: DataFrame, roles: Roles = Roles(), name: str = "dup") -> DataFrame:

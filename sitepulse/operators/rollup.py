@@ -19,12 +19,13 @@ from pyspark.sql import types as T
 
 from sitepulse.functions.scalars import (
     month_bounds,
-    recode_status,
-    safe_number,
-    split_key,
+    recode_status_sql,
+    safe_number_sql,
+    split_key_sql,
     validate_choice,
     validate_range,
 )
+from sitepulse.functions.sqlexpr import ident
 from sitepulse.operators.dedupe import latest_per_day
 from sitepulse.schema import Roles
 
@@ -50,21 +51,21 @@ def entity_keys(df: DataFrame, name: str) -> list:
     log by the same two columns instead lets the join reuse the aggregate's
     hash partitioning, so the aggregated side is not shuffled twice.
     """
-    c = F.col(name)
+    c = ident(name)
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.StringType):
-        value = F.coalesce(c, F.lit(""))
+        value = f"coalesce({c}, '')"
     elif isinstance(dtype, T.NumericType):
-        value = F.coalesce(c, F.lit(0).cast(dtype))
+        value = f"coalesce({c}, CAST(0 AS {dtype.simpleString()}))"
     else:
-        value = F.coalesce(c.cast("string"), F.lit(""))
-    return [value.alias("__k"), c.isNull().alias("__kn")]
+        value = f"coalesce(CAST({c} AS STRING), '')"
+    return [F.expr(value).alias("__k"), F.expr(f"{c} IS NULL").alias("__kn")]
 
 
 def in_range(log: DataFrame, lo, hi, roles: Roles = Roles()) -> DataFrame:
     """Inclusive day range (literals, so Catalyst pushes it to the scan)."""
     lo, hi = validate_range(lo, hi)
-    return log.where(F.col(roles.day).between(F.lit(lo), F.lit(hi)))
+    return log.where(F.expr(f"{ident(roles.day)} BETWEEN DATE'{lo.isoformat()}' AND DATE'{hi.isoformat()}'"))
 
 
 def filtered_registry(
@@ -90,13 +91,14 @@ def filtered_registry(
         reg = reg.where(F.col(roles.area).isin(list(areas)))
     if kinds is not None:
         reg = reg.where(F.col(roles.kind).isin(list(kinds)))
-    site, rest = split_key(roles.key)
+    key = f"CAST({ident(roles.key)} AS STRING)"
+    site, rest = split_key_sql(key)
     return reg.select(
         *entity_keys(reg, roles.entity),
-        F.col(roles.key).cast("string").alias("record_id"),
-        site.alias("site_code"),
-        rest.alias("id_code"),
-        safe_number(rest).alias("id_num"),
+        F.expr(key).alias("record_id"),
+        F.expr(site).alias("site_code"),
+        F.expr(rest).alias("id_code"),
+        F.expr(safe_number_sql(rest)).alias("id_num"),
         F.col(roles.name).alias("school"),
         F.col(roles.group).alias("block"),
         F.col(roles.area).alias("area_type"),
@@ -104,25 +106,24 @@ def filtered_registry(
     )
 
 
-def _measure_sum(log: DataFrame, roles: Roles):
+def _measure_sum(log: DataFrame, roles: Roles) -> str:
     """Sum of the measure; decimals keep their scale at precision 18."""
     dtype = log.schema[roles.measure].dataType
-    total = F.sum(roles.measure)
+    m = ident(roles.measure)
     if isinstance(dtype, T.DecimalType):
-        return total.cast(T.DecimalType(18, dtype.scale)), T.DecimalType(18, dtype.scale)
+        return f"CAST(sum({m}) AS DECIMAL(18, {dtype.scale}))"
     if isinstance(dtype, T.StringType):
-        return F.sum(safe_number(roles.measure)), T.DoubleType()
-    return total, None
+        return f"sum({safe_number_sql(m)})"
+    return f"sum({m})"
 
 
 def entity_totals(log: DataFrame, lo, hi, roles: Roles = Roles()) -> DataFrame:
     """Deduped days per entity in [lo, hi]: entry, participants, activity."""
     days = latest_per_day(in_range(log, lo, hi, roles), roles)
-    measure, _ = _measure_sum(days, roles)
     return days.groupBy(*entity_keys(days, roles.entity)).agg(
         F.count(F.lit(1)).alias("entry"),
-        measure.alias("participants"),
-        F.sum(recode_status(roles.status)).cast("long").alias("activity"),
+        F.expr(_measure_sum(days, roles)).alias("participants"),
+        F.expr(f"CAST(sum({recode_status_sql(ident(roles.status))}) AS BIGINT)").alias("activity"),
     )
 
 
@@ -154,12 +155,12 @@ def period_rollup(
     """
     reg = filtered_registry(registry, blocks, areas, kinds, roles)
     totals = entity_totals(log, lo, hi, roles)
-    zero_p = F.lit(0).cast(totals.schema["participants"].dataType)
+    ptype = totals.schema["participants"].dataType.simpleString()
     return _join_registry(reg, totals, null_safe).select(
         *ENTITY_COLUMNS,
-        F.coalesce("entry", F.lit(0)).cast("long").alias("entry"),
-        F.coalesce("participants", zero_p).alias("participants"),
-        F.coalesce("activity", F.lit(0)).cast("long").alias("activity"),
+        F.expr("CAST(coalesce(entry, 0) AS BIGINT)").alias("entry"),
+        F.expr(f"coalesce(participants, CAST(0 AS {ptype}))").alias("participants"),
+        F.expr("CAST(coalesce(activity, 0) AS BIGINT)").alias("activity"),
     )
 
 
@@ -195,19 +196,18 @@ def entity_detail(
     if ids is not None:
         reg = reg.where(F.col("id_num").isin([float(i) for i in validate_choice("school", ids)]))
     days = latest_per_day(in_range(log, lo, hi, roles), roles)
-    measure_type = days.schema[roles.measure].dataType
+    mtype = days.schema[roles.measure].dataType.simpleString()
     days = days.select(
         *entity_keys(days, roles.entity),
         F.col(roles.day).alias("task_schedule_date"),
         F.col(roles.status).alias("status_raw"),
-        recode_status(roles.status).alias("__status"),
+        F.expr(recode_status_sql(ident(roles.status))).alias("__status"),
         F.col(roles.measure).alias("__measure"),
     )
-    zero_m = F.lit(0).cast(measure_type)
     return _join_registry(reg, days, null_safe).select(
         *ENTITY_COLUMNS,
         "task_schedule_date",
         "status_raw",
-        F.coalesce("__status", F.lit(0)).alias("brush_activity"),
-        F.coalesce("__measure", zero_m).alias("participants"),
+        F.expr("coalesce(__status, 0)").alias("brush_activity"),
+        F.expr(f"coalesce(__measure, CAST(0 AS {mtype}))").alias("participants"),
     )
