@@ -11,11 +11,13 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitepulse.functions.sqlexpr import ident
+from sitepulse.functions.sqlexpr import lit as sql_lit
 from sitepulse.functions.scalars import (
     as_date,
+    recode_status_sql,
     day_text,
     percent_text,
-    recode_status,
     status_label,
     validate_choice,
 )
@@ -49,14 +51,14 @@ def block_summary(
     day = as_date(as_of) - dt.timedelta(days=1)
     areas = AREAS if areas is None else tuple(areas)
     kinds = KINDS if kinds is None else tuple(kinds)
-    rows = log.where(F.col(roles.day) == F.lit(day))
+    rows = log.where(F.expr(f"{ident(roles.day)} = DATE'{day.isoformat()}'"))
     if dedupe:
         rows = latest_per_day(rows, roles)
-    status = recode_status(roles.status)
+    status = recode_status_sql(ident(roles.status))
     per_entity = rows.groupBy(*entity_keys(rows, roles.entity)).agg(
         F.count(F.lit(1)).alias("entries"),
-        F.sum(status).cast("long").alias("activities"),
-        F.count_if(status.isNull()).alias("unknown_status"),
+        F.expr(f"CAST(sum({status}) AS BIGINT)").alias("activities"),
+        F.expr(f"count_if(({status}) IS NULL)").alias("unknown_status"),
     )
     blocks_of = registry.select(*entity_keys(registry, roles.entity), F.col(roles.group).alias("block"))
     # Log entities absent from the registry get a NULL block, as a left join
@@ -66,15 +68,16 @@ def block_summary(
         per_entity.join(blocks_of, KEYS, "left")
         .groupBy(F.col("block").alias("__b"))
         .agg(
-            F.sum("entries").alias("entries"),
-            F.sum("activities").alias("activities"),
-            F.sum("unknown_status").alias("unknown_status"),
+            F.expr("sum(entries)").alias("entries"),
+            F.expr("sum(activities)").alias("activities"),
+            F.expr("sum(unknown_status)").alias("unknown_status"),
         )
     )
+    area, kind = ident(roles.area), ident(roles.kind)
     reg_counts = registry.groupBy(F.col(roles.group).alias("block")).agg(
         F.count(F.lit(1)).alias("schools"),
-        *[F.count_if(F.col(roles.area) == a).alias(f"n_{a}") for a in areas],
-        *[F.count_if(F.col(roles.kind) == k).alias(f"n_{k}") for k in kinds],
+        *[F.expr(f"count_if({area} = {sql_lit(a)})").alias(f"n_{a}") for a in areas],
+        *[F.expr(f"count_if({kind} = {sql_lit(k)})").alias(f"n_{k}") for k in kinds],
     )
     j = reg_counts.join(log_by_block, reg_counts["block"].eqNullSafe(log_by_block["__b"]), "left")
     return j.select(
@@ -82,14 +85,14 @@ def block_summary(
         "schools",
         *[f"n_{a}" for a in areas],
         *[f"n_{k}" for k in kinds],
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("entries", "activities", "unknown_status")],
+        *[F.expr(f"CAST(coalesce({c}, 0) AS BIGINT)").alias(c) for c in ("entries", "activities", "unknown_status")],
     )
 
 
 def summary_totals(summary: DataFrame) -> DataFrame:
     """R2: column totals of the block summary (one row)."""
     return summary.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in summary.columns if c != "block"]
+        *[F.expr(f"CAST(coalesce(sum({ident(c)}), 0) AS BIGINT)").alias(c) for c in summary.columns if c != "block"]
     )
 
 

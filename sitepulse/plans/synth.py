@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitepulse.functions.scalars import safe_number, split_key
-from sitepulse.plans.bindings import EVENT_STATUS, _lookup, registry, table
+from sitepulse.plans.bindings import EVENT_STATUS, _bound, _lookup, registry, table
 from sitepulse.schema import LOG_INSTRUMENT, RAW_EXPORT_SCHEMA
 from sitepulse.sources.settings import epoch_ntz
 
@@ -19,6 +19,10 @@ def _null(name: str) -> F.Column:
 
 
 def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, ("raw_export", sf_dir), lambda: _raw_export(spark, sf_dir))
+
+
+def _raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat export: one registry row per customer (NULL instrument) and one
     log row per event, keyed by the customer's record_id."""
     reg = registry(spark, sf_dir)
@@ -56,6 +60,10 @@ def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, ("label_export", sf_dir), lambda: _label_export(spark, sf_dir))
+
+
+def _label_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id, block1); GA records are repeated with a NULL label."""
     reg = registry(spark, sf_dir)
     labelled = reg.select("record_id", F.col("block").alias("block1"))
@@ -64,6 +72,10 @@ def label_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, ("settings_rows", sf_dir), lambda: _settings_rows(spark, sf_dir))
+
+
+def _settings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key/value writes: one per event, name = type/user, value = epoch
     seconds as text, version = event time (event_id breaks ties)."""
     ev = table(spark, sf_dir, "events")
@@ -77,6 +89,10 @@ def settings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bound(spark, ("access_keys", sf_dir), lambda: _access_keys(spark, sf_dir))
+
+
+def _access_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32-hex keys from event ids; error events give 31 chars, signups a 'g'."""
     ev = table(spark, sf_dir, "events")
     h = F.md5(F.col("event_id").cast("string"))
