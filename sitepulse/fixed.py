@@ -22,8 +22,8 @@ MASK_PATTERN = r"(?<=^.{4}).*(?=.{4}$)"
 MASK_TEXT = " * * * * "
 # Data older than this many hours (strictly) is stale.
 STALE_AFTER_HOURS = 24
-# Date text formats: day and month, full date, date with time, month heading.
+# Date text formats: day and month, full date, month heading; date with time
+# is the full date followed by a 12-hour clock "hh:mm AM/PM".
 DAY_MONTH_FORMAT = "dd MMM"
 DATE_FORMAT = "dd MMM yyyy"
-DATETIME_FORMAT = "dd MMM yyyy hh:mm a"
 MONTH_FORMAT = "MMM yyyy"

@@ -124,6 +124,31 @@ def day_text(c, pattern: str = DATE_FORMAT) -> Column:
     return F.date_format(_col(c), pattern)
 
 
+def epoch_seconds_ntz_sql(e: str) -> str:
+    """Whole seconds since 1970-01-01 of a TIMESTAMP_NTZ, from its date and
+    clock fields only (no session time zone involved, DST-safe)."""
+    return (
+        f"CAST(datediff(CAST({e} AS DATE), DATE'1970-01-01') AS BIGINT) * 86400"
+        f" + hour({e}) * 3600 + minute({e}) * 60 + second({e})"
+    )
+
+
+def datetime_text(c) -> Column:
+    """'dd MMM yyyy hh:mm a' text of a TIMESTAMP_NTZ built from its own
+    fields, so no session time zone (or DST gap) can shift it."""
+    c = _col(c)
+    h = F.hour(c)
+    return F.concat(
+        F.date_format(F.to_date(c), DATE_FORMAT),
+        F.lit(" "),
+        F.lpad(((h + 11) % 12 + 1).cast("string"), 2, "0"),
+        F.lit(":"),
+        F.lpad(F.minute(c).cast("string"), 2, "0"),
+        F.lit(" "),
+        F.when(h < 12, F.lit("AM")).otherwise(F.lit("PM")),
+    )
+
+
 def percent_text(n, num, den) -> Column:
     """``"n (p%)"`` with p = num/den rounded half-up to two decimals.
 

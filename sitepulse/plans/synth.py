@@ -6,10 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitepulse.functions.scalars import safe_number, split_key
+from sitepulse.functions.scalars import epoch_seconds_ntz_sql, safe_number, split_key
 from sitepulse.plans.bindings import EVENT_STATUS, _bound, _lookup, registry, table
 from sitepulse.schema import LOG_INSTRUMENT, RAW_EXPORT_SCHEMA
-from sitepulse.sources.settings import epoch_ntz
 
 JUNK_NUMBER = "n/a"
 
@@ -79,7 +78,7 @@ def _settings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key/value writes: one per event, name = type/user, value = epoch
     seconds as text, version = event time (event_id breaks ties)."""
     ev = table(spark, sf_dir, "events")
-    secs = F.timestamp_diff("SECOND", epoch_ntz(), F.col("ts"))
+    secs = F.expr(epoch_seconds_ntz_sql("ts"))
     return ev.select(
         F.concat(F.col("event_type"), F.lit("/"), F.col("user_id").cast("string")).alias("name"),
         secs.cast("string").alias("value"),

@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitepulse.functions.scalars import key_is_valid, mask_key, safe_number
-from sitepulse.fixed import DATETIME_FORMAT, STALE_AFTER_HOURS
+from sitepulse.functions.scalars import datetime_text, key_is_valid, mask_key, safe_number
+from sitepulse.fixed import STALE_AFTER_HOURS
 from sitepulse.schema import SETTINGS_SCHEMA
 
 _EPOCH = dt.datetime(1970, 1, 1)
@@ -74,7 +74,7 @@ def freshness(latest_rows: DataFrame, now: dt.datetime, stale_after_hours: float
         age.alias("age_hours"),
         F.bround(age, 0).alias("age_hours_rounded"),
         (secs.isNull() | (age > stale_after_hours)).alias("stale"),
-        F.date_format(last, DATETIME_FORMAT).alias("last_update_text"),
+        datetime_text(last).alias("last_update_text"),
     )
 
 

@@ -116,7 +116,7 @@ def main(argv):
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("ORACLE_TZ", "UTC"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -98,3 +98,24 @@ def test_word(spark):
     df = spark.createDataFrame([("R_GS_activity",), ("U_PS_participants_P",), ("x",)], "c string")
     got = [tuple(r) for r in df.select(word("c", 1, -2), word("c", -2, -1), word("c", 2)).collect()]
     assert got == [("R_GS", "GS_activity", "GS"), ("U_PS_participants", "participants_P", "PS"), (None, None, None)]
+
+
+def test_freshness_ignores_session_time_zone(spark):
+    from sitepulse.functions.scalars import epoch_seconds_ntz_sql
+
+    now = dt.datetime(2025, 7, 10, 12, 0, 0)
+    epoch = int((dt.datetime(2025, 7, 9, 15, 30) - dt.datetime(1970, 1, 1)).total_seconds())
+    df = spark.createDataFrame([("k", str(epoch), 1)], "name string, value string, version long")
+    ts = spark.createDataFrame([(dt.datetime(2025, 7, 9, 15, 30),)], "t timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    out = []
+    try:
+        for tz in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            r = S.freshness(df, now).first()
+            secs = ts.select(F.expr(epoch_seconds_ntz_sql("t"))).first()[0]
+            out.append((r.last_update, r.last_update_text, r.age_hours, secs))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert out[0] == out[1] == out[2]
+    assert out[0][1] == "09 Jul 2025 03:30 PM" and out[0][2] == 20.5 and out[0][3] == epoch
