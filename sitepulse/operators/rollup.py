@@ -65,7 +65,11 @@ def entity_keys(df: DataFrame, name: str) -> list:
 def in_range(log: DataFrame, lo, hi, roles: Roles = Roles()) -> DataFrame:
     """Inclusive day range (literals, so Catalyst pushes it to the scan)."""
     lo, hi = validate_range(lo, hi)
-    return log.where(F.expr(f"{ident(roles.day)} BETWEEN DATE'{lo.isoformat()}' AND DATE'{hi.isoformat()}'"))
+    cond = f"{ident(roles.day)} BETWEEN DATE'{lo.isoformat()}' AND DATE'{hi.isoformat()}'"
+    if roles.day_partition:
+        first, last = lo.replace(day=1), hi.replace(day=1)
+        cond += f" AND {ident(roles.day_partition)} BETWEEN DATE'{first.isoformat()}' AND DATE'{last.isoformat()}'"
+    return log.where(F.expr(cond))
 
 
 def filtered_registry(

@@ -39,6 +39,9 @@ class Roles:
     group: str = "block"
     area: str = "area_type"
     kind: str = "school_type"
+    # Month partition column of a stored log (first day of the day's month);
+    # day filters also constrain it so whole directories are pruned.
+    day_partition: str | None = None
 
 
 REGISTRY_SCHEMA = T.StructType(

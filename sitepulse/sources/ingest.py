@@ -29,6 +29,7 @@ from sitepulse.schema import (
     RAW_EXPORT_SCHEMA,
     REGISTRY_SCHEMA,
 )
+from sitepulse.schema import Roles
 from sitepulse.sources import settings as S
 
 CORRUPT = "_corrupt_record"
@@ -156,14 +157,22 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return S.lookup(spark, f"{root}/settings", "current_version")
 
 
+# Roles for a published snapshot: the log keeps its month partition column.
+SNAPSHOT_ROLES = Roles(day_partition="day_month")
+
+
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Typed read of the published registry and log."""
+    """Typed read of the published registry and log.
+
+    The log carries ``day_month`` (its partition column); use
+    ``SNAPSHOT_ROLES`` so day filters prune month directories."""
     version = version or current_version(spark, root)
     if version is None:
         raise FileNotFoundError(f"no published snapshot under {root}")
     base = f"{root}/v={version}"
     reg = spark.read.schema(REGISTRY_SCHEMA).parquet(f"{base}/registry")
-    log = spark.read.parquet(f"{base}/log").drop("day_month").select(*LOG_SCHEMA.fieldNames())
+    log_schema = T.StructType([*LOG_SCHEMA.fields, T.StructField("day_month", T.DateType())])
+    log = spark.read.schema(log_schema).parquet(f"{base}/log")
     return reg, log
 
 
