@@ -207,3 +207,46 @@ def test_series_dedupe_and_texts(tables, july):
     assert act[("North", "R", "GS", 1)] == "2 (100.00%) / 32.0 Participants (100.00%)"
     mon = {r.block: r.R_GS for r in R.monthly_cell_text(monthly_crosstab(july)).collect()}
     assert mon["North"] == "Entered: 3 / Activities: 2 / Students: 32.0"
+
+
+def test_operators_read_inputs_through_roles_only(spark, tables):
+    """Rename every input column; with matching Roles the answers are unchanged."""
+    reg, log = tables
+    reg2 = reg.select(
+        reg.record_id.alias("rid"),
+        reg.site.alias("st"),
+        reg.area_type.alias("zone"),
+        reg.school_type.alias("cat"),
+        reg.school.alias("label"),
+        reg.block.alias("region"),
+    )
+    log2 = log.select(
+        log.seq.alias("n"),
+        log.record_id.alias("rid"),
+        log.task_start_date.alias("t0"),
+        log.task_schedule_date.alias("d"),
+        log.brush_activity.alias("code"),
+        log.participants.alias("qty"),
+    )
+    roles = FX.Roles(
+        entity="rid", day="d", start="t0", status="code", measure="qty", tiebreak=("n",),
+        key="rid", name="label", group="region", area="zone", kind="cat",
+    )
+    lo, hi = dt.date(2025, 7, 1), dt.date(2025, 7, 31)
+    day, as_of = dt.date(2025, 7, 2), dt.date(2025, 7, 3)
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=repr)
+
+    pairs = [
+        (period_rollup(log, reg, lo, hi, roles=FX.ROLES), period_rollup(log2, reg2, lo, hi, roles=roles)),
+        (entity_detail(log, reg, lo, hi, roles=FX.ROLES), entity_detail(log2, reg2, lo, hi, roles=roles)),
+        (daily_coverage_wide(log, reg, day, roles=FX.ROLES), daily_coverage_wide(log2, reg2, day, roles=roles)),
+        (R.block_summary(log, reg, as_of, roles=FX.ROLES), R.block_summary(log2, reg2, as_of, roles=roles)),
+        (R.daily_series_by_block(log, reg, roles=FX.ROLES), R.daily_series_by_block(log2, reg2, roles=roles)),
+        (R.first_blocks_series(log, reg, roles=FX.ROLES), R.first_blocks_series(log2, reg2, roles=roles)),
+        (R.school_options(reg, roles=FX.ROLES), R.school_options(reg2, roles=roles)),
+    ]
+    for a, b in pairs:
+        assert a.columns == b.columns
+        assert rows(a) == rows(b)
