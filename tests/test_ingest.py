@@ -102,3 +102,22 @@ def test_table_exists_and_export(spark, scratch):
     assert back.count() == df.count() and set(back.columns) == set(df.columns)
     ingest.export_table(df, f"{scratch}/out_pq", "parquet")
     assert ingest.table_exists(spark, f"{scratch}/out_pq")
+
+
+def test_cli_refresh_then_report(spark, scratch):
+    from sitepulse import cli
+
+    synth.raw_export(spark, SF_SMALL).write.parquet(f"{scratch}/raw")
+    synth.label_export(spark, SF_SMALL).write.parquet(f"{scratch}/labels")
+    root = f"{scratch}/store"
+    cli.main(["refresh", "--raw", f"{scratch}/raw", "--labels", f"{scratch}/labels", "--root", root])
+    out = f"{scratch}/report"
+    cli.main(
+        ["report", "monthly_crosstab", "--root", root, "--month", "2024-01-15", "--out", out, "--format", "parquet"]
+    )
+    got = spark.read.parquet(out)
+    want = E.queries()["monthly_crosstab"](spark, SF_SMALL)
+    assert got.count() == want.count() == 5
+    g = {r.block: r.entry_R_GS for r in got.collect()}
+    w = {r.block: r.entry_R_GS for r in want.collect()}
+    assert g == w
