@@ -10,8 +10,9 @@ Sink protocol (exactly-once under retries): epoch ``e`` writes the complete
 table to ``<sink>/epoch=<e>`` with overwrite, then appends ``e`` to the
 sink's pointer table (the append-only settings store).  A replayed epoch
 rewrites the same directory and re-appends the same pointer; readers take
-the highest committed epoch.  Superseded epoch directories can be removed
-by retention outside the query.
+the highest committed epoch (one aggregate row).  Superseded epoch
+directories and old pointer files can be removed by retention outside the
+query.
 """
 
 from __future__ import annotations
@@ -37,36 +38,33 @@ def _pointer(sink: str) -> str:
     return os.path.join(sink, "_pointer")
 
 
-def _epochs(spark: SparkSession, sink: str) -> list[int]:
-    """Committed epochs of the sink (a handful of pointer rows)."""
+def _latest_epoch(spark: SparkSession, sink: str, below: int | None = None) -> int | None:
+    """Highest committed epoch (optionally below ``below``).  One aggregate
+    row reaches the driver, however many epochs have been committed."""
     if not ingest.table_exists(spark, _pointer(sink)):
-        return []
-    rows = (
-        spark.read.schema(SETTINGS_SCHEMA)
-        .parquet(_pointer(sink))
-        .where(F.col("name") == "epoch")
-        .select(F.col("value").cast("long").alias("e"))
-        .distinct()
-        .collect()
-    )
-    return sorted(r.e for r in rows)
+        return None
+    e = F.col("value").cast("long")
+    rows = spark.read.schema(SETTINGS_SCHEMA).parquet(_pointer(sink)).where(F.col("name") == "epoch")
+    if below is not None:
+        rows = rows.where(e < below)
+    return rows.agg(F.max(e).alias("e")).first()["e"]
 
 
 def read_series(spark: SparkSession, sink: str) -> DataFrame:
     """The latest complete series table: (block, day, entries)."""
-    epochs = _epochs(spark, sink)
-    if not epochs:
+    latest = _latest_epoch(spark, sink)
+    if latest is None:
         return spark.createDataFrame([], "block STRING, day DATE, entries BIGINT")
-    return spark.read.parquet(os.path.join(sink, f"epoch={epochs[-1]}"))
+    return spark.read.parquet(os.path.join(sink, f"epoch={latest}"))
 
 
 def _upsert(sink: str):
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         changed = batch.select("block", "day", F.col("entries").cast("long").alias("entries"))
-        previous = [e for e in _epochs(spark, sink) if e < epoch_id]
-        if previous:
-            old = spark.read.parquet(os.path.join(sink, f"epoch={previous[-1]}"))
+        previous = _latest_epoch(spark, sink, below=epoch_id)
+        if previous is not None:
+            old = spark.read.parquet(os.path.join(sink, f"epoch={previous}"))
             keep = old.join(
                 changed.select("block", "day"),
                 old["block"].eqNullSafe(changed["block"]) & old["day"].eqNullSafe(changed["day"]),
