@@ -43,6 +43,23 @@ def latest_per_day(log: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 
 def flag_repeats(log: DataFrame, roles: Roles = Roles(), name: str = "dup") -> DataFrame:
-    """Boolean column: True for every row of an (entity, day) but the latest."""
-    w = Window.partitionBy(roles.entity, roles.day).orderBy(*day_order(roles))
-    return log.withColumn(name, F.row_number().over(w) > 1)
+    """Boolean column: True for every row of an (entity, day) but the latest.
+
+    Not a window over each (entity, day) -- that would put a hot group in
+    one task.  The latest row per group comes from the skew-safe
+    ``latest_per_day``; every log row is then matched against it on
+    (entity, day, start, tiebreak...).  Hashing on all of those spreads even
+    a hot group over every partition.  The tiebreak columns must make rows
+    unique (as the deterministic pick requires); exact duplicates would
+    all read as latest.
+    """
+    cols = [roles.entity, roles.day, roles.start, *roles.tiebreak]
+    latest = latest_per_day(log, roles).select(
+        *[F.col(c).alias(f"__l{i}") for i, c in enumerate(cols)], F.lit(False).alias("__dup")
+    )
+    cond = None
+    for i, c in enumerate(cols):
+        eq = log[c].eqNullSafe(latest[f"__l{i}"])
+        cond = eq if cond is None else cond & eq
+    joined = log.join(latest, cond, "left")
+    return joined.select(*log.columns, F.coalesce(F.col("__dup"), F.lit(True)).alias(name))

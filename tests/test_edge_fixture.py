@@ -250,3 +250,16 @@ def test_operators_read_inputs_through_roles_only(spark, tables):
     for a, b in pairs:
         assert a.columns == b.columns
         assert rows(a) == rows(b)
+
+
+def test_repeat_flags(tables):
+    from sitepulse.operators import flag_repeats
+
+    _, log = tables
+    got = {r.seq: r.dup for r in flag_repeats(log, FX.ROLES).collect()}
+    # (S1-1, 07-02): seq 2 is the latest (11:00); seq 1 is older, seq 3 has a NULL start
+    assert (got[1], got[2], got[3]) == (True, False, True)
+    # equal start: the higher tiebreak wins
+    assert (got[7], got[8]) == (True, False)
+    # single rows (incl. the orphan and the NULL-day row) are never repeats
+    assert not any(got[s] for s in (4, 5, 6, 9, 10, 11, 12, 13))
