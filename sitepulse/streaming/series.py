@@ -2,9 +2,9 @@
 
 The reference recomputes its series from a full snapshot on every refresh,
 so late entries are always counted.  The incremental form keeps that
-property: no watermark (no row is ever dropped as late), state is one
-counter per (block, day), and each micro-batch's changed keys are upserted
-into a small series table.
+property: no watermark (no row is ever dropped as late).  Each micro-batch
+is reduced by the batch report and added to the previous totals, which are
+one row per (block, day).
 
 Sink protocol (exactly-once under retries): epoch ``e`` writes the complete
 table to ``<sink>/epoch=<e>`` with overwrite, then appends ``e`` to the
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sitepulse.plans.reports import daily_series_by_block
 from sitepulse.schema import LOG_SCHEMA, SETTINGS_SCHEMA, Roles
 from sitepulse.sources import ingest, settings
 
@@ -58,20 +59,21 @@ def read_series(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sink, f"epoch={latest}"))
 
 
-def _upsert(sink: str):
+def _add_batch(sink: str, registry: DataFrame, roles: Roles):
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        changed = batch.select("block", "day", F.col("entries").cast("long").alias("entries"))
+        # the batch report itself: counts per (entity, day) first, then the
+        # registry join, then per (block, day) -- skew-safe, AQE applies
+        totals = daily_series_by_block(batch, registry, roles=roles)
         previous = _latest_epoch(spark, sink, below=epoch_id)
         if previous is not None:
             old = spark.read.parquet(os.path.join(sink, f"epoch={previous}"))
-            keep = old.join(
-                changed.select("block", "day"),
-                old["block"].eqNullSafe(changed["block"]) & old["day"].eqNullSafe(changed["day"]),
-                "left_anti",
+            totals = (
+                old.unionByName(totals)
+                .groupBy("block", "day")
+                .agg(F.sum("entries").cast("long").alias("entries"))
             )
-            changed = keep.unionByName(changed)
-        changed.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch_id}"))
+        totals.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch_id}"))
         settings.upsert(spark, _pointer(sink), {"epoch": str(epoch_id)})
 
     return write
@@ -91,28 +93,20 @@ def start_series_stream(
 ) -> StreamingQuery:
     """Start the incremental R5 series over parquet log files under ``log_dir``.
 
-    Each new row is joined to the (static) registry on the entity key --
-    orphans count under a NULL block, as in the batch report -- and counted
-    per (block, day).  The checkpoint defaults to a folder under the
-    session's ``spark.checkpoint.dir``.
+    The stream only delivers new rows.  Each micro-batch runs the batch
+    report over them (orphans count under a NULL block, as in the batch
+    report) and adds its counts to the previous committed epoch, so there is
+    no streaming state store and no watermark: late rows are always counted.
+    The checkpoint defaults to a folder under the session's
+    ``spark.checkpoint.dir``.
     """
     checkpoint = checkpoint or os.path.join(_checkpoint_root(spark), "series-stream")
     reader = spark.readStream.schema(log_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    log = reader.parquet(log_dir).select(
-        F.col(roles.entity).alias("__e"), F.col(roles.day).alias("day")
-    )
-    reg = registry.select(F.col(roles.entity).alias("__r"), F.col(roles.group).alias("block"))
-    counts = (
-        log.join(reg, log["__e"].eqNullSafe(reg["__r"]), "left")
-        .groupBy("block", "day")
-        .agg(F.count(F.lit(1)).alias("entries"))
-    )
-    writer = (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(_upsert(sink))
-        .option("checkpointLocation", checkpoint)
+    rows = reader.parquet(log_dir).select(roles.entity, roles.day)
+    writer = rows.writeStream.foreachBatch(_add_batch(sink, registry, roles)).option(
+        "checkpointLocation", checkpoint
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

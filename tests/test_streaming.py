@@ -39,3 +39,5 @@ def test_series_stream_matches_batch(spark, scratch):
     q.awaitTermination(300)
     got = read_series(spark, sink)
     assert got.agg(F.sum("entries")).first()[0] == both.count()
+    landed = spark.read.parquet(f"{landing}/*")
+    assert _as_set(got) == _as_set(R.daily_series_by_block(landed, reg, roles=Roles()))
