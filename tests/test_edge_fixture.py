@@ -263,3 +263,19 @@ def test_repeat_flags(tables):
     assert (got[7], got[8]) == (True, False)
     # single rows (incl. the orphan and the NULL-day row) are never repeats
     assert not any(got[s] for s in (4, 5, 6, 9, 10, 11, 12, 13))
+
+
+def test_empty_log_gives_zero_filled_reports(spark, tables):
+    reg, log = tables
+    empty = log.limit(0)
+    lo, hi = dt.date(2025, 7, 1), dt.date(2025, 7, 31)
+    roll = period_rollup(empty, reg, lo, hi, roles=FX.ROLES)
+    assert roll.count() == 7 and roll.where("entry <> 0 OR activity <> 0").count() == 0
+    levels = R.entry_levels_wide(roll).collect()
+    assert {(r.block, r.entry) for r in levels} == {("North", 0), ("South", 0), ("East", 0), ("West", 0)}
+    cov = daily_coverage_long(empty, reg, dt.date(2025, 7, 2), roles=FX.ROLES).collect()
+    assert sum(r.total for r in cov) == 7 and all(r.present == 0 for r in cov)
+    s = R.block_summary(empty, reg, dt.date(2025, 7, 3), roles=FX.ROLES).collect()
+    assert all((r.entries, r.activities, r.unknown_status) == (0, 0, 0) for r in s)
+    assert R.summary_totals(R.block_summary(empty, reg, dt.date(2025, 7, 3), roles=FX.ROLES)).first().schools == 7
+    assert R.daily_series(empty, FX.ROLES).count() == 0
