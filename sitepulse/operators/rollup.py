@@ -43,7 +43,7 @@ ENTITY_COLUMNS = [
 ]
 
 
-def entity_keys(df: DataFrame, name: str) -> list:
+def entity_keys(df: DataFrame, name: str, prefix: str = "__k") -> list:
     """Null-safe join key as two plain columns: (value or zero, is NULL).
 
     Matching NULL to NULL (as the reference's joins do) with ``eqNullSafe``
@@ -59,7 +59,7 @@ def entity_keys(df: DataFrame, name: str) -> list:
         value = f"coalesce({c}, CAST(0 AS {dtype.simpleString()}))"
     else:
         value = f"coalesce(CAST({c} AS STRING), '')"
-    return [F.expr(value).alias("__k"), F.expr(f"{c} IS NULL").alias("__kn")]
+    return [F.expr(value).alias(prefix), F.expr(f"{c} IS NULL").alias(prefix + "n")]
 
 
 def in_range(log: DataFrame, lo, hi, roles: Roles = Roles()) -> DataFrame:

@@ -66,7 +66,7 @@ def block_summary(
     # itself has a NULL block.
     log_by_block = (
         per_entity.join(blocks_of, KEYS, "left")
-        .groupBy(F.col("block").alias("__b"))
+        .groupBy(*entity_keys(blocks_of, "block", "__b"))
         .agg(
             F.expr("sum(entries)").alias("entries"),
             F.expr("sum(activities)").alias("activities"),
@@ -74,14 +74,16 @@ def block_summary(
         )
     )
     area, kind = ident(roles.area), ident(roles.kind)
-    reg_counts = registry.groupBy(F.col(roles.group).alias("block")).agg(
+    reg_counts = registry.groupBy(*entity_keys(registry, roles.group, "__b")).agg(
         F.count(F.lit(1)).alias("schools"),
         *[F.expr(f"count_if({area} = {sql_lit(a)})").alias(f"n_{a}") for a in areas],
         *[F.expr(f"count_if({kind} = {sql_lit(k)})").alias(f"n_{k}") for k in kinds],
     )
-    j = reg_counts.join(log_by_block, reg_counts["block"].eqNullSafe(log_by_block["__b"]), "left")
+    # both sides are hash-partitioned on the (null-safe) block key columns
+    # by their own aggregates, so this join adds no exchange
+    j = reg_counts.join(log_by_block, ["__b", "__bn"], "left")
     return j.select(
-        "block",
+        F.expr("CASE WHEN __bn THEN NULL ELSE __b END").alias("block"),
         "schools",
         *[f"n_{a}" for a in areas],
         *[f"n_{k}" for k in kinds],
