@@ -79,3 +79,18 @@ def test_range_reports_share_one_checkpointed_rollup(spark):
     with contextlib.redirect_stdout(buf):
         cut["entry_levels"].explain()
     assert "events.parquet" not in buf.getvalue()
+
+
+def test_same_answer_on_shuffled_input(spark):
+    from sitepulse.operators import flag_repeats, period_rollup
+
+    b = bind_events(spark, SF_SMALL)
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=repr)
+
+    base = rows(period_rollup(b.log, b.registry, *P.RANGE, roles=b.roles))
+    flags = rows(flag_repeats(b.log, b.roles))
+    for shuffled in (b.log.orderBy(F.rand(7)), b.log.repartition(13), b.log.repartition(3, "seq")):
+        assert rows(period_rollup(shuffled, b.registry.repartition(5), *P.RANGE, roles=b.roles)) == base
+        assert rows(flag_repeats(shuffled, b.roles)) == flags
