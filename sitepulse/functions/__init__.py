@@ -1,5 +1,6 @@
 from sitepulse.functions.scalars import (  # noqa: F401
     code_label,
+    datetime_text,
     day_text,
     key_is_valid,
     mask_key,
