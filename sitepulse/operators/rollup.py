@@ -131,11 +131,28 @@ def entity_totals(log: DataFrame, lo, hi, roles: Roles = Roles()) -> DataFrame:
     )
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, how: str = "left", keys=KEYS) -> DataFrame:
+    """Equi-join on the null-safe key columns of ``entity_keys``.
+
+    If the two sides' entity columns have different types (say text in the
+    registry, a number in the log), both value columns are compared as
+    text; otherwise the plain columns are used and the join reuses the
+    sides' hash partitioning.
+    """
+    value, isnull = keys
+    if left.schema[value].dataType != right.schema[value].dataType:
+        # one placeholder for NULL on both sides, the value as text otherwise
+        as_text = F.expr(f"CASE WHEN {isnull} THEN '' ELSE CAST({value} AS STRING) END")
+        left = left.withColumn(value, as_text)
+        right = right.withColumn(value, as_text)
+    return left.join(right, list(keys), how)
+
+
 def _join_registry(reg: DataFrame, right: DataFrame, null_safe: bool) -> DataFrame:
     """Registry-preserving left join on the entity key columns."""
     if not null_safe:
         right = right.where(~F.col("__kn"))
-    return reg.join(right, KEYS, "left").drop(*KEYS)
+    return join_on_keys(reg, right, "left").drop(*KEYS)
 
 
 def period_rollup(

@@ -24,7 +24,7 @@ from sitepulse.functions.scalars import (
 from sitepulse.fixed import DATE_FORMAT
 from sitepulse.operators.crosstab import activity_levels_wide, level_counts_wide, wide_to_long
 from sitepulse.operators.dedupe import latest_per_day
-from sitepulse.operators.rollup import KEYS, entity_keys, filtered_registry
+from sitepulse.operators.rollup import entity_keys, filtered_registry, join_on_keys
 from sitepulse.schema import AREAS, KINDS, Roles
 
 # ---------------------------------------------------------------- R1-R3 cards
@@ -65,7 +65,7 @@ def block_summary(
     # from the log does in the reference; they surface only if the registry
     # itself has a NULL block.
     log_by_block = (
-        per_entity.join(blocks_of, KEYS, "left")
+        join_on_keys(per_entity, blocks_of, "left")
         .groupBy(*entity_keys(blocks_of, "block", "__b"))
         .agg(
             F.expr("sum(entries)").alias("entries"),
@@ -129,7 +129,7 @@ def daily_series_by_block(
     )
     reg = registry.select(*entity_keys(registry, roles.entity), F.col(roles.group).alias("block"))
     out = (
-        per.join(reg, KEYS, "left")
+        join_on_keys(per, reg, "left")
         .groupBy("block", "day")
         .agg(F.sum("n").cast("long").alias("entries"))
     )

@@ -279,3 +279,27 @@ def test_empty_log_gives_zero_filled_reports(spark, tables):
     assert all((r.entries, r.activities, r.unknown_status) == (0, 0, 0) for r in s)
     assert R.summary_totals(R.block_summary(empty, reg, dt.date(2025, 7, 3), roles=FX.ROLES)).first().schools == 7
     assert R.daily_series(empty, FX.ROLES).count() == 0
+
+
+def test_entity_key_types_may_differ(spark, tables):
+    """Registry keyed by text, log by number: same answer as matching types."""
+    from pyspark.sql import functions as F
+
+    reg = spark.createDataFrame(
+        [("7", "S1-7", "R", "GS", "A", "X"), ("8", "S1-8", "U", "GS", "B", "X"), (None, "S1-9", "R", "GS", "C", "X")],
+        "k string, record_id string, area_type string, school_type string, school string, block string",
+    )
+    log = spark.createDataFrame(
+        [(1, 7, dt.datetime(2025, 7, 2, 9), dt.date(2025, 7, 2), 1, 2.0),
+         (2, None, dt.datetime(2025, 7, 2, 9), dt.date(2025, 7, 2), 1, 3.0)],
+        "seq BIGINT, k BIGINT, task_start_date TIMESTAMP_NTZ, task_schedule_date DATE, "
+        "brush_activity INT, participants DOUBLE",
+    )
+    roles = FX.Roles(entity="k", tiebreak=("seq",))
+    lo, hi = dt.date(2025, 7, 1), dt.date(2025, 7, 31)
+    got = {r.record_id: r.entry for r in period_rollup(log, reg, lo, hi, roles=roles).collect()}
+    assert got == {"S1-7": 1, "S1-8": 0, "S1-9": 1}
+    same = period_rollup(log, reg.withColumn("k", F.col("k").cast("bigint")), lo, hi, roles=roles)
+    assert {r.record_id: r.entry for r in same.collect()} == got
+    by_block = R.daily_series_by_block(log, reg, roles=roles).collect()
+    assert [(r.block, r.entries) for r in by_block] == [("X", 2)]
