@@ -104,4 +104,6 @@ def cells(areas=None, kinds=None) -> list[tuple[str, str, str]]:
     """Requested (area, kind, "area_kind") cells: the fixed pivot columns."""
     areas = AREAS if areas is None else tuple(areas)
     kinds = KINDS if kinds is None else tuple(kinds)
+    if not areas or not kinds:
+        raise ValueError("Please select at least one Area type and one School type.")
     return [(a, k, f"{a}_{k}") for k in kinds for a in areas]

@@ -119,3 +119,12 @@ def test_freshness_ignores_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert out[0] == out[1] == out[2]
     assert out[0][1] == "09 Jul 2025 03:30 PM" and out[0][2] == 20.5 and out[0][3] == epoch
+
+
+def test_cells_need_a_selection():
+    from sitepulse.schema import cells
+
+    assert [c for _, _, c in cells()] == ["R_GS", "U_GS", "R_GA", "U_GA", "R_PS", "U_PS"]
+    assert [c for _, _, c in cells(["U"], ["PS"])] == ["U_PS"]
+    with pytest.raises(ValueError):
+        cells([], None)
