@@ -36,17 +36,46 @@ CORRUPT = "_corrupt_record"
 
 
 def read_export(spark: SparkSession, path: str, fmt: str = "parquet", schema=RAW_EXPORT_SCHEMA) -> DataFrame:
-    """Read a landed export with a fixed schema; malformed csv/json rows are
-    kept with their text in ``_corrupt_record`` instead of failing the job."""
-    reader = spark.read.schema(schema)
-    if fmt in ("csv", "json"):
+    """Read a landed export with a fixed schema, columns matched by name.
+
+    Extra columns in the export are ignored and missing ones read as NULL,
+    so a wide form export works as is.  csv/json rows that do not parse
+    are kept, with their text in ``_corrupt_record``, instead of failing
+    the job.
+    """
+    if fmt == "csv":
+        return _read_csv_by_name(spark, path, schema)
+    if fmt == "json":
         with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-        reader = spark.read.schema(with_corrupt).option("mode", "PERMISSIVE").option(
-            "columnNameOfCorruptRecord", CORRUPT
+        return (
+            spark.read.schema(with_corrupt)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .json(path)
         )
-        if fmt == "csv":
-            reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
+def _read_csv_by_name(spark: SparkSession, path: str, schema) -> DataFrame:
+    """csv header names select the columns (a csv schema would bind by
+    position); each typed value is a ``try_cast``, and a row with a value
+    that is present but does not parse is marked corrupt."""
+    raw = spark.read.option("header", True).csv(path)
+    present = set(raw.columns)
+    cols, bad = [], []
+    for f in schema.fields:
+        src = F.col(f"`{f.name}`") if f.name in present else F.lit(None).cast("string")
+        if isinstance(f.dataType, T.StringType):
+            cols.append(src.alias(f.name))
+            continue
+        typed = src.try_cast(f.dataType)
+        cols.append(typed.alias(f.name))
+        bad.append(src.isNotNull() & typed.isNull())
+    any_bad = bad[0]
+    for b in bad[1:]:
+        any_bad = any_bad | b
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns]))
+    return raw.select(*cols, F.when(any_bad, text).alias(CORRUPT))
 
 
 def read_labels(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -166,3 +166,17 @@ def test_cli_every_report_builds_and_runs(spark, scratch):
     # the stored snapshot gives the same rollup counts as the bound driver tables
     got = cli.build_report("period_rollup", reg, log, a).where("entry > 0").count()
     assert got == E.queries()["has_entries_list"](spark, SF_SMALL).count()
+
+
+def test_csv_export_columns_bind_by_name(spark, scratch):
+    path = f"{scratch}/wide.csv"
+    with open(path, "w") as f:
+        f.write("extra_a,brush_activity_1_5,record_id,task_schedule_date,redcap_repeat_instrument,first_to_fifth_participants,extra_b\n")
+        f.write("x,1,S1-1,2025-07-02,implementation_status,12,y\n")
+        f.write("x,,S1-2,2025-07-03,implementation_status,abc,y\n")
+    df = ingest.read_export(spark, path, "csv")
+    rows = {r.record_id: r for r in df.collect()}
+    assert rows["S1-1"].brush_activity_1_5 == 1 and rows["S1-1"].task_schedule_date == dt.date(2025, 7, 2)
+    assert rows["S1-1"].site is None and rows["S1-1"][ingest.CORRUPT] is None
+    log = {r.record_id: r.participants for r in ingest.extract_log(df.drop(ingest.CORRUPT)).collect()}
+    assert log == {"S1-1": 12.0, "S1-2": None}
