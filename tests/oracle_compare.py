@@ -39,7 +39,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.12g}")
+        return v if os.environ.get("ORACLE_STRICT") else float(f"{v:.12g}")
     if isinstance(v, decimal.Decimal):
         return float(v)
     if isinstance(v, dt.datetime):
