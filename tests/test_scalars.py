@@ -128,3 +128,19 @@ def test_cells_need_a_selection():
     assert [c for _, _, c in cells(["U"], ["PS"])] == ["U_PS"]
     with pytest.raises(ValueError):
         cells([], None)
+
+
+def test_recode_and_generic_latest(spark):
+    from sitepulse.functions.scalars import recode_status, status_label
+    from sitepulse.operators.dedupe import day_order, latest_per
+    from sitepulse.schema import Roles
+
+    assert _one_col(spark, [1, 2, 3, None], recode_status, "int") == [1, 0, None, None]
+    assert _one_col(spark, [0, 1, 5], status_label, "int") == ["Not done", "Done", None]
+    df = spark.createDataFrame(
+        [("a", 1, 5, 1), ("a", 1, 7, 2), ("a", 1, None, 3), ("b", 2, 1, 4)],
+        "e string, d int, s int, t int",
+    )
+    roles = Roles(entity="e", day="d", start="s", tiebreak=("t",))
+    got = {(r.e, r.d): r.t for r in latest_per(df, ["e", "d"], day_order(roles)).collect()}
+    assert got == {("a", 1): 2, ("b", 2): 4}
