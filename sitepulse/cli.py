@@ -101,6 +101,7 @@ def main(argv=None) -> None:
     for opt in ("lo", "hi", "day", "month", "as-of", "blocks", "areas", "kinds", "record-ids"):
         q.add_argument(f"--{opt}")
     q.add_argument("--only-mixed", action="store_true")
+    q.add_argument("--sorted", action="store_true", help="write rows in display order (a global sort)")
     q.add_argument("-k", type=int, default=3)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"sitepulse-{a.cmd}").getOrCreate()
@@ -108,7 +109,10 @@ def main(argv=None) -> None:
         print(ingest.refresh(spark, a.raw, a.labels, a.root, fmt=a.format))
         return
     reg, log = ingest.read_snapshot(spark, a.root)
-    ingest.export_table(build_report(a.name, reg, log, a), a.out, a.format)
+    df = build_report(a.name, reg, log, a)
+    if a.sorted:
+        df = R.sorted_for_display(a.name, df)
+    ingest.export_table(df, a.out, a.format)
 
 
 if __name__ == "__main__":

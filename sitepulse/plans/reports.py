@@ -316,3 +316,40 @@ def monthly_cell_text(crosstab: DataFrame, areas=None, kinds=None) -> DataFrame:
             for _, _, c in cells(areas, kinds)
         ],
     )
+
+
+# -------------------------------------------------------------- O2 display order
+
+# Sort keys of each report as the reference shows it (ascending, NULLs last,
+# unless marked desc).  Applied only at the sink: ordering a lazy report is a
+# global sort, which no other step needs.
+DISPLAY_ORDER: dict[str, list[tuple[str, bool]]] = {
+    "period_rollup": [("id_num", False), ("record_id", False)],
+    "month_rollup": [("id_num", False), ("record_id", False)],
+    "entity_detail": [("record_id", False), ("task_schedule_date", True)],
+    "entity_day_list": [("record_id", False), ("task_schedule_date", True)],
+    "daily_coverage_long": [("block", False), ("area_type", False), ("school_type", False)],
+    "daily_coverage_wide": [("block", False)],
+    "entry_levels_wide": [("block", False), ("entry", False)],
+    "entry_levels_long": [("block", False), ("entry", False), ("area_type", False), ("school_type", False)],
+    "activity_levels_wide": [("block", False), ("activity", False)],
+    "activity_levels_long": [("block", False), ("activity", False), ("area_type", False), ("school_type", False)],
+    "no_activity_list": [("block", False), ("id_num", False)],
+    "has_entries_list": [("block", False), ("id_num", False)],
+    "monthly_crosstab": [("block", False)],
+    "block_summary": [("block", False)],
+    "first_blocks": [("block", False)],
+    "daily_series": [("day", False)],
+    "daily_series_by_block": [("block", False), ("day", False)],
+    "first_blocks_series": [("block", False), ("day", False)],
+    "filter_blocks": [("block", False)],
+    "school_options": [("block", False), ("school", False)],
+}
+
+
+def sorted_for_display(name: str, df: DataFrame) -> DataFrame:
+    """The report in the order the reference displays it (for exports)."""
+    keys = DISPLAY_ORDER.get(name)
+    if not keys:
+        return df
+    return df.orderBy(*[F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in keys])

@@ -303,3 +303,20 @@ def test_entity_key_types_may_differ(spark, tables):
     assert {r.record_id: r.entry for r in same.collect()} == got
     by_block = R.daily_series_by_block(log, reg, roles=roles).collect()
     assert [(r.block, r.entries) for r in by_block] == [("X", 2)]
+
+
+def test_display_order(tables, july):
+    reg, log = tables
+    ids = [r.record_id for r in R.sorted_for_display("period_rollup", july).collect()]
+    # numeric IDs ascending, keys without a numeric ID last (as R's arrange puts NA last)
+    assert ids[:5] == ["S1-1", "S2-1", "S1-2", "S2-2", "S1-3"] and set(ids[5:]) == {"NOID", "S3-7-b"}
+    det = entity_detail(log, reg, dt.date(2025, 7, 1), dt.date(2025, 7, 31), record_ids=["S1-1"], roles=FX.ROLES)
+    days = [r.task_schedule_date for r in R.sorted_for_display("entity_day_list", R.entity_day_list(det)).collect()]
+    assert days == [dt.date(2025, 7, 3), dt.date(2025, 7, 2)]
+    assert set(R.DISPLAY_ORDER) <= {
+        "period_rollup", "month_rollup", "entity_detail", "entity_day_list", "daily_coverage_long",
+        "daily_coverage_wide", "entry_levels_wide", "entry_levels_long", "activity_levels_wide",
+        "activity_levels_long", "no_activity_list", "has_entries_list", "monthly_crosstab", "block_summary",
+        "first_blocks", "daily_series", "daily_series_by_block", "first_blocks_series", "filter_blocks",
+        "school_options",
+    }
