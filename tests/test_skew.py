@@ -68,3 +68,42 @@ def test_hot_entity_rollup_is_exact_and_reduced_map_side(spark):
         F.regexp_extract("record_id", r"-(\d+)$", 1).cast("long").alias("entity_key"), "entry", "participants", "activity"
     )
     assert _rows(mine.columns, [tuple(r) for r in mine.collect()]) == want
+
+
+def test_hot_entity_reports_match_brute_force(spark):
+    from sitepulse.operators import daily_coverage_long
+    from sitepulse.plans import oracle as O
+    from sitepulse.plans import reports as R
+
+    b = bind_events(spark, SF_ORACLE)
+    log, hot = _hot_log(b.log)
+    hot_log_cte = (
+        O.EVENTS_LOG.replace("log AS", "log0 AS", 1)
+        + f""",
+log AS (
+  SELECT * REPLACE (CASE WHEN brush_activity IS NOT NULL AND seq % 5 <> 0 THEN {hot} ELSE entity_key END AS entity_key)
+  FROM log0
+)"""
+    )
+    con = duck(SF_ORACLE)
+    cases = [
+        (
+            R.daily_series_by_block(log, b.registry, roles=b.roles),
+            O.with_(O.REGISTRY, hot_log_cte)
+            + """SELECT g.block, l.task_schedule_date AS day, count(*) AS entries
+FROM log l LEFT JOIN registry g ON l.entity_key IS NOT DISTINCT FROM g.entity_key
+GROUP BY g.block, l.task_schedule_date""",
+        ),
+        (
+            daily_coverage_long(log, b.registry, P.DAY, roles=b.roles),
+            O.with_(O.REGISTRY, hot_log_cte, O.coverage_ctes(P.DAY)) + "SELECT * FROM coverage",
+        ),
+        (
+            R.block_summary(log, b.registry, P.AS_OF, roles=b.roles),
+            O.with_(O.REGISTRY, hot_log_cte, O.block_summary_cte(P.AS_OF)) + "SELECT * FROM summary",
+        ),
+    ]
+    for df, sql in cases:
+        rel = con.sql(sql)
+        assert sorted(df.columns) == sorted(rel.columns)
+        assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(rel.columns, rel.fetchall())
