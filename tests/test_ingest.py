@@ -180,3 +180,25 @@ def test_csv_export_columns_bind_by_name(spark, scratch):
     assert rows["S1-1"].site is None and rows["S1-1"][ingest.CORRUPT] is None
     log = {r.record_id: r.participants for r in ingest.extract_log(df.drop(ingest.CORRUPT)).collect()}
     assert log == {"S1-1": 12.0, "S1-2": None}
+
+
+def test_failed_publish_keeps_the_previous_snapshot(spark, scratch):
+    raw = synth.raw_export(spark, SF_SMALL)
+    labels = synth.label_export(spark, SF_SMALL)
+    reg, log = ingest.extract_registry(raw, labels), ingest.extract_log(raw)
+    root = f"{scratch}/store"
+    v1 = ingest.publish_snapshot(spark, reg, log, root)
+    # the log write fails inside the job, after the registry of the new version was written
+    broken = log.withColumn("participants", F.when(F.col("participants") > 0, F.raise_error("lost")).cast("double"))
+    try:
+        ingest.publish_snapshot(spark, reg, broken, root)
+        raise AssertionError("expected the write to fail")
+    except Exception as ex:  # noqa: BLE001
+        assert "lost" in str(ex)
+    assert ingest.current_version(spark, root) == v1
+    r1, l1 = ingest.read_snapshot(spark, root)
+    assert l1.count() == log.count() and r1.count() == reg.count()
+    # a retry publishes a complete new version
+    v3 = ingest.publish_snapshot(spark, reg, log, root)
+    assert v3 != v1 and ingest.current_version(spark, root) == v3
+    assert ingest.read_snapshot(spark, root)[1].count() == log.count()
