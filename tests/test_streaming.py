@@ -41,3 +41,21 @@ def test_series_stream_matches_batch(spark, scratch):
     assert got.agg(F.sum("entries")).first()[0] == both.count()
     landed = spark.read.parquet(f"{landing}/*")
     assert _as_set(got) == _as_set(R.daily_series_by_block(landed, reg, roles=Roles()))
+
+
+def test_replayed_epoch_is_counted_once(spark, scratch):
+    from sitepulse.streaming.series import _add_batch
+
+    raw = synth.raw_export(spark, SF_SMALL)
+    reg = ingest.extract_registry(raw, synth.label_export(spark, SF_SMALL))
+    log = ingest.extract_log(raw).select("record_id", "task_schedule_date")
+    a = log.where(F.col("task_schedule_date") < dt.date(2024, 1, 10))
+    b = log.where(F.col("task_schedule_date") >= dt.date(2024, 1, 10))
+    sink = f"{scratch}/series"
+    write = _add_batch(sink, reg, Roles())
+    write(a, 0)
+    write(b, 1)
+    write(b, 1)  # the same epoch again, as after a failure between write and commit
+    got = read_series(spark, sink)
+    assert got.agg(F.sum("entries")).first()[0] == a.count() + b.count()
+    assert _as_set(got) == _as_set(R.daily_series_by_block(log, reg, roles=Roles()))
