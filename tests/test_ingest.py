@@ -202,3 +202,16 @@ def test_failed_publish_keeps_the_previous_snapshot(spark, scratch):
     v3 = ingest.publish_snapshot(spark, reg, log, root)
     assert v3 != v1 and ingest.current_version(spark, root) == v3
     assert ingest.read_snapshot(spark, root)[1].count() == log.count()
+
+
+def test_cli_sorted_export(spark, scratch):
+    from sitepulse import cli
+
+    synth.raw_export(spark, SF_SMALL).write.parquet(f"{scratch}/raw")
+    synth.label_export(spark, SF_SMALL).write.parquet(f"{scratch}/labels")
+    root = f"{scratch}/store"
+    cli.main(["refresh", "--raw", f"{scratch}/raw", "--labels", f"{scratch}/labels", "--root", root])
+    out = f"{scratch}/blocks"
+    cli.main(["report", "daily_series_by_block", "--root", root, "--out", out, "--format", "csv", "--sorted"])
+    rows = [(r.block, r.day) for r in spark.read.option("header", True).csv(out).collect()]
+    assert len(rows) > 0 and rows == sorted(rows, key=lambda t: (t[0] is None, t[0] or "", t[1] or ""))
