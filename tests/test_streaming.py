@@ -59,3 +59,21 @@ def test_replayed_epoch_is_counted_once(spark, scratch):
     got = read_series(spark, sink)
     assert got.agg(F.sum("entries")).first()[0] == a.count() + b.count()
     assert _as_set(got) == _as_set(R.daily_series_by_block(log, reg, roles=Roles()))
+
+
+def test_many_micro_batches_add_up(spark, scratch):
+    raw = synth.raw_export(spark, SF_SMALL)
+    reg = ingest.extract_registry(raw, synth.label_export(spark, SF_SMALL))
+    log = ingest.extract_log(raw)
+    landing, sink = f"{scratch}/landing", f"{scratch}/series"
+    ckpt = os.path.join(spark.conf.get("spark.checkpoint.dir"), os.path.basename(scratch), "many")
+    for i, (lo, hi) in enumerate([(1, 8), (8, 16), (16, 24), (24, 32)]):
+        part = log.where(F.dayofmonth("task_schedule_date").between(lo, hi - 1))
+        part.coalesce(1).write.parquet(f"{landing}/p{i}")
+    q = start_series_stream(
+        spark, f"{landing}/*", reg, sink, roles=Roles(), checkpoint=ckpt, available_now=True, max_files_per_trigger=1
+    )
+    q.awaitTermination(300)
+    assert len(q.recentProgress) >= 4  # one micro-batch per landed file
+    landed = spark.read.parquet(f"{landing}/*")
+    assert _as_set(read_series(spark, sink)) == _as_set(R.daily_series_by_block(landed, reg, roles=Roles()))
