@@ -215,3 +215,9 @@ def test_cli_sorted_export(spark, scratch):
     cli.main(["report", "daily_series_by_block", "--root", root, "--out", out, "--format", "csv", "--sorted"])
     rows = [(r.block, r.day) for r in spark.read.option("header", True).csv(out).collect()]
     assert len(rows) > 0 and rows == sorted(rows, key=lambda t: (t[0] is None, t[0] or "", t[1] or ""))
+
+
+def test_table_exists_by_catalog_name(spark):
+    spark.range(1).createOrReplaceTempView("sitepulse_probe_view")
+    assert ingest.table_exists(spark, "sitepulse_probe_view")
+    assert not ingest.table_exists(spark, "sitepulse_no_such_table")
