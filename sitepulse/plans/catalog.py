@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitepulse.operators.coverage import daily_coverage_long, daily_coverage_wide
 from sitepulse.operators.crosstab import activity_levels_wide, monthly_crosstab
@@ -216,8 +218,29 @@ def q_cell_text(spark, sf_dir):
     return R.coverage_cell_text(_coverage(spark, sf_dir))
 
 
+def _double_outputs(fn: Query) -> Query:
+    """Registered results carry decimals as DOUBLE.
+
+    Sums stay exact DECIMAL inside the operators (so they do not depend on
+    summation order); only the published column is converted, and a
+    decimal-to-double conversion is the same correctly rounded value on
+    every engine and in every client library.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        dec = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)}
+        if not dec:
+            return df
+        return df.select(*[F.col(c).cast("double").alias(c) if c in dec else F.col(c) for c in df.columns])
+
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
+    name[2:]: _double_outputs(fn) for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
 
 FLAGSHIP = "period_rollup"

@@ -302,29 +302,36 @@ def freshness_sql(now) -> str:
 FROM (SELECT name, {num_of('value')} AS v FROM latest)"""
 
 
+ROLLUP_OUT = "SELECT * REPLACE (CAST(participants AS DOUBLE) AS participants) FROM rollup"
+
+
+def doubles(cols) -> str:
+    return "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols) + ")"
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     ev = [REGISTRY, EVENTS_LOG]
     lo, hi = P.RANGE
     rollup = with_(*ev, rollup_ctes(lo, hi))
     mlo, mhi = P.MONTH, P.MONTH.replace(day=31)
-    q["period_rollup"] = rollup + "SELECT * FROM rollup"
+    q["period_rollup"] = rollup + ROLLUP_OUT
     q["period_rollup_filtered"] = (
         with_(*ev, rollup_ctes(lo, hi, blocks=P.FILTER_BLOCKS, areas=P.FILTER_AREAS, kinds=P.FILTER_KINDS))
-        + "SELECT * FROM rollup"
+        + ROLLUP_OUT
     )
-    q["month_rollup"] = with_(*ev, rollup_ctes(mlo, mhi)) + "SELECT * FROM rollup"
+    q["month_rollup"] = with_(*ev, rollup_ctes(mlo, mhi)) + ROLLUP_OUT
     olo = P.ORDERS_MONTH
     ohi = (olo.replace(day=28) + __import__("datetime").timedelta(days=4)).replace(day=1) - __import__(
         "datetime"
     ).timedelta(days=1)
-    q["month_rollup_orders"] = with_(REGISTRY, ORDERS_LOG, rollup_ctes(olo, ohi)) + "SELECT * FROM rollup"
-    q["latest_per_day"] = with_(*ev) + """SELECT * EXCLUDE (rn) FROM (
+    q["month_rollup_orders"] = with_(REGISTRY, ORDERS_LOG, rollup_ctes(olo, ohi)) + ROLLUP_OUT
+    q["latest_per_day"] = with_(*ev) + """SELECT * EXCLUDE (rn) REPLACE (CAST(participants AS DOUBLE) AS participants) FROM (
   SELECT *, row_number() OVER (PARTITION BY entity_key, task_schedule_date
                                ORDER BY task_start_date DESC NULLS LAST, seq DESC NULLS LAST) AS rn FROM log
 ) WHERE rn = 1"""
     detail = with_(*ev, detail_ctes(lo, hi))
-    q["entity_detail"] = detail + "SELECT * FROM detail"
+    q["entity_detail"] = detail + "SELECT * REPLACE (CAST(participants AS DOUBLE) AS participants) FROM detail"
     q["entity_day_list"] = detail + """SELECT record_id, task_schedule_date,
        strftime(task_schedule_date, '%d %b %Y') AS date_text,
        CASE brush_activity WHEN 0 THEN 'Not done' WHEN 1 THEN 'Done' END AS activity_text
@@ -355,13 +362,17 @@ FROM (SELECT *, (present * 20000 + total) // (total * 2) AS qq FROM coverage)"""
     q["entry_levels_long"] = with_(*ev, rollup_ctes(lo, hi), entry_levels_wide_cte()) + unpivot(
         "block, entry", {"n": "{c}_entry", "share": "{c}_entry_P"}
     )
-    q["activity_levels_wide"] = with_(*ev, rollup_ctes(lo, hi), activity_levels_wide_cte()) + "SELECT * FROM wide"
+    q["activity_levels_wide"] = (
+        with_(*ev, rollup_ctes(lo, hi), activity_levels_wide_cte())
+        + doubles(f"{n}_participants" for _, _, n in cells())
+        + " FROM wide"
+    )
     q["activity_levels_long"] = with_(*ev, rollup_ctes(lo, hi), activity_levels_wide_cte()) + unpivot(
         "block, activity",
         {
             "n": "{c}_activity",
             "share": "{c}_activity_P",
-            "participants": "{c}_participants",
+            "participants": "CAST({c}_participants AS DOUBLE)",
             "participants_share": "{c}_participants_P",
         },
     )
@@ -369,7 +380,11 @@ FROM (SELECT *, (present * 20000 + total) // (total * 2) AS qq FROM coverage)"""
     q["has_entries_list"] = (
         rollup + "SELECT record_id, id_num, block, school, activity, entry FROM rollup WHERE entry <> 0"
     )
-    q["monthly_crosstab"] = with_(*ev, rollup_ctes(mlo, mhi)) + monthly_crosstab_sql()
+    q["monthly_crosstab"] = (
+        with_(*ev, rollup_ctes(mlo, mhi), "ct AS (" + monthly_crosstab_sql() + ")")
+        + doubles(f"participants_{n}" for _, _, n in cells())
+        + " FROM ct"
+    )
     summary = with_(*ev, block_summary_cte(P.AS_OF))
     q["block_summary"] = summary + "SELECT * FROM summary"
     q["summary_totals"] = summary + "SELECT " + ", ".join(
@@ -431,7 +446,7 @@ FROM k"""
             NULL_KEYS,
             rollup_ctes(lo, hi),
         )
-        + "SELECT * FROM rollup"
+        + ROLLUP_OUT
     )
     q["repeat_flags"] = with_(*ev) + """SELECT seq, entity_key, task_schedule_date,
        row_number() OVER (PARTITION BY entity_key, task_schedule_date
