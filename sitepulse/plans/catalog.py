@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitepulse.functions.sqlexpr import ident
 from sitepulse.operators.coverage import daily_coverage_long, daily_coverage_wide
 from sitepulse.operators.crosstab import activity_levels_wide, monthly_crosstab
 from sitepulse.operators.dedupe import flag_repeats, latest_per_day
@@ -229,10 +230,10 @@ def _double_outputs(fn: Query) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = fn(spark, sf_dir)
-        dec = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)}
+        dec = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
         if not dec:
             return df
-        return df.select(*[F.col(c).cast("double").alias(c) if c in dec else F.col(c) for c in df.columns])
+        return df.withColumns({c: F.expr(f"CAST({ident(c)} AS DOUBLE)") for c in dec})
 
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
