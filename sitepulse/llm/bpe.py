@@ -14,6 +14,7 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -232,12 +233,16 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = False,
 ) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of every row.
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 of every row, and ids if asked for.
 
-    Encodes and decodes in one task, so the ids of a large corpus are
-    neither stored nor sent.  Null and empty texts have no tokens; repeated
+    Encodes and decodes in one task, so ids need not be stored in between.  Null and empty texts have no tokens; repeated
     rows each get a row; other columns are not read.
     """
     spark = docs.sparkSession
@@ -246,17 +251,30 @@ def round_trip(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, pieces = load(description.value)
         decimal = [str(i) for i in range(len(pieces))]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
         for batch in batches:
-            n, coded, decoded = [], [], []
-            for ids in encode_texts(tok, [t or "" for t in batch.column("text").to_pylist()]):
-                n.append(len(ids))
-                coded.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(decode_ids(pieces, ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            at = 0
+            for group in groups([t or "" for t in batch.column("text").to_pylist()], 8 * PORTION):
+                n, coded, decoded, kept = [], [], [], []
+                for ids in encode_texts(tok, group):
+                    n.append(len(ids))
+                    coded.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(decode_ids(pieces, ids)).hexdigest())
+                    if with_ids:
+                        kept.append(pa.array(ids, pa.int32()))
+                cols = [
+                    batch.column("doc_id").slice(at, len(group)),
+                    pa.array(n, pa.int64()),
+                    pa.array(coded, pa.string()),
+                    pa.array(decoded, pa.string()),
+                ]
+                if with_ids:
+                    starts = pa.array([0, *accumulate(n)], pa.int32())
+                    cols.append(pa.ListArray.from_arrays(starts, pa.concat_arrays(kept)))
+                at += len(group)
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ids = ", ids array<int>" if with_ids else ""
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{ids}")

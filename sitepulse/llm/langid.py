@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitepulse.llm.text import alnum_words, utf8
@@ -28,7 +28,7 @@ ROUNDS = 4
 #: Counts that every piece gets in every language; more for single bytes.
 SMOOTH, SMOOTH_BYTE = 0.01, 0.5
 #: A longer word is scored in units of so many bytes.
-UNIT = 48
+UNIT = 32
 #: Words whose scores a Python worker remembers.
 MEMORY = 200_000
 
@@ -201,7 +201,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def identify(
+def train(
     docs: DataFrame,
     path: str,
     id_col: str = "doc_id",
@@ -210,32 +210,47 @@ def identify(
     folds: int = 5,
     sample: int = SAMPLE,
     fit_words: int = FIT_WORDS,
+) -> Model:
+    """Fits on rows with a language whose crc32(id as text) mod ``folds`` is not 0, at most about ``sample`` of them."""
+    known = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
+    ).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), folds))
+    chosen = known.select(F.col("doc_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    # at most `sample` ids are broadcast
+    picked = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi")
+    counted = picked.select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long")
+    found = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    counts = list(zip(*(found[c].to_pylist() for c in ("lang", "word", "n"))))
+    return fit(counts, read_pieces(path), words=fit_words)
+
+
+def held_out(doc_id: Column, folds: int) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == 0, F.lit(False))
+
+
+def identify(
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    folds: int = 5,
+    **kw,
 ) -> DataFrame:
-    """doc_id, t (a hash of the text), held_out, lang_pred, score for every row of ``docs``.
+    """doc_id, held_out, lang_pred, score for every row of ``docs``.
 
-    Learns from rows with a language whose crc32(id as text) mod ``folds`` is
-    not 0, at most ``sample`` of them; a null id is never learned from and not
-    held out.  Only the text decides a prediction.  Null texts, texts without
-    a letter, and all texts where there is nothing to learn from are 'und'
-    with score 0.  Repeated rows each get a row; other columns are not read.
+    Learns as ``train``; a null id is never learned from and not held out.
+    Only the text decides a prediction.  Null texts, texts without a letter,
+    and all texts where there is nothing to learn from are 'und' with score
+    0.  Repeated rows each get a row; other columns are not read.
     """
-    spark = docs.sparkSession
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == 0, F.lit(False))
+    model = train(docs, path, id_col, text_col, lang_col, folds, **kw)
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, list(model.pieces), model.prob))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
+        held_out(F.col(id_col), folds).alias("held_out"),
         F.col(text_col).cast("string").alias("text"),
-        F.col(lang_col).cast("string").alias("lang"),
-    ).withColumn("held_out", held)
-    known = rows.filter(~F.col("held_out") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    chosen = known.select(F.col("doc_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    # at most `sample` ids are broadcast
-    picked = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi")
-    counted = picked.select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long")
-    top = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    found = top.toArrow()
-    counts = list(zip(*(found[c].to_pylist() for c in ("lang", "word", "n"))))
-    model = fit(counts, read_pieces(path), words=fit_words)
-    shared = spark.sparkContext.broadcast((model.langs, list(model.pieces), model.prob))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
@@ -244,15 +259,32 @@ def identify(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    batch.column("t"),
                     batch.column("held_out"),
                     pa.array([a for a, _ in found], pa.string()),
                     pa.array([s for _, s in found], pa.float64()),
                 ],
-                ["doc_id", "t", "held_out", "lang_pred", "score"],
+                ["doc_id", "held_out", "lang_pred", "score"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", F.xxhash64("text").alias("t"), "held_out", "text").mapInArrow(
-        run, f"doc_id {kind}, t long, held_out boolean, lang_pred string, score double"
-    )
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(
+    docs: DataFrame, path: str, text_col: str = "text", least_score: float = 0.0, wanted: set[str] | None = None, **kw
+) -> DataFrame:
+    """``docs`` whose texts have a language: not 'und', of at least ``least_score``, and among ``wanted`` if given.
+
+    All columns stay as they are; one pass over the texts, no exchange.
+    """
+    model = train(docs, path, text_col=text_col, **kw)
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, list(model.pieces), model.prob))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        for batch in batches:
+            found = model.predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            keep = [a != "und" and s >= least_score and (wanted is None or a in wanted) for a, s in found]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
