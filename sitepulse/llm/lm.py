@@ -21,8 +21,12 @@ Counts move as packed arrays, not as one row per occurrence:
    whatever the input; the weights are fitted on it.
 5. Scores are one more pass over the blocks.
 
-Words are told apart by 64-bit hashes; two of 10**9 different words share
-one with a probability of about 3 in 100.
+Words are told apart by 64-bit hashes; among 10**9 different words the
+chance that any two share one is about 3 in 100.  Pairs are told apart by
+PAIR_BITS bits, which halves what travels; a pair shares its hash with
+another one with a probability of (number of different pairs) / 2**PAIR_BITS,
+one in 100,000 at 3 * 10**9 pairs.  That only touches the pair counts of
+the model, never the word counts.
 """
 
 from __future__ import annotations
@@ -38,7 +42,9 @@ from sitepulse.llm.storage import Scratch
 from sitepulse.llm.text import utf8, words
 
 #: Tokens of a block, about; a text is never cut, so a longer one makes a longer block.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
+#: Bits of a pair's hash.
+PAIR_BITS = 48
 #: Hashes that the owner of a shard receives, about.
 SHARD_HASHES = 1 << 20
 #: Training rows whose crc32 has this remainder are held out from the counts while the weights are fitted.
@@ -77,6 +83,15 @@ def _unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _pack_counts(a: np.ndarray) -> bytes:
+    """Counts byte by byte; most are small."""
+    return _pack(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpack_counts(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(raw, "u1").reshape(8, -1).T).view("<u8").ravel()
+
+
 def word_hash(word: bytes) -> int:
     import xxhash
 
@@ -91,7 +106,7 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     x = u * np.uint64(0x9E3779B97F4A7C15) + ((w << np.uint64(29)) | (w >> np.uint64(35)))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - PAIR_BITS)
 
 
 def _blocks(block_tokens: int):
@@ -125,8 +140,8 @@ def _blocks(block_tokens: int):
 
         for batch in batches:
             kind = batch.column(0).type
-            for i, (part, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                found = words(utf8(text))
+            for i, (part, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                found = words(utf8(text.as_py()))
                 found.append(END)
                 tokens.append(np.array([names.setdefault(w, len(names)) for w in found], dtype=np.uint32))
                 ids.append(batch.column(0).slice(i, 1)), parts.append(part), sizes.append(len(found))
@@ -165,9 +180,9 @@ def _asks(shard_bits: int):
             for row in _rows(batch):
                 block = Block(row)
                 hashes, place = block.pairs()
-                for kind, ids, at in ((WORD, block.words, block.tokens), (PAIR, hashes, place)):
-                    own = [np.bincount(at[block.part == p], minlength=len(ids)).astype("<u4") for p in (TRAIN, HELD_BACK)]
-                    edges = np.arange(1, 1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits) if shard_bits else []
+                for kind, bits, ids, at in ((WORD, 64, block.words, block.tokens), (PAIR, PAIR_BITS, hashes, place)):
+                    own = [np.bincount(at[block.part == p], minlength=len(ids)) for p in (TRAIN, HELD_BACK)]
+                    edges = np.arange(1, 1 << shard_bits, dtype=np.uint64) << np.uint64(bits - shard_bits) if shard_bits else []
                     cuts = [0, *np.searchsorted(ids, np.asarray(edges, dtype=np.uint64)).tolist(), len(ids)]
                     out = [(s, a, b) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
                     for lo in range(0, len(out), 64):
@@ -178,8 +193,8 @@ def _asks(shard_bits: int):
                                 pa.array([s for s, _, _ in some], pa.int64()),
                                 pa.array([row["block"]] * len(some), pa.int64()),
                                 pa.array([_pack_sorted(ids[a:b]) for _, a, b in some], pa.binary()),
-                                pa.array([_pack(own[0][a:b]) for _, a, b in some], pa.binary()),
-                                pa.array([_pack(own[1][a:b]) for _, a, b in some], pa.binary()),
+                                pa.array([_pack_counts(own[0][a:b]) for _, a, b in some], pa.binary()),
+                                pa.array([_pack_counts(own[1][a:b]) for _, a, b in some], pa.binary()),
                             ],
                             ["kind", "shard", "block", "ids", "train", "back"],
                         )
@@ -192,7 +207,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
 
 
-ANSWER = "kind int, shard long, block long, train binary, total binary, types long, tokens long, kept long"
+ANSWER = "kind int, shard long, block long, train binary, back binary, types long, tokens long, kept long"
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -203,14 +218,14 @@ def _answer(table: pa.Table) -> pa.Table:
     names, place = np.unique(flat, return_inverse=True)
     sums = []
     for column in ("train", "back"):
-        own = np.concatenate([_unpack(x.as_py(), "<u4") for x in table[column]])
+        own = np.concatenate([_unpack_counts(x.as_py()) for x in table[column]])
         sums.append(np.bincount(place, weights=own, minlength=len(names)).astype("<u8"))
-    train, total = sums[0], sums[0] + sums[1]
+    train, back = sums
     cuts = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
     out = []
     for b, lo, hi in zip(blocks, cuts, cuts[1:]):
-        out.append((b, _pack(train[place[lo:hi]]), _pack(total[place[lo:hi]]), 0, 0, 0))
-    out.append((-1, None, None, int((total > 0).sum()), int(total.sum()), int(train.sum())))
+        out.append((b, _pack_counts(train[place[lo:hi]]), _pack_counts(back[place[lo:hi]]), 0, 0, 0))
+    out.append((-1, None, None, int((train + back > 0).sum()), int((train + back).sum()), int(train.sum())))
     kind, shard = table["kind"][0].as_py(), table["shard"][0].as_py()
     n = len(out)
     return pa.table(
@@ -219,7 +234,7 @@ def _answer(table: pa.Table) -> pa.Table:
             "shard": pa.array([shard] * n, pa.int64()),
             "block": pa.array([x[0] for x in out], pa.int64()),
             "train": pa.array([x[1] for x in out], pa.binary()),
-            "total": pa.array([x[2] for x in out], pa.binary()),
+            "back": pa.array([x[2] for x in out], pa.binary()),
             "types": pa.array([x[3] for x in out], pa.int64()),
             "tokens": pa.array([x[4] for x in out], pa.int64()),
             "kept": pa.array([x[5] for x in out], pa.int64()),
@@ -271,14 +286,14 @@ def _gather(kept: int):
         _, place = block.pairs()
 
         def joined(kind: int, column: str) -> np.ndarray:
-            return np.concatenate([_unpack(table[column][i].as_py(), "<u8") for _, i in sorted(answers[kind])])
+            return np.concatenate([_unpack_counts(table[column][i].as_py()) for _, i in sorted(answers[kind])])
 
         back = block.part == HELD_BACK
-        cu, cw = (joined(WORD, "train")[x[back]] for x in (block.before, block.tokens))
-        cuw = joined(PAIR, "train")[place[back]]
+        word, pair = joined(WORD, "train"), joined(PAIR, "train")
+        cu, cw, cuw = word[block.before[back]], word[block.tokens[back]], pair[place[back]]
         cell = (bucket(cu) * _LEVELS + _level(_ratio(cuw, cu))) * _LEVELS + _level(cw / max(1, kept))
         cells, events = np.unique(cell, return_counts=True)
-        pair_total = joined(PAIR, "total")[place]
+        word, pair = word + joined(WORD, "back"), pair + joined(PAIR, "back")
         return pa.table(
             {
                 "block": pa.array([row["block"]], pa.int64()),
@@ -287,8 +302,8 @@ def _gather(kept: int):
                 "sizes": pa.array([row["sizes"]], pa.binary()),
                 "tokens": pa.array([row["tokens"]], pa.binary()),
                 "end_at": pa.array([row["end_at"]], pa.int64()),
-                "word_total": pa.array([_pack(joined(WORD, "total"))], pa.binary()),
-                "pair_total": pa.array([_pack(pair_total.astype("<u8").view(np.uint8).reshape(-1, 8).T)], pa.binary()),
+                "word_total": pa.array([_pack_counts(word)], pa.binary()),
+                "pair_total": pa.array([_pack_counts(pair[place])], pa.binary()),
                 "cells": pa.array([cells], pa.list_(pa.int64())),
                 "events": pa.array([events], pa.list_(pa.int64())),
             }
@@ -332,9 +347,8 @@ def _scores(weights: np.ndarray, tokens: int, types: int, id_kind: pa.DataType):
                 row = {n: batch.column(n)[i].as_py() for n in ("parts", "sizes", "tokens", "end_at")}
                 sizes, parts = _unpack(row["sizes"], "i8"), _unpack(row["parts"], "i1")
                 at = np.ascontiguousarray(_unpack(row["tokens"], "u1").reshape(4, -1).T).view("<u4").ravel()
-                totals = _unpack(batch.column("word_total")[i].as_py(), "<u8").astype(np.float64)
-                pair = _unpack(batch.column("pair_total")[i].as_py(), "u1").reshape(8, -1)
-                cuw = np.ascontiguousarray(pair.T).view("<u8").ravel().astype(np.float64)
+                totals = _unpack_counts(batch.column("word_total")[i].as_py()).astype(np.float64)
+                cuw = _unpack_counts(batch.column("pair_total")[i].as_py()).astype(np.float64)
                 before = np.concatenate((np.array([row["end_at"]], dtype=np.uint32), at[:-1]))
                 cu, cw = totals[before], totals[at]
                 lam = weights[bucket(cu)]

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's switch for removing the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -38,8 +41,14 @@ class Scratch:
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.option("compression", codec).parquet(path)
+        """Writes ``df`` and reads it back; the write's shuffle files go as soon as it is done."""
+        path, conf = f"{self.path}/{name}", self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
