@@ -43,7 +43,7 @@ def _record_id(page_id: Column) -> Column:
     """urn:uuid whose last 64 bits are the page id."""
     digits = F.concat(F.lit(_SPACE), F.lpad(F.lower(F.hex(page_id)), 16, "0"))
     parts = [F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+    return F.when(page_id.isNotNull(), F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">")))
 
 
 def _page_of(record_id: str | None) -> int | None:
