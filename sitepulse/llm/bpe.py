@@ -19,6 +19,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitepulse.llm.storage import worker_cache
 
@@ -209,9 +210,10 @@ def encode(
     description = spark.sparkContext.broadcast(tokenizer_json(read_ranks(spark, path), pattern))
     others = [c for c in docs.columns if c not in (text_col, "ids", "offsets")]
     rows = docs.select(*others, F.col(text_col).cast("string").alias("__text"))
-    out = rows.drop("__text").schema.add("ids", "array<int>")
-    if with_offsets:
-        out = out.add("offsets", "array<int>")
+    numbers = T.ArrayType(T.IntegerType())
+    fields = [f for f in rows.schema.fields if f.name != "__text"]
+    added = [T.StructField(c, numbers) for c in ["ids"] + ["offsets"] * with_offsets]
+    out = T.StructType(fields + added)
     return rows.mapInArrow(_encode(description, with_offsets), out)
 
 
@@ -229,7 +231,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 [*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"]
             )
 
-    return encoded.mapInArrow(run, encoded.schema.add("decoded", "binary"))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(

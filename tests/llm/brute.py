@@ -1,0 +1,210 @@
+"""Plain Python versions of the registered queries, written from their definitions."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+UP = {c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def low(s: str) -> str:
+    return "".join(UP.get(c, c) for c in s)
+
+
+def sha(s) -> str:
+    return hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
+
+
+def crc(doc_id) -> int:
+    return zlib.crc32(str("" if doc_id is None else doc_id).encode())
+
+
+def op1(t):
+    by = defaultdict(list)
+    for d, x in t["documents"]:
+        by[x or ""].append(d)
+    out = []
+    for x, ds in by.items():
+        keep = max((d for d in ds if d is not None), default=None)
+        out += [(d, keep, len(ds), d == keep, sha(x)) for d in ds]
+    return out
+
+
+def fingerprint(text) -> int:
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", low(text or ""))
+    sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def groups(nodes, linked):
+    up = {n: n for n in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    nodes = list(nodes)
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if linked(a, b):
+                up[find(a)] = find(b)
+    return {n: find(n) for n in nodes}
+
+
+def op2(t):
+    fps = [(d, fingerprint(x)) for d, x in t["documents"]]
+    root = groups({f for _, f in fps}, lambda a, b: (a ^ b).bit_count() <= 2)
+    least = {}
+    for d, f in fps:
+        if d is not None:
+            least[root[f]] = min(d, least.get(root[f], d))
+    return [(d, f"{f:016x}", least.get(root[f])) for d, f in fps]
+
+
+def op3(t):
+    by = defaultdict(list)
+    rows = [(p, (h or "").encode()) for p, h in t["pages"]]
+    for p, h in rows:
+        if p is not None:
+            by[h].append(p)
+    out = []
+    for p, h in rows:
+        to = max(by[h]) if p is not None and len(h) >= 1000 and max(by[h]) != p else None
+        out.append((p, len(h), hashlib.sha1(h).hexdigest(), "response" if to is None else "revisit", to))
+    return out
+
+
+A = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+KEY = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+
+
+def base_spans(x):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(f"({KEY}){A}", x) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def op4(t):
+    out = []
+    for d, x in t["documents"]:
+        s = base_spans(x or "")
+        n = Counter(k for _, k, _ in s)
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in s)
+        out.append((d, n[0], n[1], n[2], sha(text)))
+    return out
+
+
+def lm(t, weights=None):
+    """(doc_id, held_out, n_tokens, n_known, N, base, score) by plain counters."""
+    toks = [(d, re.findall(r"[^\x20\x09-\x0D]+", low(x or "")) + ["\n"]) for d, x in t["documents"]]
+
+    def counted(rows):
+        one, two = Counter(), Counter()
+        for _, w in rows:
+            one.update(w)
+            two.update(zip(["\n", *w], w))
+        return one, two
+
+    train = [r for r in toks if crc(r[0]) % 7 != 2]
+    one, two = counted(train)
+    n, v = sum(one.values()), len(one)
+
+    def bucket(c):
+        return min(int(math.log2(c)) + 1, 23) if c else 0
+
+    def parts(u, w, one, two, n):
+        return (two[u, w] / one[u] if one[u] else 0.0, one[w] / max(1, n), 1 / (v + 1))
+
+    if weights is None:
+        kept = [r for r in train if crc(r[0]) % 7 != 3]
+        k1, k2 = counted(kept)
+        kn, events = sum(k1.values()), defaultdict(list)
+        for d, ws in train:
+            if crc(d) % 7 == 3:
+                for u, w in zip(["\n", *ws], ws):
+                    events[bucket(k1[u])].append(parts(u, w, k1, k2, kn))
+
+        def em(rows):
+            lam = [0.5, 0.4, 0.1] if any(r[0] for r in rows) else [0.0, 0.8, 0.2]
+            for _ in range(40):
+                new = [0.0, 0.0, 0.0]
+                for p in rows:
+                    s = sum(a * b for a, b in zip(lam, p))
+                    new = [a + l * b / s for a, l, b in zip(new, lam, p)]
+                lam = [a / len(rows) for a in new]
+            return lam
+
+        everything = em([r for rows in events.values() for r in rows]) if events else [0.0, 0.0, 1.0]
+        weights = {k: em(events[k]) if k in events else list(everything) for k in range(24)}
+        weights[0][0] = 0.0
+    out = []
+    for d, ws in toks:
+        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in ws)
+        score = 0.0
+        for u, w in zip(["\n", *ws], ws):
+            lam = weights[bucket(one[u])]
+            lam = [lam[0], lam[1], max(lam[2], 1e-6)]
+            score += math.log10(sum(a * b for a, b in zip(lam, parts(u, w, one, two, n))) / sum(lam))
+        out.append((d, crc(d) % 7 == 2, len(ws), sum(one[w] > 0 for w in ws), n, base, score))
+    return out
+
+
+def op6(t):
+    rx = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    wins = defaultdict(set)
+    for i, x in t["benchmark"]:
+        w = re.findall(rx, low(x or ""))
+        n = min(10, len(w))
+        if i is not None and n:
+            for a in range(len(w) - n + 1):
+                wins[tuple(w[a : a + n])].add(str(i))
+    sizes = {len(k) for k in wins}
+    out = []
+    for d, x in t["documents"]:
+        w = re.findall(rx, low(x or ""))
+        hit, items = set(), set()
+        for n in sizes:
+            for a in range(len(w) - n + 1):
+                if (k := tuple(w[a : a + n])) in wins:
+                    hit.update(range(a, a + n))
+                    items |= wins[k]
+        out.append((d, len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit)))
+    return out
+
+
+def op8(t):
+    def key(line):
+        return low(line.strip(" \t\n\r\x0b\x0c"))
+
+    docs = [(d, (x or "").split("\n")) for d, x in t["documents"]]
+    n = Counter(k for _, ls in docs for k in {key(x) for x in ls} if k)
+    out = []
+    for d, ls in docs:
+        kept = [x for x in ls if n[key(x)] < 10]
+        out.append((d, len(ls), len(ls) - len(kept), sha("\n".join(kept))))
+    return out
+
+
+def op10(t):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = []
+    for d, x in t["documents"]:
+        ids = enc.encode_ordinary(x or "")
+        out.append((d, len(ids), sha(",".join(map(str, ids))), sha(x or "")))
+    return out
