@@ -25,7 +25,7 @@ from sitepulse.operators import (
 )
 from sitepulse.operators.crosstab import activity_levels_wide
 from sitepulse.plans import reports as R
-from sitepulse.sources import ingest
+from sitepulse.sources import ingest, settings
 
 
 def _list(v: str | None):
@@ -47,7 +47,8 @@ def build_report(name: str, reg: DataFrame, log: DataFrame, a: argparse.Namespac
         return month_rollup(log, reg, _date(a.month), roles=roles, **flt)
 
     def detail():
-        return entity_detail(log, reg, _date(a.lo), _date(a.hi), record_ids=_list(a.record_ids), roles=roles, **flt)
+        picked = {"record_ids": _list(a.record_ids), "ids": _list(a.ids)}
+        return entity_detail(log, reg, _date(a.lo), _date(a.hi), roles=roles, **picked, **flt)
 
     def summary():
         return R.block_summary(log, reg, _date(a.as_of), roles=roles)
@@ -93,12 +94,15 @@ def main(argv=None) -> None:
     r.add_argument("--labels", required=True)
     r.add_argument("--root", required=True)
     r.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
+    r.add_argument("--if-stale", action="store_true", help="only if the last refresh is missing or too old")
+    f = sub.add_parser("freshness", help="print the age of the current snapshot")
+    f.add_argument("--root", required=True)
     q = sub.add_parser("report", help="write one report over the current snapshot")
     q.add_argument("name")
     q.add_argument("--root", required=True)
     q.add_argument("--out", required=True)
     q.add_argument("--format", default="csv", choices=["csv", "parquet"])
-    for opt in ("lo", "hi", "day", "month", "as-of", "blocks", "areas", "kinds", "record-ids"):
+    for opt in ("lo", "hi", "day", "month", "as-of", "blocks", "areas", "kinds", "record-ids", "ids"):
         q.add_argument(f"--{opt}")
     q.add_argument("--only-mixed", action="store_true")
     q.add_argument("--sorted", action="store_true", help="write rows in display order (a global sort)")
@@ -106,7 +110,14 @@ def main(argv=None) -> None:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"sitepulse-{a.cmd}").getOrCreate()
     if a.cmd == "refresh":
-        print(ingest.refresh(spark, a.raw, a.labels, a.root, fmt=a.format))
+        job = ingest.refresh_if_stale if a.if_stale else ingest.refresh
+        print(job(spark, a.raw, a.labels, a.root, fmt=a.format) or "up to date")
+        return
+    if a.cmd == "freshness":
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        rows = settings.read(spark, f"{a.root}/settings").where("name = 'last_update'")
+        row = settings.freshness(rows, now, names=["last_update"]).first()
+        print(f"{row['last_update_text'] or 'never'} stale={row['stale']}")
         return
     reg, log = ingest.read_snapshot(spark, a.root)
     df = build_report(a.name, reg, log, a)

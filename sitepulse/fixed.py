@@ -27,3 +27,7 @@ STALE_AFTER_HOURS = 24
 DAY_MONTH_FORMAT = "dd MMM"
 DATE_FORMAT = "dd MMM yyyy"
 MONTH_FORMAT = "MMM yyyy"
+# Cell texts: share of a count, activity level, monthly cell.
+SHARE_TEXT = "%d (%s%%)"
+ACTIVITY_TEXT = "%s / %s Participants (%s%%)"
+MONTHLY_TEXT = "Entered: %s / Activities: %s / Students: %s"

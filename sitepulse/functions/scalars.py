@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 
 from sitepulse.schema import STATUS_DONE, STATUS_LABELS, STATUS_NOT_DONE
 
-from sitepulse.fixed import DATE_FORMAT, KEY_PATTERN, MASK_PATTERN, MASK_TEXT
+from sitepulse.fixed import (
+    DATE_FORMAT,
+    DAY_MONTH_FORMAT,
+    KEY_PATTERN,
+    MASK_PATTERN,
+    MASK_TEXT,
+    MONTH_FORMAT,
+    SHARE_TEXT,
+)
 
 # Text that parses as a plain decimal number (optionally signed, with exponent).
 # Hex, NaN, Inf and Spark's '1d' / '1f' suffix forms are rejected on purpose so
 # the result does not depend on the engine.
-NUMBER_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# No backslash: the same text serves in SQL strings, where one would be lost.
+NUMBER_PATTERN = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def _col(c) -> Column:
@@ -116,7 +125,7 @@ def validate_choice(name: str, values: Iterable | None) -> tuple | None:
         return None
     values = tuple(values)
     if not values:
-        raise ValueError(f"Please select at least one {name}.")
+        raise ValueError(f"{name}: an empty selection matches nothing; pass None for no filter")
     return values
 
 
@@ -124,6 +133,22 @@ def day_text(c, pattern: str = DATE_FORMAT) -> Column:
     return F.date_format(_col(c), pattern)
 
 
+def day_heading(c) -> Column:
+    """Day and month, as heads of daily columns."""
+    return day_text(c, DAY_MONTH_FORMAT)
+
+
+def month_heading(c) -> Column:
+    """Month and year, as head of a monthly table."""
+    return day_text(c, MONTH_FORMAT)
+
+
+def number_text(c) -> Column:
+    """A number without trailing zeros behind the point (12.50 -> 12.5, 3.00 -> 3)."""
+    t = _col(c).cast("string")
+    return F.when(t.contains("."), F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))).otherwise(t)
+
+
 def epoch_seconds_ntz_sql(e: str) -> str:
     """Whole seconds since 1970-01-01 of a TIMESTAMP_NTZ, from its date and
     clock fields only (no session time zone involved, DST-safe)."""
@@ -155,14 +180,24 @@ def percent_text(n, num, den) -> Column:
     Integer arithmetic keeps the text exact on every engine; a zero
     denominator gives the missing-cell text ``"0"``.
     """
-    n, num, den = _col(n), _col(num).cast("long"), _col(den).cast("long")
-    q = F.floor(F.try_divide(num * 20000 + den, den * 2)).cast("long")
+    pct = percent_of(num, den)
+    return F.when(pct.isNotNull(), F.format_string(SHARE_TEXT, _col(n), pct)).otherwise(F.lit("0"))
+
+
+def percent_of(num, den) -> Column:
+    """num/den in percent as text, rounded half-up to two decimals by exact
+    arithmetic (integers or decimals); NULL where den is not positive."""
+    num, den = _col(num).cast(_WIDE), _col(den).cast(_WIDE)
+    q = F.call_function("div", num * 20000 + den, F.nullif(den * 2, F.lit(0)))
     pct = F.concat(
         (q / 100).cast("long").cast("string"),
         F.lit("."),
         F.lpad((q % 100).cast("string"), 2, "0"),
     )
-    return F.when(den > 0, F.format_string("%d (%s%%)", n, pct)).otherwise(F.lit("0"))
+    return F.when(den > 0, pct)
+
+
+_WIDE = "decimal(28,2)"
 
 
 def mask_key(c) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 
 def lit(v) -> str:
-    """A SQL string literal (single quotes doubled, backslashes escaped)."""
+    """A SQL string literal (single quotes and backslashes escaped by a backslash)."""
     return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitepulse.functions.scalars import as_date
-from sitepulse.operators.rollup import _join_registry, entity_keys, filtered_registry
+from sitepulse.operators.rollup import _join_registry, entity_keys, filtered_registry, in_range
 from sitepulse.functions.sqlexpr import ident, in_cell
 from sitepulse.schema import Roles, cells
 
@@ -15,7 +15,7 @@ from sitepulse.schema import Roles, cells
 def _marked_registry(log, registry, day, blocks, areas, kinds, roles, null_safe) -> DataFrame:
     day = as_date(day)
     present = (
-        log.where(F.col(roles.day) == F.lit(day))
+        in_range(log, day, day, roles)
         .select(*entity_keys(log, roles.entity))
         .distinct()
         .withColumn("__present", F.lit(True))

@@ -5,7 +5,9 @@ Each wide table is ONE aggregate with conditional counts/sums per fixed
 cell (requested area x kind), so missing level x cell combinations are
 zero-filled by construction and the pivot needs no value-discovery job.
 Within-block shares are a window over the aggregated rows only (a few rows
-per block), never over the input.
+per block), never over the input.  The level tables hold the requested cells
+only: an entity with another (or no) area or kind code stays in rollups and
+lists, where ``None`` means no filter, but reaches no level row.
 """
 
 from __future__ import annotations
@@ -15,14 +17,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitepulse.functions.sqlexpr import ident, in_cell, lit
+from sitepulse.operators.rollup import exact_sum
 from sitepulse.schema import cells
 
 
-def _sum_type(df: DataFrame, name: str):
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, T.DecimalType):
-        return T.DecimalType(18, dtype.scale)
-    return dtype
+def _cell_sum(df: DataFrame, name: str, area: str, kind: str) -> str:
+    """Zero-filled sum over one cell, in Spark's own sum type; decimals fail on overflow."""
+    e = f"CASE WHEN {in_cell(area, kind)} THEN {ident(name)} END"
+    decimal = isinstance(df.schema[name].dataType, T.DecimalType)
+    return f"coalesce({exact_sum(e) if decimal else f'sum({e})'}, 0)"
+
+
+def _listed(df: DataFrame, cs) -> DataFrame:
+    """Entities of the requested cells; others have no column in a wide table."""
+    return df.where(F.expr(" OR ".join(f"coalesce({in_cell(a, k)}, false)" for a, k, _ in cs)))
 
 
 def _share(c: str, group: str = "block") -> Column:
@@ -36,7 +44,7 @@ def level_counts_wide(rollup: DataFrame, level: str = "entry", areas=None, kinds
     of its cell's entities in the block (``_P``; NULL for an empty cell)."""
     cs = cells(areas, kinds)
     counts = [f"{name}_{level}" for _, _, name in cs]
-    g = rollup.groupBy("block", level).agg(
+    g = _listed(rollup, cs).groupBy("block", level).agg(
         *[F.expr(f"count_if({in_cell(a, k)})").alias(c) for (a, k, _), c in zip(cs, counts)]
     )
     return g.select("block", level, *counts, *[_share(c).alias(f"{c}_P") for c in counts])
@@ -46,16 +54,14 @@ def activity_levels_wide(rollup: DataFrame, areas=None, kinds=None) -> DataFrame
     """As R10 by number of activity days, plus the participants of each
     (block, level, cell) and their share of the cell's participants."""
     cs = cells(areas, kinds)
-    ptype = _sum_type(rollup, "participants").simpleString()
     aggs, n_cols, p_cols = [], [], []
     for a, k, name in cs:
         n, p = f"{name}_activity", f"{name}_participants"
         aggs.append(F.expr(f"count_if({in_cell(a, k)})").alias(n))
-        total = f"CAST(sum(CASE WHEN {in_cell(a, k)} THEN participants END) AS {ptype})"
-        aggs.append(F.expr(f"coalesce({total}, CAST(0 AS {ptype}))").alias(p))
+        aggs.append(F.expr(_cell_sum(rollup, "participants", a, k)).alias(p))
         n_cols.append(n)
         p_cols.append(p)
-    g = rollup.groupBy("block", "activity").agg(*aggs)
+    g = _listed(rollup, cs).groupBy("block", "activity").agg(*aggs)
     return g.select(
         "block",
         "activity",
@@ -69,12 +75,10 @@ def activity_levels_wide(rollup: DataFrame, areas=None, kinds=None) -> DataFrame
 def monthly_crosstab(rollup: DataFrame, areas=None, kinds=None) -> DataFrame:
     """Per block, entries / activities / participants of each cell."""
     cs = cells(areas, kinds)
-    ptype = _sum_type(rollup, "participants").simpleString()
     aggs = []
-    for measure, dtype in (("entry", "bigint"), ("activity", "bigint"), ("participants", ptype)):
+    for measure in ("entry", "activity", "participants"):
         for a, k, name in cs:
-            total = f"CAST(sum(CASE WHEN {in_cell(a, k)} THEN {measure} END) AS {dtype})"
-            aggs.append(F.expr(f"coalesce({total}, CAST(0 AS {dtype}))").alias(f"{measure}_{name}"))
+            aggs.append(F.expr(_cell_sum(rollup, measure, a, k)).alias(f"{measure}_{name}"))
     return rollup.groupBy("block").agg(*aggs)
 
 

@@ -20,12 +20,19 @@ _RN = "__rn"
 
 
 def day_order(roles: Roles) -> list[Column]:
-    """Newest start first, NULL start last, then tiebreak columns descending."""
+    """Newest start first, NULL start last, then the first in source order."""
+    _source_order(roles)
     order = [F.col(roles.start).desc_nulls_last()]
-    order += [F.col(c).desc_nulls_last() for c in roles.tiebreak]
+    order += [F.col(c).asc_nulls_last() for c in roles.tiebreak]
     return order
 
 
+def _source_order(roles: Roles) -> tuple[str, ...]:
+    if not roles.tiebreak:
+        raise ValueError("Roles.tiebreak must name the source-order columns: equal start times need an order")
+    return roles.tiebreak
+
+
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) == 1).drop(_RN)
@@ -33,8 +40,9 @@ def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 def _day_window_sql(roles: Roles) -> str:
     keys = ", ".join(ident(c) for c in (roles.entity, roles.day))
-    order = ", ".join(f"{ident(c)} DESC NULLS LAST" for c in (roles.start, *roles.tiebreak))
-    return f"row_number() OVER (PARTITION BY {keys} ORDER BY {order})"
+    order = [f"{ident(roles.start)} DESC NULLS LAST"]
+    order += [f"{ident(c)} ASC NULLS LAST" for c in _source_order(roles)]
+    return f"row_number() OVER (PARTITION BY {keys} ORDER BY {', '.join(order)})"
 
 
 def latest_per_day(log: DataFrame, roles: Roles = Roles()) -> DataFrame:
@@ -49,9 +57,9 @@ def flag_repeats(log: DataFrame, roles: Roles = Roles(), name: str = "dup") -> D
     one task.  The latest row per group comes from the skew-safe
     ``latest_per_day``; every log row is then matched against it on
     (entity, day, start, tiebreak...).  Hashing on all of those spreads even
-    a hot group over every partition.  The tiebreak columns must make rows
-    unique (as the deterministic pick requires); exact duplicates would
-    all read as latest.
+    a hot group over every partition.  Rows that agree on all of them are
+    numbered, so exactly one of them can be the latest; the numbering runs
+    over such twins only and reuses the join's partitioning.
     """
     cols = [roles.entity, roles.day, roles.start, *roles.tiebreak]
     latest = latest_per_day(log, roles).select(
@@ -59,7 +67,10 @@ def flag_repeats(log: DataFrame, roles: Roles = Roles(), name: str = "dup") -> D
     )
     cond = None
     for i, c in enumerate(cols):
-        eq = log[c].eqNullSafe(latest[f"__l{i}"])
+        eq = F.col(f"__log.{ident(c)}").eqNullSafe(F.col(f"__l{i}"))
         cond = eq if cond is None else cond & eq
-    joined = log.join(latest, cond, "left")
-    return joined.select(*log.columns, F.coalesce(F.col("__dup"), F.lit(True)).alias(name))
+    twins = Window.partitionBy(*[F.col(c) for c in cols]).orderBy(F.lit(1))
+    joined = log.withColumn(_RN, F.row_number().over(twins)).alias("__log")
+    joined = joined.join(latest, cond, "left")
+    first = ~F.coalesce(F.col("__dup"), F.lit(True)) & (F.col(_RN) == 1)
+    return joined.select(*[F.col(f"__log.{ident(c)}") for c in log.columns], (~first).alias(name))

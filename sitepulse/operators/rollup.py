@@ -25,7 +25,7 @@ from sitepulse.functions.scalars import (
     validate_choice,
     validate_range,
 )
-from sitepulse.functions.sqlexpr import ident
+from sitepulse.functions.sqlexpr import ident, lit
 from sitepulse.operators.dedupe import latest_per_day
 from sitepulse.schema import Roles
 
@@ -110,12 +110,20 @@ def filtered_registry(
     )
 
 
+def exact_sum(e: str) -> str:
+    """A sum in Spark's own sum type that fails where it would overflow.
+
+    Without ANSI mode an overflowing decimal sum is NULL, which a later zero
+    fill would publish as 0; a NULL sum of non-NULL values is that case.
+    """
+    return f"CASE WHEN sum({e}) IS NULL AND count({e}) > 0 THEN raise_error('sum overflows') ELSE sum({e}) END"
+
+
 def _measure_sum(log: DataFrame, roles: Roles) -> str:
-    """Sum of the measure; decimals keep their scale at precision 18."""
     dtype = log.schema[roles.measure].dataType
     m = ident(roles.measure)
     if isinstance(dtype, T.DecimalType):
-        return f"CAST(sum({m}) AS DECIMAL(18, {dtype.scale}))"
+        return exact_sum(m)
     if isinstance(dtype, T.StringType):
         return f"sum({safe_number_sql(m)})"
     return f"sum({m})"
@@ -191,6 +199,33 @@ def month_rollup(log, registry, month: dt.date | str, **kw) -> DataFrame:
     return period_rollup(log, registry, lo, hi, **kw)
 
 
+def selection(record_ids=None, ids=None) -> list[str]:
+    """SQL predicates of a selection over a key column written as ``{key}``."""
+    out = []
+    if record_ids is not None:
+        keys = ", ".join(lit(k).replace("{", "{{").replace("}", "}}") for k in validate_choice("school", record_ids))
+        out.append("{key} IN (" + keys + ")")
+    if ids is not None:
+        numbers = ", ".join(f"{float(i)!r}D" for i in validate_choice("school", ids))
+        out.append(safe_number_sql(split_key_sql("{key}")[1]) + f" IN ({numbers})")
+    return out
+
+
+def selected_log(log: DataFrame, reg: DataFrame, picked: list[str], roles: Roles) -> DataFrame:
+    """Log rows of the selected entities.
+
+    Where the log carries the full key itself, the selection is a literal
+    predicate on the log's scan.  Otherwise the log is semi-joined with the
+    selected registry rows, left to Spark's size checks.  Either way it is a
+    filter on the dedupe's own key, so it can run before it.
+    """
+    if roles.entity == roles.key and isinstance(log.schema[roles.entity].dataType, T.StringType):
+        return log.where(F.expr(" AND ".join(p.format(key=ident(roles.entity)) for p in picked)))
+    keys = reg.select(*KEYS).distinct()
+    marked = log.select("*", *entity_keys(log, roles.entity))
+    return join_on_keys(marked, keys, "left_semi").drop(*KEYS)
+
+
 def entity_detail(
     log: DataFrame,
     registry: DataFrame,
@@ -209,14 +244,16 @@ def entity_detail(
 
     An entity without entries in range yields one row with a NULL day.
     ``record_ids`` selects by full key, ``ids`` by numeric ID (which can
-    match one ID at several sites); ``None`` keeps every entity.
+    match one ID at several sites); ``None`` keeps every entity.  A
+    selection also cuts the log before it is deduped (``selected_log``).
     """
     reg = filtered_registry(registry, blocks, areas, kinds, roles)
-    if record_ids is not None:
-        reg = reg.where(F.col("record_id").isin(list(validate_choice("school", record_ids))))
-    if ids is not None:
-        reg = reg.where(F.col("id_num").isin([float(i) for i in validate_choice("school", ids)]))
-    days = latest_per_day(in_range(log, lo, hi, roles), roles)
+    picked = selection(record_ids, ids)
+    rows = in_range(log, lo, hi, roles)
+    if picked:
+        reg = reg.where(F.expr(" AND ".join(p.format(key="record_id") for p in picked)))
+        rows = selected_log(rows, reg, picked, roles)
+    days = latest_per_day(rows, roles)
     mtype = days.schema[roles.measure].dataType.simpleString()
     days = days.select(
         *entity_keys(days, roles.entity),

@@ -12,9 +12,7 @@ left to Spark's size-checked broadcast.
 
 from __future__ import annotations
 
-import weakref
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitepulse.schema import Roles
@@ -46,28 +44,24 @@ TABLE_SCHEMAS = {
 }
 
 
-# Bound tables per session: like the reference's session-global frames, each
-# base table is resolved once per session and every report plans on top of
-# it.  Only DataFrame definitions are kept (no data is cached), and the key is
-# the session object itself, so a new session binds afresh.
-_BOUND: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
-
-
-def _bound(spark: SparkSession, key: tuple, make) -> DataFrame:
-    per = _BOUND.setdefault(spark, {})
-    if key not in per:
-        per[key] = make()
-    return per[key]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    def make():
-        reader = spark.read
-        if name in TABLE_SCHEMAS:
-            reader = reader.schema(TABLE_SCHEMAS[name])
-        return reader.parquet(f"{sf_dir}/{name}.parquet")
-
-    return _bound(spark, ("table", sf_dir, name), make)
+    """Reads the files that are there now: every call lists them anew."""
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def exact_measure(c: str) -> Column:
+    """A double as DECIMAL(28, 10), so that sums do not depend on their order.
+
+    NaN counts as missing.  A number too large for the type fails the job:
+    it must not leave the sums silently.
+    """
+    return F.expr(
+        f"CASE WHEN {c} IS NULL OR isnan({c}) THEN NULL ELSE"
+        f" coalesce(try_cast({c} AS DECIMAL(28, 10)), raise_error('measure does not fit DECIMAL(28,10)')) END"
+    )
 
 
 def _lookup(c, mapping: dict):
@@ -78,10 +72,6 @@ def _lookup(c, mapping: dict):
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bound(spark, ("registry", sf_dir), lambda: _registry(spark, sf_dir))
-
-
-def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
     )
@@ -102,35 +92,25 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bound(spark, ("events_log", sf_dir), lambda: _events_log(spark, sf_dir))
-
-
-def _events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("user_id").alias("entity_key"),
         F.col("ts").alias("task_start_date"),
         F.to_date("ts").alias("task_schedule_date"),
         _lookup(F.col("event_type"), EVENT_STATUS).cast("int").alias("brush_activity"),
-        F.when(F.col("event_type") != NO_MEASURE_EVENT, F.col("value").try_cast("decimal(12,2)")).alias(
-            "participants"
-        ),
+        F.when(F.col("event_type") != NO_MEASURE_EVENT, exact_measure("value")).alias("participants"),
         F.col("event_id").alias("seq"),
     )
 
 
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bound(spark, ("orders_log", sf_dir), lambda: _orders_log(spark, sf_dir))
-
-
-def _orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_custkey").alias("entity_key"),
         F.col("o_orderdate").alias("task_start_date"),
         F.to_date("o_orderdate").alias("task_schedule_date"),
         _lookup(F.col("o_orderstatus"), ORDER_STATUS).cast("int").alias("brush_activity"),
-        F.col("o_totalprice").try_cast("decimal(12,2)").alias("participants"),
+        exact_measure("o_totalprice").alias("participants"),
         F.col("o_orderkey").alias("seq"),
     )
 

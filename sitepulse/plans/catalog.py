@@ -183,7 +183,7 @@ def q_settings_latest(spark, sf_dir):
 
 def q_freshness(spark, sf_dir):
     latest = settings.latest(synth.settings_rows(spark, sf_dir))
-    return settings.freshness(latest, P.NOW)
+    return settings.freshness(latest, P.NOW, names=[P.MISSING_SETTING])
 
 
 def q_masked_keys(spark, sf_dir):
@@ -219,6 +219,93 @@ def q_cell_text(spark, sf_dir):
     return R.coverage_cell_text(_coverage(spark, sf_dir))
 
 
+def _picked(spark, sf_dir) -> DataFrame:
+    b = bind_events(spark, sf_dir)
+    return entity_detail(b.log, b.registry, *P.RANGE, ids=P.PICKED_IDS, roles=b.roles)
+
+
+def q_entity_detail_selected(spark, sf_dir):
+    return _picked(spark, sf_dir)
+
+
+def q_entity_day_list_selected(spark, sf_dir):
+    return R.entity_day_list(_picked(spark, sf_dir))
+
+
+def q_entity_kpis_selected(spark, sf_dir):
+    """By full key: every school of the picked ids, whatever its region."""
+    b = bind_events(spark, sf_dir)
+    keys = [f"S{region}-{i}" for region in range(5) for i in P.PICKED_IDS]
+    return R.entity_kpis(entity_detail(b.log, b.registry, *P.RANGE, record_ids=keys, roles=b.roles))
+
+
+def q_latest_per_day_ties(spark, sf_dir):
+    """Orders carry a date only, so every order of a customer and day ties."""
+    b = bind_orders(spark, sf_dir)
+    return latest_per_day(b.log, b.roles)
+
+
+def q_period_rollup_large(spark, sf_dir):
+    """Measures far above 1e10 stay in every sum."""
+    b = bind_events(spark, sf_dir)
+    kind = b.log.schema["participants"].dataType.simpleString()
+    log = b.log.withColumn(
+        "participants", F.expr(f"CAST(participants * CAST({P.LARGE_FACTOR} AS DECIMAL(10, 0)) AS {kind})")
+    )
+    return period_rollup(log, b.registry, *P.RANGE, roles=b.roles)
+
+
+def _awkward(spark, sf_dir):
+    b = bind_events(spark, sf_dir)
+    reg, log = synth.awkward(spark, b.registry, b.log)
+    return reg, log, b.roles
+
+
+def q_awkward_rollup(spark, sf_dir):
+    reg, log, roles = _awkward(spark, sf_dir)
+    return period_rollup(log, reg, *P.RANGE, roles=roles)
+
+
+def q_awkward_entry_levels(spark, sf_dir):
+    return R.entry_levels_wide(q_awkward_rollup(spark, sf_dir))
+
+
+def q_awkward_activity_levels(spark, sf_dir):
+    return activity_levels_wide(q_awkward_rollup(spark, sf_dir))
+
+
+def q_awkward_coverage_wide(spark, sf_dir):
+    reg, log, roles = _awkward(spark, sf_dir)
+    return daily_coverage_wide(log, reg, P.DAY, roles=roles)
+
+
+def q_awkward_coverage_mixed(spark, sf_dir):
+    reg, log, roles = _awkward(spark, sf_dir)
+    return daily_coverage_long(log, reg, P.DAY, roles=roles, only_mixed=True)
+
+
+def q_awkward_block_summary(spark, sf_dir):
+    reg, log, roles = _awkward(spark, sf_dir)
+    return R.block_summary(log, reg, P.AS_OF, roles=roles)
+
+
+def q_awkward_series_by_block(spark, sf_dir):
+    reg, log, roles = _awkward(spark, sf_dir)
+    return R.daily_series_by_block(log, reg, roles=roles)
+
+
+def q_entry_cell_text(spark, sf_dir):
+    return R.entry_cell_text(q_entry_levels_long(spark, sf_dir))
+
+
+def q_activity_cell_text(spark, sf_dir):
+    return R.activity_cell_text(q_activity_levels_long(spark, sf_dir))
+
+
+def q_series_headings(spark, sf_dir):
+    return R.series_headings(q_daily_series(spark, sf_dir))
+
+
 def _double_outputs(fn: Query) -> Query:
     """Registered results carry decimals as DOUBLE.
 

@@ -7,10 +7,21 @@ the Spark operators, only the parameters and the role bindings.
 from __future__ import annotations
 
 from sitepulse.plans import params as P
-from sitepulse.schema import cells
 
 NUM_RE = r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
+
+def cells() -> list[tuple[str, str, str]]:
+    """The oracle's own cell list: (area, kind, name)."""
+    return [
+        ("R", "GS", "R_GS"),
+        ("U", "GS", "U_GS"),
+        ("R", "GA", "R_GA"),
+        ("U", "GA", "U_GA"),
+        ("R", "PS", "R_PS"),
+        ("U", "PS", "U_PS"),
+    ]
+
 REGISTRY = """registry AS (
   SELECT c.c_custkey AS entity_key,
          'S' || CAST(n.n_regionkey AS VARCHAR) || '-' || CAST(c.c_custkey AS VARCHAR) AS record_id,
@@ -32,7 +43,7 @@ EVENTS_LOG = """log AS (
          CAST(ts AS DATE) AS task_schedule_date,
          CAST(CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 1 WHEN 'view' THEN 2 END AS INTEGER)
            AS brush_activity,
-         CASE WHEN event_type <> 'error' THEN TRY_CAST(value AS DECIMAL(12,2)) END AS participants,
+         CASE WHEN event_type <> 'error' THEN TRY_CAST(value AS DECIMAL(28,10)) END AS participants,
          event_id AS seq
   FROM events
 )"""
@@ -42,7 +53,7 @@ ORDERS_LOG = """log AS (
          o_orderdate AS task_start_date,
          CAST(o_orderdate AS DATE) AS task_schedule_date,
          CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS INTEGER) AS brush_activity,
-         TRY_CAST(o_totalprice AS DECIMAL(12,2)) AS participants,
+         TRY_CAST(o_totalprice AS DECIMAL(28,10)) AS participants,
          o_orderkey AS seq
   FROM orders
 )"""
@@ -57,6 +68,16 @@ log AS (
 )"""
 
 
+def number_text(c: str) -> str:
+    return f"regexp_replace(CAST({c} AS VARCHAR), '[.]?0+$', '')"
+
+
+def percent(num: str, den: str) -> str:
+    """num/den in percent, half-up to two decimals; whole numbers only."""
+    q = f"(({num}) * 20000 + ({den})) // (({den}) * 2)"
+    return f"CAST({q} // 100 AS VARCHAR) || '.' || lpad(CAST({q} % 100 AS VARCHAR), 2, '0')"
+
+
 def site_of(c: str) -> str:
     return f"CASE WHEN strpos({c}, '-') > 0 THEN substr({c}, 1, strpos({c}, '-') - 1) ELSE {c} END"
 
@@ -84,7 +105,7 @@ def days_cte(lo, hi) -> str:
     return f"""days AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY entity_key, task_schedule_date
-                                 ORDER BY task_start_date DESC NULLS LAST, seq DESC NULLS LAST) AS rn
+                                 ORDER BY task_start_date DESC NULLS LAST, seq ASC NULLS LAST) AS rn
     FROM log WHERE task_schedule_date BETWEEN {d(lo)} AND {d(hi)}
   ) WHERE rn = 1
 )"""
@@ -109,14 +130,14 @@ def rollup_ctes(lo, hi, **filters) -> str:
     return f"""{days_cte(lo, hi)},
 totals AS (
   SELECT entity_key, count(*) AS entry,
-         CAST(sum(participants) AS DECIMAL(18,2)) AS participants,
+         sum(participants) AS participants,
          CAST(sum({STATUS01}) AS BIGINT) AS activity
   FROM days GROUP BY entity_key
 ),
 rollup AS (
   SELECT {ENTITY_COLS},
          CAST(coalesce(t.entry, 0) AS BIGINT) AS entry,
-         coalesce(t.participants, CAST(0 AS DECIMAL(18,2))) AS participants,
+         coalesce(t.participants, 0) AS participants,
          CAST(coalesce(t.activity, 0) AS BIGINT) AS activity
   FROM registry g LEFT JOIN totals t ON g.entity_key IS NOT DISTINCT FROM t.entity_key
   WHERE {reg_filter(**filters)}
@@ -129,7 +150,7 @@ detail AS (
   SELECT {ENTITY_COLS},
          dd.task_schedule_date, dd.brush_activity AS status_raw,
          coalesce(CASE dd.brush_activity WHEN 1 THEN 1 WHEN 2 THEN 0 END, 0) AS brush_activity,
-         coalesce(dd.participants, CAST(0 AS DECIMAL(12,2))) AS participants
+         coalesce(dd.participants, 0) AS participants
   FROM registry g LEFT JOIN days dd ON g.entity_key IS NOT DISTINCT FROM dd.entity_key
 )"""
 
@@ -154,6 +175,9 @@ def cell(a, k) -> str:
     return f"(area_type = '{a}' AND school_type = '{k}')"
 
 
+LISTED = "area_type IN ('R', 'U') AND school_type IN ('GS', 'GA', 'PS')"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -170,7 +194,7 @@ def entry_levels_wide_cte() -> str:
     return f"""lv AS (
   SELECT block, entry,
          {counts}
-  FROM rollup GROUP BY block, entry
+  FROM rollup WHERE {LISTED} GROUP BY block, entry
 ),
 wide AS (
   SELECT block, entry, {names},
@@ -185,8 +209,7 @@ def activity_levels_wide_cte() -> str:
     for a, k, n in cs:
         aggs.append(f"CAST(count_if(coalesce({cell(a, k)}, FALSE)) AS BIGINT) AS {n}_activity")
         aggs.append(
-            f"coalesce(CAST(sum(CASE WHEN {cell(a, k)} THEN participants END) AS DECIMAL(18,2)), "
-            f"CAST(0 AS DECIMAL(18,2))) AS {n}_participants"
+            f"coalesce(sum(CASE WHEN {cell(a, k)} THEN participants END), 0) AS {n}_participants"
         )
     cols = []
     for suffix in ("activity", "participants"):
@@ -196,7 +219,7 @@ def activity_levels_wide_cte() -> str:
     return f"""lv AS (
   SELECT block, activity,
          {sep.join(aggs)}
-  FROM rollup GROUP BY block, activity
+  FROM rollup WHERE {LISTED} GROUP BY block, activity
 ),
 wide AS (
   SELECT block, activity,
@@ -215,7 +238,7 @@ def unpivot(id_cols: str, templates: dict[str, str]) -> str:
 
 def monthly_crosstab_sql() -> str:
     aggs = []
-    for m, typ in (("entry", "BIGINT"), ("activity", "BIGINT"), ("participants", "DECIMAL(18,2)")):
+    for m, typ in (("entry", "BIGINT"), ("activity", "BIGINT"), ("participants", "DECIMAL(38,10)")):
         for a, k, n in cells():
             aggs.append(
                 f"coalesce(CAST(sum(CASE WHEN {cell(a, k)} THEN {m} END) AS {typ}), CAST(0 AS {typ})) AS {m}_{n}"
@@ -254,21 +277,21 @@ summary AS (
 
 
 RAW = """raw AS (
-  SELECT record_id, CAST(NULL AS VARCHAR) AS redcap_repeat_instrument, site, area_type, school_type,
+  SELECT 'C-' || CAST(entity_key AS VARCHAR) AS record_id, CAST(NULL AS VARCHAR) AS redcap_repeat_instrument, site, area_type, school_type,
          school AS school1, CAST(NULL AS TIMESTAMP) AS task_start_date, CAST(NULL AS DATE) AS task_schedule_date,
          CAST(NULL AS DATE) AS activity_date, CAST(NULL AS INTEGER) AS brush_activity_1_5,
-         CAST(NULL AS VARCHAR) AS first_to_fifth_participants
+         CAST(NULL AS VARCHAR) AS first_to_fifth_participants, CAST(NULL AS BIGINT) AS redcap_repeat_instance
   FROM registry
   UNION ALL
-  SELECT g.record_id, 'implementation_status', NULL, NULL, NULL, NULL, e.ts, CAST(e.ts AS DATE), CAST(e.ts AS DATE),
+  SELECT 'C-' || CAST(e.user_id AS VARCHAR), 'implementation_status', NULL, NULL, NULL, NULL, e.ts, CAST(e.ts AS DATE), CAST(e.ts AS DATE),
          CAST(CASE e.event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 1 WHEN 'view' THEN 2 END AS INTEGER),
-         CASE WHEN e.event_type = 'error' THEN 'n/a' ELSE CAST(e.value AS VARCHAR) END
-  FROM events e LEFT JOIN registry g ON e.user_id = g.entity_key
+         CASE WHEN e.event_type = 'error' THEN 'n/a' ELSE CAST(e.value AS VARCHAR) END, e.event_id
+  FROM events e
 ),
 labels AS (
-  SELECT record_id, block AS block1 FROM registry
+  SELECT 'C-' || CAST(entity_key AS VARCHAR) AS record_id, block AS block1 FROM registry
   UNION ALL
-  SELECT record_id, CAST(NULL AS VARCHAR) FROM registry WHERE school_type = 'GA'
+  SELECT 'C-' || CAST(entity_key AS VARCHAR), CAST(NULL AS VARCHAR) FROM registry WHERE school_type = 'GA'
 ),
 registry_x AS (
   SELECT r.record_id, r.site, r.area_type, r.school_type, r.school1 AS school, l.block1 AS block
@@ -299,7 +322,7 @@ def freshness_sql(now) -> str:
     ts = "make_timestamp(CAST(round(v * 1000000) AS BIGINT))"
     return f"""SELECT name, {ts} AS last_update, {age} AS age_hours, round_even({age}, 0) AS age_hours_rounded,
        (v IS NULL OR {age} > 24) AS stale, strftime({ts}, '%d %b %Y %I:%M %p') AS last_update_text
-FROM (SELECT name, {num_of('value')} AS v FROM latest)"""
+FROM (SELECT name, {num_of('value')} AS v FROM latest UNION ALL SELECT '{P.MISSING_SETTING}', NULL)"""
 
 
 ROLLUP_OUT = "SELECT * REPLACE (CAST(participants AS DOUBLE) AS participants) FROM rollup"
@@ -328,7 +351,7 @@ def build() -> dict[str, str]:
     q["month_rollup_orders"] = with_(REGISTRY, ORDERS_LOG, rollup_ctes(olo, ohi)) + ROLLUP_OUT
     q["latest_per_day"] = with_(*ev) + """SELECT * EXCLUDE (rn) REPLACE (CAST(participants AS DOUBLE) AS participants) FROM (
   SELECT *, row_number() OVER (PARTITION BY entity_key, task_schedule_date
-                               ORDER BY task_start_date DESC NULLS LAST, seq DESC NULLS LAST) AS rn FROM log
+                               ORDER BY task_start_date DESC NULLS LAST, seq ASC NULLS LAST) AS rn FROM log
 ) WHERE rn = 1"""
     detail = with_(*ev, detail_ctes(lo, hi))
     q["entity_detail"] = detail + "SELECT * REPLACE (CAST(participants AS DOUBLE) AS participants) FROM detail"
@@ -408,7 +431,8 @@ GROUP BY g.block, l.task_schedule_date"""
     raw = with_(REGISTRY, RAW)
     q["registry_extract"] = raw + "SELECT * FROM registry_x"
     q["log_extract"] = raw + f"""SELECT record_id, task_start_date, task_schedule_date, activity_date,
-       brush_activity_1_5 AS brush_activity, {num_of('first_to_fifth_participants')} AS participants
+       brush_activity_1_5 AS brush_activity, {num_of('first_to_fifth_participants')} AS participants,
+       redcap_repeat_instance AS seq
 FROM raw WHERE redcap_repeat_instrument = 'implementation_status'"""
     q["code_labels"] = raw + """SELECT record_id, block, area_type,
        CASE area_type WHEN 'R' THEN 'Rural' WHEN 'U' THEN 'Urban' END AS area_label,
@@ -434,6 +458,9 @@ FROM keys"""
          CASE c_mktsegment
            WHEN 'MACHINERY' THEN c_name
            WHEN 'BUILDING' THEN 'S' || CAST(c_nationkey AS VARCHAR) || '-' || CAST(c_custkey AS VARCHAR) || '-x'
+           WHEN 'HOUSEHOLD' THEN 'S' || CAST(c_nationkey AS VARCHAR) || '-' || CAST(c_custkey AS VARCHAR) || 'd'
+           WHEN 'FURNITURE' THEN 'S' || CAST(c_nationkey AS VARCHAR) || '-' || CAST(c_custkey AS VARCHAR)
+                                 || CASE WHEN c_acctbal > 5000 THEN 'x5' ELSE 'f' END
            ELSE 'S' || CAST(c_nationkey AS VARCHAR) || '-' || CAST(c_custkey AS VARCHAR) END AS key
   FROM customer
 )
@@ -450,21 +477,104 @@ FROM k"""
     )
     q["repeat_flags"] = with_(*ev) + """SELECT seq, entity_key, task_schedule_date,
        row_number() OVER (PARTITION BY entity_key, task_schedule_date
-                          ORDER BY task_start_date DESC NULLS LAST, seq DESC NULLS LAST) > 1 AS dup
+                          ORDER BY task_start_date DESC NULLS LAST, seq ASC NULLS LAST) > 1 AS dup
 FROM log"""
     q["daily_series_deduped"] = with_(*ev) + """SELECT task_schedule_date AS day, count(*) AS entries FROM (
   SELECT DISTINCT entity_key, task_schedule_date FROM log
 ) GROUP BY 1"""
     texts = ",\n       ".join(
         f"'Entered: ' || CAST(entry_{n} AS VARCHAR) || ' / Activities: ' || CAST(activity_{n} AS VARCHAR)"
-        f" || ' / Students: ' || CAST(participants_{n} AS VARCHAR) AS {n}"
+        f" || ' / Students: ' || {number_text(f'participants_{n}')} AS {n}"
         for _, _, n in cells()
     )
     q["monthly_cell_text"] = (
         with_(*ev, rollup_ctes(mlo, mhi), "ct AS (" + monthly_crosstab_sql() + ")")
         + f"SELECT block,\n       {texts}\nFROM ct"
     )
+    picked = ", ".join(str(i) for i in P.PICKED_IDS)
+    chosen = detail + "SELECT {} FROM detail WHERE id_num IN (" + picked + ")"
+    q["entity_detail_selected"] = chosen.format("* REPLACE (CAST(participants AS DOUBLE) AS participants)")
+    q["entity_day_list_selected"] = chosen.format(
+        "record_id, task_schedule_date, strftime(task_schedule_date, '%d %b %Y') AS date_text,"
+        " CASE brush_activity WHEN 0 THEN 'Not done' WHEN 1 THEN 'Done' END AS activity_text"
+    )
+    q["entity_kpis_selected"] = (
+        chosen.format(
+            "record_id, count(task_schedule_date) AS entries,"
+            " CAST(coalesce(sum(brush_activity), 0) AS BIGINT) AS activities"
+        )
+        + " GROUP BY record_id"
+    )
+    q["latest_per_day_ties"] = q["latest_per_day"].replace(EVENTS_LOG, ORDERS_LOG)
+    large = EVENTS_LOG.replace(
+        "TRY_CAST(value AS DECIMAL(28,10))",
+        f"CAST(TRY_CAST(value AS DECIMAL(28,10)) * CAST({P.LARGE_FACTOR} AS DECIMAL(10,0)) AS DECIMAL(28,10))",
+    )
+    q["period_rollup_large"] = with_(REGISTRY, large, rollup_ctes(lo, hi)) + ROLLUP_OUT
+    odd = [
+        REGISTRY.replace("registry AS", "registry0 AS", 1),
+        EVENTS_LOG.replace("log AS", "log0 AS", 1),
+        AWKWARD,
+    ]
+    odd_rollup = rollup_ctes(lo, hi)
+    q["awkward_rollup"] = with_(*odd, odd_rollup) + ROLLUP_OUT
+    q["awkward_entry_levels"] = with_(*odd, odd_rollup, entry_levels_wide_cte()) + "SELECT * FROM wide"
+    q["awkward_activity_levels"] = (
+        with_(*odd, odd_rollup, activity_levels_wide_cte())
+        + doubles(f"{n}_participants" for _, _, n in cells())
+        + " FROM wide"
+    )
+    for name, plain in (
+        ("awkward_coverage_wide", "daily_coverage_wide"),
+        ("awkward_coverage_mixed", "daily_coverage_mixed_only"),
+        ("awkward_block_summary", "block_summary"),
+        ("awkward_series_by_block", "daily_series_by_block"),
+    ):
+        q[name] = q[plain].replace(",\n".join(ev), ",\n".join(odd))
+        assert q[name] != q[plain], name
+    cell_key = "PARTITION BY block, area_type, school_type"
+    q["entry_cell_text"] = f"""SELECT block, entry, area_type, school_type,
+       CASE WHEN den > 0 THEN CAST(n AS VARCHAR) || ' (' || {percent('n', 'den')} || '%)' ELSE '0' END AS cell_text
+FROM (SELECT *, CAST(sum(n) OVER ({cell_key}) AS BIGINT) AS den FROM ({q["entry_levels_long"]}))"""
+    # two decimals at most in the measures: whole numbers of hundredths
+    q["activity_cell_text"] = f"""SELECT block, activity, area_type, school_type,
+       CASE WHEN den > 0 THEN CAST(n AS VARCHAR) || ' (' || {percent('n', 'den')} || '%)' ELSE '0' END
+         || ' / ' || {number_text('p')} || ' Participants ('
+         || CASE WHEN pden > 0 THEN {percent('pnum', 'pden')} ELSE '0' END || '%)' AS cell_text
+FROM (
+  SELECT *, CAST(sum(n) OVER ({cell_key}) AS BIGINT) AS den, CAST(p * 100 AS HUGEINT) AS pnum,
+         CAST(sum(p) OVER ({cell_key}) * 100 AS HUGEINT) AS pden
+  FROM ({q["activity_levels_long"]})
+)"""
+    q["activity_cell_text"] = q["activity_cell_text"].replace("AS DOUBLE) AS participants", "AS DECIMAL(28,10)) AS p")
+    q["series_headings"] = with_(*ev) + """SELECT day, strftime(day, '%d %b') AS day_text,
+       strftime(day, '%b %Y') AS month_text, entries
+FROM (SELECT task_schedule_date AS day, count(*) AS entries FROM log GROUP BY 1)"""
     return q
 
 
+AWKWARD = f"""log AS (
+  SELECT entity_key,
+         CASE WHEN brush_activity IS NOT NULL THEN task_start_date END AS task_start_date,
+         CASE WHEN participants IS NOT NULL THEN task_schedule_date END AS task_schedule_date,
+         brush_activity, participants, seq
+  FROM (
+    SELECT l.* FROM log0 l
+    WHERE NOT (coalesce(l.task_schedule_date = {d(P.DAY)}, FALSE)
+               AND l.entity_key IN (SELECT entity_key FROM registry0 WHERE block = 'AFRICA'))
+    UNION ALL
+    SELECT entity_key, CAST({d(P.DAY)} AS TIMESTAMP), {d(P.DAY)}, 1, 1, -1 FROM registry0 WHERE block = 'EUROPE'
+  )
+),
+registry AS (
+  SELECT entity_key, record_id, site,
+         CASE WHEN block = 'ASIA' AND area_type = 'R' AND school_type = 'GS' THEN NULL ELSE area_type END AS area_type,
+         CASE WHEN block = 'AMERICA' AND school_type = 'PS' THEN 'XX' ELSE school_type END AS school_type,
+         school, CASE WHEN block = 'MIDDLE EAST' THEN NULL ELSE block END AS block
+  FROM registry0
+  WHERE NOT (block = 'ASIA' AND area_type = 'R' AND school_type = 'PS')
+    AND NOT (block = 'AFRICA' AND area_type = 'U' AND school_type = 'PS')
+)"""
+
+
 ORACLE = build()

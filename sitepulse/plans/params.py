@@ -12,3 +12,7 @@ FILTER_AREAS = ("U",)
 FILTER_KINDS = ("GS", "PS")
 NOW = dt.datetime(2024, 1, 31, 0, 0, 0)
 FIRST_K = 3
+# Numeric ids of the schools picked in the entity reports.
+PICKED_IDS = (1, 7, 12, 20)
+MISSING_SETTING = "never/written"
+LARGE_FACTOR = 1_000_000_000

@@ -16,15 +16,19 @@ from sitepulse.functions.sqlexpr import lit as sql_lit
 from sitepulse.functions.scalars import (
     as_date,
     recode_status_sql,
+    day_heading,
     day_text,
+    month_heading,
+    number_text,
+    percent_of,
     percent_text,
     status_label,
     validate_choice,
 )
-from sitepulse.fixed import DATE_FORMAT
+from sitepulse.fixed import ACTIVITY_TEXT, DATE_FORMAT, MONTHLY_TEXT
 from sitepulse.operators.crosstab import activity_levels_wide, level_counts_wide, wide_to_long
 from sitepulse.operators.dedupe import latest_per_day
-from sitepulse.operators.rollup import entity_keys, filtered_registry, join_on_keys
+from sitepulse.operators.rollup import entity_keys, filtered_registry, in_range, join_on_keys
 from sitepulse.schema import AREAS, KINDS, Roles
 
 # ---------------------------------------------------------------- R1-R3 cards
@@ -51,7 +55,7 @@ def block_summary(
     day = as_date(as_of) - dt.timedelta(days=1)
     areas = AREAS if areas is None else tuple(areas)
     kinds = KINDS if kinds is None else tuple(kinds)
-    rows = log.where(F.expr(f"{ident(roles.day)} = DATE'{day.isoformat()}'"))
+    rows = in_range(log, day, day, roles)
     if dedupe:
         rows = latest_per_day(rows, roles)
     status = recode_status_sql(ident(roles.status))
@@ -283,23 +287,34 @@ def coverage_cell_text(coverage_long: DataFrame) -> DataFrame:
 def activity_cell_text(activity_long: DataFrame) -> DataFrame:
     """Activity-level cell as shown, without HTML:
     ``n (p%) / k Participants (q%)``."""
-    n_tot = F.sum("n").over(Window.partitionBy("block", "area_type", "school_type"))
+    cell = Window.partitionBy("block", "area_type", "school_type")
     return activity_long.select(
         "block",
         "activity",
         "area_type",
         "school_type",
-        F.concat(
-            percent_text("n", "n", n_tot),
-            F.lit(" / "),
-            F.col("participants").cast("string"),
-            F.lit(" Participants ("),
-            F.format_number(F.coalesce(F.col("participants_share"), F.lit(0.0)) * 100, 2),
-            F.lit("%)"),
+        F.format_string(
+            ACTIVITY_TEXT,
+            percent_text("n", "n", F.sum("n").over(cell)),
+            number_text("participants"),
+            F.coalesce(percent_of("participants", F.sum("participants").over(cell)), F.lit("0")),
         ).alias("cell_text"),
     )
 
 
+def entry_cell_text(entry_long: DataFrame) -> DataFrame:
+    """Entry-level cell as shown: ``n (p%)`` of the cell's entities in the block."""
+    cell = Window.partitionBy("block", "area_type", "school_type")
+    return entry_long.select(
+        "block", "entry", "area_type", "school_type", percent_text("n", "n", F.sum("n").over(cell)).alias("cell_text")
+    )
+
+
+def series_headings(series: DataFrame) -> DataFrame:
+    """The daily series with the day and month texts that head its columns."""
+    return series.select("day", day_heading("day").alias("day_text"), month_heading("day").alias("month_text"), "entries")
+
+
 def monthly_cell_text(crosstab: DataFrame, areas=None, kinds=None) -> DataFrame:
     """Monthly crosstab cell as shown: ``Entered: e / Activities: a / Students: s``."""
     from sitepulse.schema import cells
@@ -308,10 +323,10 @@ def monthly_cell_text(crosstab: DataFrame, areas=None, kinds=None) -> DataFrame:
         "block",
         *[
             F.format_string(
-                "Entered: %s / Activities: %s / Students: %s",
+                MONTHLY_TEXT,
                 F.col(f"entry_{c}"),
                 F.col(f"activity_{c}"),
-                F.col(f"participants_{c}"),
+                number_text(f"participants_{c}"),
             ).alias(c)
             for _, _, c in cells(areas, kinds)
         ],

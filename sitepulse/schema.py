@@ -23,9 +23,9 @@ class Roles:
     """Column roles.  Operators read inputs through these names only.
 
     ``entity`` is the join key and must exist under that name in both the
-    registry and the log.  ``tiebreak`` columns order equal start times
-    (all descending, highest wins) so the latest-per-day pick is
-    deterministic.
+    registry and the log.  ``tiebreak`` columns carry the source order: of
+    entries with equal start times the first one in that order wins (all
+    ascending).  The latest-per-day pick refuses to run without them.
     """
 
     entity: str = "record_id"
@@ -63,6 +63,7 @@ LOG_SCHEMA = T.StructType(
         T.StructField("activity_date", T.DateType()),
         T.StructField("brush_activity", T.IntegerType()),
         T.StructField("participants", T.DoubleType()),
+        T.StructField("seq", T.LongType()),
     ]
 )
 
@@ -75,11 +76,13 @@ SETTINGS_SCHEMA = T.StructType(
 )
 
 # Raw form export: registry rows have a NULL repeat instrument, log rows carry
-# LOG_INSTRUMENT.  Participants arrive as text and are coerced on extract.
+# LOG_INSTRUMENT and, in the repeat instance, their order within the record.
+# Participants arrive as text and are coerced on extract.
 RAW_EXPORT_SCHEMA = T.StructType(
     [
         T.StructField("record_id", T.StringType()),
         T.StructField("redcap_repeat_instrument", T.StringType()),
+        T.StructField("redcap_repeat_instance", T.LongType()),
         T.StructField("site", T.StringType()),
         T.StructField("area_type", T.StringType()),
         T.StructField("school_type", T.StringType()),
@@ -105,5 +108,5 @@ def cells(areas=None, kinds=None) -> list[tuple[str, str, str]]:
     areas = AREAS if areas is None else tuple(areas)
     kinds = KINDS if kinds is None else tuple(kinds)
     if not areas or not kinds:
-        raise ValueError("Please select at least one Area type and one School type.")
+        raise ValueError("a crosstab needs one area type and one school type or more")
     return [(a, k, f"{a}_{k}") for k in kinds for a in areas]

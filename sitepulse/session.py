@@ -11,7 +11,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from the session; the library never invents a machine-local
     folder.  The SparkContext is pointed at it if it is not already.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         raise ValueError("spark.checkpoint.dir is not set; a shared folder is required to cut lineage")
     if spark.sparkContext.getCheckpointDir() is None:

@@ -33,6 +33,8 @@ from sitepulse.schema import Roles
 from sitepulse.sources import settings as S
 
 CORRUPT = "_corrupt_record"
+#: Share of rows with a value that does not parse above which a refresh fails.
+MAX_REJECTED = 0.1
 
 
 def read_export(spark: SparkSession, path: str, fmt: str = "parquet", schema=RAW_EXPORT_SCHEMA) -> DataFrame:
@@ -58,11 +60,22 @@ def read_export(spark: SparkSession, path: str, fmt: str = "parquet", schema=RAW
 
 def _read_csv_by_name(spark: SparkSession, path: str, schema) -> DataFrame:
     """csv header names select the columns (a csv schema would bind by
-    position); each typed value is a ``try_cast``, and a row with a value
-    that is present but does not parse is marked corrupt."""
-    raw = spark.read.option("header", True).csv(path)
-    present = set(raw.columns)
-    cols, bad = [], []
+    position); all files must have the same header, which Spark checks file
+    by file.  Each typed value is a ``try_cast``.  A row with a value that is
+    present but does not parse, or with too few or too many fields, is
+    marked corrupt."""
+    names = spark.read.option("header", True).csv(path).columns
+    present = set(names)
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    raw = (
+        spark.read.schema(text)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .csv(path)
+    )
+    cols, bad = [], [F.col(CORRUPT).isNotNull()]
     for f in schema.fields:
         src = F.col(f"`{f.name}`") if f.name in present else F.lit(None).cast("string")
         if isinstance(f.dataType, T.StringType):
@@ -74,8 +87,8 @@ def _read_csv_by_name(spark: SparkSession, path: str, schema) -> DataFrame:
     any_bad = bad[0]
     for b in bad[1:]:
         any_bad = any_bad | b
-    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns]))
-    return raw.select(*cols, F.when(any_bad, text).alias(CORRUPT))
+    shown = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])))
+    return raw.select(*cols, F.when(any_bad, shown).alias(CORRUPT))
 
 
 def read_labels(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -108,6 +121,7 @@ def extract_log(raw: DataFrame) -> DataFrame:
         "activity_date",
         F.col("brush_activity_1_5").alias("brush_activity"),
         safe_number("first_to_fifth_participants").alias("participants"),
+        F.col("redcap_repeat_instance").alias("seq"),
     )
 
 
@@ -154,29 +168,48 @@ def publish_snapshot(
     *,
     version: str | None = None,
     now: dt.datetime | None = None,
+    rejected: DataFrame | None = None,
+    max_rejected: float = MAX_REJECTED,
+    need_registry: bool = False,
+    stamp: bool = True,
 ) -> str:
     """Write both tables under ``root/v=<version>/`` then flip the pointer.
 
     The log is partitioned by month of the day (month, not day: no flood of
-    small files) so date filters prune whole directories.  Rows are sorted
-    within each task by month, so each task writes one file per month it
-    holds; nothing is funnelled through one task.
+    small files) so date filters prune whole directories.  Its rows are
+    rebalanced by month first: a month's rows meet in files of the advised
+    size whatever the number of input tasks, and a hot month is split.
+    ``rejected`` (a text column) is kept beside the tables; nothing becomes
+    current if it exceeds ``max_rejected`` of all rows or, with
+    ``need_registry``, if the written registry is empty.  ``stamp=False``
+    leaves ``last_update`` alone (no data was refreshed).
     """
     version = version or new_version()
     base = f"{root}/v={version}"
     registry.select(*REGISTRY_SCHEMA.fieldNames()).write.mode("errorifexists").parquet(f"{base}/registry")
-    month = F.trunc("task_schedule_date", "MM")
+    entities = spark.read.schema(REGISTRY_SCHEMA).parquet(f"{base}/registry").count()
+    if need_registry and not entities:
+        raise ValueError("the export has no registry rows; keeping the current snapshot")
     (
         log.select(*LOG_SCHEMA.fieldNames())
-        .withColumn("day_month", month)
-        .sortWithinPartitions("day_month")
+        .withColumn("day_month", F.trunc("task_schedule_date", "MM"))
+        .hint("rebalance", F.col("day_month"))
         .write.mode("errorifexists")
         .partitionBy("day_month")
         .parquet(f"{base}/log")
     )
+    if rejected is not None:
+        rejected.write.mode("errorifexists").parquet(f"{base}/rejected")
+        bad = spark.read.schema(rejected.schema).parquet(f"{base}/rejected").count()
+        rows = entities + spark.read.schema(LOG_SCHEMA).parquet(f"{base}/log").count()
+        if bad > max_rejected * max(rows, bad):
+            raise ValueError(f"{bad} of {rows} rows do not parse (see {base}/rejected); keeping the current snapshot")
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     epoch = (now - dt.datetime(1970, 1, 1)).total_seconds()
-    S.upsert(spark, f"{root}/settings", {"current_version": version, "last_update": f"{epoch:.0f}"}, now=now)
+    values = {"current_version": version} | ({"last_update": f"{epoch:.0f}"} if stamp else {})
+    S.upsert(spark, f"{root}/settings", values, now=now)
+    if current_version(spark, root) != version:
+        raise RuntimeError(f"another publish overtook {version}; it is written but not current")
     return version
 
 
@@ -186,8 +219,9 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return S.lookup(spark, f"{root}/settings", "current_version")
 
 
-# Roles for a published snapshot: the log keeps its month partition column.
-SNAPSHOT_ROLES = Roles(day_partition="day_month")
+# Roles for a published snapshot: the log keeps its month partition column
+# and the export's order.
+SNAPSHOT_ROLES = Roles(day_partition="day_month", tiebreak=("seq",))
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -222,24 +256,49 @@ def refresh(
     *,
     fmt: str = "parquet",
     now: dt.datetime | None = None,
+    max_rejected: float = MAX_REJECTED,
 ) -> str:
     """Read both landed exports, split them, publish a new snapshot.
 
-    Nothing is written unless both exports read and the raw export holds
-    at least one registry row; the previous snapshot stays current until the
-    new one is complete.  Malformed csv/json lines are dropped from the
-    tables (they remain in the landed files).
+    The previous snapshot stays current until the new one is complete, and
+    if the export holds no registry row.  A csv/json row with a value that
+    does not parse keeps its place with that value NULL; its text goes to
+    the version's ``rejected`` table too.  A row of which nothing parses is
+    only there.  More than ``max_rejected`` such rows fail the refresh.
     """
     raw = read_export(spark, raw_path, fmt)
     labels = read_labels(spark, labels_path, fmt)
+    rejected = None
     if CORRUPT in raw.columns:
-        raw = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    if raw.where(F.col("redcap_repeat_instrument").isNull()).limit(1).count() == 0:
-        raise ValueError(f"raw export at {raw_path} has no registry rows; keeping the current snapshot")
-    return publish_snapshot(spark, extract_registry(raw, labels), extract_log(raw), root, now=now)
+        rejected = raw.where(F.col(CORRUPT).isNotNull()).select("record_id", F.col(CORRUPT).alias("text"))
+        anything = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in RAW_EXPORT_SCHEMA.fieldNames()])
+        raw = raw.where(F.col(CORRUPT).isNull() | anything.isNotNull()).drop(CORRUPT)
+    return publish_snapshot(
+        spark,
+        extract_registry(raw, labels),
+        extract_log(raw),
+        root,
+        now=now,
+        rejected=rejected,
+        max_rejected=max_rejected,
+        need_registry=True,
+    )
+
+
+def refresh_if_stale(
+    spark: SparkSession, raw_path: str, labels_path: str, root: str, *, now: dt.datetime | None = None, **kw
+) -> str | None:
+    """The refresh decision: refresh where ``last_update`` is missing or too
+    old, else do nothing.  Returns the new version, or None."""
+    now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    if table_exists(spark, f"{root}/settings"):
+        rows = S.freshness(S.read(spark, f"{root}/settings"), now, names=["last_update"])
+        if not rows.where("name = 'last_update'").first()["stale"]:
+            return None
+    return refresh(spark, raw_path, labels_path, root, now=now, **kw)
 
 
 def ensure_tables(spark: SparkSession, root: str) -> None:
-    """Publish an empty, typed snapshot if none exists yet."""
+    """Publish an empty, typed snapshot if none exists yet; it counts as never refreshed."""
     if current_version(spark, root) is None:
-        publish_snapshot(spark, empty(spark, REGISTRY_SCHEMA), empty(spark, LOG_SCHEMA), root)
+        publish_snapshot(spark, empty(spark, REGISTRY_SCHEMA), empty(spark, LOG_SCHEMA), root, stamp=False)

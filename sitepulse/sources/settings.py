@@ -2,21 +2,24 @@
 
 An append-only parquet table of (name, value, version).  A write appends
 rows; a read keeps, per name, the row with the highest version (last write
-wins; equal versions resolve to the larger value, so reads are
-deterministic).  Appends never rewrite earlier files, so a failed or
+wins).  A write's version is above all versions in the store, whatever the
+caller's clock says; of two writes that race to one version the larger value
+wins on every read, so a writer that must know reads back.  Appends never rewrite earlier files, so a failed or
 retried write cannot lose the previous value.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitepulse.functions.scalars import datetime_text, key_is_valid, mask_key, safe_number
-from sitepulse.fixed import STALE_AFTER_HOURS
+from sitepulse.fixed import KEY_PATTERN, STALE_AFTER_HOURS
 from sitepulse.schema import SETTINGS_SCHEMA
 
 _EPOCH = dt.datetime(1970, 1, 1)
@@ -32,13 +35,30 @@ def _micros(now: dt.datetime) -> int:
 
 
 def upsert(spark: SparkSession, path: str, values: dict[str, str], *, now: dt.datetime | None = None) -> None:
-    """Append (name, value, version=now in epoch micros) rows."""
+    """Append (name, value, version) rows; version = now in epoch micros, or
+    one more than the store's highest if the clock is behind it."""
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    version = _micros(now)
+    version = max(_micros(now), _highest(spark, path) + 1)
     rows = [(str(k), str(v), version) for k, v in values.items()]
     spark.createDataFrame(rows, SETTINGS_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
+def _highest(spark: SparkSession, path: str) -> int:
+    """Highest version in the store (one scalar), or -1."""
+    try:
+        rows = spark.read.schema(SETTINGS_SCHEMA).parquet(path)
+        return rows.agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
+    except AnalysisException:  # no store yet
+        return -1
+
+
+def set_key(spark: SparkSession, path: str, key: str, name: str = "api_key", **kw) -> None:
+    """Store an access key; refuses one that does not match the key pattern."""
+    if not re.fullmatch(KEY_PATTERN.strip("^$"), key or ""):
+        raise ValueError("the access key must be 32 hex digits")
+    upsert(spark, path, {name: key}, **kw)
+
+
 def latest(df: DataFrame, *, order: Sequence[str] = ("version", "seq")) -> DataFrame:
     """Last write per name: (name, value, version)."""
     order = [c for c in order if c in df.columns]
@@ -60,10 +80,21 @@ def lookup(spark: SparkSession, path: str, name: str) -> str | None:
     return None if row is None else row["value"]
 
 
-def freshness(latest_rows: DataFrame, now: dt.datetime, stale_after_hours: float = STALE_AFTER_HOURS) -> DataFrame:
+def freshness(
+    latest_rows: DataFrame,
+    now: dt.datetime,
+    stale_after_hours: float = STALE_AFTER_HOURS,
+    names: Sequence[str] = (),
+) -> DataFrame:
     """Age of each value read as epoch seconds (S11): hours, half-even
     rounded hours, strict ``> stale_after_hours`` staleness (a missing or
-    unparsable value is stale) and the 'dd MMM yyyy hh:mm a' text."""
+    unparsable value is stale) and the 'dd MMM yyyy hh:mm a' text.  Each of
+    ``names`` without a row gets one with a NULL value, which is stale."""
+    if names:
+        spark = latest_rows.sparkSession
+        wanted = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+        missing = wanted.join(latest_rows, "name", "left_anti").withColumn("value", F.lit(None).cast("string"))
+        latest_rows = latest_rows.select("name", "value").unionByName(missing)
     secs = safe_number("value")
     now_s = _micros(now) / 1_000_000
     age = (F.lit(now_s) - secs) / F.lit(3600.0)

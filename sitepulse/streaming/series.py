@@ -10,7 +10,10 @@ Sink protocol (exactly-once under retries): epoch ``e`` writes the complete
 table to ``<sink>/epoch=<e>`` with overwrite, then appends ``e`` to the
 sink's pointer table (the append-only settings store).  A replayed epoch
 rewrites the same directory and re-appends the same pointer; readers take
-the highest committed epoch (one aggregate row).  Superseded epoch
+the highest committed epoch (one aggregate row).  A sink belongs to the
+checkpoint that first wrote it: another one, or an epoch that neither
+follows nor repeats the last one (a lost checkpoint starts again at 0), is
+refused instead of being counted wrongly.  Superseded epoch
 directories and old pointer files can be removed by retention outside the
 query.
 """
@@ -59,9 +62,23 @@ def read_series(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sink, f"epoch={latest}"))
 
 
-def _add_batch(sink: str, registry: DataFrame, roles: Roles):
+def _check_owner(spark: SparkSession, sink: str, stream: str, epoch_id: int) -> None:
+    last = _latest_epoch(spark, sink)
+    if last is None:
+        if epoch_id:
+            raise ValueError(f"{sink} has no epoch before {epoch_id}; its earlier counts are lost")
+        return
+    owner = settings.lookup(spark, _pointer(sink), "stream")
+    if owner != stream:
+        raise ValueError(f"{sink} belongs to the stream with checkpoint {owner!r}, not {stream!r}")
+    if epoch_id not in (last, last + 1):
+        raise ValueError(f"epoch {epoch_id} does not follow epoch {last} of {sink}; was the checkpoint lost?")
+
+
+def _add_batch(sink: str, registry: DataFrame, roles: Roles, stream: str = ""):
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
+        _check_owner(spark, sink, stream, epoch_id)
         # the batch report itself: counts per (entity, day) first, then the
         # registry join, then per (block, day) -- skew-safe, AQE applies
         totals = daily_series_by_block(batch, registry, roles=roles)
@@ -74,7 +91,7 @@ def _add_batch(sink: str, registry: DataFrame, roles: Roles):
                 .agg(F.sum("entries").cast("long").alias("entries"))
             )
         totals.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch_id}"))
-        settings.upsert(spark, _pointer(sink), {"epoch": str(epoch_id)})
+        settings.upsert(spark, _pointer(sink), {"epoch": str(epoch_id), "stream": stream})
 
     return write
 
@@ -105,7 +122,7 @@ def start_series_stream(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     rows = reader.parquet(log_dir).select(roles.entity, roles.day)
-    writer = rows.writeStream.foreachBatch(_add_batch(sink, registry, roles)).option(
+    writer = rows.writeStream.foreachBatch(_add_batch(sink, registry, roles, checkpoint)).option(
         "checkpointLocation", checkpoint
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

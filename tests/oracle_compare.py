@@ -111,7 +111,7 @@ def main(argv):
     import __spark_entry__ as E
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    names = argv[2:] or sorted(E.queries())
+    names = argv[2:] or sorted(E.oracle_sql())
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")

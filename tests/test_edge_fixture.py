@@ -39,7 +39,7 @@ def test_rollup(july):
         "S1-2": (0, 0.0, 0),
         "S1-3": (1, 0.0, 1),
         "S2-1": (1, 5.0, 0),
-        "S2-2": (1, 8.0, 0),
+        "S2-2": (1, 7.0, 1),
         "NOID": (1, 0.0, 1),
         "S3-7-b": (1, 4.0, 1),
     }
@@ -95,11 +95,12 @@ def test_activity_levels(july):
         ("East", "R_GA", 1): (1, 0.0),
         ("North", "R_GS", 1): (2, 32.0),
         ("North", "U_GA", 0): (1, 0.0),
-        ("South", "U_PS", 0): (2, 13.0),
+        ("South", "U_PS", 0): (1, 5.0),
+        ("South", "U_PS", 1): (1, 7.0),
         ("West", "R_PS", 1): (1, 4.0),
     }
-    wide = activity_levels_wide(july).where("block = 'South'").collect()
-    assert wide[0]["U_PS_participants_P"] == 1.0
+    wide = {r.activity: r for r in activity_levels_wide(july).where("block = 'South'").collect()}
+    assert wide[0]["U_PS_participants_P"] == 5 / 12 and wide[1]["U_PS_participants_P"] == 7 / 12
 
 
 def test_monthly_crosstab(july):
@@ -109,11 +110,11 @@ def test_monthly_crosstab(july):
         got[r.block] = tuple(
             sum(v for k, v in d.items() if k.startswith(m + "_")) for m in ("entry", "activity", "participants")
         )
-    assert got == {"East": (1, 1, 0), "North": (3, 2, 32), "South": (2, 0, 13), "West": (1, 1, 4)}
+    assert got == {"East": (1, 1, 0), "North": (3, 2, 32), "South": (2, 1, 12), "West": (1, 1, 4)}
 
 
 def test_lists(july):
-    assert {r.record_id for r in R.no_activity_list(july).collect()} == {"S1-2", "S2-1", "S2-2"}
+    assert {r.record_id for r in R.no_activity_list(july).collect()} == {"S1-2", "S2-1"}
     assert {r.record_id for r in R.has_entries_list(july).collect()} == {
         "NOID",
         "S1-1",
@@ -204,9 +205,9 @@ def test_series_dedupe_and_texts(tables, july):
         (r.block, r.area_type, r.school_type, r.activity): r.cell_text
         for r in R.activity_cell_text(R.activity_levels_long(july)).collect()
     }
-    assert act[("North", "R", "GS", 1)] == "2 (100.00%) / 32.0 Participants (100.00%)"
+    assert act[("North", "R", "GS", 1)] == "2 (100.00%) / 32 Participants (100.00%)"
     mon = {r.block: r.R_GS for r in R.monthly_cell_text(monthly_crosstab(july)).collect()}
-    assert mon["North"] == "Entered: 3 / Activities: 2 / Students: 32.0"
+    assert mon["North"] == "Entered: 3 / Activities: 2 / Students: 32"
 
 
 def test_operators_read_inputs_through_roles_only(spark, tables):
@@ -259,8 +260,8 @@ def test_repeat_flags(tables):
     got = {r.seq: r.dup for r in flag_repeats(log, FX.ROLES).collect()}
     # (S1-1, 07-02): seq 2 is the latest (11:00); seq 1 is older, seq 3 has a NULL start
     assert (got[1], got[2], got[3]) == (True, False, True)
-    # equal start: the higher tiebreak wins
-    assert (got[7], got[8]) == (True, False)
+    # equal start: the first in source order wins
+    assert (got[7], got[8]) == (False, True)
     # single rows (incl. the orphan and the NULL-day row) are never repeats
     assert not any(got[s] for s in (4, 5, 6, 9, 10, 11, 12, 13))
 

@@ -8,6 +8,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from sitepulse.plans.catalog import QUERIES
 from conftest import SF_SMALL
 
 
@@ -29,7 +30,7 @@ def test_date_filter_pushed_to_scan(spark, name):
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in p
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_udf(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     for op in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"):
