@@ -41,21 +41,24 @@ def _col(c) -> Column:
 
 
 def recode_status_sql(e: str) -> str:
+    """Status code to 0/1: done -> 1, not done -> 0, anything else -> NULL."""
     return f"CASE {e} WHEN {STATUS_DONE} THEN 1 WHEN {STATUS_NOT_DONE} THEN 0 END"
 
 
 def safe_number_sql(e: str, to: str = "double") -> str:
+    """``safe_number`` as SQL text."""
     t = f"trim(CAST({e} AS STRING))"
     return f"CASE WHEN {t} RLIKE '{NUMBER_PATTERN}' THEN try_cast({t} AS {to}) END"
 
 
 def split_key_sql(e: str) -> tuple[str, str]:
+    """``split_key`` as SQL text."""
     parts = f"split({e}, '-', 2)"
     return f"get({parts}, 0)", f"get({parts}, 1)"
 
 
 def recode_status(c) -> Column:
-    """Status code to 0/1: done -> 1, not done -> 0, anything else -> NULL."""
+    """``recode_status_sql`` as a Column."""
     c = _col(c)
     return F.when(c == STATUS_DONE, F.lit(1)).when(c == STATUS_NOT_DONE, F.lit(0))
 

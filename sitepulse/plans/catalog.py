@@ -158,6 +158,11 @@ def q_filter_blocks(spark, sf_dir):
     return R.filter_blocks(b.registry, b.roles)
 
 
+def q_block_words(spark, sf_dir):
+    b = bind_events(spark, sf_dir)
+    return R.block_words(b.registry, b.roles)
+
+
 def q_school_options(spark, sf_dir):
     b = bind_events(spark, sf_dir)
     return R.school_options(b.registry, blocks=P.FILTER_BLOCKS, roles=b.roles)

@@ -424,6 +424,10 @@ FROM log l LEFT JOIN registry g ON l.entity_key IS NOT DISTINCT FROM g.entity_ke
 WHERE g.block IN (SELECT block FROM (SELECT DISTINCT block FROM registry) ORDER BY block NULLS LAST LIMIT {P.FIRST_K})
 GROUP BY g.block, l.task_schedule_date"""
     q["filter_blocks"] = with_(REGISTRY) + "SELECT DISTINCT block FROM registry"
+    q["block_words"] = with_(REGISTRY) + (
+        "SELECT DISTINCT block, string_split(block, ' ')[1] AS first_word, string_split(block, ' ')[-1] AS last_word"
+        " FROM registry"
+    )
     q["school_options"] = with_(REGISTRY) + (
         f"SELECT block, school, record_id, {rest_of('record_id')} AS id_code FROM registry g "
         f"WHERE {reg_filter(blocks=P.FILTER_BLOCKS)}"

@@ -24,6 +24,7 @@ from sitepulse.functions.scalars import (
     percent_text,
     status_label,
     validate_choice,
+    word,
 )
 from sitepulse.fixed import ACTIVITY_TEXT, DATE_FORMAT, MONTHLY_TEXT
 from sitepulse.operators.crosstab import activity_levels_wide, level_counts_wide, wide_to_long
@@ -262,6 +263,13 @@ def filter_blocks(registry: DataFrame, roles: Roles = Roles()) -> DataFrame:
     return registry.select(F.col(roles.group).alias("block")).distinct()
 
 
+def block_words(registry: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """First and last word of each block's name (short labels of long names)."""
+    return filter_blocks(registry, roles).select(
+        "block", word("block", 1, sep=" ").alias("first_word"), word("block", -1, sep=" ").alias("last_word")
+    )
+
+
 def school_options(registry: DataFrame, *, blocks=None, areas=None, kinds=None, roles: Roles = Roles()) -> DataFrame:
     """Selectable entities per block, flat (block, school, record_id, id_code).
 
