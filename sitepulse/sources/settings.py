@@ -38,20 +38,62 @@ def upsert(spark: SparkSession, path: str, values: dict[str, str], *, now: dt.da
     """Append (name, value, version) rows; version = now in epoch micros, or
     one more than the store's highest if the clock is behind it."""
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    _restore(spark, path)
     version = max(_micros(now), _highest(spark, path) + 1)
     rows = [(str(k), str(v), version) for k, v in values.items()]
     spark.createDataFrame(rows, SETTINGS_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the store; the compaction's copy while the store itself is missing or empty."""
+    own = _rows(spark, path)
+    if own is None or not own.take(1):
+        copied = _rows(spark, _copy(path))
+        own = own if copied is None else copied
+    if own is None:
+        raise FileNotFoundError(f"no settings store at {path}")
+    return own
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(SETTINGS_SCHEMA).parquet(path)
+    except AnalysisException:
+        return None
+
+
+def _restore(spark: SparkSession, path: str) -> None:
+    """Finish a compaction that died while it replaced the store."""
+    own, copied = _rows(spark, path), _rows(spark, _copy(path))
+    if copied is not None and (own is None or not own.take(1)):
+        copied.coalesce(1).write.mode("append").parquet(path)
+
+
+def _copy(path: str) -> str:
+    return path.rstrip("/") + ".compacting"
+
+
 def _highest(spark: SparkSession, path: str) -> int:
     """Highest version in the store (one scalar), or -1."""
     try:
-        rows = spark.read.schema(SETTINGS_SCHEMA).parquet(path)
-        return rows.agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
-    except AnalysisException:  # no store yet
+        return stored(spark, path).agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
+    except FileNotFoundError:
         return -1
 
 
+def compact(spark: SparkSession, path: str) -> None:
+    """Rewrite the store as one file with the last write of each name.
+
+    The rows are first copied beside the store, and reads use that copy while
+    the store is being replaced, so a crash loses nothing.  Runs without
+    another writer (a write in between would be lost).
+    """
+    rows = latest(stored(spark, path)).select(*SETTINGS_SCHEMA.fieldNames())
+    rows.coalesce(1).write.mode("overwrite").parquet(_copy(path))
+    copied = spark.read.schema(SETTINGS_SCHEMA).parquet(_copy(path))
+    copied.coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def set_key(spark: SparkSession, path: str, key: str, name: str = "api_key", **kw) -> None:
     """Store an access key; refuses one that does not match the key pattern."""
     if not re.fullmatch(KEY_PATTERN.strip("^$"), key or ""):
@@ -71,7 +113,7 @@ def latest(df: DataFrame, *, order: Sequence[str] = ("version", "seq")) -> DataF
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return latest(spark.read.schema(SETTINGS_SCHEMA).parquet(path))
+    return latest(stored(spark, path))
 
 
 def lookup(spark: SparkSession, path: str, name: str) -> str | None:

@@ -7,15 +7,15 @@ is reduced by the batch report and added to the previous totals, which are
 one row per (block, day).
 
 Sink protocol (exactly-once under retries): epoch ``e`` writes the complete
-table to ``<sink>/epoch=<e>`` with overwrite, then appends ``e`` to the
-sink's pointer table (the append-only settings store).  A replayed epoch
+table to ``<sink>/slot=<e mod SLOTS>`` with overwrite, then appends ``e`` to
+the sink's pointer table (the append-only settings store).  A replayed epoch
 rewrites the same directory and re-appends the same pointer; readers take
-the highest committed epoch (one aggregate row).  A sink belongs to the
+the highest committed epoch (one aggregate row).  So a sink holds SLOTS
+tables however long it runs, a reader has SLOTS - 1 epochs to finish, and
+the pointer table is compacted every COMPACT_EVERY epochs.  A sink belongs to the
 checkpoint that first wrote it: another one, or an epoch that neither
 follows nor repeats the last one (a lost checkpoint starts again at 0), is
-refused instead of being counted wrongly.  Superseded epoch
-directories and old pointer files can be removed by retention outside the
-query.
+refused instead of being counted wrongly.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sitepulse.plans.reports import daily_series_by_block
-from sitepulse.schema import LOG_SCHEMA, SETTINGS_SCHEMA, Roles
+from sitepulse.schema import LOG_SCHEMA, Roles
 from sitepulse.sources import ingest, settings
 
 
@@ -38,19 +38,26 @@ def _checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Complete tables kept in a sink, and epochs between compactions of its pointer table.
+SLOTS = 8
+COMPACT_EVERY = 100
+
+
+def _slot(sink: str, epoch: int) -> str:
+    return os.path.join(sink, f"slot={epoch % SLOTS}")
+
+
 def _pointer(sink: str) -> str:
     return os.path.join(sink, "_pointer")
 
 
-def _latest_epoch(spark: SparkSession, sink: str, below: int | None = None) -> int | None:
-    """Highest committed epoch (optionally below ``below``).  One aggregate
-    row reaches the driver, however many epochs have been committed."""
+def _latest_epoch(spark: SparkSession, sink: str) -> int | None:
+    """Highest committed epoch.  One aggregate row reaches the driver,
+    however many epochs have been committed."""
     if not ingest.table_exists(spark, _pointer(sink)):
         return None
     e = F.col("value").cast("long")
-    rows = spark.read.schema(SETTINGS_SCHEMA).parquet(_pointer(sink)).where(F.col("name") == "epoch")
-    if below is not None:
-        rows = rows.where(e < below)
+    rows = settings.stored(spark, _pointer(sink)).where(F.col("name") == "epoch")
     return rows.agg(F.max(e).alias("e")).first()["e"]
 
 
@@ -59,7 +66,7 @@ def read_series(spark: SparkSession, sink: str) -> DataFrame:
     latest = _latest_epoch(spark, sink)
     if latest is None:
         return spark.createDataFrame([], "block STRING, day DATE, entries BIGINT")
-    return spark.read.parquet(os.path.join(sink, f"epoch={latest}"))
+    return spark.read.parquet(_slot(sink, latest))
 
 
 def _check_owner(spark: SparkSession, sink: str, stream: str, epoch_id: int) -> None:
@@ -82,16 +89,17 @@ def _add_batch(sink: str, registry: DataFrame, roles: Roles, stream: str = ""):
         # the batch report itself: counts per (entity, day) first, then the
         # registry join, then per (block, day) -- skew-safe, AQE applies
         totals = daily_series_by_block(batch, registry, roles=roles)
-        previous = _latest_epoch(spark, sink, below=epoch_id)
-        if previous is not None:
-            old = spark.read.parquet(os.path.join(sink, f"epoch={previous}"))
+        if epoch_id:
+            old = spark.read.parquet(_slot(sink, epoch_id - 1))
             totals = (
                 old.unionByName(totals)
                 .groupBy("block", "day")
                 .agg(F.sum("entries").cast("long").alias("entries"))
             )
-        totals.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch_id}"))
+        totals.write.mode("overwrite").parquet(_slot(sink, epoch_id))
         settings.upsert(spark, _pointer(sink), {"epoch": str(epoch_id), "stream": stream})
+        if epoch_id and epoch_id % COMPACT_EVERY == 0:
+            settings.compact(spark, _pointer(sink))
 
     return write
 

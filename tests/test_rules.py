@@ -248,6 +248,34 @@ def test_a_bad_key_is_not_stored(spark, scratch):
     assert settings.lookup(spark, path, "api_key").startswith("0123")
 
 
+def test_compaction_keeps_the_last_writes(spark, scratch, monkeypatch):
+    path = f"{scratch}/settings"
+    for i in range(5):
+        settings.upsert(spark, path, {"a": str(i), f"b{i}": "x"})
+    want = sorted(map(tuple, settings.read(spark, path).collect()))
+    settings.compact(spark, path)
+    assert sorted(map(tuple, settings.read(spark, path).collect())) == want
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 1
+    os.rename(path, f"{scratch}/gone")  # as if the job died while the store was being replaced
+    assert settings.lookup(spark, path, "a") == "4"
+    settings.upsert(spark, path, {"a": "5"})
+    assert settings.lookup(spark, path, "a") == "5" and settings.lookup(spark, path, "b0") == "x"
+
+
+def test_a_long_stream_keeps_a_bounded_sink(spark, scratch, monkeypatch):
+    from sitepulse.streaming import series
+
+    monkeypatch.setattr(series, "SLOTS", 2)
+    monkeypatch.setattr(series, "COMPACT_EVERY", 2)
+    reg, log = FX.registry(spark), FX.log(spark).select("record_id", "task_schedule_date")
+    sink = f"{scratch}/series"
+    write = series._add_batch(sink, reg, Roles())
+    for epoch in (0, 1, 2, 2, 3, 4):
+        write(log, epoch)
+    assert series.read_series(spark, sink).agg(F.sum("entries")).first()[0] == 5 * log.count()
+    assert len([d for d in os.listdir(sink) if d.startswith("slot=")]) == 2
+
+
 # ------------------------------------------------------------------ scalars
 
 
