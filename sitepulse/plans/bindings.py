@@ -12,9 +12,10 @@ left to Spark's size-checked broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitepulse.functions.sqlexpr import lit
 from sitepulse.schema import Roles
 
 # How the driver tables map onto the reference's dimensions.
@@ -52,66 +53,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def exact_measure(c: str) -> Column:
+def exact_measure_sql(c: str) -> str:
     """A double as DECIMAL(28, 10), so that sums do not depend on their order.
 
     NaN counts as missing.  A number too large for the type fails the job:
     it must not leave the sums silently.
     """
-    return F.expr(
+    return (
         f"CASE WHEN {c} IS NULL OR isnan({c}) THEN NULL ELSE"
         f" coalesce(try_cast({c} AS DECIMAL(28, 10)), raise_error('measure does not fit DECIMAL(28,10)')) END"
     )
 
 
-def _lookup(c, mapping: dict):
-    out = None
-    for k, v in mapping.items():
-        out = (F.when if out is None else out.when)(c == k, F.lit(v))
-    return out
+def lookup_sql(c: str, mapping: dict) -> str:
+    """A small fixed code book as SQL text (one expression, one plan call)."""
+    cases = " ".join(f"WHEN {lit(k)} THEN {v if isinstance(v, int) else lit(v)}" for k, v in mapping.items())
+    return f"CASE {c} {cases} END"
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
-    )
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    j = c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left")
-    return j.select(
-        F.col("c_custkey").alias("entity_key"),
-        F.concat(F.lit("S"), F.col("n_regionkey").cast("string"), F.lit("-"), F.col("c_custkey").cast("string")).alias(
-            "record_id"
-        ),
-        F.col("n_regionkey").cast("string").alias("site"),
-        F.when(F.col("c_acctbal") > ACCTBAL_URBAN_ABOVE, F.lit("U")).otherwise(F.lit("R")).alias("area_type"),
-        _lookup(F.col("c_mktsegment"), SEGMENT_KIND).alias("school_type"),
-        F.col("c_name").alias("school"),
-        F.col("r_name").alias("block"),
+    c, n, r = (table(spark, sf_dir, name) for name in ("customer", "nation", "region"))
+    j = c.join(n, F.expr("c_nationkey = n_nationkey"), "left").join(r, F.expr("n_regionkey = r_regionkey"), "left")
+    return j.selectExpr(
+        "c_custkey AS entity_key",
+        "concat('S', CAST(n_regionkey AS STRING), '-', CAST(c_custkey AS STRING)) AS record_id",
+        "CAST(n_regionkey AS STRING) AS site",
+        f"CASE WHEN c_acctbal > {ACCTBAL_URBAN_ABOVE} THEN 'U' ELSE 'R' END AS area_type",
+        f"{lookup_sql('c_mktsegment', SEGMENT_KIND)} AS school_type",
+        "c_name AS school",
+        "r_name AS block",
     )
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select(
-        F.col("user_id").alias("entity_key"),
-        F.col("ts").alias("task_start_date"),
-        F.to_date("ts").alias("task_schedule_date"),
-        _lookup(F.col("event_type"), EVENT_STATUS).cast("int").alias("brush_activity"),
-        F.when(F.col("event_type") != NO_MEASURE_EVENT, exact_measure("value")).alias("participants"),
-        F.col("event_id").alias("seq"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS entity_key",
+        "ts AS task_start_date",
+        "to_date(ts) AS task_schedule_date",
+        f"{lookup_sql('event_type', EVENT_STATUS)} AS brush_activity",
+        f"CASE WHEN event_type <> {lit(NO_MEASURE_EVENT)} THEN {exact_measure_sql('value')} END AS participants",
+        "event_id AS seq",
     )
 
 
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    return o.select(
-        F.col("o_custkey").alias("entity_key"),
-        F.col("o_orderdate").alias("task_start_date"),
-        F.to_date("o_orderdate").alias("task_schedule_date"),
-        _lookup(F.col("o_orderstatus"), ORDER_STATUS).cast("int").alias("brush_activity"),
-        exact_measure("o_totalprice").alias("participants"),
-        F.col("o_orderkey").alias("seq"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS entity_key",
+        "o_orderdate AS task_start_date",
+        "to_date(o_orderdate) AS task_schedule_date",
+        f"{lookup_sql('o_orderstatus', ORDER_STATUS)} AS brush_activity",
+        f"{exact_measure_sql('o_totalprice')} AS participants",
+        "o_orderkey AS seq",
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sitepulse.functions.scalars import epoch_seconds_ntz_sql, safe_number, split_key
 from sitepulse.plans import params as P
-from sitepulse.plans.bindings import EVENT_STATUS, _lookup, registry, table
+from sitepulse.plans.bindings import EVENT_STATUS, lookup_sql, registry, table
 from sitepulse.schema import LOG_INSTRUMENT, RAW_EXPORT_SCHEMA
 
 JUNK_NUMBER = "n/a"
@@ -53,7 +53,7 @@ def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("task_start_date"),
         F.to_date("ts").alias("task_schedule_date"),
         F.to_date("ts").alias("activity_date"),
-        _lookup(F.col("event_type"), EVENT_STATUS).cast("int").alias("brush_activity_1_5"),
+        F.expr(lookup_sql("event_type", EVENT_STATUS)).alias("brush_activity_1_5"),
         F.when(F.col("event_type") == "error", F.lit(JUNK_NUMBER))
         .otherwise(F.col("value").cast("string"))
         .alias("first_to_fifth_participants"),

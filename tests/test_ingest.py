@@ -13,7 +13,7 @@ from conftest import SF_SMALL
 from sitepulse.operators import period_rollup
 from sitepulse.plans import params as P
 from sitepulse.plans import synth
-from sitepulse.schema import LOG_SCHEMA, REGISTRY_SCHEMA, Roles
+from sitepulse.schema import LOG_SCHEMA, REGISTRY_SCHEMA
 from sitepulse.sources import ingest, settings
 
 

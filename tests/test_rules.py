@@ -17,7 +17,7 @@ from sitepulse.operators import daily_coverage_wide, entity_detail, flag_repeats
 from sitepulse.plans import params as P
 from sitepulse.plans import reports as R
 from sitepulse.plans import synth
-from sitepulse.plans.bindings import bind_events, table
+from sitepulse.plans.bindings import table
 from sitepulse.plans.catalog import QUERIES
 from sitepulse.schema import Roles
 from sitepulse.sources import ingest, settings
@@ -69,12 +69,12 @@ def test_overflowing_sums_fail(spark, on):
 
 
 def test_a_measure_that_does_not_fit_fails(spark):
-    from sitepulse.plans.bindings import exact_measure
+    from sitepulse.plans.bindings import exact_measure_sql
 
     df = spark.createDataFrame([(1.5e10,), (float("nan"),), (None,)], "v double")
-    assert [r[0] and float(r[0]) for r in df.select(exact_measure("v")).collect()] == [1.5e10, None, None]
+    assert [r[0] and float(r[0]) for r in df.selectExpr(exact_measure_sql("v")).collect()] == [1.5e10, None, None]
     with pytest.raises(Exception, match="does not fit"):
-        spark.createDataFrame([(1e30,)], "v double").select(exact_measure("v")).collect()
+        spark.createDataFrame([(1e30,)], "v double").selectExpr(exact_measure_sql("v")).collect()
 
 
 def test_rows_landed_during_the_session_are_counted(spark, scratch):
