@@ -11,6 +11,7 @@ word counts of a bounded sample of labelled documents.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitepulse.llm.text import alnum_words, utf8
+from sitepulse.llm.storage import worker_cache
+from sitepulse.llm.text import alnum_words, slices, utf8
 
 #: Labelled documents the model is fitted on, at most (those with the smallest id hash).
 SAMPLE = 4000
@@ -47,25 +49,45 @@ def units(word: bytes) -> list[bytes]:
     return [word[i : i + UNIT] for i in range(0, len(word), UNIT)]
 
 
+class Trie:
+    """The pieces as a tree of bytes: node and next byte -> node, found by binary search in sorted keys."""
+
+    def __init__(self, pieces: list[bytes]):
+        nodes = {b"": 0}
+        for p in pieces:
+            for i in range(1, len(p) + 1):
+                nodes.setdefault(p[:i], len(nodes))
+        keys = np.array([nodes[q[:-1]] << 8 | q[-1] for q in nodes if q] or [-1], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], (order + 1).astype(np.int64)
+        self.piece = np.full(len(nodes), -1, dtype=np.int64)
+        self.piece[[nodes[p] for p in pieces]] = np.arange(len(pieces))
+
+
 class Lattice:
-    """All ways to cut words into pieces: arcs (word, start, end, piece), sorted by end."""
-
-    def __init__(self, words: list[bytes], pieces: dict[bytes, int], prefixes: set[bytes]):
-        word, start, end, piece = [], [], [], []
-        for i, w in enumerate(words):
-            n = len(w)
-            for a in range(n):
-                for b in range(a + 1, n + 1):
-                    s = w[a:b]
-                    if (p := pieces.get(s)) is not None:
-                        word.append(i), start.append(a), end.append(b), piece.append(p)
-                    if s not in prefixes:
-                        break
+    """All ways to cut words into pieces: arcs (word, start, end, piece), sorted by end and word."""
+
+    def __init__(self, words: list[bytes], trie: Trie):
         self.size = np.array([len(w) for w in words], dtype=np.int64)
-        end = np.array(end, dtype=np.int64)
-        by_end = np.argsort(end, kind="stable")
-        self.word, self.start = np.array(word, dtype=np.int64)[by_end], np.array(start, dtype=np.int64)[by_end]
-        self.piece, self.end = np.array(piece, dtype=np.int64)[by_end], end[by_end]
+        flat = np.frombuffer(b"".join(words), dtype=np.uint8)
+        first = np.concatenate(([0], np.cumsum(self.size)))
+        # all starts of all words walk down the tree together
+        word = np.repeat(np.arange(len(words)), self.size)
+        at = np.arange(len(flat))
+        start, node, found = at - first[word], np.zeros(len(flat), dtype=np.int64), []
+        while len(at):
+            key = node << 8 | flat[at]
+            i = np.minimum(np.searchsorted(trie.keys, key), len(trie.keys) - 1)
+            on = trie.keys[i] == key
+            word, start, at, node = word[on], start[on], at[on] + 1, trie.child[i[on]]
+            piece = trie.piece[node]
+            arc = piece >= 0
+            found.append((word[arc], start[arc], at[arc] - first[word[arc]], piece[arc]))
+            on = at < first[word + 1]
+            word, start, at, node = word[on], start[on], at[on], node[on]
+        word, start, end, piece = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+        order = np.argsort(end * (len(words) + 1) + word)
+        self.word, self.start, self.end, self.piece = word[order], start[order], end[order], piece[order]
         self.longest = int(self.size.max(initial=0))
         self.cuts = np.searchsorted(self.end, np.arange(self.longest + 2))
 
@@ -105,37 +127,36 @@ class Lattice:
         return out
 
 
-def prefixes_of(pieces: dict[bytes, int]) -> set[bytes]:
-    """Proper prefixes of the pieces."""
-    return {p[:i] for p in pieces for i in range(1, len(p))}
-
-
 class Model:
     """Piece probabilities of the languages."""
 
     def __init__(self, langs: list[str], pieces: list[bytes], prob: np.ndarray):
-        self.langs, self.prob = langs, prob
-        self.pieces = {p: i for i, p in enumerate(pieces)}
-        self.prefixes = prefixes_of(self.pieces)
-        self.memory: dict[bytes, int] = {}
-        self.known = np.zeros((0, len(langs)))
+        self.langs, self.pieces, self.prob = langs, pieces, prob
+        self.trie = Trie(pieces)
+        self.memory: dict[bytes, int] = {}  # word -> row of known
+        self.known = np.zeros((1024, len(langs)))
+        self.again: set[bytes] = set()  # words met again since the memory was last full
 
     def learn_words(self, words: set[bytes]) -> None:
-        """Scores words not yet in memory; memory that has grown too large is emptied first."""
+        """Scores words not yet in memory.  A full memory forgets the words met only once, or else all."""
+        met = words & self.memory.keys()
+        self.again |= met
+        if len(self.memory) + len(words) - len(met) > MEMORY:
+            keep = list(self.again) if len(self.again) + len(words) <= MEMORY else []
+            self.known[: len(keep)] = self.known[[self.memory[w] for w in keep]]
+            self.memory, self.again = {w: i for i, w in enumerate(keep)}, set()
         fresh = [w for w in words if w not in self.memory]
-        if len(self.memory) + len(fresh) > MEMORY:
-            self.memory, self.known, fresh = {}, np.zeros((0, len(self.langs))), list(words)
-        blocks = [self.known]
+        base = len(self.memory)
+        if base + len(fresh) > len(self.known):
+            room = np.zeros((2 * (base + len(fresh)), len(self.langs)))
+            room[:base] = self.known[:base]
+            self.known = room
         for lo in range(0, len(fresh), 4096):
-            part = fresh[lo : lo + 4096]
-            cut = [units(w) for w in part]
-            lattice = Lattice([u for us in cut for u in us], self.pieces, self.prefixes)
+            cut = [units(w) for w in fresh[lo : lo + 4096]]
+            lattice = Lattice([u for us in cut for u in us], self.trie)
             at = np.concatenate(([0], np.cumsum([len(us) for us in cut])[:-1])).astype(np.int64)
-            blocks.append(np.add.reduceat(lattice.log_prob(self.prob), at, axis=0))
-        base = len(self.known)
-        for i, w in enumerate(fresh):
-            self.memory[w] = base + i
-        self.known = np.concatenate(blocks)
+            self.known[base + lo : base + lo + len(cut)] = np.add.reduceat(lattice.log_prob(self.prob), at, axis=0)
+        self.memory.update((w, base + i) for i, w in enumerate(fresh))
 
     def predict(self, texts: list) -> list[tuple[str, float]]:
         """(language, posterior under equal priors) of each text; ('und', 0) without a letter."""
@@ -173,12 +194,11 @@ def fit(counts: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int =
         for w, n in rows:
             for u in units(w):
                 table.setdefault(u, np.zeros(len(langs)))[column[a]] += n
-    index = {p: i for i, p in enumerate(pieces)}
+    trie = Trie(pieces)
     found, weight = list(table), np.array(list(table.values()))
     base = np.where(np.array([len(p) == 1 for p in pieces])[:, None], SMOOTH_BYTE, SMOOTH)
     prob = np.ones((len(pieces), len(langs))) / len(pieces)
-    prefixes = prefixes_of(index)
-    lattices = [(Lattice(found[i : i + 8192], index, prefixes), weight[i : i + 8192]) for i in range(0, len(found), 8192)]
+    lattices = [(Lattice(found[i : i + 8192], trie), weight[i : i + 8192]) for i in range(0, len(found), 8192)]
     for _ in range(rounds):
         used = sum((lat.expected(prob, n) for lat, n in lattices), np.zeros_like(prob)) + base
         prob = used / used.sum(axis=0)
@@ -188,8 +208,8 @@ def fit(counts: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int =
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[tuple, int] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            for w in alnum_words(utf8(text)):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            for w in alnum_words(utf8(text.as_py())):
                 counts[lang, w] = counts.get((lang, w), 0) + 1
         yield pa.RecordBatch.from_arrays(
             [
@@ -228,6 +248,19 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == 0, F.lit(False))
 
 
+def _on_worker(model: Model):
+    """A function that gives the model on the executors; a worker builds it once and keeps its memory of words."""
+    shared, token = (model.langs, model.pieces, model.prob), uuid.uuid4().hex
+
+    def get(value) -> Model:
+        cache = worker_cache()
+        if cache.get("langid_token") != token:
+            cache["langid"], cache["langid_token"] = Model(*value), token
+        return cache["langid"]
+
+    return shared, get
+
+
 def identify(
     docs: DataFrame,
     path: str,
@@ -245,7 +278,8 @@ def identify(
     0.  Repeated rows each get a row; other columns are not read.
     """
     model = train(docs, path, id_col, text_col, lang_col, folds, **kw)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, list(model.pieces), model.prob))
+    value, on_worker = _on_worker(model)
+    shared = docs.sparkSession.sparkContext.broadcast(value)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         held_out(F.col(id_col), folds).alias("held_out"),
@@ -253,8 +287,8 @@ def identify(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value)
-        for batch in batches:
+        model = on_worker(shared.value)
+        for batch in slices(batches):
             found = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -278,11 +312,12 @@ def keep_identified(
     All columns stay as they are; one pass over the texts, no exchange.
     """
     model = train(docs, path, text_col=text_col, **kw)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, list(model.pieces), model.prob))
+    value, on_worker = _on_worker(model)
+    shared = docs.sparkSession.sparkContext.broadcast(value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value)
-        for batch in batches:
+        model = on_worker(shared.value)
+        for batch in slices(batches):
             found = model.predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
             keep = [a != "und" and s >= least_score and (wanted is None or a in wanted) for a, s in found]
             yield batch.filter(pa.array(keep, pa.bool_()))

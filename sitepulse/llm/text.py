@@ -6,6 +6,8 @@ ASCII bytes apart from all others, so they are applied to bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 
 
@@ -30,5 +32,13 @@ def alnum_words(raw: bytes) -> list[bytes]:
     return raw.translate(ALNUM).split()
 
 
-def texts(column: pa.Array) -> list:
-    return column.to_pylist()
+#: Rows that the Python stages turn into Python objects at a time.
+ROWS = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows: Arrow batches hold thousands of
+    texts, and the words of all of them would be many times their size."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)

@@ -246,7 +246,7 @@ def test_long_items_in_pieces(spark):
     words = [f"w{i}" for i in range(57)]
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     scratch = Scratch(spark, "test")
-    (blob,) = decontam.automata(bench, scratch, piece_words=8)
+    (blob,) = list(decontam.automata(bench, scratch, piece_words=8))
     spans, items = decontam._load(blob).spans([w.encode() for w in words])
     assert spans == [(0, 57)] and items == {"1"}
 
@@ -256,6 +256,8 @@ def test_decontaminate(spark, edge):
     dirty = [r[0] for r in brute.op6(edge) if r[5]]
     got = decontam.decontaminate(d, bench)
     assert got.columns == d.columns
+    blocks = decontam.decontaminate(d, bench, block_words=20)
+    assert sorted(r.text or "" for r in blocks.collect()) == sorted(r.text or "" for r in got.collect())
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted((i for i, _ in edge["documents"] if i not in dirty), key=str)
     cut = decontam.decontaminate(d, bench, max_coverage=0.9).collect()
     again = decontam.contamination(decontam.decontaminate(d, bench, max_coverage=0.9), bench).filter("n_hit > 0").count()
@@ -343,7 +345,7 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not w else sum(prob[i, k] * total(w[len(p) :], k) for p, i in pieces.items() if w.startswith(p))
 
     words = [b"a", b"abab", b"abaaba", b"bb"]
-    lattice = langid.Lattice(words, pieces, langid.prefixes_of(pieces))
+    lattice = langid.Lattice(words, langid.Trie(list(pieces)))
     assert np.allclose(np.exp(lattice.log_prob(prob)), [[total(w, k) for k in (0, 1)] for w in words])
     counts = np.array([[1.0, 0], [2, 1], [0, 3], [1, 1]])
     used = lattice.expected(prob, counts)
@@ -356,7 +358,7 @@ def test_memory_does_not_change_predictions(monkeypatch):
     texts = ["aa ab", "bb ba bb", None, "", "12", "ab ba aa", "é" * 100] * 3
     before = model.predict(texts)
     monkeypatch.setattr(langid, "MEMORY", 3)
-    fresh = langid.Model(model.langs, list(model.pieces), model.prob)
+    fresh = langid.Model(model.langs, model.pieces, model.prob)
     assert [a for a, _ in fresh.predict(texts)] == [a for a, _ in before]
     assert [a for a, _ in before[:5]] == ["x", "y", "und", "und", "und"]
 
@@ -378,7 +380,7 @@ def test_keep_identified(spark, edge):
 def coder():
     import public_tokenizers as P
 
-    ranks = bpe.read_ranks(None, P.path(BPE_FILE))
+    ranks = bpe.read_ranks(P.path(BPE_FILE))
     return bpe.load(bpe.tokenizer_json(ranks, P.PATTERN))
 
 
