@@ -17,11 +17,12 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitepulse.llm.storage import worker_cache
+from sitepulse.llm.text import slices
 
 #: Texts are handed to the library in portions of about this many characters,
 #: which bounds the memory of its encodings.
@@ -35,7 +36,7 @@ def byte_table() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
+def read_ranks(path: str) -> dict[bytes, int]:
     """Token -> rank.  The file is read on the driver: a vocabulary is a few MB."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -178,7 +179,7 @@ class StreamDecoder:
 def _encode(description, with_offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, pieces = load(description.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             kept = batch.drop_columns(["__text"])
             at = 0
@@ -207,7 +208,7 @@ def encode(
     vocabulary (a few MB, whatever the input) is broadcast.
     """
     spark = docs.sparkSession
-    description = spark.sparkContext.broadcast(tokenizer_json(read_ranks(spark, path), pattern))
+    description = spark.sparkContext.broadcast(tokenizer_json(read_ranks(path), pattern))
     others = [c for c in docs.columns if c not in (text_col, "ids", "offsets")]
     rows = docs.select(*others, F.col(text_col).cast("string").alias("__text"))
     numbers = T.ArrayType(T.IntegerType())
@@ -220,11 +221,11 @@ def encode(
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``encoded`` with ``decoded`` (binary, the bytes of the column ``ids``); null ids decode to nothing."""
     spark = encoded.sparkSession
-    description = spark.sparkContext.broadcast(tokenizer_json(read_ranks(spark, path), pattern))
+    description = spark.sparkContext.broadcast(tokenizer_json(read_ranks(path), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pieces = load(description.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("ids")
             raw = [decode_ids(pieces, ids[i].values.to_pylist() if ids[i].is_valid else []) for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays(
@@ -248,13 +249,13 @@ def round_trip(
     rows each get a row; other columns are not read.
     """
     spark = docs.sparkSession
-    description = spark.sparkContext.broadcast(tokenizer_json(read_ranks(spark, path), pattern))
+    description = spark.sparkContext.broadcast(tokenizer_json(read_ranks(path), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, pieces = load(description.value)
         decimal = [str(i) for i in range(len(pieces))]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-        for batch in batches:
+        for batch in slices(batches):
             at = 0
             for group in groups([t or "" for t in batch.column("text").to_pylist()], 8 * PORTION):
                 n, coded, decoded, kept = [], [], [], []

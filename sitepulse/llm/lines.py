@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitepulse.llm.storage import Scratch
-from sitepulse.llm.text import utf8
+from sitepulse.llm.text import slices, utf8
 
 SPACE = b" \t\n\r\x0b\x0c"
 MIN_DOCS = 10
@@ -113,8 +113,8 @@ def _doc_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, f, n): distinct line keys, counted once per document, summed per batch."""
     for batch in batches:
         counts: dict[bytes, int] = {}
-        for text in batch.column(0).to_pylist():
-            for key in {line_key(x) for x in utf8(text).split(b"\n")}:
+        for text in batch.column(0):
+            for key in {line_key(x) for x in utf8(text.as_py()).split(b"\n")}:
                 if key:
                     counts[key] = counts.get(key, 0) + 1
         k, f = hash_keys(list(counts))
@@ -156,7 +156,7 @@ def build_index(counts: DataFrame, shard_bits: int) -> DataFrame:
 def _emit(hot: dict[int, int], min_docs: int, shard_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_k = np.array(sorted(hot), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             keys, doc, num = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for j, line in enumerate(utf8(text).split(b"\n")):
@@ -213,7 +213,7 @@ def _probe(min_docs: int):
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, gone, kept = [], [], []
         for text, drops in zip(batch.column("text").to_pylist(), batch.column("drops").to_pylist()):
             lines, out = ("" if text is None else text).split("\n"), set(drops or ())

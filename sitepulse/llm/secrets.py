@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitepulse.llm.text import slices
+
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt")
 
@@ -130,7 +132,7 @@ def scan(text: str, keywords) -> list[tuple[int, int, str]]:
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keywords = automaton()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
+    for batch in slices(batches):
         spans = [
             [{"kind": k, "start": a, "end": b} for a, b, k in scan(text or "", keywords)]
             for text in batch.column("text").to_pylist()
@@ -168,7 +170,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keywords = automaton()
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(text_col)
             texts = [
                 None if t is None else _mask(t, [{"start": a, "end": b} for a, b, _ in scan(t, keywords)], mark)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sitepulse.llm.components import components
 from sitepulse.llm.storage import Scratch
-from sitepulse.llm.text import utf8, words
+from sitepulse.llm.text import slices, utf8, words
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -84,7 +84,7 @@ def fingerprints(
     """doc_id, t (a hash of the text) and fp (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()]
             signed = np.array(fps, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(

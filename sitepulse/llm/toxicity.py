@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitepulse.llm.text import alnum_words, utf8
+from sitepulse.llm.text import alnum_words, slices, utf8
 
 #: Hashed terms.
 BUCKETS = 1 << 20
@@ -162,7 +162,7 @@ def labelled_terms(rows: DataFrame, labels: DataFrame, sample: int) -> tuple[np.
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [terms(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.int32()))], ["y", "terms"])
 
@@ -212,11 +212,8 @@ def score_toxicity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(*shared.value)
-        for batch in batches:
-            texts, out = batch.column("text").to_pylist(), []
-            for lo in range(0, len(texts), 500):
-                out.append(machine.scores([terms(t) for t in texts[lo : lo + 500]]))
-            score = np.concatenate(out) if out else np.zeros(0)
+        for batch in slices(batches):
+            score = machine.scores([terms(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],
