@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitepulse.llm.storage import Scratch
-from sitepulse.llm.text import ALNUM, alnum_words, utf8
+from sitepulse.llm.text import ALNUM, alnum_words, slices, utf8
 
 WINDOW = 10
 #: Words of items in one automaton.  It bounds what a task holds and what is
@@ -145,7 +145,7 @@ def _build(window: int):
 
 def _pieces(window: int, piece_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             item, piece, whole, n = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ws = alnum_words(utf8(text))
@@ -169,8 +169,8 @@ def automata(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
     piece_words: int = PIECE_WORDS,
-) -> list[bytes]:
-    """One pickled automaton per block of at most about ``block_words`` words."""
+) -> Iterator[bytes]:
+    """One pickled automaton after the other, for blocks of at most about ``block_words`` words."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     items = items.filter(F.col("item").isNotNull())
     pieces = scratch.table(
@@ -186,7 +186,8 @@ def automata(
     )
     # one bounded automaton at a time passes the driver on its way to the tasks
     names = [r[0] for r in built.select("block").orderBy("block").collect()]
-    return [bytes(built.filter(F.col("block") == b).first()["blob"]) for b in names]
+    for b in names:
+        yield bytes(built.filter(F.col("block") == b).first()["blob"])
 
 
 def _load(blob: bytes) -> SuffixAutomaton:
@@ -198,7 +199,7 @@ def _load(blob: bytes) -> SuffixAutomaton:
 def _scan(blob, only_hits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam = _load(blob.value) if blob is not None else None
-        for batch in batches:
+        for batch in slices(batches):
             n, spans, items = [], [], []
             for text in batch.column("text").to_pylist():
                 ws = alnum_words(utf8(text))
@@ -256,13 +257,12 @@ def contamination(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
-    blobs = automata(benchmark, scratch, item_col, item_text_col, window, block_words)
+    shared = [spark.sparkContext.broadcast(b) for b in automata(benchmark, scratch, item_col, item_text_col, window, block_words)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("t"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, t long, n_words long, spans array<int>, items array<string>"
-    shared = [spark.sparkContext.broadcast(b) for b in blobs] or [None]
-    found = rows.mapInArrow(_scan(shared[0], False), ddl)
+    found = rows.mapInArrow(_scan(shared[0] if shared else None, False), ddl)
     if len(shared) > 1:
         for b in shared[1:]:
             found = found.unionByName(rows.mapInArrow(_scan(b, True), ddl))
@@ -299,27 +299,20 @@ def cut(text: str, spans: list[int]) -> str:
     return b"\n".join(out).decode("utf-8", "surrogatepass")
 
 
-def _clean(blobs, max_span: int, max_coverage: float):
+def _clean(blob, max_span: int, max_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sams = [_load(b.value) for b in blobs]
-        for batch in batches:
+        sam = _load(blob.value)
+        for batch in slices(batches):
             keep, texts = [], []
             for text in batch.column("__text").to_pylist():
                 total, gone = len(alnum_words(utf8(text))), 0
                 while text:  # a cut may bring words together that form a window
-                    ws = alnum_words(utf8(text))
-                    spans = sorted({s for sam in sams for s in sam.spans(ws)[0]})
+                    spans, _ = sam.spans(alnum_words(utf8(text)))
                     long = [s for s in spans if s[1] - s[0] > max_span]
                     gone += sum(b - a for a, b in spans)
                     if gone > max_coverage * total or not long:
                         break
-                    merged: list[list[int]] = []
-                    for lo, hi in long:
-                        if merged and lo <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], hi)
-                        else:
-                            merged.append([lo, hi])
-                    text = cut(text, [x for pair in merged for x in pair])
+                    text = cut(text, [x for pair in long for x in pair])
                 keep.append(not total or gone <= max_coverage * total)
                 texts.append(text)
             at = batch.schema.get_field_index("__text")
@@ -345,11 +338,14 @@ def decontaminate(
     removed; in the others every span of more than ``max_span`` words is cut
     out, again until none is left.  With the default limits every document
     that holds a window goes and clean documents stay untouched.  Null and
-    empty texts stay.
+    empty texts stay.  A benchmark of several blocks makes one pass per
+    block, written in between; the limits then hold for each block's items.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
-    blobs = automata(benchmark, scratch, item_col, item_text_col, window, block_words)
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blobs]
-    marked = docs.withColumn("__text", F.col(text_col).cast("string")).drop(text_col)
-    cleaned = marked.mapInArrow(_clean(shared, max_span, max_coverage), marked.schema)
-    return cleaned.withColumnRenamed("__text", text_col).select(*docs.columns)
+    rows = docs.withColumn("__text", F.col(text_col).cast("string")).drop(text_col)
+    for i, blob in enumerate(automata(benchmark, scratch, item_col, item_text_col, window, block_words)):
+        shared = docs.sparkSession.sparkContext.broadcast(blob)
+        if i:
+            rows = scratch.table(rows, f"pass-{i}")
+        rows = rows.mapInArrow(_clean(shared, max_span, max_coverage), rows.schema)
+    return rows.withColumnRenamed("__text", text_col).select(*docs.columns)
