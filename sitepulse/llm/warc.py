@@ -27,8 +27,11 @@ from sitepulse.llm.storage import Scratch
 
 #: Payloads shorter than this are always stored.
 MIN_REVISIT = 1000
-#: Captures in one archive file, and so in one run of the index.
+#: Captures in one archive file, and so in one run of the index, at most.
 FILE_RECORDS = 1000
+#: Bytes of one archive file, uncompressed, at most (unless one record is longer):
+#: a file is parsed in memory.
+FILE_BYTES = 1 << 28
 #: Index entries that one merge task receives, about.
 MERGE_ROWS = 200_000
 #: Capture times where the pages have none: this second plus the page id.
@@ -291,6 +294,8 @@ def capture_histories(pages: DataFrame, **kw) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     path = f"{scratch.path}/archives"
-    write_archives(records(pages, **kw), path)
+    recs = records(pages, **kw)
+    longest = pages.agg(F.max(F.octet_length(F.col(kw.get("html_col", "html")).cast("string")))).first()[0] or 0
+    write_archives(recs, path, max(1, min(FILE_RECORDS, FILE_BYTES // (longest + 4096))))
     runs = scratch.table(index_runs(spark, path), "runs")
     return merged_index(runs, runs.count())
