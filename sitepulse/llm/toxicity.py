@@ -26,7 +26,8 @@ BUCKETS = 1 << 20
 STEMS = (4, 5)
 #: Dimension of the factors.
 FACTORS = 4
-#: Labelled rows the model is fitted on, at most (those with the smallest id hash).
+#: Labelled rows the model is fitted on, at most (of each class those with the
+#: smallest id hash; the smaller class gets up to half of the places).
 SAMPLE = 16_000
 EPOCHS = 8
 BATCH = 200
@@ -36,8 +37,8 @@ RATE = 0.1
 #: Penalties of linear weights and factors.
 DECAY_W = 2e-3
 DECAY_V = 0.1
-#: Rows of the sample that must hold a term before it gets weights: at least
-#: this many, and at least this share (rarer terms only retell single texts).
+#: Rows of one class, whichever, that must hold a term before it gets weights: at
+#: least this many, and at least this share (rarer terms only retell single texts).
 LEAST_ROWS = 4
 LEAST_SHARE = 1 / 400
 #: Rows of either class that the calibration needs.
@@ -80,19 +81,25 @@ class Machine:
         flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
         return 1 / (1 + np.exp(-np.clip(self.scale * self.margins(flat, starts) + self.shift, -30, 30)))
 
-    def calibrate(self, rows: list[np.ndarray], y: np.ndarray) -> Machine:
-        """Fits scale and shift on rows that the weights have not seen (Platt's method, Newton steps)."""
-        pos = y.sum()
-        if min(pos, len(y) - pos) < LEAST_CALIBRATION:
+    def calibrate(self, rows: list[np.ndarray], y: np.ndarray, stand: tuple[float, float] = (1.0, 1.0)) -> Machine:
+        """Fits scale and shift on rows that the weights have not seen (Platt's method, Newton steps).
+
+        ``stand``: the labelled rows that a row of class 0, 1 stands for.
+        Where the rows do not suffice, only the shift between the classes' shares is corrected.
+        """
+        self.shift = float(np.log(stand[1] / stand[0]))
+        if min(y.sum(), len(y) - y.sum()) < LEAST_CALIBRATION:
             return self
-        target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (len(y) - pos + 2))
+        each = np.where(y == 1, stand[1], stand[0])
+        pos, neg = each[y == 1].sum(), each[y != 1].sum()
+        target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
         starts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
         x = np.stack([self.margins(np.concatenate(rows), starts), np.ones(len(y))], axis=1)
-        a = np.array([1.0, 0.0])
+        a = np.array([1.0, self.shift])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-            a -= np.clip(np.linalg.solve(h, x.T @ (p - target) + 1e-3 * (a - [1, 0])), -1, 1)
+            h = (x * (each * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+            a -= np.clip(np.linalg.solve(h, x.T @ (each * (p - target)) + 1e-3 * (a - [1, self.shift])), -1, 1)
         self.scale, self.shift = float(max(a[0], 1e-3)), float(a[1])
         return self
 
@@ -105,10 +112,12 @@ def fit(
     share = (y.sum() + 1) / (n + 2)
     w0 = float(np.log(share / (1 - share)))
     w, v = np.zeros(BUCKETS), np.zeros((BUCKETS, factors))
-    seen = np.bincount(flat, minlength=BUCKETS) >= max(LEAST_ROWS, LEAST_SHARE * n)
+    row = np.repeat(np.arange(n), np.diff(starts))
+    seen = np.zeros(BUCKETS, dtype=bool)
+    for of in (y == 1, y != 1):
+        seen |= np.bincount(flat[of[row]], minlength=BUCKETS) >= max(LEAST_ROWS, LEAST_SHARE * of.sum())
     if not seen.any() or y.min() == y.max():
         return Machine(w0, w, v)
-    row = np.repeat(np.arange(n), np.diff(starts))
     row, flat = row[seen[flat]], flat[seen[flat]]
     names, flat = np.unique(flat, return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n))))
@@ -141,25 +150,34 @@ def fit(
     return Machine(float(w0), w, v)
 
 
-def fit_calibrated(rows: list[np.ndarray], y: np.ndarray) -> Machine:
-    """Fits on four fifths of the rows and calibrates on the rest, if that is enough for it."""
+def fit_calibrated(rows: list[np.ndarray], y: np.ndarray, stand: tuple[float, float] = (1.0, 1.0)) -> Machine:
+    """Fits on four fifths of the rows and calibrates on the rest, if that is enough for it; ``stand`` as there."""
     part = np.arange(len(y)) % 5 == 4
     if min(y[part].sum(), (1 - y[part]).sum()) < LEAST_CALIBRATION:
         part[:] = False
     seen = [r for r, p in zip(rows, part) if not p]
     starts = np.concatenate(([0], np.cumsum([len(r) for r in seen]))).astype(np.int64)
     flat = np.concatenate(seen) if seen else np.zeros(0, dtype=np.int32)
-    return fit(flat, starts, y[~part]).calibrate([r for r, p in zip(rows, part) if p], y[part])
+    return fit(flat, starts, y[~part]).calibrate([r for r, p in zip(rows, part) if p], y[part], stand)
 
 
-def labelled_terms(rows: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, starts, labels) of at most ``sample`` labelled rows."""
-    chosen = (
-        labels.groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(sample)
-    )
+def places(negative: int, positive: int, sample: int) -> tuple[int, int]:
+    """Rows of each class in a sample: all if they fit, else the smaller class up to half, the other the rest."""
+    n = min(positive, max(sample // 2, sample - negative))
+    return min(negative, sample - n), n
+
+
+def labelled_terms(
+    rows: DataFrame, labels: DataFrame, sample: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]:
+    """(terms, starts, labels) of at most ``sample`` labelled rows, and how many a row of class 0, 1 stands for."""
+    known = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.max("y").alias("y"))
+    toxic = F.col("y") == 1
+    total = known.agg(F.count_if(~toxic), F.count_if(toxic)).first()
+    taken = places(*total, sample)
+    stand = tuple(float(a / b) if b else 1.0 for a, b in zip(total, taken))
+    first = [known.filter(of).orderBy(F.xxhash64("__id"), "__id").limit(n) for of, n in zip((~toxic, toxic), taken)]
+    chosen = first[0].unionByName(first[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -174,7 +192,7 @@ def labelled_terms(rows: DataFrame, labels: DataFrame, sample: int) -> tuple[np.
     cells = pa.concat_arrays(cells.chunks) if isinstance(cells, pa.ChunkedArray) else cells
     flat = cells.flatten().to_numpy(zero_copy_only=False)
     starts = np.concatenate(([0], np.cumsum([len(x) for x in cells]))).astype(np.int64)
-    return flat, starts, y
+    return flat, starts, y, stand
 
 
 def score_toxicity(
@@ -189,7 +207,9 @@ def score_toxicity(
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Labels are learned only from rows whose crc32(id as text) mod ``folds``
-    is not 0, and at most ``sample`` of them.  Only the text decides a score;
+    is not 0, and at most ``sample`` of them: where there are more, the rarer
+    class keeps its rows up to half of them, and scores are corrected for
+    the classes' shares among all labels.  Only the text decides a score;
     a null or empty text gets that of a text without terms.  Null labels
     are ignored, the larger of contradicting ones counts, rows without a
     label are scored like all others.  Without labels every score is 0.5.
@@ -200,12 +220,12 @@ def score_toxicity(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held)
-    flat, starts, y = labelled_terms(rows, known, sample)
+    flat, starts, y, stand = labelled_terms(rows, known, sample)
     # sorted, so that the fit does not depend on the order of arrival
     sample_rows = sorted((y[i], flat[starts[i] : starts[i + 1]].tobytes()) for i in range(len(y)))
     y = np.array([a for a, _ in sample_rows])
     none = Machine(0.0, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
-    model = fit_calibrated([np.frombuffer(b, dtype=flat.dtype) for _, b in sample_rows], y) if len(y) else none
+    model = fit_calibrated([np.frombuffer(b, dtype=flat.dtype) for _, b in sample_rows], y, stand) if len(y) else none
     shared = spark.sparkContext.broadcast(
         (model.w0, model.w.astype(np.float32), model.v.astype(np.float32), model.scale, model.shift)
     )

@@ -284,6 +284,40 @@ def test_machine_learns_pairs_that_linear_weights_miss():
     assert ((model.scores(x[1600:]) >= 0.5) == y[1600:]).mean() > 0.95
 
 
+def test_terms_of_few_toxic_rows_get_weights():
+    rnd = random.Random(4)
+    clean = [" ".join(rnd.choice("alpha beta gamma delta epsi zeta".split()) for _ in range(6)) for _ in range(8000)]
+    x = [toxicity.terms(t) for t in clean + [f"{t} qqinsult" for t in clean[:16]]]
+    y = np.array([0.0] * 8000 + [1.0] * 16)
+    starts = np.concatenate(([0], np.cumsum([len(r) for r in x]))).astype(np.int64)
+    model = toxicity.fit(np.concatenate(x), starts, y, epochs=2)
+    scores = model.scores(x)
+    assert model.w[toxicity.terms("qqinsult")].min() > 0
+    assert scores[8000:].min() > scores[:8000].max()
+
+
+def test_sample_keeps_the_rarer_class(spark):
+    assert toxicity.places(10, 5, 100) == (10, 5) and toxicity.places(90, 30, 40) == (20, 20)
+    assert toxicity.places(1000, 7, 40) == (33, 7) and toxicity.places(7, 1000, 40) == (7, 33)
+    rows = spark.range(400).selectExpr("id doc_id", "'some text' text", "cast(id % 50 = 0 as int) y")
+    _, starts, y, stand = toxicity.labelled_terms(rows.drop("y"), rows.drop("text"), 40)
+    assert len(starts) == 41 and y.sum() == 8 and stand == (392 / 32, 1.0)
+
+
+def test_calibration_makes_up_for_the_sample():
+    rnd = random.Random(6)
+
+    def text(toxic):
+        mark = "qqinsult" if rnd.random() < (0.7 if toxic else 0.1) else "zzgroup"
+        return toxicity.terms(" ".join([mark] + rnd.choices("alpha beta gamma delta".split(), k=5)))
+
+    y = np.array([0.0, 1.0] * 600)
+    x = [text(v) for v in y]
+    even, rare = (toxicity.fit_calibrated(x, y, stand) for stand in ((1.0, 1.0), (20.0, 1.0)))
+    both = [toxicity.terms("qqinsult alpha")]
+    assert even.scores(both)[0] > 0.75 and rare.scores(both)[0] < 0.5
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.score_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
