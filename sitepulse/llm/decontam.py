@@ -69,7 +69,7 @@ class SuffixAutomaton:
         return c
 
     def build(self, sequences: list[tuple[object, list[bytes], bool]]) -> SuffixAutomaton:
-        """sequences: (item, words, whether the words are a whole item)."""
+        """sequences: (item, words, whether the words are a whole item).  Item None has spans, but is not listed."""
         coded = [(i, [self.vocab.setdefault(w, len(self.vocab)) for w in ws], whole) for i, ws, whole in sequences]
         for _, ws, _ in coded:
             last = 0
@@ -107,6 +107,7 @@ class SuffixAutomaton:
         for lo, hi in zip(starts.tolist(), ends.tolist()):
             if hi - lo >= self.least:
                 self._run(ids[lo:hi].tolist(), lo, out, items)
+        items.discard(None)
         return out, items
 
     def _run(self, ids: list[int], base: int, out: list, items: set) -> None:
@@ -172,7 +173,6 @@ def automata(
 ) -> Iterator[bytes]:
     """One pickled automaton after the other, for blocks of at most about ``block_words`` words."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    items = items.filter(F.col("item").isNotNull())
     pieces = scratch.table(
         items.mapInArrow(_pieces(window, piece_words), "item string, piece string, whole boolean, n long"), "pieces"
     )
@@ -251,9 +251,10 @@ def contamination(
     ``spans`` are word ranges (start, end, start, end, ...) covered by
     occurring windows, ``items`` the sorted ids of items with such a window,
     ``n_hit`` the words in spans.  Null and empty texts have no words and no
-    hits; items that are null, empty or without an id match nothing; equal
-    items all count.  Rows repeated with one id and text get equal answers.
-    Other columns are not read.  An empty benchmark hits nothing.
+    hits; items whose text is null or empty match nothing; equal items all
+    count.  An item without an id has spans, but is not in ``items``.  Rows
+    repeated with one id and text get equal answers.  Other columns are not
+    read.  An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")

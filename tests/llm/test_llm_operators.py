@@ -251,6 +251,18 @@ def test_long_items_in_pieces(spark):
     assert spans == [(0, 57)] and items == {"1"}
 
 
+@pytest.mark.parametrize("block_words", [200_000, 10])
+def test_items_without_an_id_hit(spark, block_words):
+    # as the registered SQL: count(DISTINCT item_id) and string_agg pass over nulls, the words count
+    item, other = (" ".join(f"{w}{i}" for i in range(12)) for w in ("bench", "other"))
+    rows = [(1, f"x {item} y"), (2, "the short one here"), (3, f"clean {item[:20]}"), (4, f"{other} z"), (5, None)]
+    items = [(None, item), (None, "short one"), (7, other), (None, other), (None, None)]
+    d, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(d, bench, block_words=block_words).collect()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in got} == {1: (12, []), 2: (2, []), 3: (0, []), 4: (12, ["7"]), 5: (0, [])}
+    assert sorted(r.doc_id for r in decontam.decontaminate(d, bench, block_words=block_words).collect()) == [3, 5]
+
+
 def test_decontaminate(spark, edge):
     d, bench = docs(spark, edge), spark.read.parquet(f"{edge['dir']}/benchmark.parquet")
     dirty = [r[0] for r in brute.op6(edge) if r[5]]
