@@ -43,6 +43,10 @@ def read_pieces(path: str) -> list[bytes]:
     return found + [bytes([b]) for b in range(256) if bytes([b]) not in known]
 
 
+def lettered(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def units(word: bytes) -> list[bytes]:
     """The word with a space before it, in units of at most UNIT bytes."""
     word = b" " + word
@@ -160,7 +164,7 @@ class Model:
 
     def predict(self, texts: list) -> list[tuple[str, float]]:
         """(language, posterior under equal priors) of each text; ('und', 0) without a letter."""
-        found = [alnum_words(utf8(t)) if t and any(map(str.isalpha, t)) else None for t in texts]
+        found = [alnum_words(utf8(t)) if lettered(t) else None for t in texts]
         out, lo = [], 0
         while lo < len(found):  # portions whose different words fit the memory
             hi, words = lo, set()
@@ -307,19 +311,24 @@ def identify(
 def keep_identified(
     docs: DataFrame, path: str, text_col: str = "text", least_score: float = 0.0, wanted: set[str] | None = None, **kw
 ) -> DataFrame:
-    """``docs`` whose texts have a language: not 'und', of at least ``least_score``, and among ``wanted`` if given.
+    """``docs`` whose texts have a letter, and a language of at least ``least_score`` and among ``wanted`` if given.
 
-    All columns stay as they are; one pass over the texts, no exchange.
+    Where there is nothing to learn from, every text with a letter stays; to
+    ask for a score or for languages is an error then.  All columns stay as
+    they are; one pass over the texts, no exchange.
     """
     model = train(docs, path, text_col=text_col, **kw)
+    if not model.langs and (least_score > 0 or wanted is not None):
+        raise ValueError("least_score and wanted need rows with a language to learn from")
     value, on_worker = _on_worker(model)
     shared = docs.sparkSession.sparkContext.broadcast(value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = on_worker(shared.value)
         for batch in slices(batches):
-            found = model.predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
-            keep = [a != "und" and s >= least_score and (wanted is None or a in wanted) for a, s in found]
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            found = zip(texts, model.predict(texts))
+            keep = [lettered(t) and s >= least_score and (wanted is None or a in wanted) for t, (a, s) in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

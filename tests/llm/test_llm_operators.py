@@ -419,6 +419,18 @@ def test_keep_identified(spark, edge):
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_keep_identified_without_languages(spark, edge):
+    import public_tokenizers
+
+    path = public_tokenizers.path(BPE_FILE)
+    d = docs(spark, edge).withColumn("lang", F.lit(None).cast("string"))
+    want = [i for i, x in edge["documents"] if x and any(c.isalpha() for c in x)]
+    assert sorted((r.doc_id for r in langid.keep_identified(d, path).collect()), key=str) == sorted(want, key=str)
+    for kw in ({"wanted": {"en"}}, {"least_score": 0.5}):
+        with pytest.raises(ValueError):
+            langid.keep_identified(d, path, **kw)
+
+
 # byte-level BPE
 
 
