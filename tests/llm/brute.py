@@ -208,3 +208,67 @@ def op10(t):
         ids = enc.encode_ordinary(x or "")
         out.append((d, len(ids), sha(",".join(map(str, ids))), sha(x or "")))
     return out
+
+
+def op11(t):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    n = [len(tok.encode(x or "", add_special_tokens=False).ids) for _, x in t["documents"]]
+    return [(d, len((x or "").encode()), k, k > 2048) for (d, x), k in zip(t["documents"], n)]
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low(text or ""))
+
+
+def op12(t, k=20):
+    docs = [(d, terms(x)) for d, x in t["documents"]]
+    docs = [(d, len(w), Counter(w)) for d, w in docs if w]
+    n_docs, n_words = len(docs), sum(n for _, n, _ in docs)
+    df = Counter(w for _, _, tf in docs for w in tf)
+    out = []
+    for item, x in t["benchmark"]:
+        found = []
+        for d, n, tf in docs:
+            m = 100 - 25 + 25 * n * n_docs // n_words
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (10**9 * tf[w] // (1000 * tf[w] + 12 * m))
+                for w in terms(x)
+                if w in tf
+            )
+            if score > 0:
+                found.append((-score, d is None, d))
+        found.sort(key=lambda f: (f[0], f[1], f[2] or 0))
+        out += [(item, i + 1, d, -s) for i, (s, _, d) in enumerate(found[:k])]
+    return out
+
+
+def op13(t):
+    own = defaultdict(list)
+    for c, turn, role, text in t["conversations"]:
+        if c is not None:
+            key = (turn is not None, turn or 0, role or "", hashlib.md5((text or "").encode()).hexdigest())
+            own[c].append((key, (role or "", text or "")))
+    own = {c: [x for _, x in sorted(ts)] for c, ts in own.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, ts in own.items():
+        h = crc(c) % 4
+        s = tuple(own.get(c - int(math.fmod(c, 20)), [])[:h] + ts[h:])
+        ends[s].append(c)
+        for d in range(len(s) + 1):
+            members[s[:d]].append(c)
+    kids = defaultdict(list)
+    for k in members:
+        if k:
+            kids[k[:-1]].append(k)
+    out, leaves, saved = [], {}, {}
+    for k in sorted(members, key=len, reverse=True):
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", k[-1][1])) if k else 0
+        leaves[k] = sum(leaves[x] for x in kids[k]) or 1
+        saved[k] = (len(members[k]) - 1) * words + sum(saved[x] for x in kids[k])
+        parent = min(members[k[:-1]]) if k else None
+        listed = sha(",".join(map(str, sorted(ends[k]))))
+        out.append((min(members[k]), len(k), parent, len(members[k]), len(kids[k]), leaves[k], saved[k], listed))
+    return out

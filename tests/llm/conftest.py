@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SF = "/root/testdata/sf0.001"
 #: Names that operators use for their own columns.
-CLASHES = "h n k f t a shard block bucket line blob drops fp root z u v i bits spans items ids part parts kind value run url_key keep_id group_size text_sha256 held_out score ok".split()
+CLASHES = "h n k f t a shard block bucket line blob drops fp root z u v i bits spans items ids part parts kind value run url_key keep_id group_size text_sha256 held_out score ok c w x y depth no rank digest a b pid weight total p heads n_tokens conv_id item_id doc_id".split()
 
 
 def edge_documents():
@@ -97,6 +97,19 @@ def edge_labels():
     return [(1, 1, 0), (2, 0, 1), (3, 1, None), (None, 1, 1), (7, 1, 0), (7, 1, 1), (999_999, 1, 1)]
 
 
+def edge_conversations():
+    rnd = random.Random(6)
+    say = ["", None, "Yes", "no  thanks", "étude 中文", "a b\tc", "x" * 50_000, "same"]
+    rows = [(c, t, rnd.choice(["user", "assistant", None]), rnd.choice(say)) for c in range(0, 90) if c % 7 for t in range(c % 6)]
+    rows += [(c, t, "user", f"hot {t}") for c in range(200, 340) for t in range(4)]
+    rows += [(c, t, "user", f"hot {t}") for c in range(340, 360) for t in range(2)]
+    rows += [(400, t, "user", f"long {t}") for t in range(300)] + [(401, t, "user", f"long {t}") for t in range(0, 300)]
+    rows += [(500, None, "b", "null turns"), (500, None, "a", "null turns"), (500, 0, None, None), (500, 0, None, None)]
+    rows += [(501, 3, "u", "tie one"), (501, 3, "u", "tie two"), (501, 3, "t", "tie three"), (None, 1, "user", "nobody")]
+    rows += [(-7, 0, "user", "minus"), (-20, 0, "user", "minus"), (-20, 1, "user", "more"), (-1, 0, "u", "x"), (2**62, 5, "u", "x")]
+    return rows
+
+
 def _write(spark, path, name, rows, schema, extra):
     from pyspark.sql import functions as F
 
@@ -112,25 +125,26 @@ SCHEMAS = {
     "benchmark": "item_id long, text string",
     "pages": "page_id long, url string, html string",
     "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
 }
 
 
-def _tables(spark, path, docs, bench, pages, labels, extra=CLASHES):
+def _tables(spark, path, docs, bench, pages, labels, talks, extra=CLASHES):
     full = [(d, x, [None, "en", "de"][i % 3], None if i % 5 == 0 else "s", None) for i, (d, x) in enumerate(docs)]
-    for name, rows in (("documents", full), ("benchmark", bench), ("pages", pages), ("labels", labels)):
+    for name, rows in (("documents", full), ("benchmark", bench), ("pages", pages), ("labels", labels), ("conversations", talks)):
         _write(spark, path, name, rows, SCHEMAS[name], extra)
-    return {"dir": path, "documents": docs, "benchmark": bench, "pages": [(a, c) for a, _, c in pages], "labels": labels}
+    return {"dir": path, "documents": docs, "benchmark": bench, "pages": [(a, c) for a, _, c in pages], "labels": labels, "conversations": talks}
 
 
 @pytest.fixture(scope="session")
 def edge(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("edge"))
-    return _tables(spark, path, edge_documents(), edge_benchmark(), edge_pages(), edge_labels())
+    return _tables(spark, path, edge_documents(), edge_benchmark(), edge_pages(), edge_labels(), edge_conversations())
 
 
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
-    return _tables(spark, str(tmp_path_factory.mktemp("empty")), [], [], [], [])
+    return _tables(spark, str(tmp_path_factory.mktemp("empty")), [], [], [], [], [])
 
 
 @pytest.fixture(scope="session")
@@ -146,6 +160,7 @@ def small():
         "benchmark": rows("benchmark", "item_id", "text"),
         "pages": rows("pages", "page_id", "html"),
         "labels": rows("labels", "doc_id", "quality", "toxic"),
+        "conversations": rows("conversations", "conv_id", "turn", "role", "text"),
     }
 
 

@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sitepulse.llm import bpe, components, decontam, exact, langid, lines, lm, secrets, simhash, toxicity, warc
+from sitepulse.llm import bpe, components, decontam, exact, langid, lexical, lines, lm, pretokens, secrets, simhash, tokencount
+from sitepulse.llm import toxicity, trie, warc
 from sitepulse.llm.queries import BPE_FILE
 from sitepulse.llm.storage import Scratch
 
@@ -483,3 +484,122 @@ def test_encode_then_decode(spark, edge, coder):
     assert all(len(r.offsets) == 2 * len(r.ids) for r in back)
 
 
+
+
+# -------------------------------------------------------------- token counts
+
+
+def test_counts_do_not_depend_on_the_table(spark, edge):
+    import public_tokenizers as P
+
+    path = P.path("word_bpe_49k.json")
+    want = sorted(brute.op11(edge), key=key)
+    for sample, entries in ((1, 1), (10**9, 3), (10**9, 10**6)):
+        got = tokencount.count_tokens(docs(spark, edge), path, sample=sample, entries=entries).collect()
+        assert sorted((tuple(r) for r in got), key=key) == want
+
+
+def test_length_table():
+    words = {f"w{i}": i % 9 + 1 for i in range(5000)} | {"é": 2, "": 1}
+    table = tokencount.LengthTable(words)
+    assert all(table.get(w) == n for w, n in words.items())
+    assert table.get("w5000") is None and tokencount.LengthTable({}).get("x") is None
+    assert len(table.slots) >= 2 * len(words)
+
+
+def test_memo_starts_over():
+    asked = []
+    memo = pretokens.Memo(lambda ws: asked.append(len(ws)) or [len(w) for w in ws], limit=5)
+    assert list(memo.answer([["a", "bb", "a"], ["cc"]])) == [[1, 2, 1], [2]]
+    assert list(memo.answer([["dd", "ee", "f", "a", "y" * 100]])) == [[2, 2, 1, 1, 100]]
+    assert asked == [3, 5] and "y" * 100 not in memo
+
+
+def test_settled_characters_have_the_librarys_classes():
+    import public_tokenizers as P
+    import regex
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    library = Split(Regex(P.PATTERN), "isolated")
+    inside = regex.compile(f"[{pretokens.SETTLED}]")
+    chars = [c for c in map(chr, range(0xD800)) if inside.match(c)]
+    assert len(chars) > 30_000
+    find = regex.compile(P.PATTERN).findall
+    for c in chars:
+        text = f"a{c}1 {c}  {c}{c}"
+        assert find(text) == [w for w, _ in library.pre_tokenize_str(text)], hex(ord(c))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aBéÉ́İΣς \n\x1c\x85 'sSlL1٣中<|endoftext>😀‍֊꟎ſK한", max_size=40))
+def test_counts_equal_the_library(text):
+    counts, _ = tokencount.load(word_tokenizer())
+    n, words = counts.parts(text)
+    assert n + sum(counts.lengths(words)) == brute.op11({"documents": [(0, text)]})[0][2]
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers as P
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+# ------------------------------------------------------------ lexical search
+
+
+@pytest.mark.parametrize("rows, window, short, blocks", [(7, 3, 2, 10), (50, 16, 10**9, 10**6), (10**6, 8, 1, 10**6)])
+def test_search_in_small_rows(spark, edge, monkeypatch, rows, window, short, blocks):
+    monkeypatch.setattr(lexical, "ROW_DOCS", rows)
+    monkeypatch.setattr(lexical, "SHORT", short)
+    monkeypatch.setattr(lexical.search, "__defaults__", (window,))
+    items = spark.read.parquet(f"{edge['dir']}/benchmark.parquet")
+    for k in (1, 5, 20):
+        got = lexical.rank_documents(docs(spark, edge), items, k=k, block_terms=blocks).collect()
+        assert sorted((tuple(r) for r in got), key=key) == sorted(brute.op12(edge, k), key=key)
+
+
+def test_skipping_loses_nothing():
+    """Few best documents, long lists, many windows: the passive lists are only probed."""
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    n_docs, words = 3000, 40
+    lens = rnd.integers(5, 400, n_docs)
+    doc, term = np.nonzero(rnd.random((n_docs, words)) < np.linspace(0.001, 0.9, words))
+    tf = rnd.integers(1, 9, len(doc))
+    part = (np.array(range(n_docs), object), lens, doc, term, tf)
+    row = lexical.pack([part], n_docs, int(lens.sum())).to_pylist()[0]
+    lists = lexical.Lists([row], n_docs, int(lens.sum()))
+    weights = np.linspace(8000, 3, words).astype(np.int64)
+    m = 75 + 25 * lens * n_docs // lens.sum()
+    gain = 10**9 * tf // (1000 * tf + 12 * m[doc])
+    for terms in ([0, 5, 39], range(words), [38, 39], [1]):
+        terms = np.array(terms)
+        scores = np.zeros(n_docs, np.int64)
+        used = np.isin(term, terms)
+        np.add.at(scores, doc[used], (weights[term] * gain)[used])
+        want = sorted((-s, d) for d, s in enumerate(scores.tolist()) if s > 0)[:20]
+        best = lexical.Best(20)
+        lexical.search(lists, terms, weights[terms], best, window=64)
+        assert [(-s, d) for s, d in best.rows] == want
+
+
+# --------------------------------------------------------------- prefix trie
+
+
+def test_trie_with_a_conversation_in_many_parts(spark, edge, monkeypatch):
+    """One conversation over many range partitions, end lists of several rows."""
+    monkeypatch.setattr(trie, "PACKED", 3)
+    talks = spark.read.parquet(f"{edge['dir']}/conversations.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = [tuple(r) for r in trie.prefix_trie(talks).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert sorted(got, key=key) == sorted(brute.op13(edge), key=key)
