@@ -14,20 +14,17 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitepulse.llm.pretokens import PORTION, Memo, Splitter, portions
 from sitepulse.llm.storage import worker_cache
 from sitepulse.llm.text import slices
 
-#: Texts are handed to the library in portions of about this many characters,
-#: which bounds the memory of its encodings.
-PORTION = 1 << 18
-
 
 def byte_table() -> dict[int, str]:
     """Byte -> printable character."""
@@ -86,7 +83,7 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 def load(description: str):
-    """The library's tokenizer and the bytes of each id; kept per worker process."""
+    """An encoder of texts and the bytes of each id; kept per worker process."""
     cache = worker_cache()
     if cache.get("bpe_key") != hash(description):
         import os
@@ -100,27 +97,10 @@ def load(description: str):
         pieces = [b""] * (max(vocab.values()) + 1)
         for s, i in vocab.items():
             pieces[i] = bytes(back[c] for c in s)
-        cache["bpe"], cache["bpe_key"] = (tok, pieces), hash(description)
+        cache["bpe"], cache["bpe_key"] = (Encoder(tok, description), pieces), hash(description)
     return cache["bpe"]
 
 
-def portions(text: str, size: int = PORTION) -> list[str]:
-    """Cuts a long text where a space follows something else.
-
-    The pattern's matches never hold a space after another character, so
-    the parts' tokens are those of the whole text.
-    """
-    out, start = [], 0
-    while len(text) - start > size:
-        at = start + size
-        while at < len(text) and not (text[at] == " " and not text[at - 1].isspace()):
-            at += 1
-        out.append(text[start:at])
-        start = at
-    out.append(text[start:])
-    return out
-
-
 def groups(texts: list[str], size: int = PORTION) -> Iterator[list[str]]:
     now, n = [], 0
     for t in texts:
@@ -133,16 +113,28 @@ def groups(texts: list[str], size: int = PORTION) -> Iterator[list[str]]:
         yield now
 
 
-def encode_texts(tok, texts: list[str]) -> Iterator[list[int]]:
-    """Ids of each text."""
-    for group in groups(texts):
-        parts = [portions(t) for t in group]
-        done = iter(tok.encode_batch_fast([p for ps in parts for p in ps], add_special_tokens=False))
-        for ps in parts:
-            ids: list[int] = []
-            for _ in ps:
-                ids += next(done).ids
-            yield ids
+class Encoder:
+    """Ids of texts: split by the pattern, each different pre-token encoded once by the library.
+
+    The library encodes matches of the pattern one by one and a match alone
+    is one match again, so ids put together from remembered pre-tokens are
+    those of the whole text.
+    """
+
+    def __init__(self, tok, description: str):
+        self._tok = tok
+        self.split = Splitter(json.loads(description)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.memo = Memo(self._encode)
+
+    def _encode(self, words: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(e.ids) for e in self._tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text; texts are taken in groups, which bounds the memory of their pre-tokens."""
+        for group in groups(texts):
+            split = [list(chain.from_iterable(map(self.split, portions(t)))) for t in group]
+            for ids in self.memo.answer(split):
+                yield list(chain.from_iterable(ids))
 
 
 def offsets(pieces: list[bytes], ids: list[int]) -> list[tuple[int, int]]:
@@ -178,13 +170,13 @@ class StreamDecoder:
 
 def _encode(description, with_offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, pieces = load(description.value)
+        encoder, pieces = load(description.value)
         for batch in slices(batches):
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             kept = batch.drop_columns(["__text"])
             at = 0
             for group in groups(texts, 8 * PORTION):  # a few MB of ids at a time
-                ids = list(encode_texts(tok, group))
+                ids = list(encoder(group))
                 part = kept.slice(at, len(group))
                 at += len(group)
                 cols = [*part.columns, pa.array(ids, pa.list_(pa.int32()))]
@@ -252,14 +244,14 @@ def round_trip(
     description = spark.sparkContext.broadcast(tokenizer_json(read_ranks(path), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, pieces = load(description.value)
+        encoder, pieces = load(description.value)
         decimal = [str(i) for i in range(len(pieces))]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
         for batch in slices(batches):
             at = 0
             for group in groups([t or "" for t in batch.column("text").to_pylist()], 8 * PORTION):
                 n, coded, decoded, kept = [], [], [], []
-                for ids in encode_texts(tok, group):
+                for ids in encoder(group):
                     n.append(len(ids))
                     coded.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
                     decoded.append(hashlib.sha256(decode_ids(pieces, ids)).hexdigest())
