@@ -10,6 +10,7 @@ that embed a checksum are reported only if the checksum holds.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 import zlib
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from sitepulse.llm.text import slices
 
 #: Kinds in the order in which spans with one start are listed.
-KINDS = ("assign", "access", "hex", "github", "npm", "jwt")
+KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "xprv")
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -31,7 +32,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 _NPM = re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
-_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+_RUN = re.compile(r"[A-Za-z0-9_-]*")
+_XPRV = re.compile(r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![1-9A-HJ-NP-Za-km-z])")
 #: keyword in lower case -> kind
 KEYWORDS = {
     "password": "assign",
@@ -48,6 +50,7 @@ KEYWORDS = {
     "ghr_": "github",
     "npm_": "npm",
     "eyj": "jwt",
+    "xprv": "xprv",
 }
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -65,21 +68,90 @@ def _crc_holds(m: re.Match) -> bool:
     return crc_suffix(m[1][:30]) == m[1][30:]
 
 
-def _jwt_holds(m: re.Match) -> bool:
-    """Both parts are base64url JSON objects and the header names an algorithm."""
+_BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+def _base58_holds(m: re.Match) -> bool:
+    """Base58Check: the last 4 of 82 bytes start the double SHA-256 of the others."""
+    n = 0
+    for c in m[0]:
+        n = n * 58 + _BASE58.index(c)
+    if n >> 8 * 82:
+        return False
+    raw = n.to_bytes(82, "big")
+    return hashlib.sha256(hashlib.sha256(raw[:78]).digest()).digest()[:4] == raw[78:]
+
+
+def _jwt_holds(m) -> bool:
+    """Both parts are base64url JSON objects and the header names an algorithm.
+
+    A part nested deeper than the parser goes is no token.
+    """
     try:
         head, body = (json.loads(base64.urlsafe_b64decode(x + "=" * (-len(x) % 4))) for x in (m[1], m[2]))
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(body, dict) and "alg" in head
 
 
+class _Jwt:
+    """Matches ``eyJ..., eyJ..., ...`` joined by dots, anchored, in time linear in the text.
+
+    A part ends where its run of token characters ends, whatever place in
+    the run it starts at.  So the ends of the last two runs are remembered,
+    and a start in a run that nothing fitting follows costs nothing.
+    """
+
+    def __init__(self):
+        self._text, self._runs = None, []
+
+    def _end(self, text: str, at: int) -> int:
+        if text is not self._text:
+            self._text, self._runs = text, []
+        for a, b in self._runs:
+            if a <= at < b:
+                return b
+        end = _RUN.match(text, at).end()
+        if end > at:
+            self._runs = [*self._runs[-1:], (at, end)]
+        return end
+
+    def match(self, text: str, start: int):
+        if not text.startswith("eyJ", start):
+            return None
+        first = self._end(text, start)
+        if first - start < 4 or not text.startswith(".eyJ", first):
+            return None
+        second = self._end(text, first + 1)
+        if second - first < 5 or not text.startswith(".", second):
+            return None
+        third = self._end(text, second + 1)
+        if third == second + 1:
+            return None
+        return _Found(text, start, first, second, third)
+
+
+class _Found:
+    """The parts of a match, as ``re.Match`` gives them."""
+
+    def __init__(self, text, start, first, second, third):
+        self._parts = (text[start:third], text[start:first], text[first + 1 : second], text[second + 1 : third])
+        self._end = third
+
+    def __getitem__(self, i: int) -> str:
+        return self._parts[i]
+
+    def end(self) -> int:
+        return self._end
+
+
 RULES = {
     "assign": (_ASSIGN, lambda m: len(m[2]) >= 12),
     "access": (_ACCESS, lambda m: len(m[0]) >= 18),
     "github": (_GITHUB, _crc_holds),
     "npm": (_NPM, _crc_holds),
-    "jwt": (_JWT, _jwt_holds),
+    "jwt": (_Jwt(), _jwt_holds),
+    "xprv": (_XPRV, _base58_holds),
 }
 _HEX_DIGIT = frozenset("0123456789abcdef")
 MIN_HEX = 16

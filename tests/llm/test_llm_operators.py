@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import random
+import re
+import time
 
 import brute
 import numpy as np
@@ -169,6 +173,41 @@ def test_checksums_decide():
     assert [(text[a:b], k) for a, b, k in found] == [(f"ghp_{good}", "github"), (f"npm_{good}", "npm"), (jwt, "jwt")]
 
 
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="eyJ.a-é ", max_size=60), st.sampled_from(["", "eyJa.eyJb.c", "eyJeyJa.eyJ.eyJb.eyJc."]))
+def test_tokens_equal_the_pattern(text, head):
+    text = head + text + head
+    mine = secrets._Jwt()
+    for at in range(len(text)):
+        a, b = mine.match(text, at), JWT.match(text, at)
+        assert (a and [a[i] for i in range(4)] + [a.end()]) == (b and [b[i] for i in range(4)] + [b.end()])
+
+
+def test_hostile_texts_take_linear_time():
+    keywords = secrets.automaton()
+    nested = base64.urlsafe_b64encode(b'{"alg":' * 100_000).decode().rstrip("=")
+    deep = f"{nested}.{nested}.x"
+    for text in (deep, "eyJ" * 350_000, ("eyJ" * 300_000) + ".eyJ" + "eyJ" * 50_000 + ".", "eyJa." * 200_000, "token=" * 170_000):
+        began = time.perf_counter()
+        assert [k for _, _, k in secrets.scan(text, keywords) if k == "jwt"] == []
+        assert time.perf_counter() - began < 2
+
+
+def test_base58_checksum():
+    raw = bytes.fromhex("0488ADE4") + bytes(range(74))
+    raw += hashlib.sha256(hashlib.sha256(raw).digest()).digest()[:4]
+    n, good = int.from_bytes(raw, "big"), ""
+    while n:
+        n, r = divmod(n, 58)
+        good = secrets._BASE58[r] + good
+    bad = good[:-1] + ("1" if good[-1] != "1" else "2")
+    text = f"{bad} {good} {good}1 xprv"
+    assert [(a, b, k) for a, b, k in secrets.scan(text, secrets.automaton()) if k == "xprv"] == [(112, 223, "xprv")]
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet="aAfF09ptokenOKENsecr =:'\"AKIZpi_ykwKſé-", max_size=80), st.sampled_from(["", "token=", "AKIA", "secret: '", "0" * 15]))
 def test_scan_equals_plain_search(text, head):
