@@ -51,6 +51,18 @@ def safe_number_sql(e: str, to: str = "double") -> str:
     return f"CASE WHEN {t} RLIKE '{NUMBER_PATTERN}' THEN try_cast({t} AS {to}) END"
 
 
+def exact_measure_sql(c: str) -> str:
+    """A double as DECIMAL(28, 10), so that sums do not depend on their order.
+
+    NaN counts as missing.  A number too large for the type fails the job:
+    it must not leave the sums silently.
+    """
+    return (
+        f"CASE WHEN {c} IS NULL OR isnan({c}) THEN NULL ELSE"
+        f" coalesce(try_cast({c} AS DECIMAL(28, 10)), raise_error('measure does not fit DECIMAL(28,10)')) END"
+    )
+
+
 def split_key_sql(e: str) -> tuple[str, str]:
     """``split_key`` as SQL text."""
     parts = f"split({e}, '-', 2)"
@@ -189,7 +201,8 @@ def percent_text(n, num, den) -> Column:
 
 def percent_of(num, den) -> Column:
     """num/den in percent as text, rounded half-up to two decimals by exact
-    arithmetic (integers or decimals); NULL where den is not positive."""
+    arithmetic (integers, or decimals of up to 10 places as the measure sums
+    have); NULL where den is not positive."""
     num, den = _col(num).cast(_WIDE), _col(den).cast(_WIDE)
     q = F.call_function("div", num * 20000 + den, F.nullif(den * 2, F.lit(0)))
     pct = F.concat(
@@ -200,7 +213,8 @@ def percent_of(num, den) -> Column:
     return F.when(den > 0, pct)
 
 
-_WIDE = "decimal(28,2)"
+#: All places of a measure sum; 31 digits, so that times 20000 plus another one has 38.
+_WIDE = "decimal(31,10)"
 
 
 def mask_key(c) -> Column:

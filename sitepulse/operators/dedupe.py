@@ -59,7 +59,9 @@ def flag_repeats(log: DataFrame, roles: Roles = Roles(), name: str = "dup") -> D
     (entity, day, start, tiebreak...).  Hashing on all of those spreads even
     a hot group over every partition.  Rows that agree on all of them are
     numbered, so exactly one of them can be the latest; the numbering runs
-    over such twins only and reuses the join's partitioning.
+    over such twins only and reuses the join's partitioning.  Where the
+    roles say that the order is unique (``ingest.with_source_order`` makes it
+    so for any log in files), there are no twins and nothing is numbered.
     """
     cols = [roles.entity, roles.day, roles.start, *roles.tiebreak]
     latest = latest_per_day(log, roles).select(
@@ -69,8 +71,9 @@ def flag_repeats(log: DataFrame, roles: Roles = Roles(), name: str = "dup") -> D
     for i, c in enumerate(cols):
         eq = F.col(f"__log.{ident(c)}").eqNullSafe(F.col(f"__l{i}"))
         cond = eq if cond is None else cond & eq
-    twins = Window.partitionBy(*[F.col(c) for c in cols]).orderBy(F.lit(1))
-    joined = log.withColumn(_RN, F.row_number().over(twins)).alias("__log")
-    joined = joined.join(latest, cond, "left")
+    number = F.lit(1)
+    if not roles.unique_order:
+        number = F.row_number().over(Window.partitionBy(*[F.col(c) for c in cols]).orderBy(F.lit(1)))
+    joined = log.withColumn(_RN, number).alias("__log").join(latest, cond, "left")
     first = ~F.coalesce(F.col("__dup"), F.lit(True)) & (F.col(_RN) == 1)
     return joined.select(*[F.col(f"__log.{ident(c)}") for c in log.columns], (~first).alias(name))

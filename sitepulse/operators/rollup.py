@@ -12,12 +12,14 @@ runtime statistics); the fallback is a sort-merge join.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitepulse.functions.scalars import (
+    exact_measure_sql,
     month_bounds,
     recode_status_sql,
     safe_number_sql,
@@ -129,13 +131,72 @@ def _measure_sum(log: DataFrame, roles: Roles) -> str:
     return f"sum({m})"
 
 
+def _counted(measure: str, roles: Roles) -> list:
+    """The totals of deduped days: entry, participants (``measure`` as SQL), activity."""
+    return [
+        F.count(F.lit(1)).alias("entry"),
+        F.expr(measure).alias("participants"),
+        F.expr(f"CAST(sum({recode_status_sql(ident(roles.status))}) AS BIGINT)").alias("activity"),
+    ]
+
+
 def entity_totals(log: DataFrame, lo, hi, roles: Roles = Roles()) -> DataFrame:
     """Deduped days per entity in [lo, hi]: entry, participants, activity."""
     days = latest_per_day(in_range(log, lo, hi, roles), roles)
-    return days.groupBy(*entity_keys(days, roles.entity)).agg(
-        F.count(F.lit(1)).alias("entry"),
-        F.expr(_measure_sum(days, roles)).alias("participants"),
-        F.expr(f"CAST(sum({recode_status_sql(ident(roles.status))}) AS BIGINT)").alias("activity"),
+    return days.groupBy(*entity_keys(days, roles.entity)).agg(*_counted(_measure_sum(days, roles), roles))
+
+
+def _exact_measure(log: DataFrame, roles: Roles) -> str:
+    """The measure's sum as DECIMAL(38,10): the same in any order and however the days are grouped."""
+    m = ident(roles.measure)
+    dtype = log.schema[roles.measure].dataType
+    if isinstance(dtype, T.StringType):
+        m = safe_number_sql(m)
+    if not isinstance(dtype, (T.DecimalType, T.IntegralType)):
+        m = exact_measure_sql(m)
+    return f"CAST({exact_sum(f'CAST({m} AS DECIMAL(28, 10))')} AS DECIMAL(38, 10))"
+
+
+def month_totals(log: DataFrame, month: str, roles: Roles = Roles()) -> DataFrame:
+    """Deduped totals per (entity, month); ``month`` is a column of the log that the day determines."""
+    days = latest_per_day(log, roles)
+    return days.groupBy(roles.entity, month).agg(*_counted(_exact_measure(days, roles), roles))
+
+
+def split_range(lo, hi) -> tuple[list[tuple[dt.date, dt.date]], tuple[dt.date, dt.date] | None]:
+    """[lo, hi] as at most two parts of months and the first and last of the whole months between them."""
+    lo, hi = validate_range(lo, hi)
+    day = dt.timedelta(days=1)
+    first = lo if lo.day == 1 else month_bounds(lo)[1] + day
+    last = hi if hi == month_bounds(hi)[1] else hi.replace(day=1) - day
+    if first > last:
+        return [(lo, hi)], None
+    edges = [(a, b) for a, b in ((lo, first - day), (last + day, hi)) if a <= b]
+    return edges, (first, last.replace(day=1))
+
+
+def ranged_totals(log: DataFrame, totals: DataFrame, lo, hi, roles: Roles) -> DataFrame:
+    """``entity_totals`` put together from stored month totals and the log's days outside whole months.
+
+    Days of one month are never counted in another, so totals of months add
+    up.  The log's scan is left with the one or two edge months.
+    """
+    edges, whole = split_range(lo, hi)
+    found = []
+    if whole:
+        stored = totals.where(F.col(roles.day_partition).between(F.lit(whole[0]), F.lit(whole[1])))
+        found.append(stored.select(*entity_keys(stored, roles.entity), "entry", "participants", "activity"))
+    if edges:
+        spans = " OR ".join(f"{ident(roles.day)} BETWEEN DATE'{a}' AND DATE'{b}'" for a, b in edges)
+        months = ", ".join(f"DATE'{a.replace(day=1)}'" for a, _ in edges)
+        days = latest_per_day(log.where(f"({spans}) AND {ident(roles.day_partition)} IN ({months})"), roles)
+        found.append(
+            days.groupBy(*entity_keys(days, roles.entity)).agg(*_counted(_exact_measure(days, roles), roles))
+        )
+    return reduce(DataFrame.unionByName, found).groupBy(*KEYS).agg(
+        F.sum("entry").alias("entry"),
+        F.expr(f"CAST({exact_sum('participants')} AS DECIMAL(38, 10))").alias("participants"),
+        F.sum("activity").alias("activity"),
     )
 
 
@@ -174,18 +235,24 @@ def period_rollup(
     kinds=None,
     roles: Roles = Roles(),
     null_safe: bool = True,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """One row per filtered registry entity, zero-filled totals.
 
     entry = deduped days with an entry in [lo, hi]; participants = sum of
     the measure over those days (NULL skipped); activity = days whose
     status is 'done'.  Entities without entries get zeros; log entities
-    missing from the registry are dropped.
+    missing from the registry are dropped.  With the log's stored month
+    ``totals`` (``snapshot.read_totals``; roles with a month partition) only
+    the range's incomplete months are read from the log.
     """
     reg = filtered_registry(registry, blocks, areas, kinds, roles)
-    totals = entity_totals(log, lo, hi, roles)
-    ptype = totals.schema["participants"].dataType.simpleString()
-    return _join_registry(reg, totals, null_safe).select(
+    if totals is None:
+        found = entity_totals(log, lo, hi, roles)
+    else:
+        found = ranged_totals(log, totals, lo, hi, roles)
+    ptype = found.schema["participants"].dataType.simpleString()
+    return _join_registry(reg, found, null_safe).select(
         *ENTITY_COLUMNS,
         F.expr("CAST(coalesce(entry, 0) AS BIGINT)").alias("entry"),
         F.expr(f"coalesce(participants, CAST(0 AS {ptype}))").alias("participants"),

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitepulse.functions.scalars import exact_measure_sql
 from sitepulse.functions.sqlexpr import lit
 from sitepulse.schema import Roles
 
@@ -53,18 +54,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def exact_measure_sql(c: str) -> str:
-    """A double as DECIMAL(28, 10), so that sums do not depend on their order.
-
-    NaN counts as missing.  A number too large for the type fails the job:
-    it must not leave the sums silently.
-    """
-    return (
-        f"CASE WHEN {c} IS NULL OR isnan({c}) THEN NULL ELSE"
-        f" coalesce(try_cast({c} AS DECIMAL(28, 10)), raise_error('measure does not fit DECIMAL(28,10)')) END"
-    )
-
-
 def lookup_sql(c: str, mapping: dict) -> str:
     """A small fixed code book as SQL text (one expression, one plan call)."""
     cases = " ".join(f"WHEN {lit(k)} THEN {v if isinstance(v, int) else lit(v)}" for k, v in mapping.items())

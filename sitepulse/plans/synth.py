@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sitepulse.functions.scalars import epoch_seconds_ntz_sql, safe_number, split_key
 from sitepulse.plans import params as P
-from sitepulse.plans.bindings import EVENT_STATUS, lookup_sql, registry, table
+from sitepulse.plans.bindings import EVENT_STATUS, ORDER_STATUS, lookup_sql, registry, table
 from sitepulse.schema import LOG_INSTRUMENT, RAW_EXPORT_SCHEMA
 
 JUNK_NUMBER = "n/a"
@@ -61,6 +61,23 @@ def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reg_rows.unionByName(log_rows)
 
 
+def orders_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_export`` with one log row per order: several years of months."""
+    rows = raw_export(spark, sf_dir).where("redcap_repeat_instrument IS NULL")
+    orders = table(spark, sf_dir, "orders").select(
+        _record("o_custkey"),
+        F.lit(LOG_INSTRUMENT).alias("redcap_repeat_instrument"),
+        F.col("o_orderkey").alias("redcap_repeat_instance"),
+        *[_null(c) for c in ("site", "area_type", "school_type", "school1")],
+        F.col("o_orderdate").alias("task_start_date"),
+        F.to_date("o_orderdate").alias("task_schedule_date"),
+        F.to_date("o_orderdate").alias("activity_date"),
+        F.expr(lookup_sql("o_orderstatus", ORDER_STATUS)).alias("brush_activity_1_5"),
+        F.col("o_totalprice").cast("string").alias("first_to_fifth_participants"),
+    )
+    return rows.unionByName(orders)
+
+
 def label_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id, block1); GA records are repeated with a NULL label."""
     reg = registry(spark, sf_dir)

@@ -39,6 +39,8 @@ class Roles:
     group: str = "block"
     area: str = "area_type"
     kind: str = "school_type"
+    # The tiebreak columns tell all rows of an (entity, day, start) apart.
+    unique_order: bool = False
     # Month partition column of a stored log (first day of the day's month);
     # day filters also constrain it so whole directories are pruned.
     day_partition: str | None = None

@@ -1,25 +1,25 @@
-"""Snapshot ingest (R19): landed form export -> registry + log tables.
+"""Refresh job (R19): landed form export -> staged rows -> published snapshot.
 
 S1/S2  read the raw and label exports with explicit schemas
 S3/S4  split by row kind (registry: NULL instrument; log: the status form)
-S5-S8  create / write / read / test versioned parquet tables
-Both tables of a refresh are written under one new version directory and
-published together by a single settings write (``current_version``), so a
-reader never sees a registry from one refresh and a log from another, and a
-failed refresh leaves the previous version in place.
+S5-S8  create / write / read / test stored tables (``sources.snapshot``)
+The raw export is scanned once: a map-only write stages its rows by kind and
+counts them on the way.  Registry and log are read from the stage.  A failed
+refresh leaves the previous snapshot in place.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import uuid
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from sitepulse.functions.scalars import code_label, safe_number
+from sitepulse.functions.sqlexpr import ident, lit
 from sitepulse.schema import (
     AREA_LABELS,
     KIND_LABELS,
@@ -31,8 +31,20 @@ from sitepulse.schema import (
 )
 from sitepulse.schema import Roles
 from sitepulse.sources import settings as S
+from sitepulse.sources.snapshot import (  # noqa: F401  (re-exported)
+    SNAPSHOT_ROLES,
+    current_version,
+    delete,
+    new_version,
+    publish_snapshot,
+    read_snapshot,
+    read_totals,
+    retire,
+)
 
 CORRUPT = "_corrupt_record"
+#: Columns that hold a row's place in the files it was read from.
+SOURCE = ("source_file", "source_row")
 #: Share of rows with a value that does not parse above which a refresh fails.
 MAX_REJECTED = 0.1
 
@@ -125,6 +137,16 @@ def extract_log(raw: DataFrame) -> DataFrame:
     )
 
 
+def with_source_order(log: DataFrame, roles: Roles) -> tuple[DataFrame, Roles]:
+    """A log as read from its files, with each row's file and place in it as last tiebreak.
+
+    For a log without a sequence column: the reference keeps the first row
+    in source order, and identical rows still have one first.
+    """
+    named = log.select("*", F.col("_metadata.file_path").alias(SOURCE[0]), F.col("_metadata.row_index").alias(SOURCE[1]))
+    return named, replace(roles, tiebreak=(*roles.tiebreak, *SOURCE), unique_order=True)
+
+
 def label_codes(registry: DataFrame) -> DataFrame:
     """Code-to-label for the two dimensions (fixed code books)."""
     return registry.select(
@@ -155,90 +177,6 @@ def table_exists(spark: SparkSession, name_or_path: str) -> bool:
     return True
 
 
-def new_version() -> str:
-    now = dt.datetime.now(dt.timezone.utc)
-    return now.strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
-
-
-def publish_snapshot(
-    spark: SparkSession,
-    registry: DataFrame,
-    log: DataFrame,
-    root: str,
-    *,
-    version: str | None = None,
-    now: dt.datetime | None = None,
-    rejected: DataFrame | None = None,
-    max_rejected: float = MAX_REJECTED,
-    need_registry: bool = False,
-    stamp: bool = True,
-) -> str:
-    """Write both tables under ``root/v=<version>/`` then flip the pointer.
-
-    The log is partitioned by month of the day (month, not day: no flood of
-    small files) so date filters prune whole directories.  Its rows are
-    rebalanced by month first: a month's rows meet in files of the advised
-    size whatever the number of input tasks, and a hot month is split.
-    ``rejected`` (a text column) is kept beside the tables; nothing becomes
-    current if it exceeds ``max_rejected`` of all rows or, with
-    ``need_registry``, if the written registry is empty.  ``stamp=False``
-    leaves ``last_update`` alone (no data was refreshed).
-    """
-    version = version or new_version()
-    base = f"{root}/v={version}"
-    registry.select(*REGISTRY_SCHEMA.fieldNames()).write.mode("errorifexists").parquet(f"{base}/registry")
-    entities = spark.read.schema(REGISTRY_SCHEMA).parquet(f"{base}/registry").count()
-    if need_registry and not entities:
-        raise ValueError("the export has no registry rows; keeping the current snapshot")
-    (
-        log.select(*LOG_SCHEMA.fieldNames())
-        .withColumn("day_month", F.trunc("task_schedule_date", "MM"))
-        .hint("rebalance", F.col("day_month"))
-        .write.mode("errorifexists")
-        .partitionBy("day_month")
-        .parquet(f"{base}/log")
-    )
-    if rejected is not None:
-        rejected.write.mode("errorifexists").parquet(f"{base}/rejected")
-        bad = spark.read.schema(rejected.schema).parquet(f"{base}/rejected").count()
-        rows = entities + spark.read.schema(LOG_SCHEMA).parquet(f"{base}/log").count()
-        if bad > max_rejected * max(rows, bad):
-            raise ValueError(f"{bad} of {rows} rows do not parse (see {base}/rejected); keeping the current snapshot")
-    now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    epoch = (now - dt.datetime(1970, 1, 1)).total_seconds()
-    values = {"current_version": version} | ({"last_update": f"{epoch:.0f}"} if stamp else {})
-    S.upsert(spark, f"{root}/settings", values, now=now)
-    if current_version(spark, root) != version:
-        raise RuntimeError(f"another publish overtook {version}; it is written but not current")
-    return version
-
-
-def current_version(spark: SparkSession, root: str) -> str | None:
-    if not table_exists(spark, f"{root}/settings"):
-        return None
-    return S.lookup(spark, f"{root}/settings", "current_version")
-
-
-# Roles for a published snapshot: the log keeps its month partition column
-# and the export's order.
-SNAPSHOT_ROLES = Roles(day_partition="day_month", tiebreak=("seq",))
-
-
-def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Typed read of the published registry and log.
-
-    The log carries ``day_month`` (its partition column); use
-    ``SNAPSHOT_ROLES`` so day filters prune month directories."""
-    version = version or current_version(spark, root)
-    if version is None:
-        raise FileNotFoundError(f"no published snapshot under {root}")
-    base = f"{root}/v={version}"
-    reg = spark.read.schema(REGISTRY_SCHEMA).parquet(f"{base}/registry")
-    log_schema = T.StructType([*LOG_SCHEMA.fields, T.StructField("day_month", T.DateType())])
-    log = spark.read.schema(log_schema).parquet(f"{base}/log")
-    return reg, log
-
-
 def export_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Tabular export of a report (S12): csv with a header, or parquet."""
     w = df.write.mode("overwrite")
@@ -248,6 +186,41 @@ def export_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
         w.format(fmt).save(path)
 
 
+#: Kind of a row: NULL for a row of which nothing parses and for other instruments.
+KIND = (
+    "CASE WHEN {corrupt} IS NOT NULL AND coalesce({columns}) IS NULL THEN NULL"
+    f" WHEN redcap_repeat_instrument IS NULL THEN 'registry' WHEN redcap_repeat_instrument = {lit(LOG_INSTRUMENT)} THEN 'log' END"
+)
+
+
+def stage_export(raw: DataFrame, path: str) -> tuple[DataFrame, dict]:
+    """Write an export's rows by kind in one pass; the stored rows and what was counted on the way.
+
+    No row is shuffled, so every input partition is counted once, in the
+    stage that writes it.  Rows of other instruments are counted and left
+    out, unless they have a value that does not parse.
+    """
+    columns = RAW_EXPORT_SCHEMA.fieldNames()
+    corrupt = ident(CORRUPT) if CORRUPT in raw.columns else "CAST(NULL AS STRING)"
+    kind = KIND.format(corrupt=corrupt, columns=", ".join(f"CAST({ident(c)} AS STRING)" for c in columns))
+    rows = raw.select(*columns, F.expr(corrupt).alias("text"), F.expr(kind).alias("kind"))
+    seen = Observation()
+    (
+        rows.observe(
+            seen,
+            F.count(F.lit(1)).alias("rows"),
+            F.count("text").alias("rejected"),
+            F.count_if(F.col("kind") == "registry").alias("registry"),
+            F.count_if(F.col("kind") == "log").alias("log"),
+        )
+        .where("kind IS NOT NULL OR text IS NOT NULL")
+        .write.mode("errorifexists")
+        .partitionBy("kind")
+        .parquet(path)
+    )
+    return raw.sparkSession.read.schema(rows.schema).parquet(path), seen.get
+
+
 def refresh(
     spark: SparkSession,
     raw_path: str,
@@ -258,31 +231,31 @@ def refresh(
     now: dt.datetime | None = None,
     max_rejected: float = MAX_REJECTED,
 ) -> str:
-    """Read both landed exports, split them, publish a new snapshot.
+    """Stage the raw export, split it, publish what changed as a new snapshot.
 
     The previous snapshot stays current until the new one is complete, and
     if the export holds no registry row.  A csv/json row with a value that
     does not parse keeps its place with that value NULL; its text goes to
     the version's ``rejected`` table too.  A row of which nothing parses is
-    only there.  More than ``max_rejected`` such rows fail the refresh.
+    only there.  More than ``max_rejected`` such rows fail the refresh.  The
+    staged rows are removed once the version is current.
     """
-    raw = read_export(spark, raw_path, fmt)
-    labels = read_labels(spark, labels_path, fmt)
-    rejected = None
-    if CORRUPT in raw.columns:
-        rejected = raw.where(F.col(CORRUPT).isNotNull()).select("record_id", F.col(CORRUPT).alias("text"))
-        anything = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in RAW_EXPORT_SCHEMA.fieldNames()])
-        raw = raw.where(F.col(CORRUPT).isNull() | anything.isNotNull()).drop(CORRUPT)
-    return publish_snapshot(
-        spark,
-        extract_registry(raw, labels),
-        extract_log(raw),
-        root,
-        now=now,
-        rejected=rejected,
-        max_rejected=max_rejected,
-        need_registry=True,
-    )
+    version = new_version()
+    stage = f"{root}/stage/v={version}"
+    staged, seen = stage_export(read_export(spark, raw_path, fmt), stage)
+    if seen["rejected"]:
+        base = f"{root}/v={version}"
+        bad = staged.where(F.col("text").isNotNull()).select("record_id", "text")
+        bad.write.mode("errorifexists").parquet(f"{base}/rejected")
+        if seen["rejected"] > max_rejected * seen["rows"]:
+            raise ValueError(
+                f"{seen['rejected']} of {seen['rows']} rows do not parse (see {base}/rejected); keeping the current snapshot"
+            )
+    registry = extract_registry(staged.where("kind = 'registry'"), read_labels(spark, labels_path, fmt))
+    log = extract_log(staged.where("kind = 'log'"))
+    publish_snapshot(spark, registry, log, root, version=version, now=now, need_registry=True)
+    delete(spark, stage)
+    return version
 
 
 def refresh_if_stale(
