@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitepulse.functions.scalars import as_date
-from sitepulse.operators.rollup import _join_registry, entity_keys, filtered_registry, in_range
+from sitepulse.functions.scalars import as_date, validate_range
+from sitepulse.operators.numbering import number_within
+from sitepulse.operators.rollup import KEYS, _join_registry, entity_keys, filtered_registry, in_range, join_on_keys
 from sitepulse.functions.sqlexpr import ident, in_cell
 from sitepulse.schema import Roles, cells
 
@@ -94,3 +95,35 @@ def daily_coverage_wide(
         "total",
         F.expr("try_divide(total, __total_n)").alias("total_P"),
     )
+
+
+def presence_bitmaps(log: DataFrame, registry: DataFrame, lo, hi, *, roles: Roles = Roles()) -> DataFrame:
+    """(block, day, bucket, bits): the entities of each block with an entry on each day, as bitmaps.
+
+    Entities are numbered densely, block by block, so 32,768 of them share
+    one bitmap of 4 KB.  Bitmaps of days, weeks or snapshots merge by OR and
+    AND without another read of the log; a count of set bits is an exact
+    count of distinct entities.
+    """
+    reg = filtered_registry(registry, roles=roles).select(*KEYS, "block").distinct()
+    numbered = number_within(reg, [], ["block", *KEYS], "place")
+    rows = in_range(log, lo, hi, roles)
+    days = rows.select(*entity_keys(rows, roles.entity), F.col(roles.day).alias("day")).distinct()
+    placed = join_on_keys(days, numbered, "inner")
+    return placed.groupBy("block", "day", F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+
+
+def presence_over_range(bitmaps: DataFrame, lo, hi) -> DataFrame:
+    """(block, any_day, every_day): distinct entities with an entry on a day, and on each day, of [lo, hi]."""
+    lo, hi = validate_range(lo, hi)
+    days = (hi - lo).days + 1
+    inside = bitmaps.where(F.col("day").between(F.lit(lo), F.lit(hi)))
+    merged = inside.groupBy("block", "bucket").agg(
+        F.bitmap_or_agg("bits").alias("any"), F.bitmap_and_agg("bits").alias("every"), F.count(F.lit(1)).alias("days")
+    )
+    every = F.when(F.col("days") == days, F.bitmap_count("every")).otherwise(0)
+    return merged.groupBy("block").agg(
+        F.sum(F.bitmap_count("any")).alias("any_day"), F.sum(every).cast("long").alias("every_day")
+    )

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitepulse.functions.sqlexpr import ident
-from sitepulse.operators.coverage import daily_coverage_long, daily_coverage_wide
+from sitepulse.operators.coverage import daily_coverage_long, daily_coverage_wide, presence_bitmaps, presence_over_range
 from sitepulse.operators.crosstab import activity_levels_wide, monthly_crosstab
 from sitepulse.operators.dedupe import flag_repeats, latest_per_day
 from sitepulse.operators.rollup import entity_detail, month_rollup, period_rollup
 from sitepulse.plans import params as P
 from sitepulse.plans import reports as R
 from sitepulse.plans.bindings import bind_events, bind_orders
-from sitepulse.plans import synth
+from sitepulse.plans import stored, synth
 from sitepulse.sources import ingest, settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,6 +311,46 @@ def q_series_headings(spark, sf_dir):
     return R.series_headings(q_daily_series(spark, sf_dir))
 
 
+def q_activity_cell_text_fine(spark, sf_dir):
+    """Measures with seven places: the shares' texts are of the exact sums."""
+    b = bind_events(spark, sf_dir)
+    kind = b.log.schema["participants"].dataType.simpleString()
+    log = b.log.withColumn("participants", F.expr(f"CAST(participants * CAST({P.FINE} AS DECIMAL(6, 5)) AS {kind})"))
+    rollup = period_rollup(log, b.registry, *P.RANGE, roles=b.roles)
+    return R.activity_cell_text(R.activity_levels_long(rollup))
+
+
+def q_presence_over_range(spark, sf_dir):
+    b = bind_events(spark, sf_dir)
+    return presence_over_range(presence_bitmaps(b.log, b.registry, *P.RANGE, roles=b.roles), *P.RANGE)
+
+
+def q_presence_by_day(spark, sf_dir):
+    """Exact distinct counts per block and day from the same bitmaps."""
+    b = bind_events(spark, sf_dir)
+    bitmaps = presence_bitmaps(b.log, b.registry, *P.RANGE, roles=b.roles)
+    return bitmaps.groupBy("block", "day").agg(F.sum(F.bitmap_count("bits")).alias("present"))
+
+
+def q_school_pages(spark, sf_dir):
+    """Each page as its number of schools and one text."""
+    b = bind_events(spark, sf_dir)
+    pages = R.school_pages(b.registry, P.PAGE, roles=b.roles)
+    names = F.transform("schools", lambda s: F.concat_ws("=", s["school"], s["record_id"]))
+    return pages.select("block", "page", F.size("schools").cast("long").alias("n"), F.array_join(names, ",").alias("listed"))
+
+
+def q_daily_series_dense(spark, sf_dir):
+    b = bind_orders(spark, sf_dir)
+    return R.dense_days(R.daily_series(b.log, b.roles), *P.ORDERS_DAYS)
+
+
+def q_daily_series_dense_by_block(spark, sf_dir):
+    b = bind_orders(spark, sf_dir)
+    series = R.daily_series_by_block(b.log, b.registry, roles=b.roles)
+    return R.dense_days(series, *P.ORDERS_DAYS, R.filter_blocks(b.registry, b.roles))
+
+
 def _double_outputs(fn: Query) -> Query:
     """Registered results carry decimals as DOUBLE.
 
@@ -334,6 +374,6 @@ def _double_outputs(fn: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     name[2:]: _double_outputs(fn) for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
-}
+} | {name: _double_outputs(fn) for name, fn in stored.QUERIES.items()}
 
 FLAGSHIP = "period_rollup"

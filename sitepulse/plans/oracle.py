@@ -551,6 +551,67 @@ FROM (
   FROM ({q["activity_levels_long"]})
 )"""
     q["activity_cell_text"] = q["activity_cell_text"].replace("AS DOUBLE) AS participants", "AS DECIMAL(28,10)) AS p")
+    fine = EVENTS_LOG.replace(
+        "TRY_CAST(value AS DECIMAL(28,10))",
+        f"CAST(TRY_CAST(value AS DECIMAL(28,10)) * CAST({P.FINE} AS DECIMAL(6,5)) AS DECIMAL(28,10))",
+    )
+    q["activity_cell_text_fine"] = q["activity_cell_text"].replace(EVENTS_LOG, fine).replace("* 100 AS HUGEINT", "* 10000000 AS HUGEINT")
+    q["presence_over_range"] = with_(*ev) + f"""SELECT block, count(*) AS any_day, count(*) FILTER (days = {(hi - lo).days + 1}) AS every_day
+FROM (
+  SELECT g.block, l.entity_key, count(DISTINCT l.task_schedule_date) AS days
+  FROM log l JOIN registry g ON l.entity_key IS NOT DISTINCT FROM g.entity_key
+  WHERE l.task_schedule_date BETWEEN {d(lo)} AND {d(hi)} GROUP BY g.block, l.entity_key
+) GROUP BY block"""
+    q["presence_by_day"] = with_(*ev) + f"""SELECT g.block, l.task_schedule_date AS day, count(DISTINCT l.entity_key) AS present
+FROM log l JOIN registry g ON l.entity_key IS NOT DISTINCT FROM g.entity_key
+WHERE l.task_schedule_date BETWEEN {d(lo)} AND {d(hi)} GROUP BY 1, 2"""
+    q["school_pages"] = with_(REGISTRY) + f"""SELECT block, page, count(*) AS n,
+       array_to_string(list(school || '=' || record_id ORDER BY place), ',') AS listed
+FROM (
+  SELECT *, (place - 1) // {P.PAGE} + 1 AS page
+  FROM (SELECT block, school, record_id, row_number() OVER (PARTITION BY block ORDER BY school, record_id) AS place FROM registry)
+) GROUP BY block, page"""
+    dlo, dhi = P.ORDERS_DAYS
+    grid = f"(SELECT CAST(unnest(generate_series({d(dlo)}, {d(dhi)}, INTERVAL 1 DAY)) AS DATE) AS day)"
+    q["daily_series_dense"] = with_(REGISTRY, ORDERS_LOG) + f"""SELECT day, count(l.seq) AS entries
+FROM {grid} LEFT JOIN log l ON l.task_schedule_date = day GROUP BY day"""
+    q["daily_series_dense_by_block"] = with_(REGISTRY, ORDERS_LOG) + f"""SELECT b.block, day, count(l.seq) AS entries
+FROM (SELECT DISTINCT block FROM registry) b CROSS JOIN {grid}
+LEFT JOIN (SELECT log.*, g.block FROM log LEFT JOIN registry g ON log.entity_key IS NOT DISTINCT FROM g.entity_key) l
+  ON l.task_schedule_date = day AND l.block IS NOT DISTINCT FROM b.block
+GROUP BY b.block, day"""
+    kept = REGISTRY.replace("registry AS", "registry0 AS", 1) + """,
+registry AS (SELECT * REPLACE ('C-' || CAST(entity_key AS VARCHAR) AS record_id) FROM registry0)"""
+    q["stored_rollup"] = with_(kept, ORDERS_LOG, rollup_ctes(*P.LONG_RANGE)) + ROLLUP_OUT
+    q["stored_monthly_crosstab"] = (
+        with_(kept, ORDERS_LOG, rollup_ctes(olo, ohi), "ct AS (" + monthly_crosstab_sql() + ")")
+        + doubles(f"participants_{n}" for _, _, n in cells())
+        + " FROM ct"
+    )
+    q["stored_log"] = with_(REGISTRY, ORDERS_LOG) + """SELECT 'C-' || CAST(entity_key AS VARCHAR) AS record_id, task_start_date, task_schedule_date,
+       task_schedule_date AS activity_date, brush_activity, CAST(participants AS DOUBLE) AS participants, seq,
+       CAST(date_trunc('month', task_schedule_date) AS DATE) AS day_month
+FROM log"""
+    q["stored_registry"] = raw + "SELECT * FROM registry_x"
+    clo, chi = P.CHANGED_MONTH
+    q["changed_months"] = with_(ORDERS_LOG) + f"""SELECT CAST(date_trunc('month', task_schedule_date) AS DATE) AS day_month,
+       count(*) AS rows, coalesce(bool_or(task_schedule_date BETWEEN {d(clo)} AND {d(chi)}), FALSE) AS written
+FROM log GROUP BY 1"""
+    q["refresh_counts"] = with_(REGISTRY, ORDERS_LOG) + """SELECT kind, stored, with_text, coded, seen_rows, seen_rejected, seen_registry, seen_log
+FROM (
+  SELECT 'registry' AS kind, count(*) AS stored, 0 AS with_text, 0 AS coded FROM registry
+  UNION ALL
+  SELECT 'log', count(*), count(*) FILTER (brush_activity IS NULL), count(brush_activity) FROM log
+) CROSS JOIN (
+  SELECT (SELECT count(*) FROM log) + (SELECT count(*) FROM registry) AS seen_rows,
+         (SELECT count(*) FROM log WHERE brush_activity IS NULL) AS seen_rejected,
+         (SELECT count(*) FROM registry) AS seen_registry, (SELECT count(*) FROM log) AS seen_log
+)"""
+    q["export_round_trip"] = q["block_summary"]
+    q["repeat_flags_source_order"] = """SELECT o_custkey AS entity_key, CAST(o_orderdate AS DATE) AS task_schedule_date,
+       o_orderkey AS order_key,
+       row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) > 1 AS dup
+FROM orders"""
     q["series_headings"] = with_(*ev) + """SELECT day, strftime(day, '%d %b') AS day_text,
        strftime(day, '%b %Y') AS month_text, entries
 FROM (SELECT task_schedule_date AS day, count(*) AS entries FROM log GROUP BY 1)"""

@@ -24,11 +24,13 @@ from sitepulse.functions.scalars import (
     percent_text,
     status_label,
     validate_choice,
+    validate_range,
     word,
 )
 from sitepulse.fixed import ACTIVITY_TEXT, DATE_FORMAT, MONTHLY_TEXT
 from sitepulse.operators.crosstab import activity_levels_wide, level_counts_wide, wide_to_long
 from sitepulse.operators.dedupe import latest_per_day
+from sitepulse.operators.numbering import number_within
 from sitepulse.operators.rollup import entity_keys, filtered_registry, in_range, join_on_keys
 from sitepulse.schema import AREAS, KINDS, Roles
 
@@ -279,6 +281,47 @@ def school_options(registry: DataFrame, *, blocks=None, areas=None, kinds=None,
     return reg.select("block", "school", "record_id", "id_code")
 
 
+def school_pages(
+    registry: DataFrame, size: int = 100, *, blocks=None, areas=None, kinds=None, roles: Roles = Roles()
+) -> DataFrame:
+    """Selectable entities nested per block, in pages (block, page, schools) of at most ``size``.
+
+    ``schools`` is an array of (school, record_id) by school name.  A block
+    of any size is cut into pages by its rows' places, which are numbered
+    over range partitions, so no row and no task holds a whole block.
+    """
+    if size < 1:
+        raise ValueError("a page holds one school or more")
+    flat = school_options(registry, blocks=blocks, areas=areas, kinds=kinds, roles=roles).select(
+        "block", "school", "record_id"
+    )
+    placed = number_within(flat, ["block"], ["school", "record_id"], "place")
+    page = F.call_function("div", F.col("place") - 1, F.lit(size)) + 1
+    return placed.groupBy("block", page.alias("page")).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("place", "school", "record_id"))),
+            lambda s: F.struct(s["school"].alias("school"), s["record_id"].alias("record_id")),
+        ).alias("schools")
+    )
+
+
+def dense_days(series: DataFrame, lo, hi, blocks: DataFrame | None = None) -> DataFrame:
+    """A daily series with every day of [lo, hi] (for every block): days without entries are zero rows.
+
+    The day grid is generated; with ``blocks`` (a column ``block``) it is
+    repeated for each, NULL included.
+    """
+    lo, hi = validate_range(lo, hi)
+    days = F.expr(f"explode(sequence(DATE'{lo}', DATE'{hi}'))").alias("day")
+    if blocks is None:
+        grid = series.sparkSession.range(1).select(days)
+        return grid.join(series.select("day", "entries"), "day", "left").fillna(0, ["entries"])
+    keys = [F.coalesce("block", F.lit("")).alias("__b"), F.col("block").isNull().alias("__n")]
+    grid = blocks.select("block").distinct().select("block", *keys, days)
+    found = series.select(*keys, "day", "entries")
+    return grid.join(found, ["__b", "__n", "day"], "left").select("block", "day", "entries").fillna(0, ["entries"])
+
+
 # ------------------------------------------------------------- F16 cell text
 
 
