@@ -14,6 +14,7 @@ import argparse
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitepulse.operators import (
     daily_coverage_long,
@@ -32,19 +33,27 @@ def _list(v: str | None):
     return None if v is None else [x for x in v.split(",")]
 
 
+def _double(rollup: DataFrame) -> DataFrame:
+    """Exact decimal sums are exported as the stored measure's type."""
+    return rollup.withColumn("participants", F.col("participants").cast("double"))
+
+
 def _date(v: str | None):
     return None if v is None else dt.date.fromisoformat(v)
 
 
-def build_report(name: str, reg: DataFrame, log: DataFrame, a: argparse.Namespace) -> DataFrame:
+def build_report(
+    name: str, reg: DataFrame, log: DataFrame, a: argparse.Namespace, totals: DataFrame | None = None
+) -> DataFrame:
+    """A named report; rollups take whole months from the stored ``totals`` where given."""
     roles = ingest.SNAPSHOT_ROLES
     flt = {"blocks": _list(a.blocks), "areas": _list(a.areas), "kinds": _list(a.kinds)}
 
     def rollup():
-        return period_rollup(log, reg, _date(a.lo), _date(a.hi), roles=roles, **flt)
+        return _double(period_rollup(log, reg, _date(a.lo), _date(a.hi), roles=roles, totals=totals, **flt))
 
     def monthly():
-        return month_rollup(log, reg, _date(a.month), roles=roles, **flt)
+        return _double(month_rollup(log, reg, _date(a.month), roles=roles, totals=totals, **flt))
 
     def detail():
         picked = {"record_ids": _list(a.record_ids), "ids": _list(a.ids)}
@@ -95,6 +104,10 @@ def main(argv=None) -> None:
     r.add_argument("--root", required=True)
     r.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     r.add_argument("--if-stale", action="store_true", help="only if the last refresh is missing or too old")
+    r.add_argument("--keep-unknown", action="store_true", help="keep fields outside the schema (parquet, csv)")
+    t = sub.add_parser("retire", help="remove versions older than the grace period")
+    t.add_argument("--root", required=True)
+    t.add_argument("--hours", type=float, required=True)
     f = sub.add_parser("freshness", help="print the age of the current snapshot")
     f.add_argument("--root", required=True)
     q = sub.add_parser("report", help="write one report over the current snapshot")
@@ -111,7 +124,11 @@ def main(argv=None) -> None:
     spark = SparkSession.builder.appName(f"sitepulse-{a.cmd}").getOrCreate()
     if a.cmd == "refresh":
         job = ingest.refresh_if_stale if a.if_stale else ingest.refresh
-        print(job(spark, a.raw, a.labels, a.root, fmt=a.format) or "up to date")
+        print(job(spark, a.raw, a.labels, a.root, fmt=a.format, keep_unknown=a.keep_unknown) or "up to date")
+        return
+    if a.cmd == "retire":
+        before = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(hours=a.hours)
+        print("\n".join(ingest.retire(spark, a.root, before)))
         return
     if a.cmd == "freshness":
         now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
@@ -120,7 +137,7 @@ def main(argv=None) -> None:
         print(f"{row['last_update_text'] or 'never'} stale={row['stale']}")
         return
     reg, log = ingest.read_snapshot(spark, a.root)
-    df = build_report(a.name, reg, log, a)
+    df = build_report(a.name, reg, log, a, ingest.read_totals(spark, a.root))
     if a.sorted:
         df = R.sorted_for_display(a.name, df)
     ingest.export_table(df, a.out, a.format)

@@ -607,6 +607,10 @@ FROM (
          (SELECT count(*) FROM log WHERE brush_activity IS NULL) AS seen_rejected,
          (SELECT count(*) FROM registry) AS seen_registry, (SELECT count(*) FROM log) AS seen_log
 )"""
+    q["stored_unknown_fields"] = """SELECT o_orderpriority AS priority, CAST(date_trunc('month', o_orderdate) AS DATE) AS day_month,
+       count(*) AS n, count(*) FILTER (o_orderstatus <> 'P' AND o_totalprice IS NOT NULL) AS weighed,
+       max(o_totalprice) FILTER (o_orderstatus <> 'P') AS heaviest
+FROM orders GROUP BY 1, 2"""
     q["export_round_trip"] = q["block_summary"]
     q["repeat_flags_source_order"] = """SELECT o_custkey AS entity_key, CAST(o_orderdate AS DATE) AS task_schedule_date,
        o_orderkey AS order_key,

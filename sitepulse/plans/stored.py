@@ -71,6 +71,25 @@ def q_changed_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_stored_unknown_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that no schema names, kept by the refresh and read back from the stored log."""
+    base = new_folder(spark, "store")
+    asked = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("redcap_repeat_instance"), F.col("o_orderpriority").alias("visit priority"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("weight"),
+    )
+    raw = synth.orders_export(spark, sf_dir)
+    raw.join(asked, "redcap_repeat_instance", "left").write.parquet(f"{base}/raw")
+    synth.label_export(spark, sf_dir).write.parquet(f"{base}/labels")
+    ingest.refresh(spark, f"{base}/raw", f"{base}/labels", f"{base}/root", keep_unknown=True)
+    log = ingest.read_snapshot(spark, f"{base}/root", extra=True)[1]
+    return log.groupBy(F.expr("variant_get(extra, '$[\\'visit priority\\']', 'string')").alias("priority"), "day_month").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.expr("variant_get(extra, '$.weight', 'double')")).alias("weighed"),
+        F.max(F.expr("variant_get(extra, '$.weight', 'double')")).alias("heaviest"),
+    )
+
+
 def q_refresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the refresh's one pass counts of a csv export, and the stored rows by kind.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -32,6 +32,7 @@ from sitepulse.schema import (
 from sitepulse.schema import Roles
 from sitepulse.sources import settings as S
 from sitepulse.sources.snapshot import (  # noqa: F401  (re-exported)
+    EXTRA,
     SNAPSHOT_ROLES,
     current_version,
     delete,
@@ -49,16 +50,27 @@ SOURCE = ("source_file", "source_row")
 MAX_REJECTED = 0.1
 
 
-def read_export(spark: SparkSession, path: str, fmt: str = "parquet", schema=RAW_EXPORT_SCHEMA) -> DataFrame:
+def read_export(
+    spark: SparkSession, path: str, fmt: str = "parquet", schema=RAW_EXPORT_SCHEMA, keep_unknown: bool = False
+) -> DataFrame:
     """Read a landed export with a fixed schema, columns matched by name.
 
     Extra columns in the export are ignored and missing ones read as NULL,
-    so a wide form export works as is.  csv/json rows that do not parse
-    are kept, with their text in ``_corrupt_record``, instead of failing
-    the job.
+    so a wide form export works as is.  With ``keep_unknown`` (parquet, csv)
+    the non-NULL fields outside the schema go into one VARIANT column,
+    ``extra``, under their names; csv fields are text there.  csv/json rows
+    that do not parse are kept, with their text in ``_corrupt_record``,
+    instead of failing the job.
     """
+    if keep_unknown and fmt == "json":
+        raise ValueError("unknown fields can be kept of parquet and csv exports")
     if fmt == "csv":
-        return _read_csv_by_name(spark, path, schema)
+        return _read_csv_by_name(spark, path, schema, keep_unknown)
+    if keep_unknown:
+        found = spark.read.format(fmt).load(path).schema  # the files' footers
+        unknown = [f for f in found.fields if f.name not in schema.fieldNames()]
+        whole = spark.read.schema(T.StructType([*schema.fields, *unknown])).format(fmt).load(path)
+        return whole.select(*schema.fieldNames(), _variant([f.name for f in unknown]))
     if fmt == "json":
         with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         return (
@@ -70,7 +82,15 @@ def read_export(spark: SparkSession, path: str, fmt: str = "parquet", schema=RAW
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def _read_csv_by_name(spark: SparkSession, path: str, schema) -> DataFrame:
+def _variant(names: list[str]) -> Column:
+    """The named columns as one VARIANT object without its NULL fields; NULL if nothing is left."""
+    if not names:
+        return F.lit(None).cast("variant").alias(EXTRA)
+    fields = F.to_json(F.struct(*[F.col(ident(c)) for c in names]))  # leaves NULL fields out
+    return F.when(fields != "{}", F.parse_json(fields)).alias(EXTRA)
+
+
+def _read_csv_by_name(spark: SparkSession, path: str, schema, keep_unknown: bool = False) -> DataFrame:
     """csv header names select the columns (a csv schema would bind by
     position); all files must have the same header, which Spark checks file
     by file.  Each typed value is a ``try_cast``.  A row with a value that is
@@ -100,7 +120,8 @@ def _read_csv_by_name(spark: SparkSession, path: str, schema) -> DataFrame:
     for b in bad[1:]:
         any_bad = any_bad | b
     shown = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])))
-    return raw.select(*cols, F.when(any_bad, shown).alias(CORRUPT))
+    extra = [_variant([c for c in names if c not in schema.fieldNames()])] if keep_unknown else []
+    return raw.select(*cols, *extra, F.when(any_bad, shown).alias(CORRUPT))
 
 
 def read_labels(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -134,6 +155,7 @@ def extract_log(raw: DataFrame) -> DataFrame:
         F.col("brush_activity_1_5").alias("brush_activity"),
         safe_number("first_to_fifth_participants").alias("participants"),
         F.col("redcap_repeat_instance").alias("seq"),
+        *[c for c in raw.columns if c == EXTRA],
     )
 
 
@@ -203,7 +225,8 @@ def stage_export(raw: DataFrame, path: str) -> tuple[DataFrame, dict]:
     columns = RAW_EXPORT_SCHEMA.fieldNames()
     corrupt = ident(CORRUPT) if CORRUPT in raw.columns else "CAST(NULL AS STRING)"
     kind = KIND.format(corrupt=corrupt, columns=", ".join(f"CAST({ident(c)} AS STRING)" for c in columns))
-    rows = raw.select(*columns, F.expr(corrupt).alias("text"), F.expr(kind).alias("kind"))
+    extra = [c for c in raw.columns if c == EXTRA]
+    rows = raw.select(*columns, *extra, F.expr(corrupt).alias("text"), F.expr(kind).alias("kind"))
     seen = Observation()
     (
         rows.observe(
@@ -230,6 +253,7 @@ def refresh(
     fmt: str = "parquet",
     now: dt.datetime | None = None,
     max_rejected: float = MAX_REJECTED,
+    keep_unknown: bool = False,
 ) -> str:
     """Stage the raw export, split it, publish what changed as a new snapshot.
 
@@ -242,7 +266,7 @@ def refresh(
     """
     version = new_version()
     stage = f"{root}/stage/v={version}"
-    staged, seen = stage_export(read_export(spark, raw_path, fmt), stage)
+    staged, seen = stage_export(read_export(spark, raw_path, fmt, keep_unknown=keep_unknown), stage)
     if seen["rejected"]:
         base = f"{root}/v={version}"
         bad = staged.where(F.col("text").isNotNull()).select("record_id", "text")

@@ -41,6 +41,9 @@ ROW_GROUP_BYTES = 32 << 20
 
 MONTH = "day_month"
 
+#: Fields of the export that no schema names, as one VARIANT object.
+EXTRA = "extra"
+
 #: Order of a month's rows.
 CLUSTERED = ["record_id", "task_schedule_date", "task_start_date", "seq"]
 
@@ -79,7 +82,7 @@ def checksums(df: DataFrame, keys: list, columns: list[str]) -> DataFrame:
 
     One partial aggregate; the sums are decimals, which no number of rows overflows.
     """
-    h = F.xxhash64(*[F.col(c) for c in columns])
+    h = F.xxhash64(*[F.to_json(c) if df.schema[c].dataType == T.VariantType() else F.col(c) for c in columns])
     hashed = df.select(*keys, h.alias("h"))
     return hashed.groupBy(*[F.col(k) if isinstance(k, str) else k for k in hashed.columns[:-1]]).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -131,7 +134,7 @@ def publish_snapshot(
     if need_registry and not found["registry", None][1]:
         raise ValueError("the export has no registry rows; keeping the current snapshot")
 
-    names = LOG_SCHEMA.fieldNames()
+    names = LOG_SCHEMA.fieldNames() + [c for c in log.columns if c == EXTRA]
     rows = log.select(*names).withColumn(MONTH, F.trunc("task_schedule_date", "MM"))
     new = {("log", r[MONTH]): tuple(r)[1:] for r in checksums(rows, [MONTH], names).collect()}
     changed = [k for k, sums in new.items() if before.get(k, ())[1:] != sums]
@@ -211,15 +214,18 @@ def _read(spark: SparkSession, base: str, schema: T.StructType, folders: dict) -
     return spark.read.schema(whole).option("basePath", base).parquet(*paths).drop("v")
 
 
-def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Typed read of the published registry and log.
+def read_snapshot(
+    spark: SparkSession, root: str, version: str | None = None, extra: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Typed read of the published registry and log (S7), with ``extra`` the log's unknown fields too.
 
     The log carries ``day_month`` (its partition column); use
     ``SNAPSHOT_ROLES`` so day filters prune month directories."""
     found = _parts_of(spark, root, version)
     folder = found["registry", None][0]
     reg = spark.read.schema(REGISTRY_SCHEMA).parquet(f"{root}/registry/v={folder}")
-    return reg, _read(spark, f"{root}/log", LOG_SCHEMA, {m: f[0] for (p, m), f in found.items() if p == "log"})
+    schema = T.StructType([*LOG_SCHEMA.fields, *[T.StructField(EXTRA, T.VariantType())] * extra])
+    return reg, _read(spark, f"{root}/log", schema, {m: f[0] for (p, m), f in found.items() if p == "log"})
 
 
 def read_totals(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:

@@ -309,3 +309,63 @@ def test_percent_text_of_small_measures(spark):
     cast = [F.col(c).cast("decimal(38,10)").alias(c) for c in ("n", "d")]
     got = [r[0] for r in df.select(*cast).select(percent_of("n", "d")).collect()]
     assert got == ["50.00", "100.00", "33.33", None, "100.00"]
+
+
+# -------------------------------------------------------------- unknown fields
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_unknown_fields_are_kept(spark, scratch, fmt):
+    raw = synth.orders_export(spark, SF_SMALL).limit(400)
+    wide = raw.withColumns({"a.b": F.col("redcap_repeat_instance") % 3, "note": F.when(F.col("redcap_repeat_instance") % 2 == 0, F.lit("x,\"y"))})
+    w = wide.write.option("header", True)
+    getattr(w, fmt)(f"{scratch}/raw")
+    df = ingest.read_export(spark, f"{scratch}/raw", fmt, keep_unknown=True)
+    got = df.select(F.expr("variant_get(extra, '$.note', 'string')").alias("note"), F.expr("variant_get(extra, '$[\\'a.b\\']', 'int')").alias("b"))
+    assert rows(got) == rows(wide.select("note", F.col("`a.b`").cast("int")))
+    plain = ingest.read_export(spark, f"{scratch}/raw", fmt)
+    assert "extra" not in plain.columns
+    none = ingest.read_export(spark, f"{scratch}/raw", fmt, schema=df.drop("extra", ingest.CORRUPT).schema, keep_unknown=True)
+    assert none.where("extra IS NOT NULL").count() == df.where("extra IS NOT NULL").count()
+    with pytest.raises(ValueError, match="parquet and csv"):
+        ingest.read_export(spark, f"{scratch}/raw", "json", keep_unknown=True)
+
+
+# ---------------------------------------------------------- runtime filters
+
+
+def test_a_filtered_registry_prunes_the_log_before_the_dedupe(spark, store):
+    """Spark's own Bloom filter of the selected entities sits below the group limit, where both sides are too large to broadcast."""
+    reg, log = ingest.read_snapshot(spark, store)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        some = period_rollup(log, reg, "1996-02-10", "1996-03-20", blocks=["ASIA"], areas=["R"], roles=ROLES)
+        text = some._jdf.queryExecution().optimizedPlan().toString()
+        assert text.index("WindowGroupLimit") < text.index("might_contain")
+        every = period_rollup(log, reg, "1996-02-10", "1996-03-20", roles=ROLES)
+        assert "might_contain" not in every._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(some) == rows(every.where("block = 'ASIA' AND area_type = 'R'"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_cli_reports_from_totals_and_retires(spark, store, scratch, capsys):
+    from sitepulse import cli
+
+    args = ["report", "period_rollup", "--root", store, "--lo", "1996-02-10", "--hi", "1997-05-20", "--out", f"{scratch}/out", "--format", "parquet"]
+    cli.main(args)
+    reg, log = ingest.read_snapshot(spark, store)
+    want = period_rollup(log, reg, "1996-02-10", "1997-05-20", roles=ROLES)
+    got = spark.read.parquet(f"{scratch}/out")
+    assert got.schema["participants"].dataType == want.schema["participants"].dataType
+    assert [r[:-2] for r in rows(got)] == [r[:-2] for r in rows(want)] or rows(got.drop("participants")) == rows(want.drop("participants"))
+    cli.main(["retire", "--root", store, "--hours", "1000000"])
+    assert capsys.readouterr().out.strip() == ""
