@@ -52,6 +52,19 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """name -> a column name of that kind which ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = {}
+    for name in names:
+        free = f"__{name}"
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out[name] = free
+    return out
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker process, for
     objects that are dear to build (vocabularies, automata)."""

@@ -49,6 +49,30 @@ def test_directory_covers_all_addresses_and_splits_overfull_buckets(spark):
     assert [(r.depth, r.lo, r.hi) for r in one] == [(0, 0, 65536)]
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_hot_chains_are_reduced_before_they_travel(spark, edge, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(exact, "HOT_ROWS", 3)
+    monkeypatch.setattr(exact, "HOT_SHARE", 10**6)
+    monkeypatch.setattr(exact, "BROADCAST_BYTES", broadcast_bytes)
+    got = exact.exact_groups(docs(spark, edge)).drop("bucket").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute.op1(edge), key=key)
+    kept = [r.text or "" for r in exact.keep_one(docs(spark, edge)).collect()]
+    assert sorted(kept) == sorted({x or "" for _, x in edge["documents"]})
+
+
+@pytest.mark.parametrize("hot_rows", [1, 10**6])
+def test_chains_are_told_apart_by_their_bytes(spark, edge, monkeypatch, hot_rows):
+    """All texts share three hash values."""
+    monkeypatch.setattr(exact, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(exact.F, "xxhash64", lambda c: F.length(F.col(c)).cast("long") % 3 - 1)
+    got = exact.exact_groups(docs(spark, edge)).drop("bucket").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute.op1(edge), key=key)
+    kept = exact.keep_one(docs(spark, edge)).collect()
+    assert sorted(r.text or "" for r in kept) == sorted({x or "" for _, x in edge["documents"]})
+    want = {r[1] for r in brute.op1(edge)}
+    assert {r.doc_id for r in kept} == want
+
+
 def test_exact_is_native(spark, edge):
     plan = exact.exact_groups(docs(spark, edge))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
