@@ -5,7 +5,10 @@ has a probability per piece; the probability of a word (with the space
 before it) is the sum over all its segmentations into pieces, computed by
 the forward algorithm, and a text's is the product over its words.  The
 probabilities are fitted by expectation-maximisation (forward-backward) on
-word counts of a bounded sample of labelled documents.
+word counts of a bounded sample of labelled documents.  Short words go
+through the recursion together; long ones (unspaced scripts write whole
+paragraphs as one word) in logarithms and in portions, each of which takes
+over as many positions from the one before as the longest piece has bytes.
 """
 
 from __future__ import annotations
@@ -16,21 +19,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitepulse.llm.storage import worker_cache
 from sitepulse.llm.text import alnum_words, slices, utf8
 
-#: Labelled documents the model is fitted on, at most (those with the smallest id hash).
+#: Labelled documents the model is fitted on, at most: an equal share of each
+#: language, those with the smallest id hash.
 SAMPLE = 4000
+#: Languages that are learned, at most (the most frequent ones of the labelled rows).
+MAX_LANGS = 64
 #: Different words per language that the fit goes through (the most frequent of the sample).
 FIT_WORDS = 20_000
 ROUNDS = 4
 #: Counts that every piece gets in every language; more for single bytes.
 SMOOTH, SMOOTH_BYTE = 0.01, 0.5
-#: A longer word is scored in units of so many bytes.
-UNIT = 32
+#: Bytes of a word (with its space) up to which plain probabilities are used: 50,000 pieces cannot underflow there.
+SHORT = 32
+#: Longer words than this are not fitted on (they are scored whole like all others).
+FIT_BYTES = 1 << 16
+#: Positions of a long word in one portion, and position x word pairs in memory.
+PORTION, CELLS = 1 << 11, 1 << 17
 #: Words whose scores a Python worker remembers.
 MEMORY = 200_000
 
@@ -38,19 +48,29 @@ MEMORY = 200_000
 def read_pieces(path: str) -> list[bytes]:
     """The byte strings of a rank file (a few MB, read on the driver); all single bytes are added."""
     with open(path, "rb") as f:
-        found = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    known = set(found)
-    return found + [bytes([b]) for b in range(256) if bytes([b]) not in known]
+        return with_bytes([base64.b64decode(line.split()[0]) for line in f if line.strip()])
+
+
+def with_bytes(pieces: list[bytes]) -> list[bytes]:
+    """The pieces and all single bytes, so that every word has a segmentation."""
+    known = set(pieces)
+    return pieces + [bytes([b]) for b in range(256) if bytes([b]) not in known]
 
 
 def lettered(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def units(word: bytes) -> list[bytes]:
-    """The word with a space before it, in units of at most UNIT bytes."""
-    word = b" " + word
-    return [word[i : i + UNIT] for i in range(0, len(word), UNIT)]
+def together(words: list[bytes], cells: int, most: int) -> Iterator[list[int]]:
+    """Places of the words in groups of like length: at most ``most`` words and about ``cells`` positions each."""
+    group: list[int] = []
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if group and (len(group) == most or (len(group) + 1) * len(words[i]) > cells):
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
 
 
 class Trie:
@@ -64,6 +84,7 @@ class Trie:
         keys = np.array([nodes[q[:-1]] << 8 | q[-1] for q in nodes if q] or [-1], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.child = keys[order], (order + 1).astype(np.int64)
+        self.longest = max(map(len, pieces), default=0)
         self.piece = np.full(len(nodes), -1, dtype=np.int64)
         self.piece[[nodes[p] for p in pieces]] = np.arange(len(pieces))
 
@@ -108,6 +129,35 @@ class Lattice:
                 alpha[w[first], e] = np.add.reduceat(x, first, axis=0)
         return alpha
 
+    def log_forward(self, log: np.ndarray, alpha: np.ndarray, done: int = 0) -> np.ndarray:
+        """``forward`` in logarithms; positions up to ``done`` are given in ``alpha``."""
+        for e in range(done + 1, self.longest + 1):
+            arcs = slice(self.cuts[e], self.cuts[e + 1])
+            w = self.word[arcs]
+            if len(w):
+                x = alpha[w, self.start[arcs]] + log[self.piece[arcs]]
+                first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+                alpha[w[first], e] = np.logaddexp.reduceat(x, first, axis=0)
+        return alpha
+
+    def log_expected(self, log: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """``expected`` in logarithms, for words too long for plain probabilities."""
+        alpha = np.full((len(self.size), self.longest + 1, log.shape[1]), -np.inf)
+        alpha[:, 0] = 0
+        self.log_forward(log, alpha)
+        rows = np.arange(len(self.size))
+        total = alpha[rows, self.size]
+        beta = np.full_like(alpha, -np.inf)
+        beta[rows, self.size] = 0
+        out = np.zeros_like(log)
+        for e in range(self.longest, 0, -1):
+            arcs = slice(self.cuts[e], self.cuts[e + 1])
+            w, s, p = self.word[arcs], self.start[arcs], self.piece[arcs]
+            back = beta[w, e] + log[p]
+            np.add.at(out, p, np.exp(alpha[w, s] + back - total[w]) * counts[w])
+            beta[w, s] = np.logaddexp(beta[w, s], back)  # one arc per word and start has this end
+        return out
+
     def log_prob(self, prob: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language, all segmentations summed."""
         alpha = self.forward(prob)
@@ -131,11 +181,38 @@ class Lattice:
         return out
 
 
+def long_log_prob(words: list[bytes], trie: Trie, log: np.ndarray, portion: int = PORTION) -> np.ndarray:
+    """Log probabilities of whole long words, all segmentations summed.
+
+    A portion's lattice starts ``longest`` positions early: no piece that
+    ends in the portion starts before.  So memory follows the portion.
+    """
+    size = np.array([len(w) for w in words])
+    out = np.zeros((len(words), log.shape[1]))
+    back = trie.longest
+    carried = None
+    for base in range(0, int(size.max(initial=0)), portion):
+        lo = max(0, base - back)
+        lattice = Lattice([w[lo : base + portion] for w in words], trie)
+        alpha = np.full((len(words), base - lo + portion + 1, log.shape[1]), -np.inf)
+        if carried is None:
+            alpha[:, 0] = 0
+        else:
+            alpha[:, : base - lo + 1] = carried
+        lattice.log_forward(log, alpha, base - lo)
+        ends = (size > base) & (size <= base + portion)
+        out[ends] = alpha[ends, size[ends] - lo]
+        keep = min(back, base + portion)
+        carried = alpha[:, base - lo + portion - keep :]
+    return out
+
+
 class Model:
     """Piece probabilities of the languages."""
 
     def __init__(self, langs: list[str], pieces: list[bytes], prob: np.ndarray):
         self.langs, self.pieces, self.prob = langs, pieces, prob
+        self.log = np.log(prob)
         self.trie = Trie(pieces)
         self.memory: dict[bytes, int] = {}  # word -> row of known
         self.known = np.zeros((1024, len(langs)))
@@ -155,11 +232,15 @@ class Model:
             room = np.zeros((2 * (base + len(fresh)), len(self.langs)))
             room[:base] = self.known[:base]
             self.known = room
-        for lo in range(0, len(fresh), 4096):
-            cut = [units(w) for w in fresh[lo : lo + 4096]]
-            lattice = Lattice([u for us in cut for u in us], self.trie)
-            at = np.concatenate(([0], np.cumsum([len(us) for us in cut])[:-1])).astype(np.int64)
-            self.known[base + lo : base + lo + len(cut)] = np.add.reduceat(lattice.log_prob(self.prob), at, axis=0)
+        short = [i for i, w in enumerate(fresh) if len(w) < SHORT]
+        for lo in range(0, len(short), 4096):
+            part = short[lo : lo + 4096]
+            lattice = Lattice([b" " + fresh[i] for i in part], self.trie)
+            self.known[base + np.array(part)] = lattice.log_prob(self.prob)
+        long = [i for i, w in enumerate(fresh) if len(w) >= SHORT]
+        for group in together([fresh[i][:PORTION] for i in long], CELLS, 4096):
+            part = [long[i] for i in group]
+            self.known[base + np.array(part)] = long_log_prob([b" " + fresh[i] for i in part], self.trie, self.log)
         self.memory.update((w, base + i) for i, w in enumerate(fresh))
 
     def predict(self, texts: list) -> list[tuple[str, float]]:
@@ -184,7 +265,8 @@ class Model:
 
 
 def fit(counts: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int = ROUNDS, words: int = FIT_WORDS) -> Model:
-    """Fits piece probabilities on (language, word, count) rows."""
+    """Fits piece probabilities on (language, word, count) rows; single bytes that are no pieces are added."""
+    pieces = with_bytes(pieces)
     langs = sorted({a for a, _, _ in counts})
     if not langs:
         return Model([], pieces, np.zeros((len(pieces), 0)))
@@ -196,15 +278,21 @@ def fit(counts: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int =
     table: dict[bytes, np.ndarray] = {}
     for a, rows in top.items():
         for w, n in rows:
-            for u in units(w):
-                table.setdefault(u, np.zeros(len(langs)))[column[a]] += n
+            if len(w) < FIT_BYTES:
+                table.setdefault(b" " + w, np.zeros(len(langs)))[column[a]] += n
     trie = Trie(pieces)
-    found, weight = list(table), np.array(list(table.values()))
+    found = sorted(table, key=len)
+    weight = np.array([table[w] for w in found]).reshape(-1, len(langs))
+    n_short = sum(len(w) <= SHORT for w in found)
     base = np.where(np.array([len(p) == 1 for p in pieces])[:, None], SMOOTH_BYTE, SMOOTH)
     prob = np.ones((len(pieces), len(langs))) / len(pieces)
-    lattices = [(Lattice(found[i : i + 8192], trie), weight[i : i + 8192]) for i in range(0, len(found), 8192)]
+    cuts = [*range(0, n_short, 8192), n_short]
+    short = [(Lattice(found[i:j], trie), weight[i:j]) for i, j in zip(cuts, cuts[1:])]
+    groups = [np.array(g) + n_short for g in together(found[n_short:], CELLS, 4096)]
     for _ in range(rounds):
-        used = sum((lat.expected(prob, n) for lat, n in lattices), np.zeros_like(prob)) + base
+        used = sum((lat.expected(prob, n) for lat, n in short), np.zeros_like(prob)) + base
+        for g in groups:
+            used += Lattice([found[i] for i in g], trie).log_expected(np.log(prob), weight[g])
         prob = used / used.sum(axis=0)
     return Model(langs, pieces, prob)
 
@@ -234,16 +322,34 @@ def train(
     folds: int = 5,
     sample: int = SAMPLE,
     fit_words: int = FIT_WORDS,
+    max_langs: int = MAX_LANGS,
 ) -> Model:
-    """Fits on rows with a language whose crc32(id as text) mod ``folds`` is not 0, at most about ``sample`` of them."""
+    """Fits on rows with a letter and a language whose crc32(id as text) mod ``folds`` is not 0.
+
+    At most ``sample`` rows, an equal share for each of the at most
+    ``max_langs`` most frequent languages, and of their words the
+    ``fit_words`` most frequent of each language reach the driver; repeated
+    rows with one id and text count once.
+    """
     known = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), folds))
-    chosen = known.select(F.col("doc_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    # at most `sample` ids are broadcast
-    picked = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi")
+    known = known.where(F.col("text").rlike("\\p{L}"))
+    kinds = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    langs = [r["lang"] for r in kinds.collect()]
+    if not langs:
+        return fit([], read_pieces(path))
+    slim = known.where(F.col("lang").isin(langs)).select("lang", "doc_id", F.xxhash64("text").alias("t"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t")
+    chosen = slim.withColumn("place", F.row_number().over(first)).where(F.col("place") <= max(1, sample // len(langs)))
+    chosen = chosen.select("lang", F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    # at most `sample` rows are broadcast
+    here = (F.col("d.doc_id") == F.col("__id")) & (F.xxhash64("d.text") == F.col("__t")) & (F.col("d.lang") == F.col("c.lang"))
+    picked = known.alias("d").join(F.broadcast(chosen).alias("c"), here, "left_semi").dropDuplicates(["doc_id", "text", "lang"])
     counted = picked.select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long")
-    found = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    summed = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = summed.withColumn("place", F.row_number().over(top)).where(F.col("place") <= fit_words).toArrow()
     counts = list(zip(*(found[c].to_pylist() for c in ("lang", "word", "n"))))
     return fit(counts, read_pieces(path), words=fit_words)
 

@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 import brute
 import numpy as np
@@ -473,6 +474,101 @@ def test_memory_does_not_change_predictions(monkeypatch):
     assert [a for a, _ in before[:5]] == ["x", "y", "und", "und", "und"]
 
 
+def test_long_words_are_scored_whole():
+    """Against a plain recursion over the whole word, above 32 and above 200 bytes, in mixed scripts and any portion."""
+    rnd = random.Random(8)
+    pieces = langid.with_bytes([b"ab", b"aba", "中".encode(), "中文".encode(), " 中文字".encode(), b"b" * 40, "é".encode()])
+    prob = np.random.default_rng(1).random((len(pieces), 3)) ** 4 + 1e-6
+    prob /= prob.sum(axis=0)
+    trie, log = langid.Trie(pieces), np.log(prob)
+    of = {p: i for i, p in enumerate(pieces)}
+
+    def plain(word):
+        a = [np.zeros(3)] + [None] * len(word)
+        for e in range(1, len(word) + 1):
+            x = [a[s] + log[of[word[s:e]]] for s in range(max(0, e - 40), e) if word[s:e] in of]
+            a[e] = np.logaddexp.reduce(x, axis=0)
+        return a[-1]
+
+    words = ["".join(rnd.choice("ab中文字é") for _ in range(n)).encode() for n in (1, 9, 31, 33, 70, 230, 900)] + [b"b" * 300]
+    model = langid.Model(["x", "y", "z"], pieces, prob)
+    model.learn_words(set(words))
+    for w in words:
+        assert np.allclose(model.known[model.memory[w]], plain(b" " + w), rtol=1e-9)
+    for portion in (7, 64, 4096):
+        assert np.allclose(langid.long_log_prob(words, trie, log, portion), [plain(w) for w in words], rtol=1e-9)
+
+
+def test_long_and_short_words_are_fitted_alike():
+    pieces = langid.with_bytes([b"ab", b"ba", b"aba", b" a"])
+    prob = np.random.default_rng(2).random((len(pieces), 2)) + 0.1
+    prob /= prob.sum(axis=0)
+    words = [b" abab", b" ba", b"abaabaab"]
+    counts = np.array([[1.0, 2], [3, 1], [1, 1]])
+    lattice = langid.Lattice(words, langid.Trie(pieces))
+    assert np.allclose(lattice.log_expected(np.log(prob), counts), lattice.expected(prob, counts))
+
+
+def test_identify_equals_brute_force(spark, tmp_path):
+    """The whole query on a small vocabulary: every segmentation enumerated, the fit included."""
+    own = [b"a", b"b", b"ab", b" a", b"ba", "é".encode()]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(own)))
+    texts = {"x": ["ab ab aab", "a ab é"], "y": ["ba bb", "bba b! Ba"]}
+    rows = [(i * 7 + j, t, a) for i, (a, ts) in enumerate(texts.items()) for j, t in enumerate(ts * 3)]
+    rows += [(1000, "ab", None), (1001, "bb ba", None), (1002, "12 -", None), (1003, None, "x"), (1004, "ab" * 20 + " b", None)]
+    pieces = own + [bytes([b]) for b in range(256) if bytes([b]) not in own]
+    of = {p: i for i, p in enumerate(pieces)}
+
+    def ways(w):
+        return [[]] if not w else [[of[w[:n]], *r] for n in range(1, min(2, len(w)) + 1) if w[:n] in of for r in ways(w[n:])]
+
+    train = [r for r in rows if r[2] and r[1] and brute.crc(r[0]) % 5]
+    prob = np.ones((len(pieces), 2)) / len(pieces)
+    base = np.array([[0.5 if len(p) == 1 else 0.01] * 2 for p in pieces])
+    for _ in range(4):
+        used = base.copy()
+        for _, text, a in train:
+            k = "xy".index(a)
+            for w in brute.terms(text):
+                cuts = ways(b" " + w.encode())
+                weight = np.array([prob[c, k].prod() for c in cuts])
+                for c, v in zip(cuts, weight / weight.sum()):
+                    np.add.at(used[:, k], c, v)
+        prob = used / used.sum(axis=0)
+
+    def score(text):
+        logs = np.zeros(2)
+        for w in brute.terms(text):
+            a = [np.zeros(2)]
+            raw = b" " + w.encode()
+            for e in range(1, len(raw) + 1):
+                a.append(np.logaddexp.reduce([a[s] + np.log(prob[of[raw[s:e]]]) for s in (e - 1, e - 2) if s >= 0 and raw[s:e] in of], axis=0))
+            logs += a[-1]
+        return "xy"[logs.argmax()], 1 / np.exp(logs - logs.max()).sum()
+
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in langid.identify(d, str(path)).collect()}
+    for i, text, _ in rows:
+        lang, value = score(text) if text and any(map(str.isalpha, text)) else ("und", 0.0)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(value, rel=1e-6)
+        assert got[i].held_out == (brute.crc(i) % 5 == 0)
+
+
+def test_the_fits_rows_are_bounded(spark, monkeypatch):
+    """One id and one text repeated, a dirty language column: at most ``sample`` rows are counted."""
+    import public_tokenizers
+
+    counted = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda counts, pieces, **kw: counted.extend(counts) or fit(counts, pieces, **kw))
+    rows = [(1, "the same text", "en")] * 900 + [(1, f"one id {i}", "en") for i in range(900)] + [(i, f"w{i}", f"l{i}") for i in range(2, 300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d, public_tokenizers.path(BPE_FILE), sample=40, max_langs=8)
+    assert len(model.langs) == 8 and sum(n for _, w, n in counted if w in (b"id", b"same")) <= 5
+    assert max(Counter(a for a, _, _ in counted).values()) <= 3 * 5
+
+
 def test_keep_identified(spark, edge):
     import public_tokenizers
 
