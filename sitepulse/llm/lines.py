@@ -11,9 +11,11 @@
    shard's owner, which answers with the lines to drop.  No line text and no
    count table takes part in a join.
 
-Keys present in more than 1/4096 of all (document, key) pairs would make
-their shard hot.  At most 4096 such keys can exist, whatever the input, so
-they are handed to all tasks and answered on the spot.
+There are as many shards as keys and (document, key) pairs ask for, so the
+probes spread with the documents.  A key of at least HOT_DOCS documents and
+more than 1/4096 of all pairs would still make its shard hot.  At most 4096
+such keys can exist, whatever the input; they are handed to all tasks and
+answered on the spot.  All other keys are decided by the perfect hash.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from sitepulse.llm.text import slices, utf8
 SPACE = b" \t\n\r\x0b\x0c"
 MIN_DOCS = 10
 KEYS_PER_SHARD = 1 << 18
-HOT_SHARE = 4096
+PAIRS_PER_SHARD = 1 << 19
+HOT_SHARE, HOT_DOCS = 4096, 4096
 LEVELS = 24
 GAMMA = 2.0
 
@@ -231,14 +234,16 @@ def drop_common_lines(
     text_col: str = "text",
     min_docs: int = MIN_DOCS,
     keys_per_shard: int = KEYS_PER_SHARD,
+    pairs_per_shard: int = PAIRS_PER_SHARD,
+    hot_docs: int = HOT_DOCS,
 ) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text for every row of ``docs``.
 
     A line is dropped where its key (stripped of ASCII space at both ends,
     A-Z lower-cased, not empty) occurs in at least ``min_docs`` rows of
     ``docs``.  A null or empty text is one empty line and stays as it is.
-    Rows repeated with the same id and text count as two documents and get
-    the same answer.  Other columns of ``docs`` are not read; an empty input
+    Every row is a document: rows repeated with the same id, or id and text,
+    count as two and get a row each.  Other columns of ``docs`` are not read; an empty input
     gives an empty result.
     """
     spark = docs.sparkSession
@@ -246,10 +251,11 @@ def drop_common_lines(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = scratch.table(line_counts(rows), "counts")
     total, keys = counts.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.count(F.lit(1))).first()
-    shard_bits = max(0, int(np.ceil(np.log2(max(1, keys) / keys_per_shard))))
+    wanted = max(keys / keys_per_shard, total / pairs_per_shard, 1)
+    shard_bits = int(np.ceil(np.log2(wanted)))
     index = scratch.table(build_index(counts, shard_bits), "index")
     # at most HOT_SHARE keys can hold that share of all pairs each
-    hot_from = max(min_docs, -(-int(total) // HOT_SHARE))
+    hot_from = max(min_docs, hot_docs, int(total) // HOT_SHARE + 1)
     hot = counts.groupBy("k").agg(F.min("docs").alias("least"), F.count(F.lit(1)).alias("twins"))
     hot = {r[0]: r[1] for r in hot.filter((F.col("least") >= hot_from) & (F.col("twins") == 1)).collect()}
 

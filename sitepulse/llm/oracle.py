@@ -28,19 +28,19 @@ FROM page
 """,
     "op8_line_dedup": f"""
 WITH line AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
-  FROM documents
+  FROM (SELECT *, row_number() OVER () AS r FROM documents)
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key
   FROM line
 ), common AS (
-  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (common.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common ON keyed.key = common.key
-GROUP BY doc_id
+GROUP BY r, doc_id
 """,
     "op6_decontamination": f"""
 WITH doc AS (
