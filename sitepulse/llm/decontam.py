@@ -1,7 +1,9 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The benchmark's normalised items become one automaton per bounded block of
-items, built on the executors.  Documents are streamed through it: after each
+The benchmark's normalised items are cut into pieces, equal pieces are kept
+once with the ids of their items beside them, and bounded blocks of pieces
+become one automaton each, built on the executors.  One automaton at a time
+is handed to the tasks.  Documents are streamed through it: after each
 word the automaton holds the longest suffix that occurs in some item.  A
 match of at least ``window`` words covers windows; its words form a span.
 Items shorter than the window match as a whole only.
@@ -9,16 +11,18 @@ Items shorter than the window match as a whole only.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitepulse.llm.storage import Scratch
+from sitepulse.llm.storage import Scratch, free_names
 from sitepulse.llm.text import ALNUM, alnum_words, slices, utf8
 
 WINDOW = 10
@@ -137,9 +141,10 @@ class SuffixAutomaton:
 
 def _build(window: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = zip(table["item"].to_pylist(), table["piece"].to_pylist(), table["whole"].to_pylist())
-        sam = SuffixAutomaton(window).build([(i, p.encode().split(b" "), w) for i, p, w in rows])
-        return pa.table({"block": table["block"].slice(0, 1), "blob": pa.array([pickle.dumps(sam.__dict__)], pa.binary())})
+        rows = enumerate(zip(table["piece"].to_pylist(), table["whole"].to_pylist()))
+        sam = SuffixAutomaton(window).build([(i, p.encode().split(b" "), w) for i, (p, w) in rows])
+        blob = pickle.dumps((sam.__dict__, table["ids"].to_pylist()))
+        return pa.table({"block": table["block"].slice(0, 1), "blob": pa.array([blob], pa.binary())})
 
     return run
 
@@ -170,70 +175,109 @@ def automata(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
     piece_words: int = PIECE_WORDS,
-) -> Iterator[bytes]:
-    """One pickled automaton after the other, for blocks of at most about ``block_words`` words."""
+) -> tuple[list[int], Iterator[bytes]]:
+    """The blocks' numbers, and one pickled automaton after the other, for at most about ``block_words`` words each."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    cut = items.mapInArrow(_pieces(window, piece_words), "item string, piece string, whole boolean, n long")
     pieces = scratch.table(
-        items.mapInArrow(_pieces(window, piece_words), "item string, piece string, whole boolean, n long"), "pieces"
+        cut.groupBy("piece", "whole").agg(F.max("n").alias("n"), F.collect_set("item").alias("ids")), "pieces"
     )
-    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = pieces.agg(F.coalesce(F.sum(F.col("n") + F.size("ids")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_words))
-    built = scratch.table(
+    scratch.table(
         pieces.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(blocks)))
         .groupBy("block")
         .applyInArrow(_build(window), "block long, blob binary"),
         "automata",
     )
-    # one bounded automaton at a time passes the driver on its way to the tasks
-    names = [r[0] for r in built.select("block").orderBy("block").collect()]
-    for b in names:
-        yield bytes(built.filter(F.col("block") == b).first()["blob"])
+    return _again(scratch, None)
 
 
-def _load(blob: bytes) -> SuffixAutomaton:
+def _again(scratch: Scratch, names: list[int] | None) -> tuple[list[int], Iterator[bytes]]:
+    """The written automata; one bounded automaton at a time passes the driver on its way to the tasks."""
+    built = scratch.spark.read.parquet(f"{scratch.path}/automata")
+    if names is None:
+        names = [r[0] for r in built.select("block").orderBy("block").collect()]
+    return names, (bytes(built.filter(F.col("block") == b).first()["blob"]) for b in names)
+
+
+def _load(blob: bytes) -> tuple[SuffixAutomaton, list[list[str]]]:
+    """The automaton and the item ids of each piece."""
     sam = SuffixAutomaton.__new__(SuffixAutomaton)
-    sam.__dict__.update(pickle.loads(blob))
-    return sam
+    state, ids = pickle.loads(blob)
+    sam.__dict__.update(state)
+    return sam, ids
 
 
-def _scan(blob, only_hits: bool):
+def _scan(blob, key: str, only_hits: bool):
+    """key, n_words, spans, items of the rows (key, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = _load(blob.value) if blob is not None else None
+        sam, ids = _load(blob.value)
         for batch in slices(batches):
             n, spans, items = [], [], []
             for text in batch.column("text").to_pylist():
                 ws = alnum_words(utf8(text))
-                s, i = sam.spans(ws) if sam else ([], ())
+                s, pieces = sam.spans(ws)
                 n.append(len(ws))
-                spans.append([x for pair in s for x in pair]), items.append(sorted(i))
+                spans.append([x for pair in s for x in pair])
+                items.append(sorted({i for p in pieces for i in ids[p]}))
             out = pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    batch.column("t"),
+                    batch.column(key),
                     pa.array(n, pa.int64()),
                     pa.array(spans, pa.list_(pa.int32())),
                     pa.array(items, pa.list_(pa.string())),
                 ],
-                ["doc_id", "t", "n_words", "spans", "items"],
+                [key, "n_words", "spans", "items"],
             )
             yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if only_hits else out
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = []
-        for flat in batch.column("spans").to_pylist():
-            out: list[list[int]] = []
-            for lo, hi in sorted(zip(flat[::2], flat[1::2])):
-                if out and lo <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], hi)
-                else:
-                    out.append([lo, hi])
-            spans.append([x for pair in out for x in pair])
-        at = batch.schema.get_field_index("spans")
-        yield batch.set_column(at, "spans", pa.array(spans, pa.list_(pa.int32())))
+def merged(flat: list[int]) -> list[list[int]]:
+    """Spans (start, end, start, end, ...) in order, joined where they touch or overlap."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(zip(flat[::2], flat[1::2])):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
+def _hits(rows: DataFrame, blobs: Iterator[bytes], scratch: Scratch, name: str) -> DataFrame:
+    """r, spans (in any order), items of the rows (r, text) that an automaton hits.
+
+    Each block is one pass whose hits are written; its automaton is let go before the next.
+    """
+    spark = rows.sparkSession
+    found = spark.createDataFrame([], "r long, n_words long, spans array<int>, items array<string>")
+    ddl = "r long, n_words long, spans array<int>, items array<string>"
+    for i, blob in enumerate(blobs):
+        shared = spark.sparkContext.broadcast(blob)
+        hit = scratch.table(rows.select("r", "text").mapInArrow(_scan(shared, "r", True), ddl), f"{name}-{i}")
+        shared.unpersist()
+        found = found.unionByName(hit)
+    return found.groupBy("r").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"),  # one entry per block that hits the row
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        spans = [[x for pair in merged(s or []) for x in pair] for s in batch.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array([len(alnum_words(utf8(t))) for t in batch.column("text").to_pylist()], pa.int64()),
+                pa.array(spans, pa.list_(pa.int32())),
+                pa.array([i or [] for i in batch.column("items").to_pylist()], pa.list_(pa.string())),
+            ],
+            ["doc_id", "n_words", "spans", "items"],
+        )
 
 
 def contamination(
@@ -258,31 +302,20 @@ def contamination(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
-    shared = [spark.sparkContext.broadcast(b) for b in automata(benchmark, scratch, item_col, item_text_col, window, block_words)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("t"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {kind}, t long, n_words long, spans array<int>, items array<string>"
-    found = rows.mapInArrow(_scan(shared[0] if shared else None, False), ddl)
-    if len(shared) > 1:
-        for b in shared[1:]:
-            found = found.unionByName(rows.mapInArrow(_scan(b, True), ddl))
-        # repeated rows: one representative per (id, text), brought back by the join below
-        merged = (
-            found.groupBy(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
-            .agg(
-                F.max("n_words").alias("n_words"),
-                F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-                F.flatten(F.collect_list("spans")).alias("spans"),
-            )
-            .withColumn("items", F.sort_array("items"))
-        )
-        back = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))
-        found = (
-            rows.select("doc_id", "t").join(merged, back).select("doc_id", "t", "n_words", "spans", "items")
-        ).mapInArrow(_merge, ddl)
+    ddl = f"doc_id {kind}, n_words long, spans array<int>, items array<string>"
+    names, blobs = automata(benchmark, scratch, item_col, item_text_col, window, block_words)
+    if len(names) == 1:
+        found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(next(blobs)), "doc_id", False), ddl)
+    elif not names:
+        none = {"spans": F.lit(None).cast("array<int>"), "items": F.lit(None).cast("array<string>")}
+        found = rows.withColumns(none).mapInArrow(_finish, ddl)
+    else:
+        numbered = scratch.table(rows.withColumn("r", F.monotonically_increasing_id()), "rows")
+        found = numbered.join(_hits(numbered, blobs, scratch, "hits"), "r", "left").mapInArrow(_finish, ddl)
     hit = F.expr("aggregate(transform(spans, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (a, x) -> a + x)")
-    return found.select("doc_id", "t", "n_words", hit.alias("n_hit"), "spans", "items")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items")
 
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -300,24 +333,59 @@ def cut(text: str, spans: list[int]) -> str:
     return b"\n".join(out).decode("utf-8", "surrogatepass")
 
 
-def _clean(blob, max_span: int, max_coverage: float):
+class _Cut:
+    """What becomes of one text: spans are cut until none is too long, or it goes for too many covered words."""
+
+    def __init__(self, max_span: int, max_coverage: float):
+        self.max_span, self.max_coverage = max_span, max_coverage
+
+    def step(self, text: str, total: int, gone: int, spans: list) -> tuple[str, int, bool]:
+        """The text after one round, the covered words so far, and whether another round is needed."""
+        long = [s for s in spans if s[1] - s[0] > self.max_span]
+        gone += sum(b - a for a, b in spans)
+        if gone > self.max_coverage * total or not long:
+            return text, gone, False
+        return cut(text, [x for pair in long for x in pair]), gone, True
+
+    def keeps(self, total: int, gone: int) -> bool:
+        return not total or gone <= self.max_coverage * total
+
+
+def _clean(blob, text_col: str, rule: _Cut):
+    """All rounds at once, for a benchmark of one automaton."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = _load(blob.value)
+        sam, _ = _load(blob.value)
         for batch in slices(batches):
+            at = batch.schema.get_field_index(text_col)
             keep, texts = [], []
-            for text in batch.column("__text").to_pylist():
-                total, gone = len(alnum_words(utf8(text))), 0
-                while text:  # a cut may bring words together that form a window
-                    spans, _ = sam.spans(alnum_words(utf8(text)))
-                    long = [s for s in spans if s[1] - s[0] > max_span]
-                    gone += sum(b - a for a, b in spans)
-                    if gone > max_coverage * total or not long:
-                        break
-                    text = cut(text, [x for pair in long for x in pair])
-                keep.append(not total or gone <= max_coverage * total)
+            for text in batch.column(at).to_pylist():
+                total, gone, again = len(alnum_words(utf8(text))), 0, bool(text)
+                while again and text:  # a cut may bring words together that form a window
+                    text, gone, again = rule.step(text, total, gone, sam.spans(alnum_words(utf8(text)))[0])
+                keep.append(rule.keeps(total, gone))
                 texts.append(text)
-            at = batch.schema.get_field_index("__text")
-            yield batch.set_column(at, "__text", pa.array(texts, pa.string())).filter(pa.array(keep, pa.bool_()))
+            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _round(rule: _Cut):
+    """One round for rows whose spans were found by several automata."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for r, text, total, gone, spans in zip(*[c.to_pylist() for c in batch.columns]):
+                if total is None:
+                    total = len(alnum_words(utf8(text)))
+                text, gone, again = rule.step(text, total, gone, merged(spans))
+                out.append((r, text, total, gone, again and bool(text), rule.keeps(total, gone)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            cols = zip(*out) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(cols, kinds)], ["r", "text", "total", "gone", "again", "keep"]
+            )
 
     return run
 
@@ -339,14 +407,39 @@ def decontaminate(
     removed; in the others every span of more than ``max_span`` words is cut
     out, again until none is left.  With the default limits every document
     that holds a window goes and clean documents stay untouched.  Null and
-    empty texts stay.  A benchmark of several blocks makes one pass per
-    block, written in between; the limits then hold for each block's items.
+    empty texts stay.  The limits hold for the whole benchmark: spans of all
+    blocks are merged before they are tested, round by round for the rows
+    that were cut.
     """
-    scratch = Scratch(docs.sparkSession, "decontam")
-    rows = docs.withColumn("__text", F.col(text_col).cast("string")).drop(text_col)
-    for i, blob in enumerate(automata(benchmark, scratch, item_col, item_text_col, window, block_words)):
-        shared = docs.sparkSession.sparkContext.broadcast(blob)
-        if i:
-            rows = scratch.table(rows, f"pass-{i}")
-        rows = rows.mapInArrow(_clean(shared, max_span, max_coverage), rows.schema)
-    return rows.withColumnRenamed("__text", text_col).select(*docs.columns)
+    spark = docs.sparkSession
+    scratch, rule = Scratch(spark, "decontam"), _Cut(max_span, max_coverage)
+    names, blobs = automata(benchmark, scratch, item_col, item_text_col, window, block_words)
+    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    if not names:
+        return rows
+    if len(names) == 1:
+        return rows.mapInArrow(_clean(spark.sparkContext.broadcast(next(blobs)), text_col, rule), rows.schema)
+    number = free_names(docs, "r")["r"]
+    rows = scratch.table(rows.withColumn(number, F.monotonically_increasing_id()), "rows")
+    active = rows.select(
+        F.col(number).alias("r"), F.col(text_col).alias("text"), F.lit(None).cast("long").alias("total"), F.lit(0).cast("long").alias("gone")
+    )
+    ended = []
+    for i in itertools.count():
+        found = _hits(active, blobs, scratch, f"round-{i}").select("r", "spans")
+        ddl = "r long, text string, total long, gone long, again boolean, keep boolean"
+        stepped = scratch.table(active.join(found, "r").mapInArrow(_round(rule), ddl), f"stepped-{i}")
+        if i:  # rows that no automaton hits any more are done as they are
+            rest = active.join(found, "r", "left_anti").withColumn("keep", F.lit(True))
+            ended.append(scratch.table(rest.select("r", "text", "keep"), f"ended-{i}"))
+        ended.append(stepped.where("NOT again").select("r", "text", "keep"))
+        active = stepped.where("again").select("r", "text", "total", "gone")
+        if active.isEmpty():
+            break
+        names, blobs = _again(scratch, names)
+    changed = reduce(DataFrame.unionByName, ended).select("r", F.col("text").alias("changed"), "keep")
+    names = free_names(docs, "r", "changed", "keep")
+    changed = changed.toDF(names["r"], names["changed"], names["keep"])
+    joined = rows.join(changed, names["r"], "left").where(F.coalesce(F.col(names["keep"]), F.lit(True)))
+    text = F.when(F.col(names["keep"]).isNotNull(), F.col(names["changed"])).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, text).select(*docs.columns)

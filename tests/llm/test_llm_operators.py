@@ -311,9 +311,38 @@ def test_long_items_in_pieces(spark):
     words = [f"w{i}" for i in range(57)]
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     scratch = Scratch(spark, "test")
-    (blob,) = list(decontam.automata(bench, scratch, piece_words=8))
-    spans, items = decontam._load(blob).spans([w.encode() for w in words])
-    assert spans == [(0, 57)] and items == {"1"}
+    (blob,) = list(decontam.automata(bench, scratch, piece_words=8)[1])
+    sam, ids = decontam._load(blob)
+    spans, pieces = sam.spans([w.encode() for w in words])
+    assert spans == [(0, 57)] and {i for p in pieces for i in ids[p]} == {"1"}
+
+
+def test_copies_of_one_item_are_one_piece(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([(i, item) for i in range(500)] + [(None, item)], "item_id long, text string")
+    names, blobs = decontam.automata(bench, Scratch(spark, "test"), block_words=700)
+    assert len(names) == 1
+    sam, ids = decontam._load(next(blobs))
+    assert [len(x) for x in ids] == [500] and len(sam.length) < 100
+
+
+@pytest.mark.parametrize("max_span, max_coverage", [(0, 0.3), (12, 0.3), (0, 0.9), (12, 0.9)])
+def test_limits_hold_for_all_blocks_together(spark, edge, max_span, max_coverage):
+    """Passages of several items in one document: one automaton and many give one result."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(14)) for w in ("one", "two", "three"))
+    plain = " ".join(f"p{i}" for i in range(60))
+    split = a.split()
+    rows = [(1, f"{plain} {a} {plain}"), (2, f"{plain} {a} x {b}"), (3, f"{a} {b} {c} {plain}"), (4, plain), (5, None), (6, "")]
+    rows += [(7, f"{plain} {' '.join(split[:7])} {b} {' '.join(split[7:])} {plain}"), (8, a), (8, a)]
+    d = spark.createDataFrame(rows, "__r long, text string")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate((a, b, c))], "item_id long, text string")
+    limits = {"max_span": max_span, "max_coverage": max_coverage}
+    one, many = (
+        sorted((tuple(r) for r in decontam.decontaminate(d, bench, block_words=n, **limits).collect()), key=key) for n in (10**9, 5)
+    )
+    assert one == many and {r[0] for r in one} >= {4, 5, 6}
+    if max_coverage == 0.3:
+        assert {1, 7} <= {r[0] for r in one} and not {2, 3, 8} & {r[0] for r in one}
 
 
 @pytest.mark.parametrize("block_words", [200_000, 10])
@@ -413,6 +442,15 @@ def test_lines_in_small_shards(spark, edge, keys_per_shard):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, brute.sha(r.kept_text)) for r in got), key=key) == sorted(brute.op8(edge), key=key)
 
 
+@pytest.mark.parametrize("hot_docs", [1, 30, 10**9])
+def test_drops_do_not_depend_on_the_hot_list(spark, edge, hot_docs):
+    """With the list off every drop is decided by the perfect hash; shards follow the pairs."""
+    got = lines.drop_common_lines(docs(spark, edge), hot_docs=hot_docs, pairs_per_shard=9)
+    rows = [(r.doc_id, r.n_lines, r.n_dropped, brute.sha(r.kept_text)) for r in got.collect()]
+    assert sorted(rows, key=key) == sorted(brute.op8(edge), key=key)
+    assert sum(r[2] for r in rows) > 50
+
+
 def test_perfect_hash_is_minimal_and_rejects():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
