@@ -30,8 +30,8 @@ BUCKET_KEYS = 1024
 MAX_DEPTH = 16
 #: A chain is hot if it holds more than 1 / HOT_SHARE of all rows, and at least HOT_ROWS.
 HOT_SHARE, HOT_ROWS = 4096, 512
-#: Owners for each shuffle partition: their rows even out over the tasks.
-OWNERS = 4
+#: Owners for each task: their rows even out.  Bytes of text (about) of one task.
+OWNERS, TASK_BYTES = 32, 64 << 20
 #: Heads of hot texts are broadcast up to this size; larger ones are joined by their hash.
 BROADCAST_BYTES = 32 << 20
 
@@ -82,7 +82,8 @@ class Index:
         spark = rows.sparkSession
         self.scratch, self.h, self.text, self.max_depth = Scratch(spark, "exact"), h, text, max_depth
         table = self.scratch.table
-        keys = table(rows.groupBy(F.col(h).alias("h")).agg(F.count(F.lit(1)).alias("n")), "keys")
+        size = F.sum(F.octet_length(text)).alias("bytes")
+        keys = table(rows.groupBy(F.col(h).alias("h")).agg(F.count(F.lit(1)).alias("n"), size), "keys")
         buckets = table(directory(keys, bucket_keys, max_depth), "directory")
         entries = buckets.select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias("a"), "bucket")
         # the directory has at most 2**max_depth entries, which bounds this broadcast
@@ -94,8 +95,11 @@ class Index:
             .sortWithinPartitions("bucket", "h"),
             "pages",
         )
-        total = self.pages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        owners = OWNERS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        total, size = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // TASK_BYTES)
+        owners = OWNERS * self.tasks
+        # a directory of full depth has no more ranges to give: owners then share a bucket by the hash's next bits
+        self.more_bits = max(0, (owners >> max_depth).bit_length())
         held = self.pages.groupBy("bucket").agg(F.sum("n").alias("n"))
         before = F.sum("n").over(Window.orderBy("bucket")) - F.col("n")  # at most 2**max_depth rows
         owner = F.call_function("div", before * owners, F.lit(max(1, int(total))))
@@ -109,7 +113,11 @@ class Index:
         entries = self.directory.select(F.col("a").alias(address_), F.col("bucket").alias(bucket), F.col("owner").alias(owner))
         listed = self.hot.select(F.col("h").alias(h), F.lit(True).alias(hot))
         addressed = rows.withColumn(address_, address(F.col(h), self.max_depth))
-        return addressed.join(F.broadcast(entries), address_).join(F.broadcast(listed), h, "left").drop(address_)
+        found = addressed.join(F.broadcast(entries), address_).join(F.broadcast(listed), h, "left").drop(address_)
+        if self.more_bits:
+            more = F.shiftrightunsigned(h, 64 - self.max_depth - self.more_bits).bitwiseAND((1 << self.more_bits) - 1)
+            found = found.withColumn(owner, F.shiftleft(owner, self.more_bits) + more)
+        return found
 
     def heads(self, hot_rows: DataFrame, doc_id: str) -> DataFrame:
         """hh, head, keep_id, group_size of every text of the hot chains, reduced map-side."""
@@ -144,7 +152,7 @@ def exact_groups(
 
     # the owner's task compares the bytes of a chain's texts: it sorts them
     chain = Window.partitionBy("owner", "h", "text")
-    cold = routed.where("hot IS NULL").repartition("owner").select(
+    cold = routed.where("hot IS NULL").repartition(index.tasks, "owner").select(
         "doc_id",
         F.max("doc_id").over(chain).alias("keep_id"),
         F.count(F.lit(1)).over(chain).alias("group_size"),
@@ -182,7 +190,7 @@ def keep_one(
     h, whole, owner, hot, place = (names[n] for n in ("h", "whole", "owner", "hot", "place"))
     rows = docs.withColumn(whole, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = rows.withColumn(h, F.xxhash64(whole))
-    index = Index(rows.select(h), h, whole, bucket_keys, max_depth)
+    index = Index(rows.select(h, whole), h, whole, bucket_keys, max_depth)
     routed = index.route(rows, names)
     cold = routed.where(F.col(hot).isNull())
     chained = routed.where(F.col(hot))
@@ -197,7 +205,7 @@ def keep_one(
     chain = Window.partitionBy(owner, h, whole).orderBy(F.desc_nulls_last(id_col))
     return (
         cold.unionByName(first)
-        .repartition(owner)
+        .repartition(index.tasks, owner)
         .withColumn(place, F.row_number().over(chain))
         .where(F.col(place) == 1)
         .select(*docs.columns)
