@@ -32,6 +32,8 @@ FILE_RECORDS = 1000
 #: Bytes of one archive file, uncompressed, at most (unless one record is longer):
 #: a file is parsed in memory.
 FILE_BYTES = 1 << 28
+#: Longer pages are written to files of their own.  Bytes of a record besides its payload, at most.
+LONG_PAGE, HEAD_BYTES = 1 << 20, 4096
 #: Index entries that one merge task receives, about.
 MERGE_ROWS = 200_000
 #: Capture times where the pages have none: this second plus the page id.
@@ -124,6 +126,11 @@ def write_archives(recs: DataFrame, path: str, file_records: int = FILE_RECORDS)
     recs.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", file_records).text(path)
 
 
+def file_records(longest: int) -> int:
+    """Records of a file whose longest page has so many bytes."""
+    return max(1, min(FILE_RECORDS, FILE_BYTES // (longest + HEAD_BYTES)))
+
+
 _SCHEME = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://")
 
 
@@ -214,7 +221,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def index_runs(spark, path: str) -> DataFrame:
     """Index entries of all archives under ``path``; those of one file are sorted."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true")
+    files = reader.load(path)
     return files.select("path", "content").mapInArrow(_runs, CAPTURE)
 
 
@@ -278,8 +286,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merged_index(runs: DataFrame, rows: int, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """The runs' entries in global order of URL key, time and page."""
     ranges = max(1, -(-rows // merge_rows), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = ["urlkey", "time", "page_id"]
-    dealt = runs.repartitionByRange(ranges, *keys).sortWithinPartitions("run", *keys, "offset")
+    keys = ["urlkey", "time", "page_id"]  # run and offset split rows that are equal in all of them
+    dealt = runs.repartitionByRange(ranges, *keys, "run", "offset").sortWithinPartitions("run", *keys, "offset")
     return dealt.mapInArrow(_merge, CAPTURE)
 
 
@@ -295,7 +303,15 @@ def capture_histories(pages: DataFrame, **kw) -> DataFrame:
     scratch = Scratch(spark, "warc")
     path = f"{scratch.path}/archives"
     recs = records(pages, **kw)
-    longest = pages.agg(F.max(F.octet_length(F.col(kw.get("html_col", "html")).cast("string")))).first()[0] or 0
-    write_archives(recs, path, max(1, min(FILE_RECORDS, FILE_BYTES // (longest + 4096))))
+    size = F.octet_length(F.col(kw.get("html_col", "html")).cast("string"))
+    longest, common = pages.agg(
+        F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.max(F.when(size <= LONG_PAGE, size)), F.lit(0))
+    ).first()
+    if longest <= LONG_PAGE:
+        write_archives(recs, path, file_records(longest))
+    else:  # a few very long pages must not leave the others one to a file
+        big = F.octet_length("value") > LONG_PAGE + HEAD_BYTES
+        write_archives(recs.where(~big), f"{path}/common", file_records(common))
+        write_archives(recs.where(big), f"{path}/long", file_records(longest))
     runs = scratch.table(index_runs(spark, path), "runs")
     return merged_index(runs, runs.count())
