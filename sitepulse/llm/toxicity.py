@@ -105,9 +105,19 @@ class Machine:
 
 
 def fit(
-    flat: np.ndarray, starts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, factors: int = FACTORS, seed: int = 7
+    flat: np.ndarray,
+    starts: np.ndarray,
+    y: np.ndarray,
+    epochs: int = EPOCHS,
+    factors: int = FACTORS,
+    seed: int = 7,
+    least_rows: int = LEAST_ROWS,
+    least_share: float = LEAST_SHARE,
 ) -> Machine:
-    """Fits by mini-batch AdaGrad on the log loss.  Without both classes the score is the smoothed class share."""
+    """Fits by mini-batch AdaGrad on the log loss.  Without both classes the score is the smoothed class share.
+
+    Terms get weights that ``least_rows`` rows and a share of ``least_share`` of the rows of one class hold.
+    """
     n = len(y)
     share = (y.sum() + 1) / (n + 2)
     w0 = float(np.log(share / (1 - share)))
@@ -115,7 +125,7 @@ def fit(
     row = np.repeat(np.arange(n), np.diff(starts))
     seen = np.zeros(BUCKETS, dtype=bool)
     for of in (y == 1, y != 1):
-        seen |= np.bincount(flat[of[row]], minlength=BUCKETS) >= max(LEAST_ROWS, LEAST_SHARE * of.sum())
+        seen |= np.bincount(flat[of[row]], minlength=BUCKETS) >= max(least_rows, least_share * of.sum())
     if not seen.any() or y.min() == y.max():
         return Machine(w0, w, v)
     row, flat = row[seen[flat]], flat[seen[flat]]
@@ -150,7 +160,7 @@ def fit(
     return Machine(float(w0), w, v)
 
 
-def fit_calibrated(rows: list[np.ndarray], y: np.ndarray, stand: tuple[float, float] = (1.0, 1.0)) -> Machine:
+def fit_calibrated(rows: list[np.ndarray], y: np.ndarray, stand: tuple[float, float] = (1.0, 1.0), **kw) -> Machine:
     """Fits on four fifths of the rows and calibrates on the rest, if that is enough for it; ``stand`` as there."""
     part = np.arange(len(y)) % 5 == 4
     if min(y[part].sum(), (1 - y[part]).sum()) < LEAST_CALIBRATION:
@@ -158,7 +168,7 @@ def fit_calibrated(rows: list[np.ndarray], y: np.ndarray, stand: tuple[float, fl
     seen = [r for r, p in zip(rows, part) if not p]
     starts = np.concatenate(([0], np.cumsum([len(r) for r in seen]))).astype(np.int64)
     flat = np.concatenate(seen) if seen else np.zeros(0, dtype=np.int32)
-    return fit(flat, starts, y[~part]).calibrate([r for r, p in zip(rows, part) if p], y[part], stand)
+    return fit(flat, starts, y[~part], **kw).calibrate([r for r, p in zip(rows, part) if p], y[part], stand)
 
 
 def places(negative: int, positive: int, sample: int) -> tuple[int, int]:
@@ -185,7 +195,9 @@ def labelled_terms(
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.int32()))], ["y", "terms"])
 
     # at most `sample` rows of two numbers are broadcast; the texts stay where they are
-    picked = rows.join(F.broadcast(chosen), rows["doc_id"] == F.col("__id")).select("doc_id", "y", "text")
+    picked = rows.join(F.broadcast(chosen), rows["doc_id"] == F.col("__id"))
+    # of rows with one id one is learned from, so the bound holds for rows as it does for ids
+    picked = picked.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = picked.select("y", "text").mapInArrow(run, "y int, terms array<int>").toArrow()
     y = got["y"].to_numpy().astype(np.float64)
     cells = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
@@ -203,6 +215,8 @@ def score_toxicity(
     label_col: str = "toxic",
     folds: int = 5,
     sample: int = SAMPLE,
+    least_rows: int = LEAST_ROWS,
+    least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
@@ -213,7 +227,9 @@ def score_toxicity(
     a null or empty text gets that of a text without terms.  Null labels
     are ignored, the larger of contradicting ones counts, rows without a
     label are scored like all others.  Without labels every score is 0.5.
-    A null id is never learned from; it is not held out.
+    A null id is never learned from; it is not held out.  Of rows with one
+    id that with the smallest text hash is learned from.  ``least_rows`` and
+    ``least_share`` as for ``fit``.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == 0, F.lit(False))
@@ -225,7 +241,7 @@ def score_toxicity(
     sample_rows = sorted((y[i], flat[starts[i] : starts[i + 1]].tobytes()) for i in range(len(y)))
     y = np.array([a for a, _ in sample_rows])
     none = Machine(0.0, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
-    model = fit_calibrated([np.frombuffer(b, dtype=flat.dtype) for _, b in sample_rows], y, stand) if len(y) else none
+    model = fit_calibrated([np.frombuffer(b, dtype=flat.dtype) for _, b in sample_rows], y, stand, least_rows=least_rows, least_share=least_share) if len(y) else none
     shared = spark.sparkContext.broadcast(
         (model.w0, model.w.astype(np.float32), model.v.astype(np.float32), model.scale, model.shift)
     )
