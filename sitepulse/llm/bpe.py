@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitepulse.llm.pretokens import PORTION, Memo, Splitter, portions
-from sitepulse.llm.storage import worker_cache
+from sitepulse.llm.storage import free_names, worker_cache
 from sitepulse.llm.text import slices
 
 
@@ -168,12 +168,12 @@ class StreamDecoder:
         return self._utf8.decode(decode_ids(self.pieces, ids), last)
 
 
-def _encode(description, with_offsets: bool):
+def _encode(description, with_offsets: bool, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pieces = load(description.value)
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            kept = batch.drop_columns(["__text"])
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            kept = batch.drop_columns([text_col])
             at = 0
             for group in groups(texts, 8 * PORTION):  # a few MB of ids at a time
                 ids = list(encoder(group))
@@ -197,21 +197,28 @@ def encode(
 
     Null and empty texts have no ids.  Any UTF-8 text can be encoded, long
     texts in portions whose joined ids equal those of the whole text.  The
-    vocabulary (a few MB, whatever the input) is broadcast.
+    vocabulary (a few MB, whatever the input) is broadcast.  An input column
+    with the name of an added one is replaced.
     """
     spark = docs.sparkSession
     description = spark.sparkContext.broadcast(tokenizer_json(read_ranks(path), pattern))
-    others = [c for c in docs.columns if c not in (text_col, "ids", "offsets")]
-    rows = docs.select(*others, F.col(text_col).cast("string").alias("__text"))
+    names = ["ids"] + ["offsets"] * with_offsets
+    others = [c for c in docs.columns if c not in (text_col, *names)]
+    text = free_names(docs, "text")["text"]
+    rows = docs.select(*others, F.col(text_col).cast("string").alias(text))
     numbers = T.ArrayType(T.IntegerType())
-    fields = [f for f in rows.schema.fields if f.name != "__text"]
-    added = [T.StructField(c, numbers) for c in ["ids"] + ["offsets"] * with_offsets]
+    fields = [f for f in rows.schema.fields if f.name != text]
+    added = [T.StructField(c, numbers) for c in names]
     out = T.StructType(fields + added)
-    return rows.mapInArrow(_encode(description, with_offsets), out)
+    return rows.mapInArrow(_encode(description, with_offsets, text), out)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` with ``decoded`` (binary, the bytes of the column ``ids``); null ids decode to nothing."""
+    """``encoded`` with ``decoded`` (binary, the bytes of the column ``ids``); null ids decode to nothing.
+
+    An input column ``decoded`` is replaced.
+    """
+    encoded = encoded.drop("decoded")
     spark = encoded.sparkSession
     description = spark.sparkContext.broadcast(tokenizer_json(read_ranks(path), pattern))
 

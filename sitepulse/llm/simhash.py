@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitepulse.llm.components import components
-from sitepulse.llm.storage import Scratch
+from sitepulse.llm.storage import Scratch, free_names
 from sitepulse.llm.text import slices, utf8, words
 
 SHINGLE = 3
@@ -208,7 +208,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_groups(docs, id_col, text_col, **kw)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("s")
-    stay = found.groupBy("root").agg(first).select(F.col("s.doc_id").alias("__id"), F.col("s.t").alias("__stay"))
-    marked = docs.withColumn("__t", F.xxhash64(F.col(text_col).cast("string")))
-    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__stay")), "left_semi")
-    return kept.dropDuplicates([id_col, "__t"]).select(*docs.columns)
+    names = free_names(docs, "t", "id", "stay")
+    t, kept_id, stays = names["t"], names["id"], names["stay"]
+    stay = found.groupBy("root").agg(first).select(F.col("s.doc_id").alias(kept_id), F.col("s.t").alias(stays))
+    marked = docs.withColumn(t, F.xxhash64(F.col(text_col).cast("string")))
+    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(t) == F.col(stays)), "left_semi")
+    return kept.dropDuplicates([id_col, t]).select(*docs.columns)

@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
 #: Names that operators use for their own columns.
 CLASHES = "h n k f t a shard block bucket line blob drops fp root z u v i bits spans items ids part parts kind value run url_key keep_id group_size text_sha256 held_out score ok c w x y depth no rank digest a b pid weight total p heads n_tokens conv_id item_id doc_id".split()
-CLASHES += [f"__{c}" for c in "h whole a bucket owner hot place t text sha id k item fp".split()]
+CLASHES += [f"__{c}" for c in "h whole a bucket owner hot place t text sha id stay k item fp r changed keep".split()]
 
 
 def edge_documents():

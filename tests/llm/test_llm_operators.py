@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -165,6 +166,30 @@ def test_histories_are_globally_ordered(spark, edge, file_records):
     assert len({r[0] for r in got}) >= len(got) // file_records / 2
 
 
+def test_a_long_page_leaves_the_other_files_alone(spark, edge, monkeypatch):
+    """Files are cut by the length of common pages; the long ones go beside them."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "HEAD_BYTES", 400)
+    pages = spark.read.parquet(f"{edge['dir']}/pages.parquet").coalesce(1)
+    want = sorted(brute.op3(edge), key=key)
+    n_files = {}
+    for limit in (1 << 20, 5000):
+        monkeypatch.setattr(warc, "LONG_PAGE", limit)
+        got = warc.capture_histories(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "run").collect()
+        assert sorted((tuple(r)[:5] for r in got), key=key) == want
+        n_files[limit] = len({r.run for r in got})
+    assert n_files[5000] < 12 and n_files[1 << 20] > 60
+
+
+def test_rows_equal_in_url_time_and_page_spread(spark):
+    """A third of all rows repeated: run and offset split them over ranges, each still in order."""
+    rows = [(1, "http://a.example/", "x")] * 300 + [(i, f"http://h{i}.example/", "y") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = warc.capture_histories(pages)
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert got.count() == 900 and max(r["count"] for r in sizes) < 300
+
+
 def test_damaged_archives_are_told():
     good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [x[3] for x in warc.parse(good * 2)] == [b"abc", b"abc"]
@@ -424,6 +449,42 @@ def test_calibration_makes_up_for_the_sample():
     assert even.scores(both)[0] > 0.75 and rare.scores(both)[0] < 0.5
 
 
+def test_toxicity_equals_brute_force(spark, small):
+    """The query against plain loops: the labelled rows, the terms, and every pair of a text's terms."""
+    import zlib
+
+    def terms(text):
+        ws = {w.encode() for w in brute.terms(text)}
+        return sorted({zlib.crc32(w) % toxicity.BUCKETS for w in ws} | {zlib.crc32(w[:n], n) % toxicity.BUCKETS for w in ws for n in toxicity.STEMS if len(w) > n})
+
+    texts = dict(small["documents"])
+    known = {d: y for d, _, y in small["labels"] if d is not None and y is not None and d in texts and brute.crc(d) % 5}
+    rows = sorted((float(y), np.array(terms(texts[d]), dtype=np.int32).tobytes()) for d, y in known.items())
+    model = toxicity.fit_calibrated([np.frombuffer(b, dtype=np.int32) for _, b in rows], np.array([y for y, _ in rows]), least_rows=2)
+
+    def score(text):
+        at = terms(text)
+        z = model.w0 + sum(model.w[i] for i in at)
+        z += sum(float(model.v[a] @ model.v[b]) for k, a in enumerate(at) for b in at[:k])
+        return 1 / (1 + math.exp(-(model.scale * z + model.shift)))
+
+    d = spark.read.parquet(f"{small['dir']}/documents.parquet")
+    got = toxicity.score_toxicity(d, spark.read.parquet(f"{small['dir']}/labels.parquet"), least_rows=2).collect()
+    short = [r for r in got if len(texts[r.doc_id] or "") < 3000]
+    assert len(short) > 100 and len(got) == len(texts)
+    for r in short:
+        assert r.score == pytest.approx(score(texts[r.doc_id]), abs=1e-4)
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (brute.crc(r.doc_id) % 5 == 0)
+
+
+def test_the_labelled_sample_is_bounded_in_rows(spark):
+    """One id repeated many times is one row of the sample."""
+    rows = spark.createDataFrame([(1, f"word{i}") for i in range(3000)] + [(i, f"text {i}") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, y int")
+    _, starts, y, _ = toxicity.labelled_terms(rows, labels, 50)
+    assert len(y) <= 50 and len(starts) == len(y) + 1
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.score_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
@@ -674,6 +735,10 @@ def test_encode_then_decode(spark, edge, coder):
     import public_tokenizers as P
 
     d = docs(spark, edge)
+    plain = bpe.encode(d, P.path(BPE_FILE), P.PATTERN)
+    assert sorted(plain.columns) == sorted(set(d.columns) - {"text"} | {"ids"})  # ``ids`` replaced, ``__text`` kept
+    twice = bpe.decode(plain.withColumn("decoded", F.lit(1)), P.path(BPE_FILE), P.PATTERN)
+    assert twice.columns.count("decoded") == 1 and twice.schema["decoded"].dataType.simpleString() == "binary"
     coded = bpe.encode(d.drop("ids"), P.path(BPE_FILE), P.PATTERN, with_offsets=True)
     assert set(coded.columns) == set(d.columns) - {"text"} | {"offsets"}
     back = bpe.decode(coded, P.path(BPE_FILE), P.PATTERN).collect()
