@@ -583,6 +583,10 @@ GROUP BY b.block, day"""
     kept = REGISTRY.replace("registry AS", "registry0 AS", 1) + """,
 registry AS (SELECT * REPLACE ('C-' || CAST(entity_key AS VARCHAR) AS record_id) FROM registry0)"""
     q["stored_rollup"] = with_(kept, ORDERS_LOG, rollup_ctes(*P.LONG_RANGE)) + ROLLUP_OUT
+    none = "log AS (SELECT * FROM log0 WHERE FALSE)"
+    q["empty_store_rollup"] = (
+        with_(kept, ORDERS_LOG.replace("log AS", "log0 AS", 1), none, rollup_ctes(*P.LONG_RANGE)) + ROLLUP_OUT
+    )
     q["stored_monthly_crosstab"] = (
         with_(kept, ORDERS_LOG, rollup_ctes(olo, ohi), "ct AS (" + monthly_crosstab_sql() + ")")
         + doubles(f"participants_{n}" for _, _, n in cells())

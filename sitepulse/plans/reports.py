@@ -234,6 +234,7 @@ def range_reports(
     areas=None,
     kinds=None,
     roles: Roles = Roles(),
+    totals: DataFrame | None = None,
     materialize: bool = False,
 ) -> dict[str, DataFrame]:
     """The four date-range reports (R10, R11, R14, R15) over ONE rollup.
@@ -241,12 +242,13 @@ def range_reports(
     The reference memoises the rollup and shares it; here the caller picks:
     ``materialize=True`` checkpoints it once into the shared checkpoint
     folder (one scan of the log for all four reports, and a lineage cut),
-    otherwise each report plans its own (lazy) rollup.
+    otherwise each report plans its own (lazy) rollup.  With the stored month
+    ``totals`` the rollup reads whole months from there.
     """
     from sitepulse.operators.rollup import period_rollup
     from sitepulse.session import materialize as cut
 
-    rollup = period_rollup(log, registry, lo, hi, blocks=blocks, areas=areas, kinds=kinds, roles=roles)
+    rollup = period_rollup(log, registry, lo, hi, blocks=blocks, areas=areas, kinds=kinds, roles=roles, totals=totals)
     if materialize:
         rollup = cut(rollup)
     return {

@@ -57,6 +57,19 @@ def q_stored_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.read_snapshot(spark, published(spark, sf_dir))[0]
 
 
+def q_empty_store_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store made empty, then a registry without entries: every entity with zeros."""
+    root = new_folder(spark, "store")
+    ingest.ensure_tables(spark, root)
+    if not ingest.table_exists(spark, f"{root}/settings"):
+        raise RuntimeError("the store was not made")
+    log = ingest.read_snapshot(spark, root)[1].drop("day_month")
+    raw, labels = synth.raw_export(spark, sf_dir), synth.label_export(spark, sf_dir)
+    ingest.publish_snapshot(spark, ingest.extract_registry(raw, labels), log, root)
+    reg, log = ingest.read_snapshot(spark, root)
+    return period_rollup(log, reg, *P.LONG_RANGE, roles=ingest.SNAPSHOT_ROLES, totals=ingest.read_totals(spark, root))
+
+
 def q_changed_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months of the current version after one month's statuses changed: rows, and whether it was written anew."""
     root = published(spark, sf_dir)
