@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,31 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_LOCK, _USERS = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def cleaning(spark: SparkSession):
+    """Shuffle files go when a query ends.  The setting is the session's: the
+    first of several writes at a time sets it, the last one puts it back."""
+    key = id(spark._jsparkSession) if hasattr(spark, "_jsparkSession") else id(spark)
+    with _LOCK:
+        users, before = _USERS.get(key, (0, None))
+        if not users:
+            before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _USERS[key] = users + 1, before
+    try:
+        yield
+    finally:
+        with _LOCK:
+            users, before = _USERS.pop(key)
+            if users > 1:
+                _USERS[key] = users - 1, before
+            else:
+                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Tables of one operator run under the shared folder.
 
@@ -42,13 +69,9 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Writes ``df`` and reads it back; the write's shuffle files go as soon as it is done."""
-        path, conf = f"{self.path}/{name}", self.spark.conf
-        before = conf.get(CLEANUP, None)
-        conf.set(CLEANUP, "true")
-        try:
+        path = f"{self.path}/{name}"
+        with cleaning(self.spark):
             df.write.option("compression", codec).parquet(path)
-        finally:
-            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

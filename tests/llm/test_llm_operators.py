@@ -865,3 +865,18 @@ def test_trie_with_a_conversation_in_many_parts(spark, edge, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
     assert sorted(got, key=key) == sorted(brute.op13(edge), key=key)
+
+
+# ------------------------------------------------------------------- storage
+
+
+def test_writes_at_a_time_put_the_setting_back(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from sitepulse.llm.storage import CLEANUP
+
+    before = spark.conf.get(CLEANUP, None)
+    scratch = Scratch(spark, "threads")
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda i: scratch.table(spark.range(i, i + 50), f"t{i}").count(), range(8)))
+    assert done == [50] * 8 and spark.conf.get(CLEANUP, None) == before
