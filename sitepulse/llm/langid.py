@@ -191,19 +191,20 @@ def long_log_prob(words: list[bytes], trie: Trie, log: np.ndarray, portion: int
     out = np.zeros((len(words), log.shape[1]))
     back = trie.longest
     carried = None
-    for base in range(0, int(size.max(initial=0)), portion):
-        lo = max(0, base - back)
-        lattice = Lattice([w[lo : base + portion] for w in words], trie)
-        alpha = np.full((len(words), base - lo + portion + 1, log.shape[1]), -np.inf)
+    whole = int(size.max(initial=0))
+    for base in range(0, whole, portion):
+        lo, width = max(0, base - back), min(portion, whole - base)
+        lattice = Lattice([w[lo : base + width] for w in words], trie)
+        alpha = np.full((len(words), base - lo + width + 1, log.shape[1]), -np.inf)
         if carried is None:
             alpha[:, 0] = 0
         else:
             alpha[:, : base - lo + 1] = carried
         lattice.log_forward(log, alpha, base - lo)
-        ends = (size > base) & (size <= base + portion)
+        ends = (size > base) & (size <= base + width)
         out[ends] = alpha[ends, size[ends] - lo]
-        keep = min(back, base + portion)
-        carried = alpha[:, base - lo + portion - keep :]
+        keep = min(back, base + width)
+        carried = alpha[:, base - lo + width - keep :]
     return out
 
 
