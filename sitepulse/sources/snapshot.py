@@ -181,7 +181,9 @@ def _write_months(spark, rows: DataFrame, root: str, version: str, months: dict,
     """The months' rows, in as many range partitions as their counted rows need, and their totals."""
     if not months:
         return
-    n = sum(-(-count // file_rows) for count in months.values())
+    files = sum(-(-count // file_rows) for count in months.values())
+    at_once = min(len(months), spark.sparkContext.defaultParallelism)  # many small months are written side by side
+    n = max(files, at_once)
     dealt = rows.where(in_months(list(months))).repartitionByRange(n, MONTH, *CLUSTERED)
     base = f"{root}/log/v={version}"
     (
@@ -194,9 +196,8 @@ def _write_months(spark, rows: DataFrame, root: str, version: str, months: dict,
     )
     written = _read(spark, f"{root}/log", LOG_SCHEMA, {m: version for m in months})
     totals = month_totals(written.where(F.col(MONTH).isNotNull()), MONTH, SNAPSHOT_ROLES)
-    per_file = max(1, n // 8)  # a month has far fewer entities than entries
     (
-        totals.repartitionByRange(per_file, MONTH, "record_id")
+        totals.repartitionByRange(max(files // 8, at_once), MONTH, "record_id")  # far fewer entities than entries
         .sortWithinPartitions(MONTH, "record_id")
         .write.mode("errorifexists")
         .partitionBy(MONTH)
