@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitepulse.llm.pretokens import PORTION, Memo, Splitter, portions
-from sitepulse.llm.storage import free_names, worker_cache
+from sitepulse.llm.storage import forget, free_names, worker_cache
 from sitepulse.llm.text import slices
 
 
@@ -88,6 +88,7 @@ def load(description: str):
     if cache.get("bpe_key") != hash(description):
         import os
 
+        forget(cache)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

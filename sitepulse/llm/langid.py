@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitepulse.llm.storage import worker_cache
+from sitepulse.llm.storage import forget, worker_cache
 from sitepulse.llm.text import alnum_words, slices, utf8
 
 #: Labelled documents the model is fitted on, at most: an equal share of each
@@ -366,6 +366,7 @@ def _on_worker(model: Model):
     def get(value) -> Model:
         cache = worker_cache()
         if cache.get("langid_token") != token:
+            forget(cache)
             cache["langid"], cache["langid_token"] = Model(*value), token
         return cache["langid"]
 

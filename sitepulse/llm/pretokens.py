@@ -63,7 +63,7 @@ class Memo(dict):
     for the texts at hand only.
     """
 
-    def __init__(self, compute, limit: int = 1 << 19):
+    def __init__(self, compute, limit: int = 1 << 18):
         super().__init__()
         self._compute, self._limit = compute, limit
 

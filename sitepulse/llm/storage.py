@@ -95,3 +95,9 @@ def worker_cache() -> dict:
     import types
 
     return sys.modules.setdefault("_sitepulse_worker_cache", types.ModuleType("_sitepulse_worker_cache")).__dict__
+
+
+def forget(cache: dict) -> None:
+    """Lets the objects of earlier operators go before a worker builds those of the next."""
+    for name in [n for n in cache if not n.startswith("__")]:
+        del cache[name]

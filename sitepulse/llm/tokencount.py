@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitepulse.llm.pretokens import LONGEST, Memo, Splitter, portions
-from sitepulse.llm.storage import worker_cache
+from sitepulse.llm.storage import forget, worker_cache
 from sitepulse.llm.text import slices
 
 #: Texts (about) from which the frequent pre-tokens are taken.
@@ -101,6 +101,7 @@ def load(description: str, table: LengthTable | None = None) -> tuple[Counts, Me
     """The tokenizer and the memo behind the table, kept per worker process."""
     cache, key = worker_cache(), (hash(description), table and hash(table.blob))
     if cache.get("count_key") != key:
+        forget(cache)
         counts = Counts(description)
 
         def behind(words: list[str]) -> list[int]:
