@@ -16,6 +16,12 @@ Counts move as packed arrays, not as one row per occurrence:
    per shard of hashes with the sorted hashes and the block's own counts.
    So a pair that every document holds costs one entry per block.
 3. A shard's owner adds the counts up and answers every block in its order.
+   Where blocks x shards would be too many rows, the asks climb in steps:
+   a step splits the range of hashes by at most 2**FAN_BITS and merges the
+   asks of as many blocks into one sorted list, and the answers come down
+   the same way.  So a block emits at most 2**FAN_BITS rows a step, and the
+   rows grow with the tokens (times the steps, a logarithm), not with their
+   square.
 4. Blocks meet their answers again, keep the pair count of each token, and
    add up a histogram of quantised held-out events, whose size is bounded
    whatever the input; the weights are fitted on it.
@@ -47,10 +53,14 @@ BLOCK_TOKENS = 1 << 20
 PAIR_BITS = 48
 #: Hashes that the owner of a shard receives, about.
 SHARD_HASHES = 1 << 20
+#: A block's asks go to at most this power of two of ranges in one step.
+FAN_BITS = 8
+#: Owners, or blocks, whose rows one task takes, about.
+UNITS_A_TASK = 2
 #: Training rows whose crc32 has this remainder are held out from the counts while the weights are fitted.
 DELETED = 3
 #: Buckets of context counts: 0, 1, 2-3, 4-7, ...; the last takes all larger ones.
-BUCKETS = 24
+BUCKETS = 44
 #: Steps per factor of two in the quantised probabilities of the histogram, and their least exponent.
 STEPS, LEAST = 8, -40
 ROUNDS = 40
@@ -174,30 +184,134 @@ class Block:
         return np.unique(pair_hash(self.words[self.before], self.words[self.tokens]), return_inverse=True)
 
 
-def _asks(shard_bits: int):
+BITS = {WORD: 64, PAIR: PAIR_BITS}
+ASK = "kind int, grp long, shard long, block long, ids binary, train binary, back binary"
+
+
+def steps(shard_bits: int, fan_bits: int = FAN_BITS) -> list[int]:
+    """Leading bits of a hash that name its range after each step; the last has ``shard_bits``."""
+    n = max(1, -(-shard_bits // fan_bits))
+    return [shard_bits * (k + 1) // n for k in range(n)]
+
+
+def group_of(block: int, bits: int) -> int:
+    """One of 2**bits groups, the same for every kind and range of a block."""
+    return ((block * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 24) & ((1 << bits) - 1)
+
+
+def _split(kind: int, grp: int, unit: int, ids: np.ndarray, counts: list, at: int, before: int, to: int):
+    """Asks of a unit whose range is ``at`` (``before`` leading bits), one row per range of ``to`` bits."""
+    left = np.uint64(BITS[kind] - to)
+    first, n = at << (to - before), 1 << (to - before)
+    edges = np.arange(first + 1, first + n, dtype=np.uint64) << left if n > 1 else np.zeros(0, dtype=np.uint64)
+    cuts = [0, *np.searchsorted(ids, edges).tolist(), len(ids)]
+    out = [(first + i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    for lo in range(0, len(out), 64):
+        some = out[lo : lo + 64]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([kind] * len(some), pa.int32()),
+                pa.array([grp] * len(some), pa.int64()),
+                pa.array([s for s, _, _ in some], pa.int64()),
+                pa.array([unit] * len(some), pa.int64()),
+                pa.array([_pack_sorted(ids[a:b]) for _, a, b in some], pa.binary()),
+                *(pa.array([_pack_counts(c[a:b]) for _, a, b in some], pa.binary()) for c in counts),
+            ],
+            ["kind", "grp", "shard", "block", "ids", "train", "back"],
+        )
+
+
+def _asks(to: int, shard_bits: int):
+    """The asks of the blocks, by ranges of ``to`` bits and groups of the other ``shard_bits``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 block = Block(row)
                 hashes, place = block.pairs()
-                for kind, bits, ids, at in ((WORD, 64, block.words, block.tokens), (PAIR, PAIR_BITS, hashes, place)):
+                grp = group_of(row["block"], shard_bits - to)
+                for kind, ids, at in ((WORD, block.words, block.tokens), (PAIR, hashes, place)):
                     own = [np.bincount(at[block.part == p], minlength=len(ids)) for p in (TRAIN, HELD_BACK)]
-                    edges = np.arange(1, 1 << shard_bits, dtype=np.uint64) << np.uint64(bits - shard_bits) if shard_bits else []
-                    cuts = [0, *np.searchsorted(ids, np.asarray(edges, dtype=np.uint64)).tolist(), len(ids)]
-                    out = [(s, a, b) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-                    for lo in range(0, len(out), 64):
-                        some = out[lo : lo + 64]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([kind] * len(some), pa.int32()),
-                                pa.array([s for s, _, _ in some], pa.int64()),
-                                pa.array([row["block"]] * len(some), pa.int64()),
-                                pa.array([_pack_sorted(ids[a:b]) for _, a, b in some], pa.binary()),
-                                pa.array([_pack_counts(own[0][a:b]) for _, a, b in some], pa.binary()),
-                                pa.array([_pack_counts(own[1][a:b]) for _, a, b in some], pa.binary()),
-                            ],
-                            ["kind", "shard", "block", "ids", "train", "back"],
-                        )
+                    yield from _split(kind, grp, row["block"], ids, own, 0, 0, to)
+
+    return run
+
+
+def _climb(before: int, to: int, shard_bits: int):
+    """The asks of merged units, by ranges of ``to`` instead of ``before`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                own = [_unpack_counts(row["train"]), _unpack_counts(row["back"])]
+                unit = row["grp"] << before | row["shard"]
+                grp = row["grp"] & ((1 << (shard_bits - to)) - 1)
+                yield from _split(row["kind"], grp, unit, _unpack_sorted(row["ids"]), own, row["shard"], before, to)
+
+    return run
+
+
+def _summed(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Each ask's places in the sorted different hashes of all asks, these hashes, and their counts."""
+    ids = [_unpack_sorted(x.as_py()) for x in table["ids"]]
+    names, place = np.unique(np.concatenate(ids), return_inverse=True)
+    sums = []
+    for column in ("train", "back"):
+        own = np.concatenate([_unpack_counts(x.as_py()) for x in table[column]])
+        # whole numbers up to 2**53 are exact in the weights
+        sums.append(np.bincount(place, weights=own, minlength=len(names)).astype("<u8"))
+    cuts = np.cumsum([len(x) for x in ids])[:-1]
+    return np.split(place, cuts), names, sums
+
+
+MERGED = ASK + ", place binary"
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """One row of the unit's hashes and counts (no ``place``), and a row per ask with its places among them."""
+    places, names, (train, back) = _summed(table)
+    n = len(places)
+    return pa.table(
+        {
+            "kind": pa.array([table["kind"][0].as_py()] * (n + 1), pa.int32()),
+            "grp": pa.array([table["grp"][0].as_py()] * (n + 1), pa.int64()),
+            "shard": pa.array([table["shard"][0].as_py()] * (n + 1), pa.int64()),
+            "block": pa.array([None, *table["block"].to_pylist()], pa.int64()),
+            "ids": pa.array([_pack_sorted(names)] + [None] * n, pa.binary()),
+            "train": pa.array([_pack_counts(train)] + [None] * n, pa.binary()),
+            "back": pa.array([_pack_counts(back)] + [None] * n, pa.binary()),
+            "place": pa.array([None] + [_pack_sorted(x.astype(np.uint64)) for x in places], pa.binary()),
+        }
+    )
+
+
+REPLY = "kind int, shard long, block long, train binary, back binary"
+
+
+def _descend(before: int):
+    """A merged unit's replies, taken apart for the asks that it was merged from."""
+
+    def run(table: pa.Table) -> pa.Table:
+        finer, children = [], []
+        for i in range(table.num_rows):
+            if table["place"][i].is_valid:
+                children.append(i)
+            else:
+                finer.append((table["finer"][i].as_py(), i))
+        total = [
+            np.concatenate([_unpack_counts(table[c][i].as_py()) for _, i in sorted(finer)]) for c in ("train", "back")
+        ]
+        places = [_unpack_sorted(table["place"][i].as_py()) for i in children]
+        n, unit = len(children), table["unit"][0].as_py()
+        return pa.table(
+            {
+                "kind": pa.array([table["kind"][0].as_py()] * n, pa.int32()),
+                "shard": pa.array([unit & ((1 << before) - 1)] * n, pa.int64()),
+                "block": pa.array([table["block"][i].as_py() for i in children], pa.int64()),
+                "train": pa.array([_pack_counts(total[0][p]) for p in places], pa.binary()),
+                "back": pa.array([_pack_counts(total[1][p]) for p in places], pa.binary()),
+            }
+        )
 
     return run
 
@@ -212,19 +326,10 @@ ANSWER = "kind int, shard long, block long, train binary, back binary, types lon
 
 def _answer(table: pa.Table) -> pa.Table:
     """Adds up one shard; the row of block -1 holds the numbers of different and of all tokens."""
-    blocks = table["block"].to_pylist()
-    ids = [_unpack_sorted(x.as_py()) for x in table["ids"]]
-    flat = np.concatenate(ids)
-    names, place = np.unique(flat, return_inverse=True)
-    sums = []
-    for column in ("train", "back"):
-        own = np.concatenate([_unpack_counts(x.as_py()) for x in table[column]])
-        sums.append(np.bincount(place, weights=own, minlength=len(names)).astype("<u8"))
-    train, back = sums
-    cuts = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    places, _, (train, back) = _summed(table)
     out = []
-    for b, lo, hi in zip(blocks, cuts, cuts[1:]):
-        out.append((b, _pack_counts(train[place[lo:hi]]), _pack_counts(back[place[lo:hi]]), 0, 0, 0))
+    for b, place in zip(table["block"].to_pylist(), places):
+        out.append((b, _pack_counts(train[place]), _pack_counts(back[place]), 0, 0, 0))
     out.append((-1, None, None, int((train + back > 0).sum()), int((train + back).sum()), int(train.sum())))
     kind, shard = table["kind"][0].as_py(), table["shard"][0].as_py()
     n = len(out)
@@ -380,6 +485,7 @@ def score_documents(
     deleted: int = DELETED,
     block_tokens: int = BLOCK_TOKENS,
     shard_hashes: int = SHARD_HASHES,
+    fan_bits: int = FAN_BITS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
@@ -405,19 +511,37 @@ def score_documents(
         ),
         "blocks",
     )
-    size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size, pieces = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shard_bits = max(0, int(np.ceil(np.log2(max(1, size) / shard_hashes))))
-    asks = blocks.mapInArrow(
-        _asks(shard_bits), "kind int, shard long, block long, ids binary, train binary, back binary"
-    )
-    answers = scratch.table(asks.groupBy("kind", "shard").applyInArrow(_answer, ANSWER), "answers")
+
+    def tasks(units: int) -> int:
+        return max(1, -(-units // UNITS_A_TASK))
+
+    def owners(asks: DataFrame) -> DataFrame:
+        # 2**shard_bits units of each kind, of words and of pairs, in every step
+        return asks.repartition(tasks(2 << shard_bits), "kind", "grp", "shard").groupBy("kind", "grp", "shard")
+
+    climb = steps(shard_bits, fan_bits)
+    asks, merged = blocks.mapInArrow(_asks(climb[0], shard_bits), ASK), []
+    for k, (before, to) in enumerate(zip(climb, climb[1:])):
+        merged.append(scratch.table(owners(asks).applyInArrow(_merge, MERGED), f"merged{k}"))
+        units = merged[-1].filter("place is null").drop("block", "place")
+        asks = units.mapInArrow(_climb(before, to, shard_bits), ASK)
+    answers = scratch.table(owners(asks).applyInArrow(_answer, ANSWER), "answers")
     sums = answers.filter((F.col("block") == -1) & (F.col("kind") == WORD))
     types, tokens, kept = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "kept")]).first()
 
     replies = answers.filter("block >= 0").drop("types", "tokens", "kept")
+    for k in reversed(range(len(merged))):
+        before = climb[k]
+        unit = F.shiftleft("grp", before).bitwiseOR(F.col("shard"))
+        asked = merged[k].filter("place is not null").select("kind", unit.alias("unit"), "block", "place")
+        found = replies.select("kind", F.col("block").alias("unit"), F.col("shard").alias("finer"), "train", "back")
+        met = asked.unionByName(found, allowMissingColumns=True).repartition(tasks(2 << shard_bits), "kind", "unit")
+        replies = scratch.table(met.groupBy("kind", "unit").applyInArrow(_descend(before), REPLY), f"replies{k}")
     both = blocks.drop("n").withColumn("kind", F.lit(0)).unionByName(replies, allowMissingColumns=True)
     gathered = scratch.table(
-        both.groupBy("block").applyInArrow(
+        both.repartition(tasks(pieces), "block").groupBy("block").applyInArrow(
             _gather(int(kept)),
             f"block long, ids array<{id_type}>, parts binary, sizes binary, tokens binary, end_at long, "
             "word_total binary, pair_total binary, cells array<long>, events array<long>",

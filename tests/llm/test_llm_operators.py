@@ -284,6 +284,29 @@ def test_lm_small_blocks_and_shards(spark, small):
         assert a[i][:4] == b[i][:4] and a[i][4:] == pytest.approx(b[i][4:], rel=1e-9)
 
 
+def test_lm_asks_that_climb_in_steps(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cols = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    a = {r.doc_id: r for r in lm.score_documents(d).select(*cols).collect()}
+    total = sum(r.n_tokens for r in a.values())
+    cut = {"block_tokens": total // 12, "shard_hashes": total // 8}
+    assert lm.steps(3, 1) == [1, 2, 3]
+    b = {r.doc_id: r for r in lm.score_documents(d, **cut, fan_bits=1).select(*cols).collect()}
+    assert a.keys() == b.keys()
+    for i in a:
+        assert a[i][:4] == b[i][:4] and a[i][4:] == pytest.approx(b[i][4:], rel=1e-9)
+
+
+def test_lm_rows_of_the_exchange_follow_the_tokens():
+    for shard_bits in range(0, 30):
+        cuts = lm.steps(shard_bits)
+        assert cuts[-1] == shard_bits and max(np.diff([0, *cuts])) <= lm.FAN_BITS
+        assert len(cuts) == max(1, -(-shard_bits // lm.FAN_BITS))
+    # a group of fewer bits joins whole groups of more bits
+    for block in (0, 1, 5 << 32, (7 << 32) + 3):
+        assert lm.group_of(block, 5) == lm.group_of(block, 9) & 31 and lm.group_of(block, 0) == 0
+
+
 def test_lm_beats_unigrams_on_held_out_rows(spark):
     got = [r for r in lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got) * 0.9
